@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridia.llm import jaccard_join
+from meridia.llm import jaccard_join, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,13 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), k=3, threshold=(90, 100))
 
 
-QUERIES = {"op1_jaccard_join": op1_jaccard_join}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"), window=35)
+
+
+QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
+    "op10_substring_dedup": op10_substring_dedup,
+}
 
 ORACLE: dict[str, str] = {}
