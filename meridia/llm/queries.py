@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm import bpe, decontaminate, jaccard_join, language_id, secret_scan, substring_dedup
+from meridia.llm import bpe, decontaminate, jaccard_join, language_id, secret_scan, sharding, substring_dedup, warc
+from meridia.llm._shared import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined(of("assign", "access", "hex")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.stratified_shards(_table(spark, sf_dir, "documents"), shards=40, seed=42)
+
+
 def _learnable() -> Column:
     """Rows that the language model may learn from; the others are held out."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2
@@ -45,6 +50,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = written(warc.write_archives(_table(spark, sf_dir, "pages")), "archives")
+    return warc.read_archives(archives).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -56,8 +66,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_secret_scan": op2_secret_scan,
+    "op3_sharding": op3_sharding,
     "op5_language_id": op5_language_id,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
 }
