@@ -1,6 +1,8 @@
-"""The named queries of the library and their DuckDB SQL."""
+"""All named queries of the library and their DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from meridia.plans import curation_queries, join_queries, scoring_queries, sequence_queries, window_queries  # noqa: F401  they register themselves
+from meridia.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
