@@ -27,11 +27,11 @@ _ROWS = 200_000
 
 
 def levels(window: int) -> list[int]:
-    """Window lengths, each at most twice the one before; the last is the target."""
+    """Window lengths, each at most twice the one before; the last is the target. Short targets are looked at twice."""
     found = [window]
     while (found[-1] + 1) // 2 >= BASE:
         found.append((found[-1] + 1) // 2)
-    return found[::-1]
+    return found[::-1] if len(found) > 1 else [window, window]
 
 
 def _texts(w: Words) -> Iterator[list[bytes]]:
