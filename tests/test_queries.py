@@ -97,3 +97,32 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(catalogue.QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_shortlist(spark, sf_dir):
+    groups = {}
+    for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").collect():
+        x0, y0 = r.l_quantity, r.l_discount * 300
+        groups.setdefault(r.l_suppkey, []).append((r.l_orderkey * 10 + r.l_linenumber, x0, y0, x0 * 1.5 + 5, y0 + 6 + r.l_tax * 100))
+    area = lambda b: (b[3] - b[1]) * (b[4] - b[2])
+    expected = {}
+    for key, boxes in groups.items():
+        kept = []
+        for b in sorted(boxes, key=lambda b: (-area(b), b[0])):
+            shared = [max(0, min(b[3], k[3]) - max(b[1], k[1])) * max(0, min(b[4], k[4]) - max(b[2], k[2])) for k in kept]
+            if len(kept) < 5 and all(s < 0.7 * (area(b) + area(k) - s) for s, k in zip(shared, kept, strict=True)):
+                kept.append(b)
+        expected[key] = sorted(b[0] for b in kept)
+    got = {}
+    for r in catalogue.QUERIES["shortlist"](spark, sf_dir).collect():
+        got.setdefault(r.l_suppkey, []).append(r.id)
+    assert {k: sorted(v) for k, v in got.items()} == expected
+
+
+def test_metrics_of_tiers():
+    from meridia.operators.evaluation import metrics_of
+
+    assert metrics_of("t1, T4") == ["validity", "control", "completion_revisit"]
+    assert len(metrics_of()) == 12
+    with pytest.raises(ValueError):
+        metrics_of("T9")
