@@ -24,6 +24,8 @@ from meridia.llm._words import MAX, U, Words, mix, signed, words_of
 BASE = 16
 _FIRST, _SECOND = 0xC2B2AE3D27D4EB4F, 0x9E6C63D0876A9A47
 _ROWS = 200_000
+#: Rows of one batch and key that are dealt together; two at least, so that each still sees another.
+PACK = 500
 
 
 def levels(window: int) -> list[int]:
@@ -73,14 +75,17 @@ def _opened(w: Words, window: int, length: int, repeated: list[np.ndarray]) -> n
 
 
 def _once_a_batch(key: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row order, key to deal by): the first row of a key keeps it, the rest of the batch's rows and
-    a second copy of the first take a key of their own batch, so that a hot key meets its task once a batch."""
+    """(row order, key to deal by): the first row of a key keeps it; if the batch has more, all of them
+    take keys of their own, PACK rows or more to each, so that a hot key meets its task once a batch."""
     order = np.argsort(key, kind="stable")
     k = key[order]
     fresh = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.empty(0, bool)
     of = np.cumsum(fresh) - 1
-    many = np.bincount(of, minlength=int(fresh.sum()))[of] > 1 if len(k) else fresh
-    tag = mix(k + U(0x27D4EB2F165667C5)) ^ mix(more[0][order[np.flatnonzero(fresh)]][of].view(np.uint64)) if len(k) else k
+    size = np.bincount(of, minlength=int(fresh.sum()))[of] if len(k) else k
+    many = size > 1
+    heads = np.flatnonzero(fresh)
+    pack = np.minimum((np.arange(len(k)) - heads[of]) // PACK, np.maximum(size // PACK - 1, 0)).astype(np.uint64) if len(k) else k
+    tag = mix(k + pack + U(0x27D4EB2F165667C5)) ^ mix(more[0][order[heads]][of].view(np.uint64)) if len(k) else k
     return np.concatenate([order[fresh], order[many]]), np.concatenate([k[fresh], tag[many]])
 
 
