@@ -1,7 +1,7 @@
 """Words of Arrow text columns as NumPy arrays of 64-bit hashes.
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D; texts are taken
-whole, in slices of a few MB, so that memory follows the slice and not the batch.
+whole, in slices of about a MB, so that memory follows the slice and not the batch.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, size=256, dtype=np.uint64) * U(2) + U(1)

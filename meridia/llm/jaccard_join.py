@@ -1,12 +1,12 @@
 """N-gram Jaccard join by signature trees.
 
 Each text becomes its set of distinct k-word shingles. Texts with equal sets are one
-node. Nodes are first dealt into clusters that no link can leave: the token space of a
-size class is cut by hash into more parts than two linked sets can differ in, so linked
-sets agree on a whole part, and nodes that agree on one are joined. Inside a cluster a
-signature tree (OR-combined token bitmaps, size ranges) is traversed against itself;
-node pairs whose largest possible overlap cannot reach the threshold are pruned, as are
-pairs already in one component, and what is left is verified on the exact sets.
+node. Nodes are first dealt into clusters that no link can leave, by block keys of which
+two linked sets always share one. In each cluster a signature tree (OR-combined token
+bitmaps, size ranges) is traversed against itself: node pairs whose largest possible
+overlap cannot reach the threshold are pruned, as are pairs already in one component.
+The first traversal, over bitmaps alone, leaves the pairs that may be linked; their
+components are traversed again with the exact sets, which decide.
 """
 
 from __future__ import annotations
@@ -23,93 +23,150 @@ from meridia.llm._words import U, mix, signed, words_of
 from meridia.llm.components import connected_components
 
 LEAF, FAN = 16, 8
-#: Nodes of one task's trees; a larger cluster is cut into chunks, joined pair by pair.
-CHUNK = 2048
+#: Nodes of one task's trees. A larger cluster is cut by size; where that is not enough, into chunks joined pair by pair.
+CHUNK = 1024
+#: Rows that tell the frequent shingles, or so.
+SAMPLE = 8_000
+#: Rows of a table of places up to which it is broadcast.
+BROADCAST_ROWS = 200_000
 
 
-def size_classes(largest: int) -> list[int]:
-    """Lower bounds of the size classes up to one beyond the largest size."""
-    bounds = [1]
-    while bounds[-1] <= largest:
-        bounds.append(max(bounds[-1] + 1, -(-bounds[-1] * 3 // 2)))
-    return bounds + [max(bounds[-1] + 1, -(-bounds[-1] * 3 // 2))]
+def part_keys(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Keys of which any two unequal sets with Jaccard >= num/den share one: parts of the sets.
 
+    A pair belongs to the size class of its larger set; there the sets differ by at most d
+    tokens, and the tokens are dealt by hash into d + 1 + spare parts, of which 1 + spare
+    agree. A set with no more than `spare` empty parts needs no key for those; the others,
+    small sets, add the first tokens of the hash order.
+    """
+    n, found, low = len(tokens), [], 1
+    last = n * den // num
+    while low <= last:
+        high = max(low + 1, -(-low * 3 // 2))
+        d = (den - num) * 2 * (high - 1) // (den + num)
+        if high > n and d:
+            k = d + 1 + -(-d // 4)
+            part = ((mix(tokens + U(0x9FB21C651E98DF25)) >> U(32)) * U(k)) >> U(32)
+            order = np.argsort(part, kind="stable")
+            p = part[order]
+            heads = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+            sums = np.add.reduceat(mix(tokens)[order], heads)
+            found.append(mix(mix(sums + U(low)) + p[heads] * U(2)))
+            if k - len(heads) >= k - d:
+                found.append(mix(mix(tokens[: n - -(-num * n // den) + 1] + U(low)) + U(1)))
+        low = high
+    return np.concatenate(found) if found else np.empty(0, np.uint64)
 
-def block_keys(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of which any two sets with Jaccard >= num/den, but unequal, share one.
 
-    A pair belongs to the size class of its larger set; there the symmetric difference
-    is at most d tokens, and the tokens are dealt into d + 1 + spare parts. At least
-    1 + spare parts agree. A set with at most `spare` empty parts needs no key for those;
-    the others (small sets) add the prefix of the hash-ordered set.
+def prefix_keys(tokens: np.ndarray, num: int, den: int, frequent: np.ndarray) -> np.ndarray:
+    """Keys of which any two unequal sets with Jaccard >= num/den share one: the sets' first tokens.
+
+    tokens is sorted; frequent holds sorted tokens that come last in the order of all
+    tokens. A set's keys are the first n - ceil(n * num / den) + 1 of it, in each size class
+    (sizes from a power of 4 to below the next) that a set as large or larger can be in.
     """
-    n, found = len(tokens), []
-    if n == 0:
+    n = len(tokens)
+    if (den - num) * n < num and (den - num) * n < den:  # no other set of any size reaches it
         return np.empty(0, np.uint64)
-    bounds = size_classes(n * den // num)
-    last = n * den // num
-    for c in range(np.searchsorted(bounds, n, side="right") - 1, len(bounds) - 1):
-        if bounds[c] > last:
-            break
-        d = (den - num) * 2 * (bounds[c + 1] - 1) // (den + num)
-        if d == 0:
-            continue
-        k = d + 1 + -(-d // 4)
-        scrambled = mix(tokens + U(0x9FB21C651E98DF25))
-        part = ((scrambled >> U(32)) * U(k)) >> U(32)
-        order = np.argsort(part, kind="stable")
-        p = part[order]
-        heads = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-        sums = np.add.reduceat(mix(tokens)[order], heads)
-        found.append(mix(mix(sums + U(c)) + p[heads] * U(2)))
-        if k - len(heads) >= k - d:
-            prefix = n - -(-num * n // den) + 1
-            found.append(mix(mix(tokens[:prefix] + U(c)) + U(1)))
-    return np.concatenate(found) if found else np.empty(0, np.uint64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+        tokens = tokens[np.argsort(frequent[at] == tokens, kind="stable")]
+    prefix = mix(tokens[: n - -(-num * n // den) + 1])
+    return np.concatenate([mix(prefix + U(c)) for c in range((n.bit_length() + 1) // 2, ((n * den // num).bit_length() + 1) // 2 + 1)])
+
+
+def in_parts(num: int, den: int) -> bool:
+    """Whether parts hold six tokens or so, too many to agree by chance; else first tokens are better keys."""
+    return (num + den) * 4 >= 6 * 2 * (den - num) * 5
+
+
+def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, k: int, lower: bool, sample: int = SAMPLE, least: int = 3, most: int = 1_000_000) -> np.ndarray:
+    """Sorted shingles that at least `least` of about `sample` rows have, `most` of them at most.
+
+    The rows are chosen by a hash of id and text. The bounds hold at every size of the
+    table; the result decides only the order of shingles, and any order loses no link.
+    """
+    rows = docs.select(F.xxhash64(id_col, text_col).alias("seed"), F.col(text_col).alias("text"))
+    total = docs.count()
+    million = 1_000_000
+    if total > sample:
+        rows = rows.where(F.pmod("seed", F.lit(million)) < max(1, int(million * sample / total)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in words_of(batch.column(0), lower):
+                token, n = np.unique(np.concatenate([*w.shingle_sets(k), np.empty(0, np.uint64)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(n.astype(np.int64))], ["token", "n"])
+
+    found = rows.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    top = found.orderBy(F.desc("n"), "token").limit(most).select("token").toPandas()["token"]
+    return np.sort(top.to_numpy(np.int64).view(np.uint64))
+
+
+def signature(tokens: np.ndarray) -> bytes:
+    """A bitmap of 4 to 8 bits a token: bit token mod its size, which is a power of 2."""
+    bits = np.zeros(signature_bits(len(tokens)), bool)
+    bits[(tokens & U(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def signature_bits(n: int) -> int:
+    return 1 << min(17, max(8, n.bit_length() + 2))
 
 
-def shingle_index(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, lower: bool) -> DataFrame:
-    """(id, n_shingles, h1, h2, keys) of each row: the set's size, 128-bit identity and block keys."""
+def shingle_index(docs: DataFrame, id_col: str, text_col: str, k: int, lower: bool) -> DataFrame:
+    """(id, n_shingles, h1, h2, bitmap) of each row: the set's size, 128-bit identity and signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in words_of(batch.column(1), lower):
                 sets = list(w.shingle_sets(k))
-                keys = [block_keys(s, num, den) for s in sets]
                 with np.errstate(over="ignore"):
                     h1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
                     h2 = np.array([mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64)
                 sizes = np.array([len(s) for s in sets], np.int64)
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
-                flat = signed(np.concatenate(keys)) if keys else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(w.lo, w.hi - w.lo), pa.array(sizes), pa.array(signed(h1)), pa.array(signed(h2)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                    ["id", "n_shingles", "h1", "h2", "keys"],
+                    [batch.column(0).slice(w.lo, w.hi - w.lo), pa.array(sizes), pa.array(signed(h1)), pa.array(signed(h2)), pa.array(map(signature, sets), pa.binary())],
+                    ["id", "n_shingles", "h1", "h2", "bitmap"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, h1 long, h2 long, keys array<long>")
-
-
-def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node) rows. Of the nodes of a batch that share a key only the least keeps it; the
-    others share a key made of both, so a hot key reaches its task once a batch."""
-    for batch in batches:
-        lists = batch.column(1)
-        counts = lists.value_lengths().to_numpy(zero_copy_only=False)
-        node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), counts)
-        key = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        fresh = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, bool)
-        heads = np.flatnonzero(fresh)
-        of = np.cumsum(fresh) - 1
-        least = node[heads][of]
-        shared = mix(key + U(0x1D8E4E27C47D124F)) ^ mix(least.view(np.uint64))
-        many = np.bincount(of, minlength=len(heads))[of] > 1 if len(key) else fresh
-        out_key = np.concatenate([key[heads], shared[many]])
-        out_node = np.concatenate([node[heads], node[many]])
-        for at in range(0, len(out_key), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(signed(out_key[at : at + 200_000])), pa.array(out_node[at : at + 200_000])], ["key", "node"])
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, h1 long, h2 long, bitmap binary")
+
+
+def block_rows(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, lower: bool) -> DataFrame:
+    """(key, node) rows of every text with an id. Of the nodes of a batch that share a key only the least keeps
+    it; all of them share another made of key and least, so a hot key reaches its task once a batch."""
+    parts = in_parts(num, den)
+    frequent = docs.sparkSession.sparkContext.broadcast(np.empty(0, np.uint64) if parts else frequent_shingles(docs, id_col, text_col, k, lower))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys, nodes = batch.column(0).to_numpy(zero_copy_only=False), [], []
+            for w in words_of(batch.column(1), lower):
+                for i, tokens in enumerate(w.shingle_sets(k), w.lo):
+                    keys.append(part_keys(tokens, num, den) if parts else prefix_keys(tokens, num, den, frequent.value))
+                    nodes.append(np.full(len(keys[-1]), ids[i], np.int64))
+                if sum(map(len, keys)) > 1_500_000:
+                    yield from _combined(np.concatenate(keys), np.concatenate(nodes))
+                    keys, nodes = [], []
+            if keys:
+                yield from _combined(np.concatenate(keys), np.concatenate(nodes))
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL").mapInArrow(run, "key long, node long")
+
+
+def _combined(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    fresh = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, bool)
+    heads = np.flatnonzero(fresh)
+    of = np.cumsum(fresh) - 1
+    least = node[heads][of]
+    shared = mix(key + U(0x1D8E4E27C47D124F)) ^ mix(least.view(np.uint64))
+    many = np.bincount(of, minlength=len(heads))[of] > 1 if len(key) else fresh
+    key, node = np.concatenate([key[heads], shared[many]]), np.concatenate([node[heads], node[many]])
+    for at in range(0, len(key), 200_000):
+        yield pa.RecordBatch.from_arrays([pa.array(signed(key[at : at + 200_000])), pa.array(node[at : at + 200_000])], ["key", "node"])
 
 
 def _member_sets(k: int, lower: bool):
@@ -118,26 +175,20 @@ def _member_sets(k: int, lower: bool):
             for w in words_of(batch.column(0), lower):
                 packed = [s.tobytes() for s in w.shingle_sets(k)]
                 rest = [batch.column(i).slice(w.lo, w.hi - w.lo) for i in range(1, batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(packed, pa.binary())], [*batch.schema.names[1:], "tokens"])
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(packed, pa.binary())], [*batch.schema.names[1:], "value"])
 
     return run
 
 
 class SignatureTree:
-    """Sets ordered by size and leading tokens, in leaves of LEAF under nodes of FAN children."""
-
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        self.sets = sets
-        n = len(sets)
-        self.size = np.array([len(s) for s in sets], np.int64)
-        bitmap = np.zeros((n, bits), bool)
-        for i, s in enumerate(sets):
-            bitmap[i, (s & U(bits - 1)).astype(np.int64)] = True
-        self.bitmap = np.packbits(bitmap, axis=1, bitorder="little").view(np.uint64)
-        slack = self.size - bitmap.sum(axis=1)
-        #: levels[0] are the leaves: (first set, last set + 1), OR bitmap, sizes, collisions.
+    """Bitmaps and sizes in the order given, in leaves of LEAF under nodes of FAN children."""
+
+    def __init__(self, size: np.ndarray, bitmap: np.ndarray):
+        self.size, self.bitmap, n = size, bitmap, len(size)
+        #: Tokens of each set beyond its bits: as many can overlap without a bit of their own.
+        self.slack = size - np.bitwise_count(bitmap).sum(axis=1).astype(np.int64)
         spans = [(a, min(a + LEAF, n)) for a in range(0, n, LEAF)]
-        self.levels = [(spans, *self._fold(spans, self.bitmap, self.size, self.size, slack))]
+        self.levels = [(spans, *self._fold(spans, bitmap, size, size, self.slack))]
         while len(self.levels[-1][0]) > 1:
             below, orb, lo, hi, sl = self.levels[-1]
             groups = [(a, min(a + FAN, len(below))) for a in range(0, len(below), FAN)]
@@ -156,18 +207,22 @@ class SignatureTree:
         return range(i * FAN, min(i * FAN + FAN, len(self.levels[level - 1][0])))
 
 
-def tree_links(sets: list[np.ndarray], ids: np.ndarray, num: int, den: int, label: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect what Jaccard >= num/den connects, by a dual traversal of one tree.
+def bitmaps_of(packed: list[bytes]) -> np.ndarray:
+    """Signatures as rows of words, the larger ones folded to the smallest size among them."""
+    width = min(map(len, packed))
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(p, np.uint64).reshape(-1, width // 8), axis=0) for p in packed])
+
+
+def tree_links(size: np.ndarray, packed: list[bytes], ids: np.ndarray, num: int, den: int, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Links whose components are those of all pairs with Jaccard >= num/den, by a dual traversal of one tree.
 
-    label holds each set's component within this call and is updated; pairs inside one
-    component are not compared again.
+    Without the sets, components of the pairs that the bitmaps leave possible. Pairs of
+    one component are not compared again.
     """
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), *sets[i][:2].tolist()))
-    sets, ids, label = [sets[i] for i in order], ids[order], label[order]
-    bits = 1 << min(16, max(10, int(8 * max(map(len, sets), default=1)).bit_length()))
-    tree, links = SignatureTree(sets, bits), []
-    top = len(tree.levels) - 1
-    stack = [(top, 0, 0)]
+    order = sorted(range(len(size)), key=lambda i: (size[i], packed[i][:8]))
+    size, ids, sets = size[order], ids[order], sets and [sets[i] for i in order]
+    tree, links, label = SignatureTree(size, bitmaps_of([packed[i] for i in order])), [], np.arange(len(size))
+    stack = [(len(tree.levels) - 1, 0, 0)]
     while stack:
         level, i, j = stack.pop()
         spans, orb, lo, hi, sl = tree.levels[level]
@@ -188,38 +243,77 @@ def tree_links(sets: list[np.ndarray], ids: np.ndarray, num: int, den: int, labe
             continue
         for x in range(a, b):
             ys = np.arange(max(c, x + 1), d)
-            while len(ys := ys[(ys > x) & (label[ys] != label[x])]):
-                most = np.bitwise_count(tree.bitmap[ys] & tree.bitmap[x]).sum(axis=1).astype(np.int64)
-                slack = tree.size[ys] - np.bitwise_count(tree.bitmap[ys]).sum(axis=1).astype(np.int64)
-                total = tree.size[ys] + tree.size[x]
-                ys = ys[(most + slack) * (num + den) >= num * total]
-                if not len(ys):
-                    break
-                y, ys = int(ys[0]), ys[1:]
-                shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if den * shared >= num * (len(sets[x]) + len(sets[y]) - shared):
-                    links.append((int(ids[x]), int(ids[y])))
-                    label[label == label[y]] = label[x]
+            most = np.bitwise_count(tree.bitmap[ys] & tree.bitmap[x]).sum(axis=1).astype(np.int64) + np.minimum(tree.slack[ys], tree.slack[x])
+            ys = ys[(most * (num + den) >= num * (size[ys] + size[x])) & (den * np.minimum(size[ys], size[x]) >= num * np.maximum(size[ys], size[x]))]
+            for y in ys.tolist():
+                if label[y] == label[x]:
+                    continue
+                if sets is not None:
+                    shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if den * shared < num * (len(sets[x]) + len(sets[y]) - shared):
+                        continue
+                links.append((int(ids[x]), int(ids[y])))
+                label[label == label[y]] = label[x]
     return links
 
 
-def _links_of_group(num: int, den: int):
+def _classes(size: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows of each signature size with those of the next larger one: no link spans more."""
+    bits = np.array([signature_bits(int(n)).bit_length() for n in size])
+    for b in np.unique(bits):
+        yield np.flatnonzero((bits == b) | (bits == b + 1))
+
+
+def _links_of_group(num: int, den: int, exact: bool):
     def run(table: pa.Table) -> pa.Table:
-        cluster = table.column("cluster").to_numpy()
-        node = table.column("node").to_numpy()
-        tokens = table.column("tokens").to_pylist()
-        order = np.lexsort((node, cluster))
-        cuts = np.flatnonzero(np.concatenate([[True], np.diff(cluster[order]) != 0, [True]]))
+        tree, node = table.column("tree").to_numpy(), table.column("node").to_numpy()
+        value = table.column("value").to_pylist()
+        order = np.lexsort((node, tree))
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(tree[order]) != 0, [True]]))
         links = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             rows = order[a:b]
-            sets = [np.frombuffer(tokens[r], np.uint64) for r in rows]
-            links += tree_links(sets, node[rows], num, den, np.arange(len(rows)))
+            if exact:
+                sets = [np.frombuffer(value[r], np.uint64) for r in rows]
+                size, packed = np.array([len(s) for s in sets], np.int64), [signature(s) for s in sets]
+            else:
+                sets, packed = None, [value[r] for r in rows]
+                size = table.column("n_shingles").to_numpy()[rows]
+            for c in _classes(size):
+                links += tree_links(size[c], [packed[i] for i in c], node[rows][c], num, den, sets and [sets[i] for i in c])
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return run
 
 
+def _small(places: DataFrame) -> DataFrame:
+    """places, for a broadcast while it has few rows, so that texts need not move; beyond that joins shuffle both sides."""
+    return F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
+
+
+def _places(components: DataFrame, of_node: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, places) of the nodes of (node, component): the trees that a node stands in, and their tasks.
+
+    Small clusters are trees, many of them to a task. Larger ones are cut into overlapping
+    ranges of size, so wide that two sizes which allow a link share one; ranges that are
+    still large are cut into chunks, and every pair of chunks is a tree. Ids that only
+    repeat another's set are left out.
+    """
+    clusters = components.withColumnRenamed("component", "cluster").join(of_node, "node")
+    placed = checkpointed(clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("members")), "cluster").where("members > 1"))
+    bins = max(1, placed.count() // 512)
+    small = placed.where(F.col("members") <= CHUNK).select("node", F.col("cluster").alias("tree"))
+    step = F.log(F.lit(den / num)) + 1e-9
+    low, high = F.floor(F.log("least") / step).cast("int"), F.floor(F.log("most") / step).cast("int")
+    ranges = placed.where(F.col("members") > CHUNK).select("node", F.explode(F.sequence(low - 1, high)).alias("range"), "cluster")
+    counted = ranges.join(ranges.groupBy("cluster", "range").agg(F.count("*").alias("members")), ["cluster", "range"])
+    chunks = F.ceil(F.col("members") / F.lit(CHUNK)).cast("int")
+    paired = counted.withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("node"), chunks).cast("int"), "other": F.explode(F.sequence(F.lit(0), chunks - 1))})
+    large = paired.select("node", F.xxhash64("cluster", "range", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tree"))
+    dealt = small.unionByName(large).select("node", F.struct(F.pmod(F.xxhash64("tree"), F.lit(bins)).cast("long").alias("bin"), "tree").alias("place"))
+    return checkpointed(dealt.groupBy("node").agg(F.collect_list("place").alias("places")))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (4, 5), lower: bool = True) -> DataFrame:
     """(id, n_shingles, component_id): components of texts whose shingle sets have Jaccard >= threshold.
 
@@ -231,29 +325,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are read, so other columns cannot clash. An empty table gives no rows.
     """
     num, den = threshold
-    index = written(shingle_index(docs, id_col, text_col, k, num, den, lower), "shingles")
-    nodes = index.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("id").alias("node"))
-    rep_keys = index.where("size(keys) > 0").join(nodes.where("node IS NOT NULL").withColumnsRenamed({"h1": "n1", "h2": "n2"}), (F.col("id") == F.col("node")) & (F.col("h1") == F.col("n1")) & (F.col("h2") == F.col("n2")), "left_semi")
-    rows = rep_keys.select("id", "keys").mapInArrow(_block_rows, "key long, node long")
+    index = written(shingle_index(docs, id_col, text_col, k, lower), "shingles")
+    nodes = index.where("n_shingles > 0 AND id IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n_shingles"))
+    of_node = nodes.groupBy("node").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
     least = F.min("node").over(Window.partitionBy("key"))
-    candidates = rows.select("node", least.alias("least")).where("node <> least").distinct()
-    clusters = connected_components(candidates, "node", "least").withColumnRenamed("component", "cluster")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
-    placed = checkpointed(clusters.join(sizes, "cluster"))
-    bins = max(1, placed.count() // 512)
-    chunks = F.ceil(F.col("members") / F.lit(CHUNK)).cast("int")
-    chunk = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), chunks - 1))
-    dealt = placed.withColumns({"chunk": chunk, "other": other}).select(
-        F.col("node"),
-        "cluster",
-        F.when(F.col("members") > CHUNK, F.xxhash64("cluster", F.least("chunk", "other"), F.greatest("chunk", "other"))).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("long")).alias("bin"),
-    )
-    places = dealt.groupBy("node", "cluster").agg(F.collect_list("bin").alias("bins"))
-    texts = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("node")).where("node IS NOT NULL")
-    sets = texts.join(places, "node").select("text", "node", "cluster", "bins").mapInArrow(_member_sets(k, lower), "node long, cluster long, bins array<long>, tokens binary")
-    grouped = sets.select("node", "cluster", "tokens", F.explode("bins").alias("bin")).groupBy("bin")
-    links = grouped.applyInArrow(_links_of_group(num, den), "a long, b long")
-    components = connected_components(links)
-    found = nodes.join(components, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
-    return index.drop("keys").join(found, ["h1", "h2"], "left").select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+    candidates = block_rows(docs, id_col, text_col, k, num, den, lower).select("node", least.alias("first")).where("node <> first").distinct()
+    places = _places(connected_components(candidates, "node", "first"), of_node, num, den)
+    signatures = index.where("n_shingles > 0").select(F.col("id").alias("node"), "n_shingles", F.col("bitmap").alias("value")).join(_small(places), "node")
+    possible = signatures.select("node", "n_shingles", "value", F.inline("places")).groupBy("bin").applyInArrow(_links_of_group(num, den, False), "a long, b long")
+    places = _places(connected_components(possible), of_node, num, den)
+    texts = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("node"))
+    sets = texts.join(_small(places), "node").select("text", "node", "places").mapInArrow(_member_sets(k, lower), "node long, places array<struct<bin: long, tree: long>>, value binary")
+    links = sets.select("node", "value", F.inline("places")).groupBy("bin").applyInArrow(_links_of_group(num, den, True), "a long, b long")
+    found = nodes.join(connected_components(links), "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
+    return index.drop("bitmap").join(found, ["h1", "h2"], "left").select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from meridia.llm._shared import written
 
-WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 ENDS = ".!?"
 WINDOW = 8
@@ -49,14 +48,20 @@ def _covered(hashes: Column) -> Column:
 
 def _of_words(words: Column) -> Column:
     n = F.size(words)
-    hashes = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW))))
+    hashes = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(WINDOW)]))
     return F.struct(
         n.cast("long").alias("n_words"),
         F.size(F.array_distinct(words)).cast("long").alias("n_distinct_words"),
         F.when(n >= WINDOW, _let(hashes, _covered)).otherwise(0).cast("long").alias("n_repeat_words"),
+        F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
     )
 
 
+def _of_marks(marks: Column) -> Column:
+    count = lambda chars: (F.char_length(marks) - F.char_length(F.translate(marks, chars, ""))).cast("long")
+    return F.struct(count(SYMBOLS).alias("n_symbols"), count(ENDS).alias("n_ends"))
+
+
 def _of_lines(lines: Column) -> Column:
     full = F.filter(lines, lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     return _let(full, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
@@ -72,16 +77,14 @@ def text_statistics(docs: DataFrame, carry: dict[str, Column], text_col: str = "
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+", -1), "")
-    without = lambda chars: F.char_length(F.translate(text, chars, ""))
+    marks = F.regexp_replace(text, r"[^#*$%&|<>.!?]+", "")
     rows = docs.select(
         *[c.alias(n) for n, c in carry.items()],
         _let(words, _of_words).alias("of_words"),
         _let(F.split(text, "\n", -1), _of_lines).alias("of_lines"),
-        without(WHITE).cast("long").alias("word_chars"),
-        (F.char_length(text) - without(SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.char_length(text) - without(ENDS)).cast("long").alias("n_ends"),
+        _let(marks, _of_marks).alias("of_marks"),
     )
-    return rows.select(*carry, "of_words.*", "of_lines.*", "word_chars", "n_symbols", "n_ends")
+    return rows.select(*carry, "of_words.*", "of_lines.*", "of_marks.*")
 
 
 def features() -> dict[str, Column]:

@@ -62,7 +62,8 @@ def test_keys_lose_no_link():
         shared = len(np.intersect1d(a, b))
         if len(a) != len(b) or shared < len(a):
             if 5 * shared >= 4 * (len(a) + len(b) - shared):
-                assert len(np.intersect1d(jaccard_join.block_keys(a, 4, 5, frequent), jaccard_join.block_keys(b, 4, 5, frequent)))
+                assert len(np.intersect1d(jaccard_join.prefix_keys(a, 4, 5, frequent), jaccard_join.prefix_keys(b, 4, 5, frequent)))
+                assert len(np.intersect1d(jaccard_join.part_keys(a, 4, 5), jaccard_join.part_keys(b, 4, 5)))
 
 
 def test_tree_links_connect_what_pairs_connect():
@@ -90,7 +91,11 @@ def test_tree_links_connect_what_pairs_connect():
 
     force = [(i, j) for i in range(len(sets)) for j in range(i) if 10 * len(np.intersect1d(sets[i], sets[j])) >= 9 * len(np.union1d(sets[i], sets[j]))]
     assert force
-    assert roots(jaccard_join.tree_links(sets, ids, 9, 10, np.arange(len(sets)))) == roots(force)
+    size, packed = np.array([len(s) for s in sets]), [jaccard_join.signature(s) for s in sets]
+    found = [links for c in jaccard_join._classes(size) for links in jaccard_join.tree_links(size[c], [packed[i] for i in c], ids[c], 9, 10, [sets[i] for i in c])]
+    assert roots(found) == roots(force)
+    possible = [links for c in jaccard_join._classes(size) for links in jaccard_join.tree_links(size[c], [packed[i] for i in c], ids[c], 9, 10)]
+    assert all(roots(possible)[a] == roots(possible)[b] for a, b in force)
 
 
 def test_large_clusters_are_cut_without_loss(docs, corpus, monkeypatch):
