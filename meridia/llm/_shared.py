@@ -46,3 +46,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df.checkpoint() into the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def release(spark: SparkSession) -> None:
+    """Has the driver look for tables that nothing refers to any more: Spark then deletes their shuffle files and checkpoints.
+
+    Loops call it once a round; else the files of all rounds stay on disk until the driver's memory fills.
+    """
+    spark.sparkContext._jvm.System.gc()
