@@ -6,7 +6,9 @@ two linked sets always share one. In each cluster a signature tree (OR-combined
 bitmaps, size ranges) is traversed against itself: node pairs whose largest possible
 overlap cannot reach the threshold are pruned, as are pairs already in one component.
 The first traversal, over bitmaps alone, leaves the pairs that may be linked; their
-components are traversed again with the exact sets, which decide.
+components are traversed again with the exact sets, which decide. Where the links
+themselves are wanted, that second pass skips no pair: it verifies all that sizes and
+bitmaps leave, and counts or returns them.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.llm._shared import checkpointed, written
@@ -103,6 +105,13 @@ def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, k: int, lower
     return np.sort(top.to_numpy(np.int64).view(np.uint64))
 
 
+def identity(tokens: np.ndarray) -> tuple[int, int]:
+    """The 128-bit identity of a set, as two signed numbers."""
+    with np.errstate(over="ignore"):
+        sums = np.array([mix(tokens).sum(dtype=np.uint64), mix(tokens ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64)], np.uint64)
+    return tuple(signed(sums).tolist())
+
+
 def signature(tokens: np.ndarray) -> bytes:
     """A bitmap of 4 to 8 bits a token: bit token mod its size, which is a power of 2."""
     bits = np.zeros(signature_bits(len(tokens)), bool)
@@ -286,6 +295,116 @@ def _links_of_group(num: int, den: int, exact: bool):
     return run
 
 
+def tree_pairs(size: np.ndarray, packed: list[bytes], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (x, y) of rows that sizes and bitmaps leave possible, by a dual traversal of one tree without any other skip."""
+    order = np.array(sorted(range(len(size)), key=lambda i: (size[i], packed[i][:8])))
+    size = size[order]
+    tree, xs, ys = SignatureTree(size, bitmaps_of([packed[i] for i in order])), [], []
+    stack = [(len(tree.levels) - 1, 0, 0)]
+    while stack:
+        level, i, j = stack.pop()
+        spans, orb, lo, hi, sl = tree.levels[level]
+        if i != j:
+            small, need = min(hi[i], hi[j]), -(-num * (lo[i] + lo[j]) // (num + den))
+            if den * small < num * max(lo[i], lo[j]):
+                continue
+            if int(np.bitwise_count(orb[i] & orb[j]).sum()) + min(sl[i], sl[j]) < need:
+                continue
+        if level:
+            stack += [(level - 1, x, y) for x in tree.children(level, i) for y in tree.children(level, j) if i != j or x <= y]
+            continue
+        (a, b), (c, d) = spans[i], spans[j]
+        shared = np.bitwise_count(tree.bitmap[a:b, None] & tree.bitmap[None, c:d]).sum(axis=2).astype(np.int64) + np.minimum(tree.slack[a:b, None], tree.slack[None, c:d])
+        m, n = size[a:b, None], size[None, c:d]
+        fits = (shared * (num + den) >= num * (m + n)) & (den * np.minimum(m, n) >= num * np.maximum(m, n))
+        x, y = np.nonzero(np.triu(fits, 1) if i == j else fits)
+        xs.append(order[x + a])
+        ys.append(order[y + c])
+    return (np.concatenate(xs), np.concatenate(ys)) if xs else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def linked_pairs(xs: np.ndarray, ys: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(x, linked ys) for each x of the pairs: those whose exact Jaccard is >= num/den."""
+    size = np.array([len(v) for v in sets], np.int64)
+    start = np.concatenate([[0], np.cumsum(size)])
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1) if sets else np.empty(0, np.int64)
+    marked = np.zeros(int(token.max()) + 1 if len(token) else 0, bool)
+    order = np.argsort(xs, kind="stable")
+    xs, ys = xs[order], ys[order]
+    for part in np.split(np.arange(len(xs)), np.flatnonzero(np.diff(xs)) + 1):
+        if not len(part):
+            continue
+        x, other = int(xs[part[0]]), ys[part]
+        mine = token[start[x] : start[x + 1]]
+        marked[mine] = True
+        heads = np.cumsum(size[other]) - size[other]
+        at = np.arange(int(size[other].sum())) - np.repeat(heads - start[other], size[other])
+        shared = np.add.reduceat(marked[token[at]].astype(np.int64), heads)
+        marked[mine] = False
+        yield x, other[den * shared >= num * (size[x] + size[other] - shared)]
+
+
+_PLACE = "struct<bin: long, tree: long, range: int, least: int, chunk: int, own: boolean>"
+_CLASSES = "array<struct<h1: long, h2: long, copies: long>>"
+_LINKS = "a long, b long, a1 long, a2 long, b1 long, b2 long, n long"
+
+
+def _verified_pairs(num: int, den: int, listed: bool):
+    """Exact links of the trees of one task, each counted in one tree only.
+
+    Rows with b link the nodes a and b, as many as connect what is linked. Rows without b
+    say that the class (a1, a2) has n linked documents in other classes, or, if listed,
+    that it is linked with the class (b1, b2).
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        tree, node = table.column("tree").to_numpy(), table.column("node").to_numpy()
+        ranges, least, chunk = (table.column(c).to_numpy() for c in ("range", "least", "chunk"))
+        own = table.column("own").to_numpy(zero_copy_only=False)
+        value, classes = table.column("value").to_pylist(), table.column("classes").to_pylist()
+        order = np.argsort(tree, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(tree[order]) != 0, [True]]))
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            rows, sets, ids, copies, seen = [], [], [], [], set()
+            for r in order[a:b].tolist():
+                tokens = np.frombuffer(value[r], np.uint64)
+                key = identity(tokens)
+                of = {(c["h1"], c["h2"]): c["copies"] for c in classes[r]}
+                if key in of and key not in seen:  # the row stands for its class, and has not come before
+                    seen.add(key)
+                    rows.append(r), sets.append(tokens), ids.append(key), copies.append(of[key])
+            if len(rows) < 2:
+                continue
+            rows, copies = np.array(rows), np.array(copies, np.int64)
+            size, packed = np.array([len(v) for v in sets], np.int64), [signature(v) for v in sets]
+            bits = np.array([signature_bits(int(n)).bit_length() for n in size])
+            linked, label = np.zeros(len(rows), np.int64), np.arange(len(rows))
+            for low in np.unique(bits):
+                c = np.flatnonzero((bits == low) | (bits == low + 1))
+                xs, ys = tree_pairs(size[c], [packed[i] for i in c], num, den)
+                xs, ys = c[xs], c[ys]
+                here = np.minimum(bits[xs], bits[ys]) == low  # the others come with the next size of signatures
+                for x, other in linked_pairs(xs[here], ys[here], sets, num, den):
+                    for y in other[label[other] != label[x]].tolist():
+                        if label[y] != label[x]:
+                            out.append((int(node[rows[x]]), int(node[rows[y]]), None, None, None, None, None))
+                            label[label == label[y]] = label[x]
+                    # A pair that shares two ranges counts in the first, one of a single chunk in the chunk's own tree.
+                    r, o = rows[x], rows[other]
+                    counted = other[(ranges[r] == np.maximum(least[r], least[o])) & ((chunk[r] != chunk[o]) | own[r])]
+                    if listed:
+                        out += [(None, None, *ids[x], *ids[y], 1) for y in counted.tolist()]
+                    else:
+                        linked[x] += copies[counted].sum()
+                        linked[counted] += copies[x]
+            out += [(None, None, *ids[x], None, None, int(linked[x])) for x in np.flatnonzero(linked)]
+        names = ("a", "b", "a1", "a2", "b1", "b2", "n")
+        return pa.table({c: pa.array([row[i] for row in out], pa.int64()) for i, c in enumerate(names)})
+
+    return run
+
+
 def _small(places: DataFrame) -> DataFrame:
     """places, for a broadcast while it has few rows, so that texts need not move; beyond that joins shuffle both sides."""
     return F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
@@ -297,23 +416,58 @@ def _places(components: DataFrame, of_node: DataFrame, num: int, den: int) -> Da
     Small clusters are trees, many of them to a task. Larger ones are cut into overlapping
     ranges of size, so wide that two sizes which allow a link share one; ranges that are
     still large are cut into chunks, and every pair of chunks is a tree. Ids that only
-    repeat another's set are left out.
+    repeat another's set are left out. A place tells the tree's range and the first range
+    of the node, the node's chunk, and whether the tree is the chunk's own, so that a pair
+    in several trees can be counted in one.
     """
     clusters = components.withColumnRenamed("component", "cluster").join(of_node, "node")
     placed = checkpointed(clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("members")), "cluster").where("members > 1"))
     bins = max(1, placed.count() // 512)
-    small = placed.where(F.col("members") <= CHUNK).select("node", F.col("cluster").alias("tree"))
+    small = placed.where(F.col("members") <= CHUNK).select("node", F.col("cluster").alias("tree"), *[F.lit(0).alias(c) for c in ("range", "least", "chunk")], F.lit(True).alias("own"))
     step = F.log(F.lit(den / num)) + 1e-9
     low, high = F.floor(F.log("least") / step).cast("int"), F.floor(F.log("most") / step).cast("int")
-    ranges = placed.where(F.col("members") > CHUNK).select("node", F.explode(F.sequence(low - 1, high)).alias("range"), "cluster")
+    ranges = placed.where(F.col("members") > CHUNK).select("node", F.explode(F.sequence(low - 1, high)).alias("range"), (low - 1).alias("first"), "cluster")
     counted = ranges.join(ranges.groupBy("cluster", "range").agg(F.count("*").alias("members")), ["cluster", "range"])
     chunks = F.ceil(F.col("members") / F.lit(CHUNK)).cast("int")
     paired = counted.withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("node"), chunks).cast("int"), "other": F.explode(F.sequence(F.lit(0), chunks - 1))})
-    large = paired.select("node", F.xxhash64("cluster", "range", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tree"))
-    dealt = small.unionByName(large).select("node", F.struct(F.pmod(F.xxhash64("tree"), F.lit(bins)).cast("long").alias("bin"), "tree").alias("place"))
+    large = paired.select("node", F.xxhash64("cluster", "range", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tree"), "range", F.col("first").alias("least"), "chunk", (F.col("chunk") == F.col("other")).alias("own"))
+    dealt = small.unionByName(large).select("node", F.struct(F.pmod(F.xxhash64("tree"), F.lit(bins)).cast("long").alias("bin"), "tree", "range", "least", "chunk", "own").alias("place"))
     return checkpointed(dealt.groupBy("node").agg(F.collect_list("place").alias("places")))
 
 
+def _possible(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, lower: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(index, classes, places): the shingle index, the classes of equal sets that have an id, and the trees of the exact pass."""
+    index = written(shingle_index(docs, id_col, text_col, k, lower), "shingles")
+    nodes = index.where("n_shingles > 0 AND id IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
+    of_node = nodes.groupBy("node").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    least = F.min("node").over(Window.partitionBy("key"))
+    candidates = block_rows(docs, id_col, text_col, k, num, den, lower).select("node", least.alias("first")).where("node <> first").distinct()
+    places = _places(connected_components(candidates, "node", "first"), of_node, num, den)
+    signatures = index.where("n_shingles > 0").select(F.col("id").alias("node"), "n_shingles", F.col("bitmap").alias("value")).join(_small(places), "node")
+    possible = signatures.select("node", "n_shingles", "value", F.inline("places")).groupBy("bin").applyInArrow(_links_of_group(num, den, False), "a long, b long")
+    return index, nodes, _places(connected_components(possible), of_node, num, den)
+
+
+def _with_components(index: DataFrame, nodes: DataFrame, links: DataFrame, n_links: Column | None = None) -> DataFrame:
+    """The rows of index with the component of their class, and with n_links, a column of nodes, as links if given."""
+    more = [] if n_links is None else [n_links.alias("links")]
+    found = nodes.join(connected_components(links), "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"), *more)
+    return index.drop("bitmap").join(found, ["h1", "h2"], "left")
+
+
+def _component() -> Column:
+    return F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id")
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, places: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, lower: bool, listed: bool) -> DataFrame:
+    """The rows of _verified_pairs for all trees."""
+    classes = nodes.groupBy("node").agg(F.collect_list(F.struct("h1", "h2", "copies")).alias("classes"))
+    placed = checkpointed(places.join(classes, "node"))
+    texts = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("node"))
+    sets = texts.join(_small(placed), "node").select("text", "node", "places", "classes").mapInArrow(_member_sets(k, lower), f"node long, places array<{_PLACE}>, classes {_CLASSES}, value binary")
+    return written(sets.select("node", "value", "classes", F.inline("places")).groupBy("bin").applyInArrow(_verified_pairs(num, den, listed), _LINKS), "links")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (4, 5), lower: bool = True) -> DataFrame:
     """(id, n_shingles, component_id): components of texts whose shingle sets have Jaccard >= threshold.
 
@@ -325,17 +479,39 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are read, so other columns cannot clash. An empty table gives no rows.
     """
     num, den = threshold
-    index = written(shingle_index(docs, id_col, text_col, k, lower), "shingles")
-    nodes = index.where("n_shingles > 0 AND id IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n_shingles"))
-    of_node = nodes.groupBy("node").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    least = F.min("node").over(Window.partitionBy("key"))
-    candidates = block_rows(docs, id_col, text_col, k, num, den, lower).select("node", least.alias("first")).where("node <> first").distinct()
-    places = _places(connected_components(candidates, "node", "first"), of_node, num, den)
-    signatures = index.where("n_shingles > 0").select(F.col("id").alias("node"), "n_shingles", F.col("bitmap").alias("value")).join(_small(places), "node")
-    possible = signatures.select("node", "n_shingles", "value", F.inline("places")).groupBy("bin").applyInArrow(_links_of_group(num, den, False), "a long, b long")
-    places = _places(connected_components(possible), of_node, num, den)
+    index, nodes, places = _possible(docs, id_col, text_col, k, num, den, lower)
     texts = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("node"))
-    sets = texts.join(_small(places), "node").select("text", "node", "places").mapInArrow(_member_sets(k, lower), "node long, places array<struct<bin: long, tree: long>>, value binary")
+    sets = texts.join(_small(places), "node").select("text", "node", "places").mapInArrow(_member_sets(k, lower), f"node long, places array<{_PLACE}>, value binary")
     links = sets.select("node", "value", F.inline("places")).groupBy("bin").applyInArrow(_links_of_group(num, den, True), "a long, b long")
-    found = nodes.join(connected_components(links), "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
-    return index.drop("bitmap").join(found, ["h1", "h2"], "left").select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+    return _with_components(index, nodes, links).select(F.col("id").alias(id_col), "n_shingles", _component())
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (4, 5), lower: bool = True) -> DataFrame:
+    """(id, n_shingles, component_id, n_links): jaccard_components with the number of other rows that each row is linked with.
+
+    A link is a pair of rows with ids whose sets have Jaccard >= threshold, equal sets
+    included. Every pair that sizes and bitmaps leave is verified, and counted once. Rows
+    without shingles have 0 links; rows without an id have null, and count for no other.
+    """
+    num, den = threshold
+    index, nodes, places = _possible(docs, id_col, text_col, k, num, den, lower)
+    found = _verified(docs, nodes, places, id_col, text_col, k, num, den, lower, False)
+    counts = found.where("n IS NOT NULL").groupBy(F.col("a1").alias("h1"), F.col("a2").alias("h2")).agg(F.sum("n").alias("n"))
+    rows = _with_components(index, nodes.join(counts, ["h1", "h2"], "left"), found.where("b IS NOT NULL").select("a", "b"), F.coalesce("n", F.lit(0)) + F.col("copies") - 1)
+    n_links = F.when(F.col("id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("links")).otherwise(F.lit(0)).cast("long"))
+    return rows.select(F.col("id").alias(id_col), "n_shingles", _component(), n_links.alias("n_links"))
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (4, 5), lower: bool = True) -> DataFrame:
+    """(a, b, a_copies, b_copies), a < b: the linked pairs of classes of equal sets, each by its smallest id and its number of rows.
+
+    All links of rows are these times the copies, and the pairs within each class. Its
+    rows are as many as the links, which can grow with the square of a group of near copies.
+    """
+    num, den = threshold
+    _, nodes, places = _possible(docs, id_col, text_col, k, num, den, lower)
+    found = _verified(docs, nodes, places, id_col, text_col, k, num, den, lower, True).where("n IS NOT NULL")
+    end = lambda c: nodes.select(F.col("h1").alias(f"{c}1"), F.col("h2").alias(f"{c}2"), F.struct(F.col("node"), F.col("copies")).alias(c))
+    pairs = found.select("a1", "a2", "b1", "b2").join(end("a"), ["a1", "a2"]).join(end("b"), ["b1", "b2"])
+    pairs = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.copies").alias("a_copies"), F.col("y.copies").alias("b_copies"))

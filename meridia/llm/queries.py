@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), k=3, threshold=(90, 100))
+    return jaccard_join.jaccard_join(_table(spark, sf_dir, "documents"), k=3, threshold=(90, 100))
 
 
 def _joined(spans: Column) -> Column:

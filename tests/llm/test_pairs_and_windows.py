@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -104,6 +105,53 @@ def test_large_clusters_are_cut_without_loss(docs, corpus, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components_by_force([(i, t) for i, t, *_ in corpus], 3, 90, 100)
 
 
+def links_by_force(rows, k, num, den):
+    """Linked pairs of positions in rows."""
+    sets = [shingle_set(t, k) for _, t in rows]
+    return {(x, y) for x in range(len(rows)) for y in range(x) if sets[x] and sets[y] and den * len(sets[x] & sets[y]) >= num * len(sets[x] | sets[y])}
+
+
+@pytest.fixture
+def near_copies(spark, corpus):
+    """The corpus, a group of near copies, one id with two texts, and a repeated row."""
+    base = prose(random.Random(12), 150).split()
+    near = [(500 + i, " ".join([*base[:i], "other", *base[i + 1 :]])) for i in range(0, 150, 9)]
+    rows = [*[(i, t) for i, t, *_ in corpus], *near, (500, near[3][1]), (500, near[4][1] + " end"), near[5]]
+    return rows, spark.createDataFrame([*rows, (None, near[0][1])], "doc_id long, text string").repartition(3)
+
+
+@pytest.mark.parametrize("chunk", [1024, 3])
+def test_every_link_is_counted_once(near_copies, chunk, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
+    rows, df = near_copies
+    links = links_by_force(rows, 3, 90, 100)
+    n = Counter(x for pair in links for x in pair)
+    expected = sorted((i, n[x]) for x, (i, _) in enumerate(rows))
+    got = jaccard_join.jaccard_join(df, k=3, threshold=(90, 100)).collect()
+    assert sorted((r.doc_id, r.n_links) for r in got if r.doc_id is not None) == expected
+    assert [r.n_links for r in got if r.doc_id is None] == [None]
+    same = {tuple(r) for r in jaccard_join.jaccard_components(df, k=3, threshold=(90, 100)).collect()}
+    assert {tuple(r)[:3] for r in got} == same
+
+
+def test_listed_links_equal_brute_force(near_copies, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CHUNK", 3)
+    rows, df = near_copies
+    first = {}
+    for i, t in rows:
+        s = frozenset(shingle_set(t, 3))
+        first[s] = min(i, first.get(s, i))
+    copies = Counter(frozenset(shingle_set(t, 3)) for _, t in rows)
+    expected = set()
+    for x, y in links_by_force(rows, 3, 90, 100):
+        s, t = (frozenset(shingle_set(rows[i][1], 3)) for i in (x, y))
+        if s != t:
+            (a, m), (b, n) = sorted([(first[s], copies[s]), (first[t], copies[t])])
+            expected.add((a, b, m, n))
+    got = [tuple(r) for r in jaccard_join.jaccard_links(df, k=3, threshold=(90, 100)).collect()]
+    assert len(got) > 100 and set(got) == expected
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(10, 40)] + [(100, 200), (200, 300), (300, 100), (7, 7), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
