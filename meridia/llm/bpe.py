@@ -2,7 +2,7 @@
 
 The vocabulary's byte strings, mapped byte by byte to Latin-1, form an Aho-Corasick
 automaton that gives the longest token at a place. The encoder takes the longest match
-and goes back to the next shorter one whenever the last two tokens could not stand side
+and, where it must, goes back to the next shorter one whenever the last two tokens could not stand side
 by side in any BPE output; whether two tokens can is found once by undoing their merges
 and remembered. What comes out is the sequence that the merges in order of rank give.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -20,11 +21,29 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces and token pairs that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 120_000
+#: Bytes of a generation of what a worker remembers of pieces, and of token pairs; there are two generations of each.
+PIECE_BYTES, PAIR_BYTES = 64 << 20, 24 << 20
 _NONE = -1
 
 
+class _Remembered(dict):
+    """Values worked out on demand, in two generations: when the younger is full it becomes the older, which goes."""
+
+    def __init__(self, find, most: int, size):
+        self.find, self.most, self.size, self.held, self.older = find, most, size, 0, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.find(key)
+        self.held += self.size(key, value)
+        if self.held > self.most:
+            self.older, self.held = dict(self), 0
+            self.clear()
+        self[key] = value
+        return value
+
+
 def read_ranks(rank_file: bytes) -> dict[bytes, int]:
     """Token bytes to rank, from lines of base64 and rank."""
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line.strip())}
@@ -42,17 +61,16 @@ class BytePairEncoder:
             self.automaton.add_word(token.decode("latin-1"), r)
         self.automaton.make_automaton()
         self.length = {r: len(t) for t, r in ranks.items()}
-        self._shorter: dict[int, int] = {}
+        self._shorter = _Remembered(self.shorter, 1 << 40, lambda token, other: 0)
         self._split: dict[int, tuple[int, int]] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._known = _Pieces(self)
+        #: Whether BPE can leave two tokens, (left << 32) + right, as neighbours.
+        self.beside = _Remembered(lambda pair: self._fit(pair >> 32, pair & 0xFFFFFFFF), PAIR_BYTES, lambda pair, fits: 140)
+        self._known = _Remembered(self._packed, PIECE_BYTES, lambda piece, ids: 220 + 2 * len(piece) + len(ids))
 
     def shorter(self, token: int) -> int:
         """The longest token that is a proper prefix of this one, or -1."""
-        if token not in self._shorter:
-            t = self.bytes[token]
-            self._shorter[token] = next((self.rank[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.rank), _NONE)
-        return self._shorter[token]
+        t = self.bytes[token]
+        return next((self.rank[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.rank), _NONE)
 
     def split(self, token: int) -> tuple[int, int]:
         """The two tokens that merge into this one last; a token never merged stands for itself."""
@@ -72,66 +90,65 @@ class BytePairEncoder:
     def _merged(self, a: int, b: int) -> int:
         return self.rank.get(self.bytes[a] + self.bytes[b], _NONE)
 
-    def beside(self, left: int, right: int) -> bool:
+    def _fit(self, left: int, right: int) -> bool:
         """Whether BPE can leave left and right as neighbours.
 
         Both are undone merge by merge, the later merge first. If at some time the two ends
         that face each other would merge sooner than what was just undone, BPE would have
         merged them; of equal ranks the one further left goes first.
         """
-        known = self._pairs.get((left, right))
-        if known is not None:
-            return known
-        if len(self._pairs) > REMEMBERED:
-            self._pairs.clear()
-        a, b, sooner, fits = left, right, 1 << 62, True
-        while fits:
-            if 0 <= self._merged(a, b) < sooner:
-                fits = False
-                break
+        a, b, sooner = left, right, 1 << 62
+        while not 0 <= self._merged(a, b) < sooner:
             inner_a, inner_b = self.split(a)[1], self.split(b)[0]
             if inner_a == a and inner_b == b:
-                break
+                return True
             if inner_b == b or (inner_a != a and a > b):
                 sooner, a = a, inner_a
             else:
                 sooner, b = b + 1, inner_b
-        self._pairs[left, right] = fits
-        return fits
+        return False
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        """The token ids of one piece of text."""
+        """The token ids of one piece of text.
+
+        The longest matches from the left, if each fits beside the next, are the answer;
+        the search goes back only where one does not.
+        """
         whole = self.rank.get(piece)
         if whole is not None:
             return [whole]
-        n = len(piece)
-        longest = [_NONE] * n
-        length, beside = self.length, self.beside
-        for end, token in self.automaton.iter(piece.decode("latin-1")):
-            start = end + 1 - length[token]
-            if longest[start] == _NONE or length[longest[start]] < length[token]:
-                longest[start] = token
-        dead, out, at = set(), [], 0
-        token = longest[0]
+        text, length, beside, out, at = piece.decode("latin-1"), self.length, self.beside, [], 0
+        for _, token in self.automaton.iter_long(text):
+            if out and not beside[out[-1] << 32 | token]:
+                return self._backtracked(text, out, at, token)
+            out.append(token)
+            at += length[token]
+        return out
+
+    def _backtracked(self, text: str, out: list[int], at: int, token: int) -> list[int]:
+        """The ids of text, where out, up to at, is found and token, which starts there, doesn't fit."""
+        n, length, beside, shorter, dead = len(text), self.length, self.beside, self._shorter, set()
         while True:
             end = at + length[token]
-            if end not in dead and (not out or beside(out[-1], token)):
+            if end not in dead and (not out or beside[out[-1] << 32 | token]):
                 out.append(token)
                 if end == n:
                     return out
-                at, token = end, longest[end]
+                at, token = end, next(self.automaton.iter_long(text, end))[1]
                 continue
-            token = self.shorter(token)
+            token = shorter[token]
             while token == _NONE:  # nothing fits here: the token before must be a shorter one
                 dead.add(at)
                 token = out.pop()
                 at -= length[token]
-                token = self.shorter(token)
+                token = shorter[token]
+
+    def _packed(self, piece: str) -> bytes:
+        ids = self.encode_piece(piece.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        if len(self._known) > REMEMBERED:
-            self._known.clear()
         return b"".join(map(self._known.__getitem__, self.pieces.findall(text)))
 
     def decode(self, ids: bytes) -> bytes:
@@ -139,19 +156,6 @@ class BytePairEncoder:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-class _Pieces(dict):
-    """Piece to packed ids; a piece not known is encoded."""
-
-    def __init__(self, encoder: BytePairEncoder):
-        self.encoder = encoder
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encoder.encode_piece(piece.encode()), "<u4").tobytes()
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
-
-
 _ENCODERS: dict[str, BytePairEncoder] = {}
 
 
@@ -172,8 +176,8 @@ def tokenize(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_i
 
     rank_file is a path on the driver; its bytes, of a fixed size, are broadcast. Special
     tokens in a text are ordinary text. Null and empty texts have no ids and decode to
-    no bytes. Only the id and text columns are read; repeated rows give repeated rows;
-    an empty table gives none. decoded=False leaves that column null.
+    no bytes. Only the id and text columns are read, so other columns cannot clash;
+    repeated rows give repeated rows; an empty table gives none. decoded=False leaves that column null.
     """
     with open(rank_file, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
