@@ -7,14 +7,17 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where it is unset (tests, one machine)."""
+    """The folder in spark.checkpoint.dir; a temporary one only where it is unset and Spark runs on one machine, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
         where = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = where.get() if where.isDefined() else None
+    if where is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if where is None:
         where = tempfile.mkdtemp(prefix="meridia-")
         spark.sparkContext.setCheckpointDir(where)
@@ -33,6 +36,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sampled(rows: DataFrame, total: int, most: int) -> DataFrame:
+    """Of total rows with a column `seed` of hashes, about `most`, chosen by that hash; all, if they are no more."""
+    return rows if total <= most else rows.where(F.shiftrightunsigned("seed", 2) < (most << 62) // total)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

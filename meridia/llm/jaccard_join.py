@@ -1,14 +1,16 @@
 """N-gram Jaccard join by signature trees.
 
 Each text becomes its set of distinct k-word shingles. Texts with equal sets are one
-node. Nodes are first dealt into clusters that no link can leave, by block keys of which
-two linked sets always share one. In each cluster a signature tree (OR-combined token
-bitmaps, size ranges) is traversed against itself: node pairs whose largest possible
-overlap cannot reach the threshold are pruned, as are pairs already in one component.
-The first traversal, over bitmaps alone, leaves the pairs that may be linked; their
-components are traversed again with the exact sets, which decide. Where the links
-themselves are wanted, that second pass skips no pair: it verifies all that sizes and
-bitmaps leave, and counts or returns them.
+class, called a node. Nodes that share a block key, of which two linked sets always have
+one in common, are dealt into bins, groups of one key whole; a group too large for a bin
+is cut by size, and where that is not enough into chunks joined pair by pair. Over each
+bin stands a signature tree: its nodes hold the OR of the token bitmaps below them and
+the range of their sizes, and a dual traversal drops every pair of tree nodes whose
+largest possible overlap cannot reach the threshold. A first traversal over bitmaps alone
+joins what may be linked into clusters; a second one, over bins of whole clusters,
+verifies every pair that sizes and bitmaps leave by the exact sets.
+
+Nodes are told apart by 64-bit hashes of their sets, as shingles are.
 """
 
 from __future__ import annotations
@@ -17,20 +19,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridia.llm._shared import checkpointed, written
+from meridia.llm._shared import sampled, written
 from meridia.llm._words import U, mix, signed, words_of
 from meridia.llm.components import connected_components
 
-LEAF, FAN = 16, 8
-#: Nodes of one task's trees. A larger cluster is cut by size; where that is not enough, into chunks joined pair by pair.
-CHUNK = 1024
-#: Rows that tell the frequent shingles, or so.
-SAMPLE = 8_000
-#: Rows of a table of places up to which it is broadcast.
-BROADCAST_ROWS = 200_000
+#: Sets under a leaf, and children of an inner node: few, as the OR of many different sets has every bit.
+LEAF, FAN = 4, 4
+#: Nodes and bytes of a chunk. A bin holds about as much, and a group of up to twice as much whole.
+CHUNK, CHUNK_BYTES = 2048, 4 << 20
+#: Rows that tell the frequent shingles, or so, and log2 of the slots they are kept in.
+SAMPLE, SLOT_BITS = 8_000, 24
+#: Words of bitmaps that are compared at once.
+_WORDS = 1 << 21
 
 
 def part_keys(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -63,16 +66,17 @@ def part_keys(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
 def prefix_keys(tokens: np.ndarray, num: int, den: int, frequent: np.ndarray) -> np.ndarray:
     """Keys of which any two unequal sets with Jaccard >= num/den share one: the sets' first tokens.
 
-    tokens is sorted; frequent holds sorted tokens that come last in the order of all
-    tokens. A set's keys are the first n - ceil(n * num / den) + 1 of it, in each size class
-    (sizes from a power of 4 to below the next) that a set as large or larger can be in.
+    tokens is sorted; frequent, from frequent_slots or empty, tells the tokens that come
+    last in the order of all tokens. A set's keys are the first n - ceil(n * num / den) + 1
+    of it, in each size class (sizes from a power of 4 to below the next) that a set as
+    large or larger can be in.
     """
     n = len(tokens)
     if (den - num) * n < num and (den - num) * n < den:  # no other set of any size reaches it
         return np.empty(0, np.uint64)
     if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        tokens = tokens[np.argsort(frequent[at] == tokens, kind="stable")]
+        slot = tokens >> U(64 - SLOT_BITS)
+        tokens = tokens[np.argsort(frequent[slot >> U(3)] >> (slot & U(7)).astype(np.uint8) & 1, kind="stable")]
     prefix = mix(tokens[: n - -(-num * n // den) + 1])
     return np.concatenate([mix(prefix + U(c)) for c in range((n.bit_length() + 1) // 2, ((n * den // num).bit_length() + 1) // 2 + 1)])
 
@@ -82,34 +86,27 @@ def in_parts(num: int, den: int) -> bool:
     return (num + den) * 4 >= 6 * 2 * (den - num) * 5
 
 
-def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, k: int, lower: bool, sample: int = SAMPLE, least: int = 3, most: int = 1_000_000) -> np.ndarray:
-    """Sorted shingles that at least `least` of about `sample` rows have, `most` of them at most.
+def frequent_slots(docs: DataFrame, id_col: str, text_col: str, k: int, lower: bool, sample: int = SAMPLE, least: int = 3) -> np.ndarray:
+    """A bitmap of the slots (leading SLOT_BITS bits of a shingle) whose shingles at least `least` of about `sample` rows have.
 
-    The rows are chosen by a hash of id and text. The bounds hold at every size of the
-    table; the result decides only the order of shingles, and any order loses no link.
+    The rows are chosen by a hash of id and text. The bitmap has one size for every table;
+    it decides only the order of shingles, and any order loses no link.
     """
-    rows = docs.select(F.xxhash64(id_col, text_col).alias("seed"), F.col(text_col).alias("text"))
-    total = docs.count()
-    million = 1_000_000
-    if total > sample:
-        rows = rows.where(F.pmod("seed", F.lit(million)) < max(1, int(million * sample / total)))
+    rows = sampled(docs.select(F.xxhash64(id_col, text_col).alias("seed"), F.col(text_col).alias("text")), docs.count(), sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in words_of(batch.column(0), lower):
-                token, n = np.unique(np.concatenate([*w.shingle_sets(k), np.empty(0, np.uint64)]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(n.astype(np.int64))], ["token", "n"])
+                tokens = np.concatenate([*w.shingle_sets(k), np.empty(0, np.uint64)])
+                slot, n = np.unique(tokens >> U(64 - SLOT_BITS), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(slot)), pa.array(n.astype(np.int64))], ["slot", "n"])
 
-    found = rows.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    top = found.orderBy(F.desc("n"), "token").limit(most).select("token").toPandas()["token"]
-    return np.sort(top.to_numpy(np.int64).view(np.uint64))
-
-
-def identity(tokens: np.ndarray) -> tuple[int, int]:
-    """The 128-bit identity of a set, as two signed numbers."""
-    with np.errstate(over="ignore"):
-        sums = np.array([mix(tokens).sum(dtype=np.uint64), mix(tokens ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64)], np.uint64)
-    return tuple(signed(sums).tolist())
+    found = rows.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    blocks = found.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits"))
+    frequent = np.zeros(1 << (SLOT_BITS - 3), np.uint8)
+    for r in blocks.collect():
+        frequent[(r.block - 1) * len(r.bits) : r.block * len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+    return frequent
 
 
 def signature(tokens: np.ndarray) -> bytes:
@@ -123,97 +120,81 @@ def signature_bits(n: int) -> int:
     return 1 << min(17, max(8, n.bit_length() + 2))
 
 
-def shingle_index(docs: DataFrame, id_col: str, text_col: str, k: int, lower: bool) -> DataFrame:
-    """(id, n_shingles, h1, h2, bitmap) of each row: the set's size, 128-bit identity and signature."""
+def shingle_index(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, lower: bool) -> DataFrame:
+    """(id, n_shingles, node, check, bitmap, keys) of each row: the set's size, two hashes of it, its signature and its block keys."""
+    parts = in_parts(num, den)
+    frequent = docs.sparkSession.sparkContext.broadcast(np.empty(0, np.uint8) if parts else frequent_slots(docs, id_col, text_col, k, lower))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in words_of(batch.column(1), lower):
                 sets = list(w.shingle_sets(k))
-                with np.errstate(over="ignore"):
-                    h1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
-                    h2 = np.array([mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64)
-                sizes = np.array([len(s) for s in sets], np.int64)
+                keys = [part_keys(s, num, den) if parts else prefix_keys(s, num, den, frequent.value) for s in sets]
+                cuts = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+                ids = np.array([set_hashes(s) for s in sets], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(w.lo, w.hi - w.lo), pa.array(sizes), pa.array(signed(h1)), pa.array(signed(h2)), pa.array(map(signature, sets), pa.binary())],
-                    ["id", "n_shingles", "h1", "h2", "bitmap"],
+                    [
+                        batch.column(0).slice(w.lo, w.hi - w.lo),
+                        pa.array(np.array([len(s) for s in sets], np.int64)),
+                        pa.array(ids[:, 0]),
+                        pa.array(ids[:, 1]),
+                        pa.array(map(signature, sets), pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(cuts), pa.array(signed(np.concatenate(keys)))),
+                    ],
+                    ["id", "n_shingles", "node", "check", "bitmap", "keys"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, h1 long, h2 long, bitmap binary")
-
-
-def block_rows(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, lower: bool) -> DataFrame:
-    """(key, node) rows of every text with an id. Of the nodes of a batch that share a key only the least keeps
-    it; all of them share another made of key and least, so a hot key reaches its task once a batch."""
-    parts = in_parts(num, den)
-    frequent = docs.sparkSession.sparkContext.broadcast(np.empty(0, np.uint64) if parts else frequent_shingles(docs, id_col, text_col, k, lower))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return source.mapInArrow(run, "id long, n_shingles long, node long, check long, bitmap binary, keys array<long>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys, nodes = batch.column(0).to_numpy(zero_copy_only=False), [], []
-            for w in words_of(batch.column(1), lower):
-                for i, tokens in enumerate(w.shingle_sets(k), w.lo):
-                    keys.append(part_keys(tokens, num, den) if parts else prefix_keys(tokens, num, den, frequent.value))
-                    nodes.append(np.full(len(keys[-1]), ids[i], np.int64))
-                if sum(map(len, keys)) > 1_500_000:
-                    yield from _combined(np.concatenate(keys), np.concatenate(nodes))
-                    keys, nodes = [], []
-            if keys:
-                yield from _combined(np.concatenate(keys), np.concatenate(nodes))
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL").mapInArrow(run, "key long, node long")
-
-
-def _combined(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    fresh = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, bool)
-    heads = np.flatnonzero(fresh)
-    of = np.cumsum(fresh) - 1
-    least = node[heads][of]
-    shared = mix(key + U(0x1D8E4E27C47D124F)) ^ mix(least.view(np.uint64))
-    many = np.bincount(of, minlength=len(heads))[of] > 1 if len(key) else fresh
-    key, node = np.concatenate([key[heads], shared[many]]), np.concatenate([node[heads], node[many]])
-    for at in range(0, len(key), 200_000):
-        yield pa.RecordBatch.from_arrays([pa.array(signed(key[at : at + 200_000])), pa.array(node[at : at + 200_000])], ["key", "node"])
-
-
-def _member_sets(k: int, lower: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for w in words_of(batch.column(0), lower):
-                packed = [s.tobytes() for s in w.shingle_sets(k)]
-                rest = [batch.column(i).slice(w.lo, w.hi - w.lo) for i in range(1, batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(packed, pa.binary())], [*batch.schema.names[1:], "value"])
 
-    return run
+def set_hashes(tokens: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set, as signed numbers."""
+    with np.errstate(over="ignore"):
+        sums = np.array([mix(tokens).sum(dtype=np.uint64), mix(tokens ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64)], np.uint64)
+    return tuple(signed(sums).tolist())
 
 
 class SignatureTree:
-    """Bitmaps and sizes in the order given, in leaves of LEAF under nodes of FAN children."""
+    """Bitmaps, sizes and chunks of sets, in the order given: LEAF of them under a leaf, FAN nodes under an inner node.
+
+    A level is (OR of the bitmaps, least size, largest size, most slack, least chunk,
+    largest chunk); the slack of a set is its tokens beyond its bits, as many of which can
+    overlap without a bit of their own.
+    """
 
-    def __init__(self, size: np.ndarray, bitmap: np.ndarray):
-        self.size, self.bitmap, n = size, bitmap, len(size)
-        #: Tokens of each set beyond its bits: as many can overlap without a bit of their own.
+    def __init__(self, size: np.ndarray, bitmap: np.ndarray, chunk: np.ndarray):
+        self.size, self.bitmap = size, bitmap
         self.slack = size - np.bitwise_count(bitmap).sum(axis=1).astype(np.int64)
-        spans = [(a, min(a + LEAF, n)) for a in range(0, n, LEAF)]
-        self.levels = [(spans, *self._fold(spans, bitmap, size, size, self.slack))]
+        self.levels = [self._fold(LEAF, bitmap, size, size, self.slack, chunk, chunk)]
         while len(self.levels[-1][0]) > 1:
-            below, orb, lo, hi, sl = self.levels[-1]
-            groups = [(a, min(a + FAN, len(below))) for a in range(0, len(below), FAN)]
-            self.levels.append(([(below[a][0], below[b - 1][1]) for a, b in groups], *self._fold(groups, orb, lo, hi, sl)))
+            self.levels.append(self._fold(FAN, *self.levels[-1]))
 
     @staticmethod
-    def _fold(groups, orb, lo, hi, sl):
+    def _fold(fan: int, orb: np.ndarray, *bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+        heads = np.arange(0, len(orb), fan)
+        lo, hi, slack, first, last = bounds
         return (
-            np.array([np.bitwise_or.reduce(orb[a:b]) for a, b in groups]),
-            np.array([lo[a:b].min() for a, b in groups]),
-            np.array([hi[a:b].max() for a, b in groups]),
-            np.array([sl[a:b].max() for a, b in groups]),
+            np.bitwise_or.reduceat(orb, heads, axis=0),
+            np.minimum.reduceat(lo, heads),
+            np.maximum.reduceat(hi, heads),
+            np.maximum.reduceat(slack, heads),
+            np.minimum.reduceat(first, heads),
+            np.maximum.reduceat(last, heads),
         )
 
-    def children(self, level: int, i: int) -> range:
-        return range(i * FAN, min(i * FAN + FAN, len(self.levels[level - 1][0])))
+    def possible(self, level: int, i: np.ndarray, j: np.ndarray, num: int, den: int, cross: bool) -> np.ndarray:
+        """Which pairs of nodes of a level can hold a link: by sizes and largest overlap, and, if cross, between two chunks."""
+        orb, lo, hi, slack, first, last = self.levels[level]
+        keep = den * np.minimum(hi[i], hi[j]) >= num * np.maximum(lo[i], lo[j])
+        if cross:
+            keep &= (first[i] != last[j]) | (last[i] != first[j])
+        at = np.flatnonzero(keep & (i != j))
+        need = -(-num * (lo[i] + lo[j]) // (num + den))
+        for part in np.array_split(at, 1 + len(at) * orb.shape[1] // _WORDS):
+            most = np.bitwise_count(orb[i[part]] & orb[j[part]]).sum(axis=1).astype(np.int64) + np.minimum(slack[i[part]], slack[j[part]])
+            keep[part] = most >= need[part]
+        return keep
 
 
 def bitmaps_of(packed: list[bytes]) -> np.ndarray:
@@ -222,284 +203,285 @@ def bitmaps_of(packed: list[bytes]) -> np.ndarray:
     return np.stack([np.bitwise_or.reduce(np.frombuffer(p, np.uint64).reshape(-1, width // 8), axis=0) for p in packed])
 
 
-def tree_links(size: np.ndarray, packed: list[bytes], ids: np.ndarray, num: int, den: int, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
-    """Links whose components are those of all pairs with Jaccard >= num/den, by a dual traversal of one tree.
+def tree_pairs(size: np.ndarray, packed: list[bytes], num: int, den: int, chunk: np.ndarray | None = None, group: np.ndarray | None = None, pruned: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (x, y) of rows that sizes and bitmaps leave possible, in parts, by a dual traversal of one tree.
 
-    Without the sets, components of the pairs that the bitmaps leave possible. Pairs of
-    one component are not compared again.
+    With chunks, only pairs of different chunks. Rows of one group stand side by side in
+    the tree. To `pruned` go the counts of node pairs dropped at each level, leaves last.
     """
-    order = sorted(range(len(size)), key=lambda i: (size[i], packed[i][:8]))
-    size, ids, sets = size[order], ids[order], sets and [sets[i] for i in order]
-    tree, links, label = SignatureTree(size, bitmaps_of([packed[i] for i in order])), [], np.arange(len(size))
-    stack = [(len(tree.levels) - 1, 0, 0)]
-    while stack:
-        level, i, j = stack.pop()
-        spans, orb, lo, hi, sl = tree.levels[level]
-        if i != j:
-            small, need = min(hi[i], hi[j]), -(-num * (lo[i] + lo[j]) // (num + den))
-            if den * small < num * max(lo[i], lo[j]):
-                continue
-            if int(np.bitwise_count(orb[i] & orb[j]).sum()) + min(sl[i], sl[j]) < need:
-                continue
-        (a, b), (c, d) = spans[i], spans[j]
-        here = label[a]
-        if (label[a:b] == here).all() and (label[c:d] == here).all():
-            continue
+    cross = chunk is not None
+    chunk = np.zeros(len(size), np.int64) if chunk is None else chunk
+    bitmap = bitmaps_of(packed)
+    order = np.lexsort((bitmap[:, 0], size, np.zeros(len(size)) if group is None else group, chunk))
+    size, chunk = size[order], chunk[order]
+    tree = SignatureTree(size, bitmap[order], chunk)
+    i = j = np.zeros(1, np.int64)
+    for level in range(len(tree.levels) - 1, -1, -1):
+        keep = tree.possible(level, i, j, num, den, cross)
+        if pruned is not None:
+            pruned.append(int(len(keep) - keep.sum()))
+        i, j = i[keep], j[keep]
         if level:
-            below, other = tree.children(level, i), tree.children(level, j)
-            pairs = [(level - 1, x, y) for x in below for y in other if i != j or x <= y]
-            stack += sorted(pairs, key=lambda p: p[1] != p[2])[::-1]
-            continue
-        for x in range(a, b):
-            ys = np.arange(max(c, x + 1), d)
-            most = np.bitwise_count(tree.bitmap[ys] & tree.bitmap[x]).sum(axis=1).astype(np.int64) + np.minimum(tree.slack[ys], tree.slack[x])
-            ys = ys[(most * (num + den) >= num * (size[ys] + size[x])) & (den * np.minimum(size[ys], size[x]) >= num * np.maximum(size[ys], size[x]))]
-            for y in ys.tolist():
-                if label[y] == label[x]:
-                    continue
-                if sets is not None:
-                    shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    if den * shared < num * (len(sets[x]) + len(sets[y]) - shared):
-                        continue
-                links.append((int(ids[x]), int(ids[y])))
-                label[label == label[y]] = label[x]
-    return links
+            i, j = _below(i, j, FAN, len(tree.levels[level - 1][0]), False)
+    width = tree.bitmap.shape[1]
+    for part in np.array_split(np.arange(len(i)), 1 + len(i) * LEAF * LEAF * width // _WORDS):
+        x, y = _below(i[part], j[part], LEAF, len(size), True)
+        fits = den * np.minimum(size[x], size[y]) >= num * np.maximum(size[x], size[y])
+        if cross:
+            fits &= chunk[x] != chunk[y]
+        x, y = x[fits], y[fits]
+        most = np.bitwise_count(tree.bitmap[x] & tree.bitmap[y]).sum(axis=1).astype(np.int64) + np.minimum(tree.slack[x], tree.slack[y])
+        fits = most * (num + den) >= num * (size[x] + size[y])
+        yield order[x[fits]], order[y[fits]]
+
+
+def _below(i: np.ndarray, j: np.ndarray, fan: int, n: int, apart: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of children of node pairs, each pair once; n is the number of children in all."""
+    step = np.arange(fan)
+    x, y = np.broadcast_arrays((i[:, None] * fan + step)[:, :, None], (j[:, None] * fan + step)[:, None, :])
+    x, y = x.ravel(), y.ravel()
+    keep = (x < n) & (y < n) & ((x < y) if apart else (x <= y))
+    return x[keep], y[keep]
+
+
+def joined(label: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """The labels of rows, each the least row of its component, once the pairs are joined too."""
+    while len(xs):
+        least = np.minimum(label[xs], label[ys])
+        np.minimum.at(label, label[xs], least)
+        np.minimum.at(label, label[ys], least)
+        while (label[label] != label).any():
+            label = label[label]
+        open_ = label[xs] != label[ys]
+        xs, ys = xs[open_], ys[open_]
+    return label
+
+
+def linked_pairs(xs: np.ndarray, ys: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose exact Jaccard is >= num/den. One set is marked at a time, and its partners' tokens are counted."""
+    order = np.argsort(xs, kind="stable")
+    xs, ys = xs[order], ys[order]
+    size = np.array([len(v) for v in sets], np.int64)
+    start = np.concatenate([[0], np.cumsum(size)])
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
+    marked, linked = np.zeros(int(token.max()) + 1, bool), np.zeros(len(xs), bool)
+    heads = np.flatnonzero(np.concatenate([[True], xs[1:] != xs[:-1]]))
+    for a, b in zip(heads, np.append(heads[1:], len(xs)), strict=True):
+        mine = token[start[xs[a]] : start[xs[a] + 1]]
+        marked[mine] = True
+        while a < b:  # as many partners at once as have a bounded number of tokens
+            upto = a + max(1, int(np.searchsorted(np.cumsum(size[ys[a:b]]), _WORDS, side="right")))
+            other = ys[a:upto]
+            first = np.cumsum(size[other]) - size[other]
+            at = np.arange(int(size[other].sum())) - np.repeat(first - start[other], size[other])
+            shared = np.add.reduceat(marked[token[at]].astype(np.int64), first)
+            linked[a:upto] = den * shared >= num * (len(mine) + size[other] - shared)
+            a = upto
+        marked[mine] = False
+    return xs[linked], ys[linked]
 
 
-def _classes(size: np.ndarray) -> Iterator[np.ndarray]:
-    """Rows of each signature size with those of the next larger one: no link spans more."""
+def _same_width(size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, whether they have the smaller bitmaps) for each bitmap size with the next larger one: links span no more."""
     bits = np.array([signature_bits(int(n)).bit_length() for n in size])
     for b in np.unique(bits):
-        yield np.flatnonzero((bits == b) | (bits == b + 1))
+        rows = np.flatnonzero((bits == b) | (bits == b + 1))
+        yield rows, bits[rows] == b
 
 
-def _links_of_group(num: int, den: int, exact: bool):
-    def run(table: pa.Table) -> pa.Table:
-        tree, node = table.column("tree").to_numpy(), table.column("node").to_numpy()
-        value = table.column("value").to_pylist()
-        order = np.lexsort((node, tree))
-        cuts = np.flatnonzero(np.concatenate([[True], np.diff(tree[order]) != 0, [True]]))
-        links = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            rows = order[a:b]
-            if exact:
-                sets = [np.frombuffer(value[r], np.uint64) for r in rows]
-                size, packed = np.array([len(s) for s in sets], np.int64), [signature(s) for s in sets]
-            else:
-                sets, packed = None, [value[r] for r in rows]
-                size = table.column("n_shingles").to_numpy()[rows]
-            for c in _classes(size):
-                links += tree_links(size[c], [packed[i] for i in c], node[rows][c], num, den, sets and [sets[i] for i in c])
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+def _pairs_of(rows: dict[str, np.ndarray], packed: list[bytes], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    chunk = rows["chunk"] if not rows["own"].all() else None
+    for c, small in _same_width(rows["size"]):
+        for x, y in tree_pairs(rows["size"][c], [packed[i] for i in c], num, den, None if chunk is None else chunk[c], rows["group"][c]):
+            here = small[x] | small[y]  # the others come with the next size of bitmaps
+            yield c[x[here]], c[y[here]]
 
-    return run
 
+_PLACE = ("bin", "tree", "group", "range", "least", "chunk", "own")
 
-def tree_pairs(size: np.ndarray, packed: list[bytes], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (x, y) of rows that sizes and bitmaps leave possible, by a dual traversal of one tree without any other skip."""
-    order = np.array(sorted(range(len(size)), key=lambda i: (size[i], packed[i][:8])))
-    size = size[order]
-    tree, xs, ys = SignatureTree(size, bitmaps_of([packed[i] for i in order])), [], []
-    stack = [(len(tree.levels) - 1, 0, 0)]
-    while stack:
-        level, i, j = stack.pop()
-        spans, orb, lo, hi, sl = tree.levels[level]
-        if i != j:
-            small, need = min(hi[i], hi[j]), -(-num * (lo[i] + lo[j]) // (num + den))
-            if den * small < num * max(lo[i], lo[j]):
-                continue
-            if int(np.bitwise_count(orb[i] & orb[j]).sum()) + min(sl[i], sl[j]) < need:
-                continue
-        if level:
-            stack += [(level - 1, x, y) for x in tree.children(level, i) for y in tree.children(level, j) if i != j or x <= y]
-            continue
-        (a, b), (c, d) = spans[i], spans[j]
-        shared = np.bitwise_count(tree.bitmap[a:b, None] & tree.bitmap[None, c:d]).sum(axis=2).astype(np.int64) + np.minimum(tree.slack[a:b, None], tree.slack[None, c:d])
-        m, n = size[a:b, None], size[None, c:d]
-        fits = (shared * (num + den) >= num * (m + n)) & (den * np.minimum(m, n) >= num * np.maximum(m, n))
-        x, y = np.nonzero(np.triu(fits, 1) if i == j else fits)
-        xs.append(order[x + a])
-        ys.append(order[y + c])
-    return (np.concatenate(xs), np.concatenate(ys)) if xs else (np.empty(0, np.int64), np.empty(0, np.int64))
-
-
-def linked_pairs(xs: np.ndarray, ys: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(x, linked ys) for each x of the pairs: those whose exact Jaccard is >= num/den."""
-    size = np.array([len(v) for v in sets], np.int64)
-    start = np.concatenate([[0], np.cumsum(size)])
-    token = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1) if sets else np.empty(0, np.int64)
-    marked = np.zeros(int(token.max()) + 1 if len(token) else 0, bool)
-    order = np.argsort(xs, kind="stable")
-    xs, ys = xs[order], ys[order]
-    for part in np.split(np.arange(len(xs)), np.flatnonzero(np.diff(xs)) + 1):
-        if not len(part):
-            continue
-        x, other = int(xs[part[0]]), ys[part]
-        mine = token[start[x] : start[x + 1]]
-        marked[mine] = True
-        heads = np.cumsum(size[other]) - size[other]
-        at = np.arange(int(size[other].sum())) - np.repeat(heads - start[other], size[other])
-        shared = np.add.reduceat(marked[token[at]].astype(np.int64), heads)
-        marked[mine] = False
-        yield x, other[den * shared >= num * (size[x] + size[other] - shared)]
 
+def _trees(table: pa.Table) -> Iterator[tuple[dict[str, np.ndarray], list[bytes]]]:
+    """The trees of a bin: columns of its rows, one row a node, and their values."""
+    columns = {c: table.column(c).to_numpy() for c in ("tree", "group", "node", "size", "range", "least", "chunk", "own")}
+    order = np.lexsort((columns["group"], columns["node"], columns["tree"]))
+    columns = {c: v[order] for c, v in columns.items()}
+    fresh = np.concatenate([[True], (columns["node"][1:] != columns["node"][:-1]) | (columns["tree"][1:] != columns["tree"][:-1])])
+    order, columns = order[fresh], {c: v[fresh] for c, v in columns.items()}
+    value = table.column("value").combine_chunks()
+    cuts = np.flatnonzero(np.concatenate([[True], columns["tree"][1:] != columns["tree"][:-1], [True]]))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b - a > 1:
+            yield {c: v[a:b] for c, v in columns.items()}, [value[int(i)].as_py() for i in order[a:b]]
 
-_PLACE = "struct<bin: long, tree: long, range: int, least: int, chunk: int, own: boolean>"
-_CLASSES = "array<struct<h1: long, h2: long, copies: long>>"
-_LINKS = "a long, b long, a1 long, a2 long, b1 long, b2 long, n long"
 
+def _links(*columns: tuple[np.ndarray | None, ...]) -> pa.Table:
+    rows = [pa.table({c: pa.array(v if v is not None else [None] * len(part[0]), pa.int64()) for c, v in zip("abn", part, strict=True)}) for part in columns]
+    return pa.concat_tables([pa.table({c: pa.array([], pa.int64()) for c in "abn"}), *rows])
 
-def _verified_pairs(num: int, den: int, listed: bool):
-    """Exact links of the trees of one task, each counted in one tree only.
 
-    Rows with b link the nodes a and b, as many as connect what is linked. Rows without b
-    say that the class (a1, a2) has n linked documents in other classes, or, if listed,
-    that it is linked with the class (b1, b2).
-    """
+def _star(node: np.ndarray, label: np.ndarray) -> tuple:
+    other = np.flatnonzero(label != np.arange(len(label)))
+    return node[other], node[label[other]], None
+
+
+def _possible_links(num: int, den: int):
+    """Links that connect the nodes of a bin whose sizes and bitmaps may be linked."""
 
     def run(table: pa.Table) -> pa.Table:
-        tree, node = table.column("tree").to_numpy(), table.column("node").to_numpy()
-        ranges, least, chunk = (table.column(c).to_numpy() for c in ("range", "least", "chunk"))
-        own = table.column("own").to_numpy(zero_copy_only=False)
-        value, classes = table.column("value").to_pylist(), table.column("classes").to_pylist()
-        order = np.argsort(tree, kind="stable")
-        cuts = np.flatnonzero(np.concatenate([[True], np.diff(tree[order]) != 0, [True]]))
         out = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            rows, sets, ids, copies, seen = [], [], [], [], set()
-            for r in order[a:b].tolist():
-                tokens = np.frombuffer(value[r], np.uint64)
-                key = identity(tokens)
-                of = {(c["h1"], c["h2"]): c["copies"] for c in classes[r]}
-                if key in of and key not in seen:  # the row stands for its class, and has not come before
-                    seen.add(key)
-                    rows.append(r), sets.append(tokens), ids.append(key), copies.append(of[key])
-            if len(rows) < 2:
-                continue
-            rows, copies = np.array(rows), np.array(copies, np.int64)
-            size, packed = np.array([len(v) for v in sets], np.int64), [signature(v) for v in sets]
-            bits = np.array([signature_bits(int(n)).bit_length() for n in size])
-            linked, label = np.zeros(len(rows), np.int64), np.arange(len(rows))
-            for low in np.unique(bits):
-                c = np.flatnonzero((bits == low) | (bits == low + 1))
-                xs, ys = tree_pairs(size[c], [packed[i] for i in c], num, den)
-                xs, ys = c[xs], c[ys]
-                here = np.minimum(bits[xs], bits[ys]) == low  # the others come with the next size of signatures
-                for x, other in linked_pairs(xs[here], ys[here], sets, num, den):
-                    for y in other[label[other] != label[x]].tolist():
-                        if label[y] != label[x]:
-                            out.append((int(node[rows[x]]), int(node[rows[y]]), None, None, None, None, None))
-                            label[label == label[y]] = label[x]
-                    # A pair that shares two ranges counts in the first, one of a single chunk in the chunk's own tree.
-                    r, o = rows[x], rows[other]
-                    counted = other[(ranges[r] == np.maximum(least[r], least[o])) & ((chunk[r] != chunk[o]) | own[r])]
-                    if listed:
-                        out += [(None, None, *ids[x], *ids[y], 1) for y in counted.tolist()]
-                    else:
-                        linked[x] += copies[counted].sum()
-                        linked[counted] += copies[x]
-            out += [(None, None, *ids[x], None, None, int(linked[x])) for x in np.flatnonzero(linked)]
-        names = ("a", "b", "a1", "a2", "b1", "b2", "n")
-        return pa.table({c: pa.array([row[i] for row in out], pa.int64()) for i, c in enumerate(names)})
+        for rows, packed in _trees(table):
+            label = np.arange(len(packed))
+            for x, y in _pairs_of(rows, packed, num, den):
+                label = joined(label, x, y)
+            out.append(_star(rows["node"], label))
+        return _links(*out)
 
     return run
 
 
-def _small(places: DataFrame) -> DataFrame:
-    """places, for a broadcast while it has few rows, so that texts need not move; beyond that joins shuffle both sides."""
-    return F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
+def _verified_links(num: int, den: int, listed: bool):
+    """Exact links of the trees of a bin.
 
+    Rows with a and b alone connect what is linked. Rows with n count: a has n linked
+    documents of other nodes in this bin, or, if listed, a and b are linked. A pair that
+    stands in several trees counts in one: the first range that both are in, and the tree
+    of their two chunks.
+    """
 
-def _places(components: DataFrame, of_node: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, places) of the nodes of (node, component): the trees that a node stands in, and their tasks.
+    def run(table: pa.Table) -> pa.Table:
+        out = []
+        copies_of = dict(zip(table.column("node").to_pylist(), table.column("copies").to_pylist(), strict=True))
+        for rows, values in _trees(table):
+            sets = [np.frombuffer(v, np.uint64) for v in values]
+            copies = np.array([copies_of[n] for n in rows["node"].tolist()], np.int64)
+            label, linked = np.arange(len(sets)), np.zeros(len(sets), np.int64)
+            for x, y in _pairs_of(rows, [signature(s) for s in sets], num, den):
+                if not len(x):
+                    continue
+                x, y = linked_pairs(x, y, sets, num, den)
+                label = joined(label, x, y)
+                counted = rows["range"][x] == np.maximum(rows["least"][x], rows["least"][y])
+                x, y = x[counted], y[counted]
+                if listed:
+                    out.append((rows["node"][x], rows["node"][y], np.ones(len(x), np.int64)))
+                np.add.at(linked, x, copies[y])
+                np.add.at(linked, y, copies[x])
+            out.append(_star(rows["node"], label))
+            if not listed:
+                some = np.flatnonzero(linked)
+                out.append((rows["node"][some], None, linked[some]))
+        return _links(*out)
 
-    Small clusters are trees, many of them to a task. Larger ones are cut into overlapping
-    ranges of size, so wide that two sizes which allow a link share one; ranges that are
-    still large are cut into chunks, and every pair of chunks is a tree. Ids that only
-    repeat another's set are left out. A place tells the tree's range and the first range
-    of the node, the node's chunk, and whether the tree is the chunk's own, so that a pair
-    in several trees can be counted in one.
-    """
-    clusters = components.withColumnRenamed("component", "cluster").join(of_node, "node")
-    placed = checkpointed(clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("members")), "cluster").where("members > 1"))
-    bins = max(1, placed.count() // 512)
-    small = placed.where(F.col("members") <= CHUNK).select("node", F.col("cluster").alias("tree"), *[F.lit(0).alias(c) for c in ("range", "least", "chunk")], F.lit(True).alias("own"))
-    step = F.log(F.lit(den / num)) + 1e-9
-    low, high = F.floor(F.log("least") / step).cast("int"), F.floor(F.log("most") / step).cast("int")
-    ranges = placed.where(F.col("members") > CHUNK).select("node", F.explode(F.sequence(low - 1, high)).alias("range"), (low - 1).alias("first"), "cluster")
-    counted = ranges.join(ranges.groupBy("cluster", "range").agg(F.count("*").alias("members")), ["cluster", "range"])
-    chunks = F.ceil(F.col("members") / F.lit(CHUNK)).cast("int")
-    paired = counted.withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("node"), chunks).cast("int"), "other": F.explode(F.sequence(F.lit(0), chunks - 1))})
-    large = paired.select("node", F.xxhash64("cluster", "range", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tree"), "range", F.col("first").alias("least"), "chunk", (F.col("chunk") == F.col("other")).alias("own"))
-    dealt = small.unionByName(large).select("node", F.struct(F.pmod(F.xxhash64("tree"), F.lit(bins)).cast("long").alias("bin"), "tree", "range", "least", "chunk", "own").alias("place"))
-    return checkpointed(dealt.groupBy("node").agg(F.collect_list("place").alias("places")))
+    return run
 
 
-def _possible(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, lower: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(index, classes, places): the shingle index, the classes of equal sets that have an id, and the trees of the exact pass."""
-    index = written(shingle_index(docs, id_col, text_col, k, lower), "shingles")
-    nodes = index.where("n_shingles > 0 AND id IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
-    of_node = nodes.groupBy("node").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    least = F.min("node").over(Window.partitionBy("key"))
-    candidates = block_rows(docs, id_col, text_col, k, num, den, lower).select("node", least.alias("first")).where("node <> first").distinct()
-    places = _places(connected_components(candidates, "node", "first"), of_node, num, den)
-    signatures = index.where("n_shingles > 0").select(F.col("id").alias("node"), "n_shingles", F.col("bitmap").alias("value")).join(_small(places), "node")
-    possible = signatures.select("node", "n_shingles", "value", F.inline("places")).groupBy("bin").applyInArrow(_links_of_group(num, den, False), "a long, b long")
-    return index, nodes, _places(connected_components(possible), of_node, num, den)
+def _member_sets(k: int, lower: bool):
+    """The shingle sets of (text, node, check, ..) rows; of rows that share an id only those with the node's own set."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, check = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for w in words_of(batch.column(0), lower):
+                sets = list(w.shingle_sets(k))
+                mine = np.array([set_hashes(s) == (n, c) for s, n, c in zip(sets, node[w.lo : w.hi].tolist(), check[w.lo : w.hi].tolist(), strict=True)])
+                rest = [batch.column(i).slice(w.lo, w.hi - w.lo) for i in range(1, batch.num_columns)]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array([s.tobytes() for s in sets], pa.binary())], [*batch.schema.names[1:], "value"]).filter(pa.array(mine))
 
-def _with_components(index: DataFrame, nodes: DataFrame, links: DataFrame, n_links: Column | None = None) -> DataFrame:
-    """The rows of index with the component of their class, and with n_links, a column of nodes, as links if given."""
-    more = [] if n_links is None else [n_links.alias("links")]
-    found = nodes.join(connected_components(links), "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"), *more)
-    return index.drop("bitmap").join(found, ["h1", "h2"], "left")
+    return run
 
 
-def _component() -> Column:
-    return F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id")
+def candidate_groups(index: DataFrame) -> DataFrame:
+    """(group, node) of the nodes that share a block key with another one; keys of the same nodes are one group.
 
+    Keys are counted before any of their rows meet, and rows move only for keys that two
+    nodes have. The group is a hash of what is counted: should two sets of nodes have the
+    same, they are one larger group, and no pair is lost.
+    """
+    keyed = index.where("id IS NOT NULL").select("node", F.explode("keys").alias("key"))
+    counts = [F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor(F.xxhash64("node")).alias("x"), F.count("*").alias("n")]
+    shared = keyed.groupBy("key").agg(*counts).where("a <> b").select("key", F.xxhash64("a", "b", "x", "n").alias("group"))
+    return keyed.join(written(shared, "keys"), "key").select("group", "node").distinct()
 
-def _verified(docs: DataFrame, nodes: DataFrame, places: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, lower: bool, listed: bool) -> DataFrame:
-    """The rows of _verified_pairs for all trees."""
-    classes = nodes.groupBy("node").agg(F.collect_list(F.struct("h1", "h2", "copies")).alias("classes"))
-    placed = checkpointed(places.join(classes, "node"))
-    texts = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("node"))
-    sets = texts.join(_small(placed), "node").select("text", "node", "places", "classes").mapInArrow(_member_sets(k, lower), f"node long, places array<{_PLACE}>, classes {_CLASSES}, value binary")
-    return written(sets.select("node", "value", "classes", F.inline("places")).groupBy("bin").applyInArrow(_verified_pairs(num, den, listed), _LINKS), "links")
 
+def deal(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, size, bin, tree, group, range, least, chunk, own) of (group, node, size, weight) rows: the trees a node stands in.
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (4, 5), lower: bool = True) -> DataFrame:
-    """(id, n_shingles, component_id): components of texts whose shingle sets have Jaccard >= threshold.
-
-    threshold is a fraction (numerator, denominator) and compared in integers. Null and
-    empty texts, and texts without words, have 0 shingles and stay alone. Equal sets are
-    linked; component_id is the smallest id reachable. Rows with one id and different
-    texts count as one node. A null id keeps its n_shingles; it takes the component of
-    the equal sets with an id, or null. Ties do not arise. Only the id and text columns
-    are read, so other columns cannot clash. An empty table gives no rows.
+    Groups of up to twice a chunk go whole to a bin, where one tree holds all of them.
+    Larger ones are cut into overlapping ranges of size, so wide that two sizes which
+    allow a link share one, ranges into chunks, and every pair of chunks is a bin. least
+    is a node's first range; own tells the tree of one chunk from those between two.
     """
+    total = members.agg(F.sum("weight"), F.count("*")).first()
+    bins = 1 + max((total[0] or 0) // CHUNK_BYTES, total[1] // CHUNK)
+    sums = [F.count("*").alias("members"), F.sum("weight").alias("bytes")]
+    counted = members.join(members.groupBy("group").agg(*sums).where("members > 1"), "group")
+    whole = (F.col("members") <= 2 * CHUNK) & (F.col("bytes") <= 2 * CHUNK_BYTES)
+    bin_ = F.pmod(F.xxhash64("group"), F.lit(bins)).cast("long")
+    zero = F.lit(0)
+    small = counted.where(whole).select("node", "size", bin_.alias("bin"), F.lit(0).cast("long").alias("tree"), "group", *[zero.alias(c) for c in ("range", "least", "chunk")], F.lit(True).alias("own"))
+    step = F.log(F.lit(den / num)) + 1e-9
+    at = F.floor(F.log("size") / step).cast("int")
+    ranges = counted.where(~whole).select("group", "node", "size", "weight", F.explode(F.array(at - 1, at)).alias("range"), (at - 1).alias("least"))
+    chunks = F.greatest(F.ceil(F.col("members") / F.lit(CHUNK)), F.ceil(F.col("bytes") / F.lit(CHUNK_BYTES))).cast("int")
+    cut = ranges.join(ranges.groupBy("group", "range").agg(*sums), ["group", "range"]).withColumn("chunks", chunks)
+    paired = cut.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(zero, F.col("chunks") - 1)))
+    tree = F.xxhash64("group", "range", F.least("chunk", "other"), F.greatest("chunk", "other"))
+    large = paired.select("node", "size", tree.alias("bin"), tree.alias("tree"), "group", "range", "least", "chunk", (F.col("chunk") == F.col("other")).alias("own"))
+    return small.unionByName(large)
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: tuple[int, int], lower: bool, listed: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(index, nodes, links): the shingle index, the nodes that have an id, and the rows of _verified_links."""
     num, den = threshold
-    index, nodes, places = _possible(docs, id_col, text_col, k, num, den, lower)
-    texts = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("node"))
-    sets = texts.join(_small(places), "node").select("text", "node", "places").mapInArrow(_member_sets(k, lower), f"node long, places array<{_PLACE}>, value binary")
-    links = sets.select("node", "value", F.inline("places")).groupBy("bin").applyInArrow(_links_of_group(num, den, True), "a long, b long")
-    return _with_components(index, nodes, links).select(F.col("id").alias(id_col), "n_shingles", _component())
+    if not 0 < den <= 2 * num <= 2 * den:
+        raise ValueError(f"a threshold from 1/2 to 1 is needed, not {num}/{den}")
+    index = written(shingle_index(docs, id_col, text_col, k, num, den, lower), "shingles")
+    firsts = [F.first(c).alias(c) for c in ("check", "n_shingles", "bitmap")]
+    nodes = written(index.where("n_shingles > 0 AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *firsts), "nodes")
+    sized = lambda weight: nodes.select("node", F.col("n_shingles").alias("size"), weight.alias("weight"))
+    members = written(candidate_groups(index).join(sized(F.octet_length("bitmap") + 100), "node"), "members")
+    dealt = deal(members, num, den).join(nodes.select("node", F.col("bitmap").alias("value")), "node")
+    possible = dealt.groupBy("bin").applyInArrow(_possible_links(num, den), "a long, b long, n long")
+    clusters = connected_components(possible).withColumnRenamed("component", "group")
+    members = written(clusters.join(sized(8 * F.col("n_shingles") + 100), "node"), "members")
+    places = deal(members, num, den).groupBy("node", "size").agg(F.collect_list(F.struct(*_PLACE)).alias("places"))
+    placed = written(places.join(nodes.select("node", "check", "copies", F.col("id").alias("first_id")), "node"), "places")
+    texts = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("first_id")).join(placed, "first_id")
+    carried = texts.select("text", "node", "check", "size", "copies", "places")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields[1:])
+    sets = carried.mapInArrow(_member_sets(k, lower), f"{schema}, value binary").select("node", "size", "copies", "value", F.inline("places"))
+    return index, nodes, written(sets.groupBy("bin").applyInArrow(_verified_links(num, den, listed), "a long, b long, n long"), "links")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (4, 5), lower: bool = True) -> DataFrame:
-    """(id, n_shingles, component_id, n_links): jaccard_components with the number of other rows that each row is linked with.
-
-    A link is a pair of rows with ids whose sets have Jaccard >= threshold, equal sets
-    included. Every pair that sizes and bitmaps leave is verified, and counted once. Rows
-    without shingles have 0 links; rows without an id have null, and count for no other.
+    """(id, n_shingles, component_id, n_links): the component of each text, and the number of other rows that it is linked with.
+
+    Two rows with ids are linked if their shingle sets have Jaccard >= threshold, a
+    fraction (numerator, denominator) from 1/2 to 1, compared in integers; equal sets are
+    linked too. component_id is the smallest id reachable. Every pair that sizes and
+    bitmaps leave is verified, and counted once. Null and empty texts, and texts without
+    words, have 0 shingles and 0 links and stay alone. Rows of one id are rows of their
+    own, whatever their texts. A row without an id keeps its n_shingles, has null n_links,
+    counts for no other, and takes the component of the rows with ids that have its set,
+    or null. Ties do not arise. Only the id and text columns are read, so other columns
+    cannot clash. An empty table gives no rows.
     """
-    num, den = threshold
-    index, nodes, places = _possible(docs, id_col, text_col, k, num, den, lower)
-    found = _verified(docs, nodes, places, id_col, text_col, k, num, den, lower, False)
-    counts = found.where("n IS NOT NULL").groupBy(F.col("a1").alias("h1"), F.col("a2").alias("h2")).agg(F.sum("n").alias("n"))
-    rows = _with_components(index, nodes.join(counts, ["h1", "h2"], "left"), found.where("b IS NOT NULL").select("a", "b"), F.coalesce("n", F.lit(0)) + F.col("copies") - 1)
-    n_links = F.when(F.col("id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("links")).otherwise(F.lit(0)).cast("long"))
-    return rows.select(F.col("id").alias(id_col), "n_shingles", _component(), n_links.alias("n_links"))
+    index, nodes, links = _joined(docs, id_col, text_col, k, threshold, lower, False)
+    counts = links.where("n IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    connected = connected_components(links.where("n IS NULL")).withColumnRenamed("component", "root")
+    grouped = nodes.select("node", "id", "copies").join(connected, "node", "left").join(counts, "node", "left")
+    rooted = grouped.select("node", F.col("id").alias("alone"), "copies", "n", "root")
+    least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("alone").alias("component"))
+    found = rooted.join(least, "root", "left").select("node", F.coalesce("component", "alone").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    has = F.col("n_shingles") > 0
+    n_links = F.when(F.col("id").isNotNull(), F.when(has, F.col("links")).otherwise(0).cast("long"))
+    rows = index.select("id", "n_shingles", "node").join(found, "node", "left")
+    return rows.select(F.col("id").alias(id_col), "n_shingles", F.when(has, F.col("component")).otherwise(F.col("id")).alias("component_id"), n_links.alias("n_links"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (4, 5), lower: bool = True) -> DataFrame:
+    """(id, n_shingles, component_id): jaccard_join without its count of links."""
+    return jaccard_join(docs, id_col, text_col, k, threshold, lower).drop("n_links")
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (4, 5), lower: bool = True) -> DataFrame:
@@ -508,10 +490,8 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     All links of rows are these times the copies, and the pairs within each class. Its
     rows are as many as the links, which can grow with the square of a group of near copies.
     """
-    num, den = threshold
-    _, nodes, places = _possible(docs, id_col, text_col, k, num, den, lower)
-    found = _verified(docs, nodes, places, id_col, text_col, k, num, den, lower, True).where("n IS NOT NULL")
-    end = lambda c: nodes.select(F.col("h1").alias(f"{c}1"), F.col("h2").alias(f"{c}2"), F.struct(F.col("node"), F.col("copies")).alias(c))
-    pairs = found.select("a1", "a2", "b1", "b2").join(end("a"), ["a1", "a2"]).join(end("b"), ["b1", "b2"])
-    pairs = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.copies").alias("a_copies"), F.col("y.copies").alias("b_copies"))
+    _, nodes, links = _joined(docs, id_col, text_col, k, threshold, lower, True)
+    end = lambda c: nodes.select(F.col("node").alias(c), F.struct("id", "copies").alias(f"{c}_end"))
+    pairs = links.where("n IS NOT NULL").join(end("a"), "a").join(end("b"), "b")
+    pairs = pairs.select(F.least("a_end", "b_end").alias("x"), F.greatest("a_end", "b_end").alias("y"))
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.copies").alias("a_copies"), F.col("y.copies").alias("b_copies"))

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from meridia.llm import decontaminate, jaccard_join, substring_dedup
@@ -59,7 +60,9 @@ def test_keys_lose_no_link():
         for _ in range(int(rng.integers(1, max(2, n // 6)))):
             b[rng.integers(0, len(b))] = rng.integers(0, 2**63)
         b = np.unique(b[: len(b) - int(rng.integers(0, 2))])
-        frequent = np.sort(rng.choice(a, len(a) // 2, replace=False))
+        frequent = np.zeros(1 << (jaccard_join.SLOT_BITS - 3), np.uint8)
+        slot = rng.choice(a, len(a) // 2, replace=False) >> np.uint64(64 - jaccard_join.SLOT_BITS)
+        np.bitwise_or.at(frequent, (slot >> np.uint64(3)).astype(np.int64), np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8))
         shared = len(np.intersect1d(a, b))
         if len(a) != len(b) or shared < len(a):
             if 5 * shared >= 4 * (len(a) + len(b) - shared):
@@ -67,36 +70,74 @@ def test_keys_lose_no_link():
                 assert len(np.intersect1d(jaccard_join.part_keys(a, 4, 5), jaccard_join.part_keys(b, 4, 5)))
 
 
-def test_tree_links_connect_what_pairs_connect():
-    rng = np.random.default_rng(4)
-    sets = []
-    for _ in range(25):
-        base = rng.integers(0, 2**63, int(rng.integers(20, 200)), dtype=np.uint64)
-        for _ in range(8):
+def near_sets(groups, each, least, most, seed):
+    """Groups of near copies: random sets, each with a few tokens changed."""
+    rng, sets = np.random.default_rng(seed), []
+    for _ in range(groups):
+        base = rng.integers(0, 2**63, int(rng.integers(least, most)), dtype=np.uint64)
+        for _ in range(each):
             v = base.copy()
             v[rng.integers(0, len(v), len(v) // 25)] = rng.integers(0, 2**63, len(v) // 25, dtype=np.uint64)
             sets.append(np.unique(v))
-    ids = np.arange(len(sets))
+    return sets
 
-    def roots(pairs):
-        parent = list(range(len(sets)))
 
-        def find(x):
-            while parent[x] != x:
-                x = parent[x]
-            return x
+def pairs_by_trees(sets, num, den, **more):
+    size, packed = np.array([len(s) for s in sets]), [jaccard_join.signature(s) for s in sets]
+    found = []
+    for c, small in jaccard_join._same_width(size):
+        for x, y in jaccard_join.tree_pairs(size[c], [packed[i] for i in c], num, den, **{k: v[c] if isinstance(v, np.ndarray) else v for k, v in more.items()}):
+            here = small[x] | small[y]
+            found += zip(c[x[here]].tolist(), c[y[here]].tolist(), strict=True)
+    return found
 
-        for a, b in pairs:
-            parent[max(find(a), find(b))] = min(find(a), find(b))
-        return [find(i) for i in ids.tolist()]
 
-    force = [(i, j) for i in range(len(sets)) for j in range(i) if 10 * len(np.intersect1d(sets[i], sets[j])) >= 9 * len(np.union1d(sets[i], sets[j]))]
+def test_trees_leave_every_link_once():
+    sets = near_sets(25, 8, 20, 200, 4)
+    force = {(i, j) for i in range(len(sets)) for j in range(i) if 10 * len(np.intersect1d(sets[i], sets[j])) >= 9 * len(np.union1d(sets[i], sets[j]))}
     assert force
-    size, packed = np.array([len(s) for s in sets]), [jaccard_join.signature(s) for s in sets]
-    found = [links for c in jaccard_join._classes(size) for links in jaccard_join.tree_links(size[c], [packed[i] for i in c], ids[c], 9, 10, [sets[i] for i in c])]
-    assert roots(found) == roots(force)
-    possible = [links for c in jaccard_join._classes(size) for links in jaccard_join.tree_links(size[c], [packed[i] for i in c], ids[c], 9, 10)]
-    assert all(roots(possible)[a] == roots(possible)[b] for a, b in force)
+    pairs = pairs_by_trees(sets, 9, 10)
+    left = {(max(p), min(p)) for p in pairs}
+    assert len(left) == len(pairs) and left >= force
+    xs, ys = (np.array(v) for v in zip(*pairs, strict=True))
+    assert {(max(p), min(p)) for p in zip(*(v.tolist() for v in jaccard_join.linked_pairs(xs, ys, sets, 9, 10)), strict=True)} == force
+    chunk = np.arange(len(sets)) % 2
+    assert {(max(p), min(p)) for p in pairs_by_trees(sets, 9, 10, chunk=chunk)} >= {(i, j) for i, j in force if chunk[i] != chunk[j]}
+    assert all(chunk[i] != chunk[j] for i, j in pairs_by_trees(sets, 9, 10, chunk=chunk))
+
+
+def test_inner_nodes_prune():
+    sets = [s for s in near_sets(60, 20, 100, 120, 5)]
+    pruned: list[int] = []
+    pairs = pairs_by_trees(sets, 9, 10, group=np.arange(len(sets)) // 20, pruned=pruned)
+    assert sum(pruned[:-1]) > 0  # pairs of inner nodes
+    leaves = len(sets) // jaccard_join.LEAF
+    assert len(pairs) < 60 * 20 * 20 and sum(pruned) > leaves * leaves / 40
+
+
+def test_labels_join_what_pairs_join():
+    rng = np.random.default_rng(6)
+    label, parent = np.arange(200), list(range(200))
+    for _ in range(4):
+        xs, ys = rng.integers(0, 200, (2, 40))
+        label = jaccard_join.joined(label, xs, ys)
+        for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
+            a, b = parent[x], parent[y]
+            parent = [min(a, b) if p in (a, b) else p for p in parent]
+        assert label.tolist() == parent
+
+
+def test_frequent_slots_come_last(spark):
+    rows = [(i, f"one two three four five six w{i} x{i} y{i} z{i}") for i in range(5)]
+    frequent = jaccard_join.frequent_slots(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 3, True)
+    words = next(jaccard_join.words_of(pa.array(["one two three four five six", "w1 x1 y1 z1"])))
+    held = [[int(frequent[int(t) >> 64 - jaccard_join.SLOT_BITS + 3] >> (int(t) >> 64 - jaccard_join.SLOT_BITS & 7) & 1) for t in s] for s in words.shingle_sets(3)]
+    assert held == [[1] * 4, [0] * 2]
+
+
+def test_thresholds_under_a_half_are_refused(empty):
+    with pytest.raises(ValueError, match="1/2"):
+        jaccard_join.jaccard_join(empty, threshold=(2, 5))
 
 
 def test_large_clusters_are_cut_without_loss(docs, corpus, monkeypatch):

@@ -41,13 +41,22 @@ def test_language_stage_drops_texts_without_letters_only(stages):
 
 def test_duplicate_stage_equals_brute_force(stages):
     before, out = stages["near_duplicates"]
-    groups = components_by_force([(r.doc_id, r.text) for r in before if r.doc_id is not None], 5, 4, 5)
-    expected = {r for r in before if r.doc_id is None or groups[r.doc_id][1] == r.doc_id}
+    rows = sorted(set(before), key=lambda r: (r.doc_id is None, r.doc_id or 0))  # the kept one of a group is its first
+    groups = components_by_force([(i, r.text) for i, r in enumerate(rows)], 5, 4, 5)
+    expected = {r for i, r in enumerate(rows) if groups[i][1] == i}
     kept = out.collect()
     assert out.columns == COLUMNS and len(kept) == len(expected) and set(kept) == expected
     assert len(kept) < len(before)
 
 
+def test_duplicate_stage_tells_rows_apart(spark):
+    text, clean = " ".join(f"word{i}" for i in range(40)), " ".join(f"other{i}" for i in range(40))
+    rows = [(None, text, "a", "s", 1), (None, text, "b", "s", 1), (7, text + " end", "a", "s", 1), (7, clean, "a", "s", 1), (9, None, None, None, None), (9, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[2], rows[3], rows[4]], key=str)
+
+
 def test_leak_stage_equals_brute_force(stages, spark, sf_dir):
     items = [shingle_set(r.text, 5) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     before, out = stages["decontamination"]
