@@ -1,8 +1,7 @@
 """A corpus pipeline over documents: language, near duplicates, test leaks, secrets, tokens.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before kept;
-all but the last return the columns of documents. Rows with a null doc_id pass the
-duplicate stage as they are.
+all but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -21,15 +20,23 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of near copies (5 words, 0.8) the document with the smallest id.
+    """Keeps of each component of near copies (5 words, 0.8) the document with the smallest id; one without an id only where none has one.
 
-    Repeated rows, equal in every column, become one.
+    Rows are told apart by a hash of all their columns, so that rows without an id, or of
+    one id, are documents of their own. Repeated rows, equal in every column, become one.
     """
-    groups = written(jaccard_join.jaccard_components(docs, k=5, threshold=(4, 5)), "groups")
-    if not groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+    columns = docs.columns
+    row = F.xxhash64(*columns, *[F.col(c).isNull() for c in columns]).alias("row")
+    groups = written(jaccard_join.jaccard_components(docs.select(row, "text"), id_col="row", k=5, threshold=(4, 5)), "groups")
+    if not groups.groupBy("row").count().where("count > 1").isEmpty():
         docs = docs.dropDuplicates()
-    copies = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    several = groups.where("component_id <> row").select("component_id").distinct()
+    members = groups.join(several, "component_id").distinct().join(docs.select(row, "doc_id"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+    members = written(members.select("row", "component_id", "doc_id"), "members")
+    kept = members.groupBy("component_id").agg(first).select("component_id", F.col("first.row").alias("kept"))
+    copies = written(members.join(kept, "component_id").where("row <> kept").select(F.col("row").alias("copy")), "copies")
+    return docs.join(copies, row == F.col("copy"), "left_anti").select(*columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
