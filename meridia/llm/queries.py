@@ -76,7 +76,8 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = written(warc.write_archives(_table(spark, sf_dir, "pages")), "archives")
-    return warc.read_archives(archives).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    page = lambda c: warc.page_of(F.col(c))
+    return warc.read_archives(archives).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

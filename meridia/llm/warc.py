@@ -15,11 +15,13 @@ from datetime import datetime, timezone
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the format: magic numbers of the dictionary's frame and of any frame.
-DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
+DICTIONARY_MAGIC, FRAME_MAGIC, SKIPPABLE = 0x184D2A5D, 0xFD2FB528, b"\x2a\x4d\x18"
+#: Compressed bytes that the reader looks at in one go.
+PIECE = 16 << 10
 #: Record bytes after which an archive ends, sample records and bytes of its dictionary.
 ARCHIVE_BYTES, SAMPLES, DICTIONARY_BYTES = 8 << 20, 64, 16 << 10
 _CRLF = b"\r\n"
@@ -77,20 +79,37 @@ def _dictionary(archive: bytes) -> tuple[zstandard.ZstdCompressionDict | None, i
     return zstandard.ZstdCompressionDict(raw), 8 + size
 
 
+def _frame(dictionary: zstandard.ZstdCompressionDict | None, view: memoryview, at: int) -> tuple[bytes, int]:
+    """The content of the frame at a byte, and where the next one starts; fed bit by bit, so that no more than a piece is copied beyond it."""
+    frame = (zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()).decompressobj()
+    start, parts = at, []
+    try:
+        while not frame.eof and at < len(view):
+            parts.append(frame.decompress(view[at : at + PIECE]))
+            at = min(at + PIECE, len(view))
+    except zstandard.ZstdError as e:
+        raise ValueError(f"no frame at byte {start}: {e}") from e
+    if not frame.eof:
+        raise ValueError(f"the frame at byte {start} is cut off")
+    return b"".join(parts), at - len(frame.unused_data)
+
+
 def read_records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-case name, block) of each record of an archive; raises ValueError where it is not valid."""
     dictionary, at = _dictionary(archive)
     view = memoryview(archive)
     while at < len(archive):
-        frame = (zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()).decompressobj()
+        if archive[at + 1 : at + 4] == SKIPPABLE and archive[at] >> 4 == 5:  # a frame of no concern here
+            at += 8 + int.from_bytes(archive[at + 4 : at + 8], "little")
+            if at > len(archive):
+                raise ValueError("a skippable frame is cut off")
+            continue
+        start = at
+        record, at = _frame(dictionary, view, at)
         try:
-            record = frame.decompress(view[at:])
-        except zstandard.ZstdError as e:
-            raise ValueError(f"no frame at byte {at}: {e}") from e
-        if not frame.eof:
-            raise ValueError(f"the frame at byte {at} is cut off")
-        at = len(archive) - len(frame.unused_data)
-        yield parse_record(record)
+            yield parse_record(record)
+        except ValueError as e:
+            raise ValueError(f"the record at byte {start}: {e}") from e
 
 
 def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
@@ -101,21 +120,40 @@ def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
         raise ValueError("not a WARC record")
     headers = {}
     for line in lines[1:]:
-        name, colon, value = line.decode().partition(":")
+        if line[:1] in (b" ", b"\t") and headers:  # goes on from the line before
+            headers[name] += " " + line.decode("utf-8", "replace").strip()
+            continue
+        name, colon, value = line.decode("utf-8", "replace").partition(":")
         if not colon:
             raise ValueError(f"not a header: {line[:80]!r}")
-        headers[name.strip().lower()] = value.strip()
+        name = name.strip().lower()
+        headers[name] = value.strip()
     if missing := {"warc-type", "warc-record-id", "warc-date", "content-length"} - headers.keys():
         raise ValueError(f"without {', '.join(sorted(missing))}")
+    if not headers["content-length"].isdecimal():
+        raise ValueError(f"Content-Length is {headers['content-length'][:80]!r}")
     length = int(headers["content-length"])
     if len(rest) != length + 4 or rest[length:] != _CRLF * 2:
         raise ValueError(f"{len(rest) - 4} bytes where Content-Length says {length}")
     block = rest[:length]
-    if (digest := headers.get("warc-block-digest")) and digest != f"sha1:{sha1_base32(block)}":
+    if _differs(headers.get("warc-block-digest"), block):
         raise ValueError("the block's digest differs")
     return headers, block
 
 
+def _differs(digest: str | None, content: bytes) -> bool:
+    """Whether a digest header is a SHA-1, in base 32 or 16, of something else; other digests are not looked into."""
+    name, _, value = (digest or "").partition(":")
+    return name.lower() == "sha1" and value.upper() not in (sha1_base32(content), hashlib.sha1(content).hexdigest().upper())
+
+
+def payload_of(headers: dict[str, str], block: bytes) -> bytes:
+    """The block, less the HTTP header where the record holds an HTTP message."""
+    if headers.get("content-type", "").lower().startswith("application/http"):
+        return block.partition(_CRLF * 2)[2]
+    return block
+
+
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, date: datetime = datetime(2024, 1, 1, tzinfo=timezone.utc)) -> DataFrame:
     """(archive binary, records long) rows that hold a record for every row of pages.
 
@@ -154,11 +192,15 @@ def _archive(records: list[bytes]) -> pa.RecordBatch:
 
 
 def read_archives(archives: DataFrame, content_col: str = "archive") -> DataFrame:
-    """(record_id, record_type, url, payload_bytes, payload_digest, refers_to, block) of every record.
-
-    Ids are those of the pages; payload_bytes and payload_digest are the full payload's,
-    a revisit's too. A record that is not valid, or an archive cut off, fails the job with
-    a message that says where. Null archives hold nothing.
+    """(record_id, record_type, url, payload_bytes, payload_digest, refers_to, block) of every record, of any type and writer.
+
+    record_id and refers_to are the URIs without brackets; page_of turns those of
+    write_archives into page ids. payload_bytes and payload_digest (bare, without the
+    name of a SHA-1) are the full payload's. A revisit's come from its headers, and are
+    null where it has none; other records' are counted from the block if no header says
+    them. A record or a payload digest that is not valid, or an archive cut off, fails the
+    job with a message that says where. Null archives hold nothing; an empty table gives
+    no rows; repeated archives repeat their records. Only the content column is read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,11 +208,7 @@ def read_archives(archives: DataFrame, content_col: str = "archive") -> DataFram
             for content in batch.column(0):
                 rows, size = [], 0
                 for headers, block in read_records(content.as_py() or b""):
-                    refers = headers.get("warc-refers-to", "")
-                    digest = headers["warc-payload-digest"].removeprefix("sha1:")
-                    if headers["warc-type"] == "response" and digest != sha1_base32(block):
-                        raise ValueError(f"the payload's digest differs in {headers['warc-record-id']}")
-                    rows.append((_page(headers["warc-record-id"]), headers["warc-type"], headers.get("warc-target-uri"), int(headers["x-payload-length"]), digest, _page(refers), block))
+                    rows.append(_row(headers, block))
                     size += len(block)
                     if size > ARCHIVE_BYTES:
                         yield _rows(rows)
@@ -178,14 +216,27 @@ def read_archives(archives: DataFrame, content_col: str = "archive") -> DataFram
                 if rows:
                     yield _rows(rows)
 
-    return archives.select(F.col(content_col).alias("content")).mapInArrow(run, "record_id long, record_type string, url string, payload_bytes long, payload_digest string, refers_to long, block binary")
+    return archives.select(F.col(content_col).alias("content")).mapInArrow(run, "record_id string, record_type string, url string, payload_bytes long, payload_digest string, refers_to string, block binary")
+
+
+def _row(headers: dict[str, str], block: bytes) -> tuple:
+    kind, digest, length = headers["warc-type"], headers.get("warc-payload-digest"), headers.get("x-payload-length", "")
+    size = int(length) if length.isdecimal() else None
+    if kind != "revisit":
+        payload = payload_of(headers, block)
+        if kind in ("response", "resource") and _differs(digest, payload):
+            raise ValueError(f"the payload's digest differs in {headers['warc-record-id']}")
+        digest, size = digest or sha1_base32(payload), len(payload)
+    refers = headers.get("warc-refers-to")
+    return headers["warc-record-id"].strip("<>"), kind, headers.get("warc-target-uri"), size, digest and digest.removeprefix("sha1:"), refers and refers.strip("<>"), block
 
 
-def _page(urn: str) -> int | None:
-    number = urn.strip("<>").rpartition(":")[2]
-    return int(number) if number else None
+def page_of(uri: Column) -> Column:
+    """The page id in a URI of write_archives; null for a page without one, and for other URIs."""
+    number = F.regexp_extract(uri, r"^urn:page:(-?[0-9]+)$", 1)
+    return F.when(number != "", number).cast("long")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["record_id", "record_type", "url", "payload_bytes", "payload_digest", "refers_to", "block"])

@@ -107,7 +107,8 @@ def pages(spark):
 
 @pytest.mark.parametrize("least", [0, 5, 10_000])
 def test_archives_read_back(pages, least):
-    got = warc.read_archives(warc.write_archives(pages, least=least)).collect()
+    got = warc.read_archives(warc.write_archives(pages, least=least))
+    got = got.withColumns({c: warc.page_of(F.col(c)) for c in ("record_id", "refers_to")}).collect()
     last = {}
     for i, _, h in PAGES:
         last[h or ""] = max([x for x in (last.get(h or ""), i) if x is not None], default=None)
@@ -167,3 +168,60 @@ def test_wrong_records_are_refused():
     for bad in (good.replace(b"Content-Length: 3", b"Content-Length: 4"), good.replace(b"WARC/1.1", b"XARC/1.1"), good.replace(b"\r\nabc", b"\r\nabd"), good.replace(b"WARC-Date", b"WARC-Dote"), good[:-1], b""):
         with pytest.raises(ValueError):
             warc.parse_record(bad)
+
+
+def foreign(kind, headers, block):
+    head = [f"WARC-Type: {kind}", "WARC-Date: 2020-02-02T02:02:02Z", *headers, f"Content-Length: {len(block)}"]
+    return "\r\n".join(["WARC/1.0", *head]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark):
+    import struct
+
+    import zstandard
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hello</p>"
+    hexa = hashlib.sha1(b"<p>hello</p>").hexdigest()
+    records = [
+        foreign("warcinfo", ["WARC-Record-ID: <urn:uuid:0>", "Content-Type: application/warc-fields"], b"software: x\r\n"),
+        foreign("response", ["WARC-Record-ID: <urn:uuid:6ba7b810-9dad-11d1-80b4-00c04fd430c8>", "WARC-Target-URI: http://x/", "Content-Type: application/http;", " msgtype=response", f"WARC-Payload-Digest: sha1:{hexa}"], http),
+        foreign("request", ["WARC-Record-ID: <urn:uuid:2>", "Content-Type: application/http", "WARC-Block-Digest: md5:00"], b"GET / HTTP/1.1\r\n\r\n"),
+        foreign("revisit", ["WARC-Record-ID: <urn:uuid:3>", "WARC-Refers-To: <urn:uuid:1>"], b""),
+    ]
+    pack = zstandard.ZstdCompressor().compress
+    data = pack(records[0]) + struct.pack("<II", 0x184D2A50, 5) + b"12345" + b"".join(map(pack, records[1:]))
+    got = warc.read_archives(spark.createDataFrame([(bytearray(data),), (None,)], "archive binary")).collect()
+    assert [(r.record_type, r.record_id, r.payload_bytes, r.refers_to) for r in got] == [
+        ("warcinfo", "urn:uuid:0", 13, None),
+        ("response", "urn:uuid:6ba7b810-9dad-11d1-80b4-00c04fd430c8", 12, None),
+        ("request", "urn:uuid:2", 0, None),
+        ("revisit", "urn:uuid:3", None, "urn:uuid:1"),
+    ]
+    assert got[1].payload_digest == hexa and got[2].payload_digest == warc.sha1_base32(b"") and got[3].payload_digest is None
+    with pytest.raises(ValueError, match="byte 0: Content-Length"):
+        list(warc.read_records(pack(records[3].replace(b"Content-Length: 0", b"Content-Length: x"))))
+
+
+def test_large_archives_are_read_in_linear_time():
+    import time
+
+    block = bytes(range(256)) * 40
+
+    def seconds(n):
+        data = warc.pack_archive([warc.record_bytes(f"urn:page:{i}", "u", "2024-01-01T00:00:00Z", i.to_bytes(4, "little") + hashlib.sha256(b"%d" % i).digest() * 60 + block, None) for i in range(n)])
+        start = time.perf_counter()
+        assert sum(1 for _ in warc.read_records(data)) == n
+        return time.perf_counter() - start
+
+    seconds(200)
+    assert seconds(16_000) < 16 * 4 * max(seconds(1000), 0.02)
+
+
+def test_warc_query_equals_brute_force(spark, sf_dir):
+    rows = [(r.page_id, (r.html or "").encode()) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    last = {}
+    for i, body in rows:
+        last[body] = max(i, last.get(body, i))
+    expected = sorted((i, len(b), warc.sha1_base32(b), *(("response", "") if last[b] == i else ("revisit", last[b]))) for i, b in rows)
+    got = QUERIES["op8_warc"](spark, sf_dir).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, "" if r.refers_to is None else r.refers_to) for r in got) == expected
