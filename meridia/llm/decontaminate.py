@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from meridia.llm._words import SHINGLE_BASE, U, Words, mix, words_of
 
@@ -34,19 +35,27 @@ class ItemIndex:
     #: Of each partition: its least count of shared shingles, sorted sketch values, their items.
     partitions: list[tuple[int, np.ndarray, np.ndarray]]
     need: np.ndarray
+    #: Of each length under k words: the items' whole sequences, sorted, and the items of each.
+    short: dict[int, tuple[np.ndarray, list[list[int]]]]
 
     @classmethod
     def build(cls, rows: list[tuple], k: int, num: int, den: int) -> ItemIndex:
-        ids, sets = [], []
+        ids, sets, words = [], [], []
         for w in words_of(pa.array([t for _, t in rows], pa.large_string()), True):
-            for (i, _), s in zip(rows[w.lo : w.hi], w.shingle_sets(k), strict=True):
+            for (i, _), s, n in zip(rows[w.lo : w.hi], w.shingle_sets(k), w.counts.tolist(), strict=True):
                 if len(s):
                     ids.append(i)
                     sets.append(s)
+                    words.append(n)
         need = np.array([-(-num * len(s) // den) for s in sets], np.int64)
         by_class: dict[int, list[int]] = {}
-        for i, s in enumerate(sets):
-            by_class.setdefault(len(s).bit_length(), []).append(i)
+        by_length: dict[int, dict[int, list[int]]] = {}
+        for i, (s, n) in enumerate(zip(sets, words, strict=True)):
+            if n < k:
+                by_length.setdefault(n, {}).setdefault(int(s[0]), []).append(i)
+            else:
+                by_class.setdefault(len(s).bit_length(), []).append(i)
+        short = {n: (np.array(sorted(of), np.uint64), [of[v] for v in sorted(of)]) for n, of in by_length.items()}
         partitions = []
         for members in by_class.values():
             values, owner = [], []
@@ -57,7 +66,7 @@ class ItemIndex:
             v, o = np.concatenate(values), np.concatenate(owner)
             order = np.argsort(v, kind="stable")
             partitions.append((int(need[members].min()), v[order], o[order]))
-        return cls(ids, sets, partitions, need)
+        return cls(ids, sets, partitions, need, short)
 
     def search(self, column: pa.Array, k: int) -> Iterator[tuple[int, int, int]]:
         """(row, item number, shared shingles) of the pairs of a text column that reach the threshold."""
@@ -76,12 +85,14 @@ class ItemIndex:
                 b = np.searchsorted(sketch, value[low], side="right")
                 for t, x, y in zip(text[low].tolist(), a.tolist(), b.tolist(), strict=True):
                     pairs.update((t, int(o)) for o in owner[x:y])
-            single = [i for i, s in enumerate(self.sets) if len(s) == 1]
             sets = {}
-            if single:
-                for t in np.flatnonzero((counts > 0) & (counts < k)).tolist():
-                    sets[t] = self._whole(w, t)
-                    pairs.update((t, i) for i in single if self.sets[i][0] == sets[t][0])
+            for n, (sequence, owner) in self.short.items():
+                at = np.flatnonzero(w.left() >= n)
+                value = w.sequences(n)[at]
+                a = np.minimum(np.searchsorted(sequence, value), len(sequence) - 1)
+                hit = sequence[a] == value
+                found = {(t, int(i)) for t, x in zip(np.repeat(np.arange(w.hi - w.lo), counts)[at][hit].tolist(), a[hit].tolist(), strict=True) for i in owner[x]}
+                yield from ((w.lo + t, i, 1) for t, i in sorted(found))
             for t, i in sorted(pairs):
                 if t not in sets:
                     a, b = int(w.first[t]), int(w.first[t + 1])
@@ -90,12 +101,6 @@ class ItemIndex:
                 if shared >= self.need[i]:
                     yield w.lo + t, i, shared
 
-    @staticmethod
-    def _whole(w: Words, t: int) -> np.ndarray:
-        a, b = int(w.first[t]), int(w.first[t + 1])
-        one = Words(0, 1, w.data, w.starts[a:b], w.ends[a:b], np.array([0, b - a]), w.hashes[a:b])
-        return next(one.shingle_sets(b - a + 1))
-
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> Iterator:
     """Broadcast indexes of the items, block by block; a block holds BLOCK_CHARS characters or so."""
@@ -113,22 +118,23 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """(doc id, item id, n_shared, n_item, containment) of every document that holds enough of an item.
 
     Enough: at least threshold (numerator, denominator) of the item's distinct k-word
-    shingles, in lower case A-Z, anywhere in the whole document. A text with fewer words
-    than k is one shingle, so short items are found only as whole documents. Null and
+    shingles, in lower case A-Z, anywhere in the whole document. An item with fewer words
+    than k is one shingle, its whole sequence, and is held wherever that stands. Null and
     empty texts hold nothing and are in nothing. Repeated rows and ids give a row each;
     repeated items count once. Only id and text columns are read. Empty tables give no rows.
     """
     num, den = threshold
     left, right = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType
+    kind = to_arrow_type(right)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {left}, item {right.simpleString()}, n_shared long, n_item long"
     found = docs.sparkSession.createDataFrame([], schema)
     for shared_index in item_blocks(items, item_id, item_text, k, num, den):
-        found = found.unionByName(source.mapInArrow(_pairs(shared_index, k), schema))
+        found = found.unionByName(source.mapInArrow(_pairs(shared_index, k, kind), schema))
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_id), "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
-def _pairs(shared_index, k: int):
+def _pairs(shared_index, k: int, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared_index.value
         for batch in batches:
@@ -136,7 +142,7 @@ def _pairs(shared_index, k: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array([h[0] for h in hits], pa.int64())),
-                    pa.array([index.ids[h[1]] for h in hits], pa.int64() if not hits or isinstance(index.ids[0], int) else None),
+                    pa.array([index.ids[h[1]] for h in hits], kind),
                     pa.array([h[2] for h in hits], pa.int64()),
                     pa.array([len(index.sets[h[1]]) for h in hits], pa.int64()),
                 ],

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from meridia.llm import decontaminate, jaccard_join, substring_dedup
 from meridia.llm.components import connected_components
@@ -243,10 +244,10 @@ def items(spark, corpus):
 def test_contamination_equals_brute_force(docs, items):
     expected = []
     for d in docs.collect():
-        have = shingle_set(d.text, 5)
         for i in items.collect():
+            short = len(words_of(i.text)) < 5
             want = shingle_set(i.text, 5)
-            n = len(want & have)
+            n = len(want & shingle_set(d.text, len(words_of(i.text)) if short and want else 5))
             if want and 5 * n >= 4 * len(want):
                 expected.append((d.doc_id, i.item_id, n, len(want)))
     got = [tuple(r)[:4] for r in decontaminate.contaminated(docs, items).collect()]
@@ -266,3 +267,13 @@ def test_contamination_of_nothing(docs, empty, items):
     assert decontaminate.contaminated(empty, items).collect() == []
     assert decontaminate.contaminated(docs, items.where("false")).collect() == []
     assert decontaminate.drop_contaminated(docs, items.where("false")).count() == docs.count()
+
+
+@pytest.mark.parametrize("kind", ["int", "long", "string"])
+def test_short_items_are_found_inside_long_documents(spark, kind):
+    docs = spark.createDataFrame([(1, "so it goes on and ON. again"), (2, "goes it so"), (3, "on and on. and on"), (4, None), (5, "")], "doc_id int, text string")
+    items = spark.createDataFrame([(str(i), t) for i, t in enumerate(["On and", "goes", "and on. and on", "not there", None, ""])], "item_id string, text string").withColumn("item_id", F.col("item_id").cast(kind))
+    got = {(r.doc_id, str(r.item_id), r.n_shared, r.n_item) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(1, "0", 1, 1), (3, "0", 1, 1), (1, "1", 1, 1), (2, "1", 1, 1), (3, "2", 1, 1)}
+    assert decontaminate.contaminated(docs, items).schema["item_id"].dataType == items.schema["item_id"].dataType
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()) == [4, 5]
