@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.llm._shared import written
@@ -117,23 +117,25 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", seed_col: str = "doc_id", sample: int = SAMPLE, grams: int = GRAMS, slot_bits: int = SLOT_BITS) -> BitmaskFilter:
     """A filter from the rows with a text and a language.
 
-    At most about `sample` rows are used, chosen by a hash of seed_col and so the same on
-    every run; each language keeps its `grams` most frequent n-grams. Both bounds hold
-    whatever the size of the table. Without labelled rows the filter knows no language.
+    Each language has an equal share of about `sample` rows, or all its rows if they are
+    fewer, chosen by a hash of seed_col and so the same on every run; it keeps its `grams`
+    most frequent n-grams. Both bounds hold whatever the size of the table. Without
+    labelled rows the filter knows no language.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(seed_col)).alias("seed")).where("text IS NOT NULL AND lang IS NOT NULL")
-    total = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).count()
-    million = 1_000_000
-    if total > sample:
-        rows = rows.where(F.pmod("seed", F.lit(million)) < int(million * sample / total))
-    rows = written(rows.select("text", "lang"), "language-sample")
     texts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = sorted(texts, key=lambda x: (-texts[x], x))
+    if not languages:
+        return BitmaskFilter.build([], {}, slot_bits)
+    share = max(1, sample // len(texts))
+    bounds = F.create_map(*[F.lit(x) for lang, n in texts.items() for x in (lang, (share << 62) // max(n, share))])
+    rows = written(rows.where(F.shiftrightunsigned("seed", 2) < bounds[F.col("lang")]).select("text", "lang"), "language-sample")
     counts = rows.mapInArrow(_frequencies, "lang string, gram long, texts long").groupBy("lang", "gram").agg(F.sum("texts").alias("texts"))
-    found = {}
-    for lang, n in texts.items():
-        top = counts.where((F.col("lang") == lang) & (F.col("texts") >= max(1, LEAST_SHARE * n))).orderBy(F.desc("texts"), "gram").limit(grams)
-        found[lang] = top.select("gram").toPandas()["gram"].to_numpy(np.int64).astype(np.uint32)
-    return BitmaskFilter.build(sorted(texts, key=lambda x: (-texts[x], x)), found, slot_bits)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("sampled"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("texts"), "gram"))
+    top = counts.join(sizes, "lang").where(F.col("texts") >= F.greatest(F.lit(1.0), LEAST_SHARE * F.col("sampled"))).withColumn("place", place).where(F.col("place") <= grams)
+    found = {lang: part.to_numpy(np.int64).astype(np.uint32) for lang, part in top.select("lang", "gram").toPandas().groupby("lang")["gram"]}
+    return BitmaskFilter.build(languages, found, slot_bits)
 
 
 def identify(docs: DataFrame, model: BitmaskFilter, text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
@@ -142,7 +144,8 @@ def identify(docs: DataFrame, model: BitmaskFilter, text_col: str = "text", carr
     lang_pred is a language of the model, or und for null texts and texts without a
     letter; score, from 0 to 1, is the share of the text's n-grams that are the
     language's beyond chance. Whole texts count. Ties go to the language with more
-    training rows. Repeated rows give repeated rows; an empty table gives none.
+    labelled rows. Only the text and the carried columns are read. Repeated rows give
+    repeated rows; an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     carry = carry or {}
