@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridia.llm._shared import written
+from meridia.llm._shared import sampled, written
 
 SYMBOLS = "#*$%&|<>"
 ENDS = ".!?"
@@ -224,9 +224,7 @@ def _prune(rows: DataFrame, rule: tuple[Condition, ...], of: dict[str, Column],
 def labelled_statistics(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
     """Statistics of about `sample` labelled documents at most, chosen by a hash of the id, with bad = 1 where the label is 0."""
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("labelled_id")).agg(F.min(label_col).alias("label"))
-    total = rows.count()
-    if total > sample:
-        rows = rows.where(F.pmod(F.xxhash64("labelled_id"), F.lit(1_000_000)) < int(1_000_000 * sample / total))
+    rows = sampled(rows.withColumn("seed", F.xxhash64("labelled_id")), rows.count(), sample).drop("seed")
     joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(rows), F.col("id") == F.col("labelled_id"))
     return text_statistics(joined, {"doc_id": F.col("id"), "bad": (F.col("label") == 0).cast("int")})
 
