@@ -101,6 +101,62 @@ def test_context_crosses_lines_and_covers_pem_blocks():
     assert novel(f"private {'so it goes on ' * 30} {KEY}") == []
 
 
+def test_identifiers_of_the_corpus(spark):
+    rows = [(i, f"def load_ledger_entries(token): return fetchLedger{i}(token) # {KEY}") for i in range(5)]
+    df = spark.createDataFrame([*rows, *[(9, "onlyhere onlyhere")] * 4, (None, None), (8, "")], "doc_id long, text string")
+    found = secret_scan.identifiers(df)
+    assert found.endswith(secret_scan.IDENTIFIERS)
+    assert set(found.removesuffix(secret_scan.IDENTIFIERS).decode().split()) == {"load_ledger_entries", "token", "return"}
+    assert secret_scan.identifiers(df.where("false")) == secret_scan.IDENTIFIERS
+
+
+def test_uuids_are_no_secrets():
+    assert novel("private key id 6ba7b810-9dad-11d1-80b4-00c04fd430c8 end") == []
+
+
+def test_planted_secrets_recall_and_precision(spark, sf_dir):
+    """Keys and harmless identifiers set into real texts, both after a word of context."""
+    rng = random.Random(31)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = [w for (t,) in docs.select("text").where("text IS NOT NULL").limit(100).collect() for w in t.split() if w.isalpha() and w.isascii() and len(w) > 3]
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    makers = [
+        lambda: "".join(rng.choice(base62) for _ in range(rng.choice((20, 32, 40, 64)))),
+        lambda: "".join(rng.choice(base62 + "+/") for _ in range(rng.choice((24, 44, 88)))),
+        lambda: "sk_live_" + "".join(rng.choice(base62) for _ in range(24)),
+        lambda: "".join(rng.choice(base62[:26] + "234567") for _ in range(32)),
+    ]
+    harmless = [
+        lambda: "_".join(rng.choice(words) for _ in range(4)).lower(),
+        lambda: "".join(rng.choice(words).capitalize() for _ in range(4)),
+        lambda: "/".join(["https", *[rng.choice(words) for _ in range(4)]]),
+        lambda: "-".join("".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (8, 4, 4, 4, 12)),
+    ]
+    rows, keys = [], set()
+    for i, (text,) in enumerate(docs.select("text").where("length(text) > 300").orderBy("doc_id").limit(160).collect()):
+        value = rng.choice(makers if i % 2 else harmless)()
+        rows.append((i, f"{text[:150]}\nprivate {value}\n{text[150:]}"))
+        if i % 2:
+            keys.add((i, value))
+    got = {(r.doc_id, s.matched) for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect() for s in r.spans if s.kind == "novel"}
+    planted = {(i, text[text.index("\nprivate ") + 9 :].split("\n")[0]) for i, text in rows}
+    assert len(got & keys) >= 0.9 * len(keys)
+    assert len(got & planted - keys) <= 0.1 * len(got & planted)
+
+
+def test_many_matches_take_linear_time():
+    import time
+
+    def seconds(n):
+        text = "".join(f"token=abcdefghijkl{i:06d} private {i:06d}{KEY} " for i in range(n))
+        start = time.perf_counter()
+        secret_scan.novel_spans(text, secret_scan.base_spans(text), secret_scan.NoveltyScorer())
+        return time.perf_counter() - start
+
+    seconds(20)
+    assert seconds(1600) < 16 * 4 * max(seconds(100), 0.01)
+
+
 @pytest.mark.parametrize("alphabet", ["0123456789", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
 def test_keys_of_any_alphabet_and_length(alphabet):
     rng = random.Random(7)
