@@ -1,7 +1,8 @@
 """Chat formatting by schema fingerprints, in Spark expressions only.
 
-A record's nested field paths, of those that any layout declares, are hashed; the hash
-selects a declarative mapping that turns the record into canonical turns. Turns are
+A record's own nested field paths are hashed, each and all together. The hashes of the
+paths select a declarative mapping that turns the record into canonical turns; the hash
+of all of them is its fingerprint, which tells the schemas of a corpus apart. Turns are
 formatted by a template of control strings; control strings inside texts are escaped,
 so that the formatted text can be read back exactly.
 """
@@ -11,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +32,7 @@ TURNS = "array<struct<role: string, text: string>>"
 
 @dataclass(frozen=True)
 class Layout:
-    """Paths that a record of the layout has, paths that it may have, and its turns.
+    """Paths that a record of the layout has, single fields that it may have, and its turns.
 
     `each` names the array whose elements are turns with the fields `role` and `text`;
     `parts` are (role, path) of single fields, joined by a blank line within one role.
@@ -46,8 +46,8 @@ class Layout:
 
 
 LAYOUTS = (
-    Layout("messages", ("messages",), ("messages[].role", "messages[].content", "system"), each=("messages", "role", "content"), parts=(("system", "system"),)),
-    Layout("from_value", ("conversations",), ("conversations[].from", "conversations[].value", "system"), each=("conversations", "from", "value"), parts=(("system", "system"),)),
+    Layout("messages", ("messages",), ("system",), each=("messages", "role", "content"), parts=(("system", "system"),)),
+    Layout("from_value", ("conversations",), ("system",), each=("conversations", "from", "value"), parts=(("system", "system"),)),
     Layout("instruction", ("instruction", "output"), ("input", "system"), parts=(("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Layout("prompt_response", ("prompt", "response"), ("system",), parts=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
     Layout("prompt_completion", ("prompt", "completion"), ("system",), parts=(("system", "system"), ("user", "prompt"), ("assistant", "completion"))),
@@ -55,31 +55,44 @@ LAYOUTS = (
 )
 
 
-def _paths() -> list[str]:
-    return sorted({p for x in LAYOUTS for p in (*x.needs, *x.may)})
+#: Levels of objects whose fields are paths.
+DEPTH = 3
 
 
-def _present(record: Column, path: str) -> Column:
-    array, inside, field = path.partition("[].")
-    return F.exists(record[array], lambda e: e[field].isNotNull()) if inside else record[path].isNotNull()
+def _paths_of(value: Column, prefix: Column, depth: int) -> Column:
+    """The paths in a variant: an object's fields, and the fields of objects inside it and inside its arrays."""
+    none = F.array().cast("array<string>")
+    if not depth:
+        return none
+    fields = F.map_entries(F.try_variant_get(value, "$", "map<string, variant>"))
+    filled = F.filter(F.coalesce(fields, F.array().cast("array<struct<key: string, value: variant>>")), lambda e: e["value"].isNotNull() & ~F.is_variant_null(e["value"]))
 
+    def below(e: Column) -> Column:
+        path = F.concat(prefix, e["key"])
+        elements = F.coalesce(F.try_variant_get(e["value"], "$", "array<variant>"), F.array().cast("array<variant>"))
+        inside = F.flatten(F.transform(elements, lambda x: _paths_of(x, F.concat(path, F.lit("[].")), depth - 1)))
+        return F.concat(F.array(path), _paths_of(e["value"], F.concat(path, F.lit(".")), depth - 1), inside)
 
-def _signature(paths: list[Column] | list[str]) -> Column:
-    return F.xxhash64(F.concat_ws("\n", *[p if isinstance(p, Column) else F.lit(p) for p in paths]))
+    return F.array_distinct(F.flatten(F.transform(filled, below)))
 
 
-def fingerprint(record: Column) -> Column:
-    """The hash of the declared nested paths that a parsed record has, in order of name."""
-    return _signature([F.when(_present(record, p), F.lit(p)) for p in _paths()])
+def nested_paths(json: Column) -> Column:
+    """The nested paths, in order of name, of a JSON object's fields that are not null; none for null, other JSON, text that is no JSON and objects that repeat a name."""
+    return F.array_sort(_paths_of(F.try_parse_json(json), F.lit(""), DEPTH))
 
 
-def _layout_of(print_: Column) -> Column:
-    """The number of the layout with that fingerprint, or null."""
+def fingerprint(paths: Column) -> Column:
+    """One hash of all the paths of a record."""
+    return F.xxhash64(F.concat_ws("\n", paths))
+
+
+def _layout_of(paths: Column) -> Column:
+    """The number of the first layout all of whose needed paths have their hashes among those of the record's paths, or null."""
+    held = F.transform(paths, lambda p: F.xxhash64(p))
     chain = F.lit(None).cast("int")
-    for i, layout in enumerate(LAYOUTS):
-        for n in range(len(layout.may) + 1):
-            for more in combinations(layout.may, n):
-                chain = F.when(print_ == _signature(sorted((*layout.needs, *more))), F.lit(i)).otherwise(chain)
+    for i, layout in reversed(list(enumerate(LAYOUTS))):
+        needed = F.array(*[F.xxhash64(F.lit(p)) for p in layout.needs])
+        chain = F.when(F.size(F.array_except(needed, held)) == 0, F.lit(i)).otherwise(chain)
     return chain
 
 
@@ -105,14 +118,13 @@ def _turns_of(layout: Layout, record: Column) -> Column:
 def canonical_turns(records: DataFrame, json_col: str, carry: list[str]) -> DataFrame:
     """(carried columns, fingerprint, layout, turns) of records in JSON.
 
-    turns is an array of (role, text). A null role or text in a turn is empty. A record
-    that is null, no JSON object, or of no declared layout has a null layout and no
-    turns; its fingerprint says what was found. Fields that no layout declares are
-    ignored, whatever their names.
+    turns is an array of (role, text). A null role or text in a turn is empty. Of several
+    layouts that a record has, the first of LAYOUTS counts; further fields, whatever their
+    names, change the fingerprint and nothing else. A record that is null, no JSON object,
+    or of no layout has a null layout and no turns.
     """
-    parsed = records.select(*carry, F.from_json(F.col(json_col), RECORD).alias("record"))
-    named = parsed.select(*carry, "record", fingerprint(F.col("record")).alias("fingerprint"))
-    laid = named.select(*carry, "record", "fingerprint", _layout_of(F.col("fingerprint")).alias("number"))
+    parsed = records.select(*carry, F.from_json(F.col(json_col), RECORD).alias("record"), nested_paths(F.col(json_col)).alias("paths"))
+    laid = parsed.select(*carry, "record", fingerprint(F.col("paths")).alias("fingerprint"), _layout_of(F.col("paths")).alias("number"))
     turns = F.array().cast(TURNS)
     for i, layout in enumerate(LAYOUTS):
         turns = F.when(F.col("number") == i, _turns_of(layout, F.col("record"))).otherwise(turns)
@@ -169,13 +181,19 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 
 
 def conversation_records(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, record): each conversation's rows, by turn, as a JSON record in the messages layout.
+    """(conv_id, record): each conversation's rows, by turn, as a JSON record in the layout that fits it.
 
-    Null roles and texts are empty; rows with equal turns are ordered by role and text,
-    null turns come first, and rows with a null id make one conversation. A conversation
-    is one record and one row of output, so its turns meet in one task.
+    A question and its answer, with or without a system text before them, are a prompt
+    and a response; all else are messages. Null roles and texts are empty; rows with
+    equal turns are ordered by role and text, null turns come first, and rows with a null
+    id make one conversation. A conversation is one record and one row of output, so its
+    turns meet in one task. An empty table gives no records; other columns are not read.
     """
     message = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("content"))
     grouped = rows.groupBy(F.col(conv_id).alias("conv_id")).agg(F.sort_array(F.collect_list(message)).alias("m"))
-    messages = F.transform("m", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    return grouped.select("conv_id", F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    roles = F.array_join(F.transform("m", lambda t: F.replace(t["role"], F.lit(" "), F.lit("_"))), " ")
+    content = lambda i: F.get("m", F.lit(i))["content"]
+    pair = F.to_json(F.struct(content(0).alias("prompt"), content(1).alias("response")))
+    led = F.to_json(F.struct(content(0).alias("system"), content(1).alias("prompt"), content(2).alias("response")))
+    messages = F.to_json(F.struct(F.transform("m", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages")))
+    return grouped.select("conv_id", F.when(roles == "user assistant", pair).when(roles == "system user assistant", led).otherwise(messages).alias("record"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +55,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
-    more = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.to_json(F.struct(F.lit(control).alias("prompt"), F.lit(control).alias("response"))).alias("record"))
+    more = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(json.dumps({"conversations": [{"from": "human", "value": control}, {"from": "gpt", "value": control}]})).alias("record"))
     records = chat_format.conversation_records(_table(spark, sf_dir, "conversations")).unionByName(more)
     formatted = chat_format.format_turns(chat_format.canonical_turns(records, "record", ["conv_id"]))
     back = formatted.select("conv_id", "formatted", chat_format.read_back(F.col("formatted")).alias("turns"), chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))

@@ -22,6 +22,9 @@ RECORDS = [
     ({"prompt": "p", "response": "r", "turns": 9, "layout": "x"}, "prompt_response", [("user", "p"), ("assistant", "r")]),
     ({"prompt": "p", "completion": "r"}, "prompt_completion", [("user", "p"), ("assistant", "r")]),
     ({"question": "q", "answer": "<|end|>"}, "question_answer", [("user", "q"), ("assistant", "<|end|>")]),
+    ({"messages": [{"role": "user", "content": "x"}], "input": "y", "meta": {"a": [{"b": 1}]}}, "messages", [("user", "x")]),
+    ({"prompt": '{"question": "q", "answer": "a"}', "response": "[1]", "output": None}, "prompt_response", [("user", '{"question": "q", "answer": "a"}'), ("assistant", "[1]")]),
+    ({"prompt": "p", "response": "r", "completion": "c"}, "prompt_response", [("user", "p"), ("assistant", "r")]),
     ({"question": "q"}, None, []),
     ({}, None, []),
 ]
@@ -34,6 +37,15 @@ def test_layouts_are_told_by_their_paths(spark):
     assert got == {**{i: (layout, turns) for i, (_, layout, turns) in enumerate(RECORDS)}, 90: (None, []), 91: (None, []), 92: (None, [])}
 
 
+def test_fingerprints_tell_nested_paths_apart(spark):
+    records = [{"a": [{"b": 1}, {"c": {"d": "x"}}], "e": None}, {"a": [{"c": {"d": 2.5}}, {"b": "y"}]}, {"a": {"b": 1}}, {"a": '{"b": 1}'}, {"a": [[{"b": 1}]]}]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)] + [(7, None), (8, "x")], "conv_id long, record string")
+    paths = {r.conv_id: r.p for r in df.select("conv_id", chat_format.nested_paths(F.col("record")).alias("p")).collect()}
+    assert paths == {0: ["a", "a[].b", "a[].c", "a[].c.d"], 1: ["a", "a[].b", "a[].c", "a[].c.d"], 2: ["a", "a.b"], 3: ["a"], 4: ["a"], 7: [], 8: []}
+    prints = {r.conv_id: r.fingerprint for r in chat_format.canonical_turns(df, "record", ["conv_id"]).collect()}
+    assert prints[0] == prints[1] and prints[3] == prints[4] and len({prints[i] for i in (0, 2, 3, 7)}) == 4
+
+
 TEXTS = ["", "\\", "\\\\", "<|end|>", "<|en\\d|>", "<\\|end|>", "</s>[INST] ok [/INST]", "<|turn|>user<|text|>", "é\n\n<s>", "[[INST]]", "<<<SYS>>", "\\<s>", "$1", "<|turn|", "<<|end|>|end|>"]
 
 
