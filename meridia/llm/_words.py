@@ -1,7 +1,7 @@
 """Words of Arrow text columns as NumPy arrays of 64-bit hashes.
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D; texts are taken
-whole, in slices of about a MB, so that memory follows the slice and not the batch.
+whole, in slices of a quarter MB or so, so that memory follows the slice and not the batch.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, size=256, dtype=np.uint64) * U(2) + U(1)
@@ -73,6 +73,15 @@ class Words:
             acc += padded[j : j + n]
         return mix(acc)
 
+    def sequences(self, n: int) -> np.ndarray:
+        """Of the n words from each word on, the hash that shingle_sets gives a text of just these words; only those with left() >= n mean anything."""
+        padded = np.concatenate([self.hashes, np.zeros(n, np.uint64)])
+        acc = np.full(len(self.hashes), n, np.uint64)
+        for j in range(n):
+            acc *= U(SHORT_BASE)
+            acc += padded[j : j + len(acc)]
+        return mix(acc)
+
     def shingle_sets(self, k: int) -> Iterator[np.ndarray]:
         """Each text's sorted distinct k-word shingles; with fewer words, the whole sequence as one."""
         all_, first = self.windows(k, SHINGLE_BASE), self.first

@@ -29,11 +29,11 @@ from meridia.llm.components import connected_components
 #: Sets under a leaf, and children of an inner node: few, as the OR of many different sets has every bit.
 LEAF, FAN = 4, 4
 #: Nodes and bytes of a chunk. A bin holds about as much, and a group of up to twice as much whole.
-CHUNK, CHUNK_BYTES = 2048, 4 << 20
+CHUNK, CHUNK_BYTES = 2048, 2 << 20
 #: Rows that tell the frequent shingles, or so, and log2 of the slots they are kept in.
 SAMPLE, SLOT_BITS = 8_000, 24
-#: Words of bitmaps that are compared at once.
-_WORDS = 1 << 21
+#: Words of bitmaps, and tokens, that are compared at once.
+_WORDS = 1 << 18
 
 
 def part_keys(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -109,15 +109,22 @@ def frequent_slots(docs: DataFrame, id_col: str, text_col: str, k: int, lower: b
     return frequent
 
 
-def signature(tokens: np.ndarray) -> bytes:
-    """A bitmap of 4 to 8 bits a token: bit token mod its size, which is a power of 2."""
-    bits = np.zeros(signature_bits(len(tokens)), bool)
-    bits[(tokens & U(len(bits) - 1)).astype(np.int64)] = True
+def signature(tokens: np.ndarray, num: int, den: int) -> bytes:
+    """A bitmap of 4 to 8 bits a token: bit token mod its size, which is a power of 2.
+
+    For thresholds from 4/5 only a quarter of all tokens is in bitmaps. The largest
+    overlap of two sets counts the others as shared, which leaves it under the threshold
+    wherever the quarter is not mostly shared.
+    """
+    few = 5 * num >= 4 * den
+    bits = np.zeros(signature_bits(len(tokens), num, den), bool)
+    kept = tokens[tokens >> U(62) == 0] if few else tokens
+    bits[(kept & U(len(bits) - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def signature_bits(n: int) -> int:
-    return 1 << min(17, max(8, n.bit_length() + 2))
+def signature_bits(n: int, num: int, den: int) -> int:
+    return 1 << min(17, max(8, (n // 4 if 5 * num >= 4 * den else n).bit_length() + 2))
 
 
 def shingle_index(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, lower: bool) -> DataFrame:
@@ -138,7 +145,7 @@ def shingle_index(docs: DataFrame, id_col: str, text_col: str, k: int, num: int,
                         pa.array(np.array([len(s) for s in sets], np.int64)),
                         pa.array(ids[:, 0]),
                         pa.array(ids[:, 1]),
-                        pa.array(map(signature, sets), pa.binary()),
+                        pa.array([signature(s, num, den) for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(cuts), pa.array(signed(np.concatenate(keys)))),
                     ],
                     ["id", "n_shingles", "node", "check", "bitmap", "keys"],
@@ -281,9 +288,9 @@ def linked_pairs(xs: np.ndarray, ys: np.ndarray, sets: list[np.ndarray], num: in
     return xs[linked], ys[linked]
 
 
-def _same_width(size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _same_width(size: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, whether they have the smaller bitmaps) for each bitmap size with the next larger one: links span no more."""
-    bits = np.array([signature_bits(int(n)).bit_length() for n in size])
+    bits = np.array([signature_bits(int(n), num, den).bit_length() for n in size])
     for b in np.unique(bits):
         rows = np.flatnonzero((bits == b) | (bits == b + 1))
         yield rows, bits[rows] == b
@@ -291,7 +298,7 @@ def _same_width(size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _pairs_of(rows: dict[str, np.ndarray], packed: list[bytes], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     chunk = rows["chunk"] if not rows["own"].all() else None
-    for c, small in _same_width(rows["size"]):
+    for c, small in _same_width(rows["size"], num, den):
         for x, y in tree_pairs(rows["size"][c], [packed[i] for i in c], num, den, None if chunk is None else chunk[c], rows["group"][c]):
             here = small[x] | small[y]  # the others come with the next size of bitmaps
             yield c[x[here]], c[y[here]]
@@ -355,7 +362,7 @@ def _verified_links(num: int, den: int, listed: bool):
             sets = [np.frombuffer(v, np.uint64) for v in values]
             copies = np.array([copies_of[n] for n in rows["node"].tolist()], np.int64)
             label, linked = np.arange(len(sets)), np.zeros(len(sets), np.int64)
-            for x, y in _pairs_of(rows, [signature(s) for s in sets], num, den):
+            for x, y in _pairs_of(rows, [signature(s, num, den) for s in sets], num, den):
                 if not len(x):
                     continue
                 x, y = linked_pairs(x, y, sets, num, den)
@@ -391,16 +398,16 @@ def _member_sets(k: int, lower: bool):
 
 
 def candidate_groups(index: DataFrame) -> DataFrame:
-    """(group, node) of the nodes that share a block key with another one; keys of the same nodes are one group.
+    """(group, node) of the nodes that share a block key with another one.
 
-    Keys are counted before any of their rows meet, and rows move only for keys that two
-    nodes have. The group is a hash of what is counted: should two sets of nodes have the
-    same, they are one larger group, and no pair is lost.
+    Keys are reduced to their least and largest node before any of their rows meet, and
+    rows move only for keys that two nodes have. Keys of the same least and largest node
+    are one group, mostly of the same near copies; groups only grow by it.
     """
     keyed = index.where("id IS NOT NULL").select("node", F.explode("keys").alias("key"))
-    counts = [F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor(F.xxhash64("node")).alias("x"), F.count("*").alias("n")]
-    shared = keyed.groupBy("key").agg(*counts).where("a <> b").select("key", F.xxhash64("a", "b", "x", "n").alias("group"))
-    return keyed.join(written(shared, "keys"), "key").select("group", "node").distinct()
+    ends = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
+    shared = written(ends.select("key", F.xxhash64("a", "b").alias("group")), "keys")
+    return keyed.join(shared, "key").select("group", "node").distinct()
 
 
 def deal(members: DataFrame, num: int, den: int) -> DataFrame:

@@ -84,9 +84,9 @@ def near_sets(groups, each, least, most, seed):
 
 
 def pairs_by_trees(sets, num, den, **more):
-    size, packed = np.array([len(s) for s in sets]), [jaccard_join.signature(s) for s in sets]
+    size, packed = np.array([len(s) for s in sets]), [jaccard_join.signature(s, num, den) for s in sets]
     found = []
-    for c, small in jaccard_join._same_width(size):
+    for c, small in jaccard_join._same_width(size, num, den):
         for x, y in jaccard_join.tree_pairs(size[c], [packed[i] for i in c], num, den, **{k: v[c] if isinstance(v, np.ndarray) else v for k, v in more.items()}):
             here = small[x] | small[y]
             found += zip(c[x[here]].tolist(), c[y[here]].tolist(), strict=True)
@@ -97,6 +97,8 @@ def test_trees_leave_every_link_once():
     sets = near_sets(25, 8, 20, 200, 4)
     force = {(i, j) for i in range(len(sets)) for j in range(i) if 10 * len(np.intersect1d(sets[i], sets[j])) >= 9 * len(np.union1d(sets[i], sets[j]))}
     assert force
+    for num, den in ((1, 2), (4, 5)):
+        assert {(max(p), min(p)) for p in pairs_by_trees(sets, num, den)} >= force
     pairs = pairs_by_trees(sets, 9, 10)
     left = {(max(p), min(p)) for p in pairs}
     assert len(left) == len(pairs) and left >= force
