@@ -21,8 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a generation of what a worker remembers of pieces, and of token pairs; there are two generations of each.
-PIECE_BYTES, PAIR_BYTES = 64 << 20, 24 << 20
+#: Bytes of a generation of what a task remembers of pieces, and of token pairs; there are two generations of each.
+PIECE_BYTES, PAIR_BYTES = 32 << 20, 12 << 20
 _NONE = -1
 
 
@@ -43,6 +43,10 @@ class _Remembered(dict):
         self[key] = value
         return value
 
+    def forget(self):
+        self.older, self.held = {}, 0
+        self.clear()
+
 
 def read_ranks(rank_file: bytes) -> dict[bytes, int]:
     """Token bytes to rank, from lines of base64 and rank."""
@@ -147,6 +151,11 @@ class BytePairEncoder:
         ids = self.encode_piece(piece.encode())
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def forget(self) -> None:
+        """Gives back the memory of what was remembered of texts."""
+        self._known.forget()
+        self.beside.forget()
+
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         return b"".join(map(self._known.__getitem__, self.pieces.findall(text)))
@@ -195,6 +204,7 @@ def tokenize(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_i
                 if size > BATCH_BYTES or i + 1 == batch.num_rows:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, i + 1 - lo), pa.array(ids, pa.binary()), pa.array(back, pa.binary())], ["id", "ids", "decoded"])
                     ids, back, lo, size = [], [], i + 1, 0
+        encoder.forget()
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids binary, decoded binary")
     return out.withColumnRenamed("id", id_col)
