@@ -9,8 +9,19 @@ from pyspark.sql import functions as F
 WORD = r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*"
 META = r"(?i)^(?:this\s+(?:image|video|frame|scene)|the\s+(?:image|video|frame)|in\s+this\s+(?:image|video|frame))\b"
 IMAGE_PLANE = r"(?i)\b(?:on|to)\s+the\s+(?:left|right)\b|\b(?:foreground|background)\b"
-#: Words that place something in the picture.
-POSITION = ("left", "right", "center", "middle", "top", "bottom", "upper", "lower", "near", "far", "front", "back", "behind", "foreground", "background")
+PLANE_PHRASES = (r"(?i)\b(?:on|to)\s+the\s+(?:left|right)\s*,?\s*", r"(?i)\b(?:in\s+the\s+)?(?:foreground|background)\s*,?\s*")
+PROMPT_WORD = r"[a-z0-9]+(?:-[a-z0-9]+)?"
+POSITION = ("left", "right", "upper", "lower", "overhead", "distant", "foreground", "background")
+UNBOUNDED = (
+    "road", "roads", "pavement", "pavements", "sidewalk", "asphalt", "driveway", "path", "walkway", "alley", "ground", "floor", "floors", "wall", "walls",
+    "railway", "railways", "rail", "track", "tracks", "water", "river", "lake", "sea", "ocean", "sky", "background", "backgrounds", "backdrop", "terrain",
+    "mountain", "mountains", "hillside", "hillsides", "slope", "slopes", "ridge", "ridges", "cliff", "cliffs", "shore", "riverbed",
+)
+BOUNDED = (
+    "facade", "façade", "door", "doorway", "sign", "signage", "building", "house", "storefront", "window", "arch", "archway", "bridge", "overpass", "station",
+    "platform", "bench", "lamp", "lantern", "cabinet", "painting", "artwork", "sculpture", "statue", "fountain", "awning", "balcony", "pillar", "column",
+    "railing", "fence", "umbrella", "planter", "staircase", "stairs",
+)
 
 
 def squeezed(text: Column) -> Column:
@@ -44,17 +55,38 @@ def caption_of(response: Column) -> Column:
 
 def without_plane_phrases(caption: Column) -> Column:
     """caption without phrases that only place things in the picture, its first letter upper case."""
-    t = F.regexp_replace(caption, r"(?i)\b(?:on|to)\s+the\s+(?:left|right)\s*,?\s*", "")
-    t = squeezed(F.regexp_replace(t, r"(?i)\b(?:in\s+the\s+)?(?:foreground|background)\s*,?\s*", ""))
+    t = caption
+    for phrase in PLANE_PHRASES:
+        t = F.regexp_replace(t, phrase, "")
+    t = squeezed(t)
     return F.concat(F.upper(F.substring(t, 1, 1)), F.substr(t, F.lit(2)))
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(PROMPT_WORD), F.lit(0))
+
+
+def _any_of(words: Column, listed: tuple[str, ...]) -> Column:
+    return F.arrays_overlap(words, F.array(*[F.lit(w) for w in listed]))
+
+
+def bounded_anchor(text: Column) -> Column:
+    """Whether a label names a bounded thing: it has a word, and none of an unbounded surface unless one of a bounded thing is there too."""
+    words = _words(text)
+    return (F.size(words) > 0) & (~_any_of(words, UNBOUNDED) | _any_of(words, BOUNDED))
+
+
 def prompt(text: Column) -> Column:
-    """A prompt in lower case with single spaces, or null if it breaks the contract: 1 to 4 words, no and/or, no place words."""
+    """A prompt in lower case with single spaces, or null if it breaks the contract: 1 to 4 words, no and/or, no place words, a bounded anchor."""
     p = squeezed(F.lower(text))
-    words = F.regexp_extract_all(p, F.lit(r"[a-z0-9]+(?:-[a-z0-9]+)?"), F.lit(0))
-    bad = F.arrays_overlap(words, F.array(*[F.lit(w) for w in ("and", "or", *POSITION)]))
-    return F.when(F.size(words).between(1, 4) & ~bad, p)
+    words = _words(p)
+    return F.when(F.size(words).between(1, 4) & ~_any_of(words, ("and", "or", *POSITION)) & bounded_anchor(p), p)
+
+
+def prompts(texts: Column) -> Column:
+    """The distinct prompts of a list in their order, or null unless all hold the contract and 2 to 4 are left."""
+    each = F.array_distinct(F.transform(texts, prompt))
+    return F.when(F.forall(each, lambda p: p.isNotNull()) & F.size(each).between(2, 4), each)
 
 
 def slug(text: Column) -> Column:

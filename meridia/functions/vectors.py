@@ -103,3 +103,16 @@ def smoothstep(t: Column) -> Column:
     """Quintic step from 0 to 1 with no speed or acceleration at its ends."""
     s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
     return s * s * s * (s * (s * 6 - 15) + 10)
+
+
+def slerp(a: list[Column], b: list[Column], share: Column) -> list[Column]:
+    """The quaternion at a share of the way from a to b along the shorter arc; all four columns of each in one order."""
+    dot = sum((x * y for x, y in zip(a, b, strict=True)), F.lit(0.0))
+    sign = F.when(dot < 0, -1.0).otherwise(1.0)
+    angle = F.acos(F.least(F.lit(1.0), F.abs(dot)))
+    close = angle < 1e-6  # sines of such angles are no better than the straight line
+    low = F.when(close, 1 - share).otherwise(F.try_divide(F.sin((1 - share) * angle), F.sin(angle)))
+    high = F.when(close, share).otherwise(F.try_divide(F.sin(share * angle), F.sin(angle)))
+    raw = [low * x + high * sign * y for x, y in zip(a, b, strict=True)]
+    norm = F.sqrt(sum((v * v for v in raw), F.lit(0.0)))
+    return [v / norm for v in raw]

@@ -26,7 +26,7 @@ def gate(component: Mapping[str, Column], thresholds: Mapping[str, float]) -> di
     a key that is unknown, a missing required one or a value that isn't finite and positive is an error.
     """
     unknown, missing = set(thresholds) - set(GATE_KEYS), set(REQUIRED_KEYS) - set(thresholds)
-    if unknown or missing or any(not 0 <= v < float("inf") for v in thresholds.values()):
+    if unknown or missing or any(not 0 < v < float("inf") for v in thresholds.values()):
         raise ValueError(f"gate: unknown {sorted(unknown)}, missing {sorted(missing)}, or a value out of range")
     checks = {}
     for name, value in thresholds.items():

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridia.operators import matching
+
 from meridia.functions.numeric import finite
 
 # Tiers, and the metrics that each needs.
@@ -192,11 +194,29 @@ def centre_crop(width: Column, height: Column, target_width: int = 1280, target_
     return F.struct(half(width - w, wide).alias("left"), half(height - h, ~wide).alias("top"), w.alias("width"), h.alias("height"), (target_width / w).alias("scale_x"), (target_height / h).alias("scale_y"))
 
 
-def nearest_distances(left: DataFrame, right: DataFrame, key: str, coordinates: list[str], id_: str) -> DataFrame:
-    """(key, id, distance) of each left point to the nearest right point of its key; keys are small point sets, cut by voxels before."""
-    r = right.select(key, *[F.col(c).alias(f"_{c}") for c in coordinates])
-    square = sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in coordinates), F.lit(0.0))
-    return left.join(r, key).groupBy(key, id_).agg(F.sqrt(F.min(square)).alias("distance"))
+def nearest_distances(left: DataFrame, right: DataFrame, keys: tuple[str, ...], coordinates: list[str], id_: str, start: float) -> DataFrame:
+    """(keys, id, distance) of each left point to the nearest right point of its key; none for a key without right points.
+
+    Distinct places are searched through a grid whose width doubles from start on, each
+    time for those places alone that have no right point within the width before; so no
+    point meets all others of its key.
+    """
+    ends = lambda df: df.agg(*[f(c).alias(f"{n}_{c}") for c in coordinates for n, f in (("lo", F.min), ("hi", F.max))])
+    extent = ends(left.select(*coordinates).unionByName(right.select(*coordinates))).first()
+    most = sum((extent[f"hi_{c}"] - extent[f"lo_{c}"]) ** 2 for c in coordinates) ** 0.5 if extent[0] is not None else 0.0
+    place = F.struct(*coordinates)
+    open_ = left.select(*keys, *coordinates).distinct().withColumn("_at", place)
+    there = right.select(*keys, *coordinates).distinct().withColumn("_at", place)
+    found, width = None, start
+    while True:
+        near = matching.within_radius(open_, there, coordinates, width, "_at", "_at", keys).groupBy(*keys, "left_id").agg(F.min("distance").alias("distance"))
+        near = near.withColumnRenamed("left_id", "_at")
+        found = near if found is None else found.unionByName(near)
+        if width >= most:
+            break
+        open_ = open_.join(near, [*keys, "_at"], "left_anti")
+        width = min(2 * width, max(most, start))
+    return left.withColumn("_at", place).join(found, [*keys, "_at"]).select(*keys, id_, "distance")
 
 
 def trimmed_mean(rows: DataFrame, keys: list[str], value: str, share: float = 0.95) -> DataFrame:

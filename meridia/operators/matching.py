@@ -7,24 +7,31 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridia.functions.vectors import slerp
 
-def asof_interpolate(queries: DataFrame, track: DataFrame, keys: list[str], time: str, values: list[str]) -> DataFrame:
-    """(keys, time, values) of the track interpolated linearly at the queries' times; null outside its range.
 
-    Queries and track are laid into one sorted window by key and time, where each query
-    sees the track rows around it; there is no range join. A query at a track row's time
-    takes that row's values.
+def asof_interpolate(queries: DataFrame, track: DataFrame, keys: list[str], time: str, values: list[str], rotation: list[str] | None = None) -> DataFrame:
+    """(keys, time, values, rotation) of the track at the queries' times; null outside its range.
+
+    Values are interpolated linearly, a rotation, given as the columns of a quaternion,
+    along the shorter arc. Queries and track are laid into windows sorted by key and time,
+    one in each direction and each read once, where a query sees the track rows around
+    it; there is no range join. A query at a track row's time takes that row's values.
     """
-    point = F.struct(F.col(time).alias("t"), *[F.col(v) for v in values])
+    rotation = rotation or []
+    point = F.struct(F.col(time).alias("t"), *[F.col(v) for v in (*values, *rotation)])
     rows = track.select(*keys, time, point.alias("p"), F.lit(0).alias("q"))
     rows = rows.unionByName(queries.select(*keys, time).distinct().withColumns({"p": F.lit(None).cast(rows.schema["p"].dataType), "q": F.lit(1)}))
-    w = Window.partitionBy(*keys).orderBy(time, "q")
-    before = F.last("p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("p", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    upto = lambda *order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.last("p", ignorenulls=True).over(upto(time, "q"))
+    after = F.last("p", ignorenulls=True).over(upto(F.desc(time), F.desc("q")))
     found = rows.withColumns({"a": before, "b": after}).where("q = 1")
+    here = F.col(time) == F.col("a.t")
     share = F.try_divide(F.col(time) - F.col("a.t"), F.col("b.t") - F.col("a.t"))
-    value = lambda v: F.when(F.col(time) == F.col("a.t"), F.col(f"a.{v}")).otherwise(F.col(f"a.{v}") + share * (F.col(f"b.{v}") - F.col(f"a.{v}")))
-    return found.select(*keys, time, *[value(v).alias(v) for v in values])
+    value = lambda v: F.when(here, F.col(f"a.{v}")).otherwise(F.col(f"a.{v}") + share * (F.col(f"b.{v}") - F.col(f"a.{v}")))
+    turned = slerp([F.col(f"a.{r}") for r in rotation], [F.col(f"b.{r}") for r in rotation], share) if rotation else []
+    turned = [F.when(here, F.col(f"a.{r}")).otherwise(t).alias(r) for r, t in zip(rotation, turned, strict=True)]
+    return found.select(*keys, time, *[value(v).alias(v) for v in values], *turned)
 
 
 def timestamp_to_frame(time: Column, fps: float, frames: Column) -> Column:
@@ -55,36 +62,36 @@ def _neighbours(cells: list[str]) -> Column:
     return F.explode(F.array(*steps))
 
 
-def within_radius(left: DataFrame, right: DataFrame, coordinates: list[str], radius: float, left_id: str, right_id: str) -> DataFrame:
-    """(left_id, right_id, distance) of all pairs within radius, through a grid of that width.
+def within_radius(left: DataFrame, right: DataFrame, coordinates: list[str], radius: float, left_id: str, right_id: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, left_id, right_id, distance) of all pairs of a key within radius, through a grid of that width.
 
     The left side visits its neighbouring cells; the right side is dealt once. Points that
     share a cell meet in a join that adaptive execution can split.
     """
     cell = lambda c: F.floor(F.col(c) / radius)
     cells = [f"_{c}" for c in coordinates]
-    a = left.select(F.col(left_id).alias("left_id"), *[F.col(c).alias(f"l_{c}") for c in coordinates], *[cell(c).alias(f"_{c}") for c in coordinates])
-    a = a.withColumn("n", _neighbours(cells)).select("left_id", *[f"l_{c}" for c in coordinates], "n.*")
-    b = right.select(F.col(right_id).alias("right_id"), *[F.col(c).alias(f"r_{c}") for c in coordinates], *[cell(c).alias(f"_{c}") for c in coordinates])
+    a = left.select(*keys, F.col(left_id).alias("left_id"), *[F.col(c).alias(f"l_{c}") for c in coordinates], *[cell(c).alias(f"_{c}") for c in coordinates])
+    a = a.withColumn("n", _neighbours(cells)).select(*keys, "left_id", *[f"l_{c}" for c in coordinates], "n.*")
+    b = right.select(*keys, F.col(right_id).alias("right_id"), *[F.col(c).alias(f"r_{c}") for c in coordinates], *[cell(c).alias(f"_{c}") for c in coordinates])
     square = sum(((F.col(f"l_{c}") - F.col(f"r_{c}")) * (F.col(f"l_{c}") - F.col(f"r_{c}")) for c in coordinates), F.lit(0.0))
-    return a.join(b, cells).withColumn("distance", F.sqrt(square)).where(F.col("distance") <= radius).select("left_id", "right_id", "distance")
+    return a.join(b, [*keys, *cells]).withColumn("distance", F.sqrt(square)).where(F.col("distance") <= radius).select(*keys, "left_id", "right_id", "distance")
 
 
-def beyond_radius(left: DataFrame, right: DataFrame, cells: list[str], reach: int) -> DataFrame:
-    """The left cells with no right cell within `reach` cells along every axis."""
-    wide = right.select(*cells).distinct()
+def beyond_radius(left: DataFrame, right: DataFrame, cells: list[str], reach: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The left cells with no right cell of their key within `reach` cells along every axis."""
+    wide = right.select(*keys, *cells).distinct()
     steps = F.array(*[F.struct(*[(F.col(c) + d).alias(c) for c, d in zip(cells, offset, strict=True)]) for offset in product(range(-reach, reach + 1), repeat=len(cells))])
-    covered = wide.select(F.explode(steps).alias("n")).select("n.*").distinct()
-    return left.join(covered, cells, "left_anti")
+    covered = wide.select(*keys, F.explode(steps).alias("n")).select(*keys, "n.*").distinct()
+    return left.join(covered, [*keys, *cells], "left_anti")
 
 
 def mutual_matches(pairs: DataFrame, a: str, b: str, distance: str, ratio: float) -> DataFrame:
-    """(a, b, distance): pairs nearest to one another both ways, each nearest clearly nearer than the second by ratio."""
+    """(a, b, distance): pairs nearest to one another both ways, each nearest clearly nearer than the second by ratio; one without a second is no match."""
 
     def best(one: str, other: str) -> DataFrame:
         w = Window.partitionBy(one).orderBy(distance, other)
         ordered = pairs.withColumns({"_rank": F.row_number().over(w), "_second": F.lead(distance).over(w)})
-        return ordered.where((F.col("_rank") == 1) & (F.col("_second").isNull() | (F.col(distance) < ratio * F.col("_second")))).select(a, b, distance)
+        return ordered.where((F.col("_rank") == 1) & (F.col(distance) < ratio * F.col("_second"))).select(a, b, distance)
 
     return best(a, b).join(best(b, a).select(a, b), [a, b])
 
@@ -116,9 +123,12 @@ def greedy_matches(pairs: DataFrame, group: str, a: str, b: str, score: str) ->
 
 
 def nearest_pose(left: DataFrame, right: DataFrame, keys: list[str], coordinates: list[str], angle: str, index: str, weight: float) -> DataFrame:
-    """(keys, index, nearest, cost): for each left row the right row of its key with the least distance + weight * angle; ties to the smaller index."""
+    """(keys, index, nearest, cost): for each left row the right row of its key, other than itself, with the least distance + weight * angle; ties to the smaller index.
+
+    A key is one video, whose frames meet each other; minima are taken before the shuffle.
+    """
     r = right.select(*keys, F.col(index).alias("_i"), *[F.col(c).alias(f"_{c}") for c in (*coordinates, angle)])
     square = sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in coordinates), F.lit(0.0))
     cost = F.sqrt(square) + weight * F.abs(F.col(angle) - F.col(f"_{angle}"))
-    paired = left.select(*keys, index, *coordinates, angle).join(r, keys).withColumn("cost", cost)
+    paired = left.select(*keys, index, *coordinates, angle).join(r, keys).where(F.col("_i") != F.col(index)).withColumn("cost", cost)
     return paired.groupBy(*keys, index).agg(F.min(F.struct(F.round("cost", 9).alias("cost"), F.col("_i").alias("nearest"))).alias("m")).select(*keys, index, "m.nearest", "m.cost")

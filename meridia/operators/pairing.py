@@ -64,10 +64,15 @@ def attempts(rows: DataFrame, keys: list[str], order: str, passed: Column) -> Da
     return rows.groupBy(*keys).agg(F.count("*").alias("tried"), F.min(F.when(passed, F.col(order))).alias("chosen"))
 
 
-def spaced(rows: DataFrame, keys: list[str], index: str, width: int) -> DataFrame:
-    """The last row of each stretch of `width` indices of a key: alternatives that are apart from one another."""
-    w = Window.partitionBy(*keys, F.floor(F.col(index) / width)).orderBy(F.col(index).desc())
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+def spaced(rows: DataFrame, keys: list[str], index: str, width: int, most: int = 5) -> DataFrame:
+    """(keys, index, place): at most `most` of a key's rows from the last one down, each the largest index at least `width` below the one before."""
+    found = rows.groupBy(*keys).agg(F.max(index).alias(index)).withColumn("place", F.lit(1))
+    out = found
+    for place in range(2, most + 1):
+        last = found.select(*keys, F.col(index).alias("_last"))
+        found = rows.join(last, keys).where(F.col(index) <= F.col("_last") - width).groupBy(*keys).agg(F.max(index).alias(index)).withColumn("place", F.lit(place))
+        out = out.unionByName(found)
+    return out
 
 
 def slerp_yaw(a: Column, b: Column, share: Column) -> Column:

@@ -29,7 +29,7 @@ def nearest_after(points: DataFrame, keys: list[str], index: str, delta: int) ->
     """(keys, left, right): for each index the later one nearest to index + delta, of two the earlier.
 
     An index whose target is beyond the key's last has no pair. Both neighbours of the
-    target come from one sorted window over points and targets, not from a range join.
+    target come from two sorted windows over points and targets, each read once, not from a range join.
     """
     of = [F.col(k) for k in keys]
     pool = points.select(*of, F.col(index).cast("long").alias("i")).distinct()
@@ -38,9 +38,10 @@ def nearest_after(points: DataFrame, keys: list[str], index: str, delta: int) ->
     # Targets sort behind the point at the same index, so that this point is found below as well.
     both = rows.select(*of, F.col("i").alias("at"), F.lit(0).alias("target"), F.col("i").alias("point"), F.lit(None).cast("long").alias("left"))
     both = both.unionByName(rows.where(F.col("i") + delta <= F.col("last")).select(*of, (F.col("i") + delta).alias("at"), F.lit(1).alias("target"), F.lit(None).cast("long").alias("point"), F.col("i").alias("left")))
-    w = Window.partitionBy(*keys).orderBy("at", "target")
-    below = F.last("point", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    above = F.first("point", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    w = Window.partitionBy(*keys)
+    upto = lambda *order: w.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    below = F.last("point", ignorenulls=True).over(upto("at", "target"))
+    above = F.last("point", ignorenulls=True).over(upto(F.desc("at"), F.desc("target")))
     found = both.withColumns({"below": below, "above": above}).where("target = 1")
     near = F.when((F.col("below") > F.col("left")) & (F.col("above").isNull() | (F.col("at") - F.col("below") <= F.col("above") - F.col("at"))), F.col("below")).otherwise(F.col("above"))
     return found.select(*of, "left", near.alias("right"))
@@ -75,17 +76,19 @@ def plan_with_reasons(picks: list[tuple[str, DataFrame]], keys: list[str], index
     return out.groupBy(*keys, index).agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
 
 
-def quarters(n: Column) -> Column:
-    """Distinct positions at a quarter, half, three quarters and the end of 0..n, halves up."""
-    at = F.transform(F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75, 1.0)]), lambda q: F.floor(q * n + 0.5).cast("long"))
-    return F.array_sort(F.array_distinct(at))
+def quarters(start: Column, end: Column) -> Column:
+    """Distinct positions at a quarter, half, three quarters and the end of start..end, halves up, all after start; null unless end lies after start."""
+    at = F.transform(F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75, 1.0)]), lambda q: F.least(end, F.greatest(start + 1, F.floor(start + q * (end - start) + 0.5))).cast("long"))
+    return F.when(end > start, F.array_sort(F.array_distinct(at)))
 
 
 def overlapping_windows(n: Column, size: int, overlap: int) -> Column:
-    """Starts of windows of `size` over n frames, each sharing `overlap` with the one before."""
+    """(start, stop) of windows of `size` over n frames, each sharing `overlap` with the one before; the last may reach beyond n."""
+    if size <= overlap:
+        raise ValueError("windows must be larger than what they share")
     step = size - overlap
     more = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")
-    return F.transform(F.sequence(F.lit(0), more), lambda i: F.struct((i * step).alias("start"), F.least(i * step + size, n).alias("stop")))
+    return F.transform(F.sequence(F.lit(0), more), lambda i: F.struct((i * step).alias("start"), (i * step + size).alias("stop")))
 
 
 def top_k(rows: DataFrame, keys: list[str], score: Column, ties: list[str], k: int) -> DataFrame:
@@ -94,11 +97,15 @@ def top_k(rows: DataFrame, keys: list[str], score: Column, ties: list[str], k: i
     return rows.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
 
 
-def apportion(parts: DataFrame, keys: list[str], name: str, weight: str, total: int) -> DataFrame:
-    """(keys, name, share): total dealt out by weight, whole parts first, then the largest remainders."""
+def apportion(parts: DataFrame, keys: list[str], name: str, weight: str, total: int, least: Column | int = 0) -> DataFrame:
+    """(keys, name, share): `least` to each part, what is left of total by weight, whole parts first, then the largest remainders.
+
+    Keys whose total is under the sum of what is least have null shares.
+    """
     w = Window.partitionBy(*keys)
-    exact = F.col(weight) / F.sum(weight).over(w) * total
-    rows = parts.withColumn("exact", exact).withColumns({"whole": F.floor("exact"), "rest": F.col("exact") - F.floor("exact")})
-    rows = rows.withColumn("missing", total - F.sum("whole").over(w))
+    rows = parts.withColumn("least", F.lit(least) if isinstance(least, int) else least)
+    rows = rows.withColumn("left", F.lit(total) - F.sum("least").over(w))
+    rows = rows.withColumn("exact", F.when(F.col("left") >= 0, F.col(weight) / F.sum(weight).over(w) * F.col("left"))).withColumns({"whole": F.floor("exact"), "rest": F.col("exact") - F.floor("exact")})
+    rows = rows.withColumn("missing", F.col("left") - F.sum("whole").over(w))
     place = F.row_number().over(w.orderBy(F.round("rest", 9).desc(), name))
-    return rows.select(*keys, name, (F.col("whole") + F.when(place <= F.col("missing"), 1).otherwise(0)).cast("long").alias("share"))
+    return rows.select(*keys, name, (F.col("least") + F.col("whole") + F.when(place <= F.col("missing"), 1).otherwise(0)).cast("long").alias("share"))

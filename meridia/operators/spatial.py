@@ -17,9 +17,9 @@ def voxel(value: Column, size: float) -> Column:
     return F.floor(value / size + 0.5 + 5e-5)
 
 
-def voxels(points: DataFrame, coordinates: list[str], size: float) -> DataFrame:
-    """The distinct cells of points."""
-    return points.select(*[voxel(F.col(c), size).alias(c) for c in coordinates]).distinct()
+def voxels(points: DataFrame, coordinates: list[str], size: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The distinct cells of points, of each key."""
+    return points.select(*keys, *[voxel(F.col(c), size).alias(c) for c in coordinates]).distinct()
 
 
 def first_in_cell(points: DataFrame, coordinates: list[str], size: float, ordinal: list[str]) -> DataFrame:

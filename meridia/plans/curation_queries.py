@@ -145,14 +145,33 @@ def caption_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.word_count(text.squeezed(caption)).alias("words"), F.array_join(text.caption_problems(caption), ",").alias("problems"))
 
 
+def _listed(words: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
 @query(
     "prompt_normalize",
-    r"""WITH p AS (SELECT doc_id, trim(regexp_replace(lower(split_part(coalesce(text, ''), '.', 1)), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS p FROM documents), w AS (SELECT *, regexp_extract_all(p, '[a-z0-9]+(?:-[a-z0-9]+)?') AS w FROM p)
-    SELECT doc_id, CASE WHEN len(w) BETWEEN 1 AND 4 AND NOT list_has_any(w, ['and', 'or', 'left', 'right', 'center', 'middle', 'top', 'bottom', 'upper', 'lower', 'near', 'far', 'front', 'back', 'behind', 'foreground', 'background']) THEN p END AS prompt FROM w""",
+    rf"""WITH s AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), '.')) AS s, generate_subscripts(string_split(coalesce(text, ''), '.'), 1) - 1 AS sentence FROM documents),
+    p AS (SELECT doc_id, sentence, trim(regexp_replace(lower(s), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS p FROM s), w AS (SELECT *, regexp_extract_all(p, '[a-z0-9]+(?:-[a-z0-9]+)?') AS w FROM p)
+    SELECT doc_id, CAST(sentence AS INTEGER) AS sentence, p AS prompt FROM w WHERE len(w) BETWEEN 1 AND 4 AND NOT list_has_any(w, {_listed(("and", "or", *text.POSITION))}) AND (NOT list_has_any(w, {_listed(text.UNBOUNDED)}) OR list_has_any(w, {_listed(text.BOUNDED)}))""",
 )
 def prompt_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.substring_index(F.coalesce(F.col("text"), F.lit("")), ".", 1)
-    return table(spark, sf_dir, "documents").select("doc_id", text.prompt(first).alias("prompt"))
+    """The sentences of every text that are prompts."""
+    sentences = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), r"\.", -1)).alias("sentence", "s"))
+    return sentences.select("doc_id", "sentence", text.prompt(F.col("s")).alias("prompt")).where("prompt IS NOT NULL")
+
+
+@query(
+    "anchor_taxonomy",
+    f"""WITH n AS (SELECT p_partkey, [['road', 'sign', 'wall', 'lamp', 'sky', 'rock'][p_partkey % 6 + 1], ['door', 'track', 'stone', 'floor', 'window', 'left', 'fence'][p_partkey % 7 + 1]] AS w FROM part), b AS (SELECT *, (NOT list_has_any(w, {_listed(text.UNBOUNDED)}) OR list_has_any(w, {_listed(text.BOUNDED)})) AS bounded FROM n),
+    o AS (SELECT p_partkey, bounded, w[1] AS a, w[2] AS b, (NOT list_contains({_listed(text.UNBOUNDED)}, w[1]) OR list_contains({_listed(text.BOUNDED)}, w[1])) AS fa, (w[2] <> 'left' AND (NOT list_contains({_listed(text.UNBOUNDED)}, w[2]) OR list_contains({_listed(text.BOUNDED)}, w[2]))) AS fb FROM b)
+    SELECT p_partkey, bounded, CASE WHEN fa AND fb THEN a || ',' || b END AS prompts FROM o""",
+)
+def anchor_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    pick = lambda *words: F.get(F.array(*[F.lit(w) for w in words]), (k % len(words)).cast("int"))
+    one, two = pick("road", "sign", "wall", "lamp", "sky", "rock"), pick("door", "track", "stone", "floor", "window", "left", "fence")
+    return table(spark, sf_dir, "part").select("p_partkey", text.bounded_anchor(F.concat_ws(" ", one, two)).alias("bounded"), F.array_join(text.prompts(F.array(one, F.concat(F.lit(" "), F.upper(two)), one)), ",").alias("prompts"))
 
 
 @query("slugify", "SELECT page_id, regexp_replace(regexp_replace(url, '[^a-zA-Z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM pages")

@@ -67,12 +67,10 @@ def failure_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "missing_and_extra",
-    """WITH e AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 2 = 0), a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 3 = 0)
-    SELECT k, 'missing' AS issue FROM e WHERE k NOT IN (SELECT k FROM a) UNION ALL SELECT k, 'extra' FROM a WHERE k NOT IN (SELECT k FROM e)""",
+    """SELECT c_custkey AS k, 'missing' AS issue FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'extra' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""",
 )
 def missing_and_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "k")
-    return curation.missing_and_extra(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0"), ["k"])
+    return curation.missing_and_extra(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), ["k"])
 
 
 @query(
@@ -101,35 +99,40 @@ def zbuffer_frontmost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.frontmost(p, ["part", "row", "col"], "x", ["l_orderkey", "l_linenumber"], [])
 
 
-def _cells(table_: str, where: str) -> str:
-    return f"SELECT DISTINCT CAST(floor(x / 0.5 + 0.5 + 5e-5) AS BIGINT) AS x, CAST(floor(y / 0.5 + 0.5 + 5e-5) AS BIGINT) AS y, CAST(floor(z / 0.5 + 0.5 + 5e-5) AS BIGINT) AS z FROM {table_} WHERE {where}"
+_CELLS = POINTS + """, v AS (SELECT DISTINCT part, CAST(floor(x / 0.5 + 0.5 + 5e-5) AS BIGINT) AS x, CAST(floor(y / 0.5 + 0.5 + 5e-5) AS BIGINT) AS y, CAST(floor(z / 0.5 + 0.5 + 5e-5) AS BIGINT) AS z FROM points),
+after AS (SELECT (part + 9) % 10 AS part, x, y, z FROM v)"""
 
 
-@query("voxels_distinct", f"WITH {POINTS} {_cells('points', 'true')}")
+def _cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The cells of every part, and those of the next part under this one's number."""
+    v = spatial.voxels(points(spark, sf_dir), ["x", "y", "z"], 0.5, ("part",))
+    return v, v.withColumn("part", (F.col("part") + 9) % 10)
+
+
+@query("voxels_distinct", f"WITH {_CELLS} SELECT DISTINCT x, y, z FROM v")
 def voxels_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.voxels(points(spark, sf_dir), ["x", "y", "z"], 0.5)
 
 
-@query("voxel_intersection", f"WITH {POINTS} {_cells('points', 'part = 1')} INTERSECT {_cells('points', 'part = 2')}")
+@query("voxel_intersection", f"WITH {_CELLS} SELECT * FROM v INTERSECT SELECT * FROM after")
 def voxel_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points(spark, sf_dir)
-    return spatial.voxels(p.where("part = 1"), ["x", "y", "z"], 0.5).intersect(spatial.voxels(p.where("part = 2"), ["x", "y", "z"], 0.5))
+    a, b = _cells(spark, sf_dir)
+    return a.intersect(b)
 
 
-@query("voxel_difference", f"WITH {POINTS} {_cells('points', 'part = 1')} EXCEPT {_cells('points', 'part = 2')}")
+@query("voxel_difference", f"WITH {_CELLS} SELECT * FROM v EXCEPT SELECT * FROM after")
 def voxel_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points(spark, sf_dir)
-    return spatial.voxels(p.where("part = 1"), ["x", "y", "z"], 0.5).subtract(spatial.voxels(p.where("part = 2"), ["x", "y", "z"], 0.5))
+    a, b = _cells(spark, sf_dir)
+    return a.subtract(b)
 
 
 @query(
     "voxel_beyond_radius",
-    f"WITH {POINTS}, a AS ({_cells('points', 'part = 1')}), b AS ({_cells('points', 'part = 2 AND x % 7 = 0')}) SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1)",
+    f"WITH {_CELLS}, wide AS (SELECT DISTINCT part, x + i AS x, y + j AS y, z + k AS z FROM after, range(-1, 2) a(i), range(-1, 2) b(j), range(-1, 2) c(k)) SELECT * FROM v EXCEPT SELECT * FROM wide",
 )
 def voxel_beyond_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points(spark, sf_dir)
-    a, b = (spatial.voxels(p.where(w), ["x", "y", "z"], 0.5) for w in ("part = 1", "part = 2 AND x % 7 = 0"))
-    return matching.beyond_radius(a, b, ["x", "y", "z"], 1)
+    a, b = _cells(spark, sf_dir)
+    return matching.beyond_radius(a, b, ["x", "y", "z"], 1, ("part",))
 
 
 @query(
@@ -141,24 +144,22 @@ def first_in_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.first_in_cell(points(spark, sf_dir), ["x", "y"], 5.0, ["l_orderkey", "l_linenumber"])
 
 
-_NEAR = POINTS + """, a AS (SELECT DISTINCT part, x, y, z FROM points WHERE part = 1), b AS (SELECT DISTINCT part, x, y, z FROM points WHERE part = 2)"""
-
-
 @query(
     "point_fscore",
-    f"""WITH {_NEAR}, n AS (
-      SELECT (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb,
-        (SELECT count(*) FROM a WHERE EXISTS (SELECT 1 FROM b WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= 1)) AS ha,
-        (SELECT count(*) FROM b WHERE EXISTS (SELECT 1 FROM a WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= 1)) AS hb)
-    SELECT na, nb, ha, hb, round(2 * (ha / na) * (hb / nb) / (ha / na + hb / nb), 6) AS fscore FROM n""",
+    f"""WITH {POINTS}, a AS (SELECT DISTINCT part, x, y, z FROM points), b AS (SELECT DISTINCT (part + 9) % 10 AS part, x, y, z FROM points),
+    h AS (SELECT a.part, a.x, a.y, a.z, b.x AS bx, b.y AS "by", b.z AS bz FROM a JOIN b ON a.part = b.part AND b.x BETWEEN a.x - 1 AND a.x + 1 WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= 1),
+    n AS (SELECT part, (SELECT count(*) FROM a WHERE a.part = p.part) AS na, (SELECT count(*) FROM b WHERE b.part = p.part) AS nb, (SELECT count(*) FROM (SELECT DISTINCT x, y, z FROM h WHERE h.part = p.part)) AS ha, (SELECT count(*) FROM (SELECT DISTINCT bx, "by", bz FROM h WHERE h.part = p.part)) AS hb
+      FROM (SELECT DISTINCT part FROM a) p)
+    SELECT part, na, nb, ha, hb, round(2 * (ha / na) * (hb / nb) / (ha / na + hb / nb), 6) AS fscore FROM n""",
 )
 def point_fscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points(spark, sf_dir).select("part", "x", "y", "z").distinct()
-    marked = lambda k: p.where(F.col("part") == k).withColumn("id", F.struct("x", "y", "z"))
-    a, b = marked(1), marked(2)
-    near = matching.within_radius(a, b, ["x", "y", "z"], 1.0, "id", "id")
-    count = lambda df, c, name: df.agg(F.count_distinct(c).alias(name))
-    one = count(a, "id", "na").crossJoin(count(b, "id", "nb")).crossJoin(count(near, "left_id", "ha")).crossJoin(count(near, "right_id", "hb"))  # single rows
+    """Every part's distinct points against those of the next part."""
+    a = points(spark, sf_dir).select("part", "x", "y", "z").distinct().withColumn("id", F.struct("x", "y", "z"))
+    b = a.withColumn("part", (F.col("part") + 9) % 10)
+    near = matching.within_radius(a, b, ["x", "y", "z"], 1.0, "id", "id", ("part",))
+    hits = lambda c, name: near.select("part", c).distinct().groupBy("part").agg(F.count("*").alias(name))
+    count = lambda df, name: df.groupBy("part").agg(F.count("*").alias(name))
+    one = count(a, "na").join(count(b, "nb"), "part").join(hits("left_id", "ha"), "part").join(hits("right_id", "hb"), "part")
     return one.withColumn("fscore", F.round(spatial.f_score(F.col("ha"), F.col("na"), F.col("hb"), F.col("nb")), 6))
 
 
@@ -216,9 +217,10 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     "mutual_ratio_match",
     f"""WITH {_PAIRS}, d AS (SELECT a, b, round(1 - c, 9) AS d FROM pairs WHERE a % 2 = 0 AND b % 2 = 1),
     f AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rn, lead(d) OVER (PARTITION BY a ORDER BY d, b) AS nd FROM d), g AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY d, a) AS rn, lead(d) OVER (PARTITION BY b ORDER BY d, a) AS nd FROM d)
-    SELECT f.a, f.b, round(f.d, 6) AS d FROM f JOIN g ON f.a = g.a AND f.b = g.b WHERE f.rn = 1 AND g.rn = 1 AND (f.nd IS NULL OR f.d < 0.95::DOUBLE * f.nd) AND (g.nd IS NULL OR g.d < 0.95::DOUBLE * g.nd)""",
+    SELECT f.a, f.b, round(f.d, 6) AS d FROM f JOIN g ON f.a = g.a AND f.b = g.b WHERE f.rn = 1 AND g.rn = 1 AND f.d < 0.95::DOUBLE * f.nd AND g.d < 0.95::DOUBLE * g.nd""",
 )
 def mutual_ratio_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptors of even ids against those of odd ids of their label: two sides that are the whole table together."""
     d = _pairs(spark, sf_dir).where("a % 2 = 0 AND b % 2 = 1").select("a", "b", F.round(1 - F.col("c"), 9).alias("d"))
     return matching.mutual_matches(d, "a", "b", "d", 0.95).select("a", "b", F.round("d", 6).alias("d"))
 
@@ -241,11 +243,26 @@ def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "nearest_pose",
-    f"""WITH {FRAMES}, l AS (SELECT * FROM frames WHERE frame_index % 3 = 0), r AS (SELECT * FROM frames WHERE frame_index % 7 = 1),
-    c AS (SELECT l.case_id, l.frame_index, r.frame_index AS nearest, round(sqrt((l.x - r.x) ** 2 + (l.y - r.y) ** 2) + 0.02::DOUBLE * abs(l.yaw - r.yaw), 9) AS cost FROM l JOIN r USING (case_id)),
+    f"""WITH {FRAMES}, c AS (SELECT l.case_id, l.frame_index, r.frame_index AS nearest, round(sqrt((l.x - r.x) ** 2 + (l.y - r.y) ** 2) + 0.02::DOUBLE * abs(l.yaw - r.yaw), 9) AS cost FROM frames l JOIN frames r ON l.case_id = r.case_id AND l.frame_index <> r.frame_index),
     k AS (SELECT *, row_number() OVER (PARTITION BY case_id, frame_index ORDER BY cost, nearest) AS rn FROM c) SELECT case_id, frame_index, nearest, round(cost, 6) AS cost FROM k WHERE rn = 1""",
 )
 def nearest_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir)
-    out = matching.nearest_pose(f.where("frame_index % 3 = 0"), f.where("frame_index % 7 = 1"), ["case_id"], ["x", "y"], "yaw", "frame_index", 0.02)
+    out = matching.nearest_pose(f, f, ["case_id"], ["x", "y"], "yaw", "frame_index", 0.02)
     return out.select("case_id", "frame_index", "nearest", F.round("cost", 6).alias("cost"))
+
+
+@query(
+    "asof_pose_slerp",
+    f"""WITH {FRAMES}, h AS (SELECT case_id, t, yaw * 0.49::DOUBLE AS a FROM frames), q AS (SELECT DISTINCT case_id, floor(t) + 0.5 AS t FROM frames),
+    b AS (SELECT q.case_id, q.t, (SELECT max(t) FROM h WHERE h.case_id = q.case_id AND h.t <= q.t) AS t0, (SELECT min(t) FROM h WHERE h.case_id = q.case_id AND h.t > q.t) AS t1 FROM q)
+    SELECT b.case_id, b.t, round(CASE WHEN t0 = b.t THEN x.a ELSE x.a + (b.t - t0) / (t1 - t0) * (y.a - x.a) END, 5) + 0.0 AS heading
+    FROM b LEFT JOIN h x ON x.case_id = b.case_id AND x.t = t0 LEFT JOIN h y ON y.case_id = b.case_id AND y.t = t1""",
+)
+def asof_pose_slerp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings as quaternions about one axis, under half a turn apart, at the middle of each unit of time."""
+    half = F.radians(F.col("yaw") * 0.49) / 2
+    f = frames(spark, sf_dir).withColumns({"qx": F.lit(0.0), "qy": F.sin(half), "qz": F.lit(0.0), "qw": F.cos(half)})
+    q = f.select("case_id", (F.floor("t") + 0.5).cast("double").alias("t")).distinct()
+    out = matching.asof_interpolate(q, f, ["case_id"], "t", ["x"], ["qx", "qy", "qz", "qw"])
+    return out.select("case_id", "t", (F.round(F.degrees(2 * F.atan2("qy", "qw")), 5) + 0.0).alias("heading"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meridia.functions import numeric, text, vectors
-from meridia.operators import curation, ingest, matching, sampling, scoring, sequences, spatial, timewindows
+from meridia.operators import curation, ingest, matching, pairing, sampling, scoring, sequences, spatial, timewindows
 from meridia.plans import rules
 
 
@@ -87,7 +87,12 @@ def test_context_and_heldout(spark):
 
 
 def test_quarters_and_frames(spark):
-    assert one(spark, q=sampling.quarters(F.lit(10)))["q"] == [3, 5, 8, 10]
+    got = [one(spark, q=sampling.quarters(F.lit(a), F.lit(b)))["q"] for a, b in ((0, 10), (4, 5), (3, 6), (7, 7))]
+    assert got == [[3, 5, 8, 10], [5], [4, 5, 6], None]
+    spans = [[tuple(w) for w in one(spark, w=sampling.overlapping_windows(F.lit(n), 24, 8))["w"]] for n in (0, 24, 25, 41)]
+    assert spans == [[(0, 24)], [(0, 24)], [(0, 24), (16, 40)], [(0, 24), (16, 40), (32, 56)]]
+    with pytest.raises(ValueError):
+        sampling.overlapping_windows(F.lit(9), 8, 8)
     got = [one(spark, f=matching.timestamp_to_frame(F.lit(t), 16.0, F.lit(357)))["f"] for t in (1.0, 22.25, 22.3, 0.03125)]
     assert got == [16, 356, None, 0]
 
@@ -119,7 +124,7 @@ def test_strength(spark):
 
 def test_gates_refuse_bad_thresholds():
     good = {k: 1.0 for k in curation.REQUIRED_KEYS}
-    for bad in ({}, {**good, "else": 1.0}, {**good, "minimum_translation_m": -1.0}, {**good, "minimum_translation_m": math.inf}):
+    for bad in ({}, {**good, "else": 1.0}, {**good, "minimum_translation_m": 0.0}, {**good, "minimum_translation_m": -1.0}, {**good, "minimum_translation_m": math.inf}):
         with pytest.raises(ValueError):
             curation.gate({}, bad)
 
@@ -144,7 +149,9 @@ def test_vectors(spark):
 def test_texts(spark):
     c = lambda f, v: one(spark, x=f(F.lit(v)))["x"]
     assert c(text.slug, "Some_my clip!.v2") == "Some_my_clip_v2"
-    assert [c(text.prompt, p) for p in ("Red  Door", "left door", "door and sign", "road sign", "a b c d e")] == ["red door", None, None, "road sign", None]
+    assert [c(text.prompt, p) for p in ("Red  Door", "left door", "door and sign", "road sign", "a b c d e", "asphalt road", "overhead lamp", "front door", "")] == ["red door", None, None, "road sign", None, None, None, "front door", None]
+    listed = [one(spark, x=text.prompts(F.array(*map(F.lit, v))))["x"] for v in (("door", "Door", "red door"), ("door",), ("door", "the sky"), ("a", "b", "c", "d", "e"))]
+    assert listed == [["door", "red door"], None, None, None]
     assert c(text.caption_of, '```json\n{"dense_caption": "a  b"}\n```') == "a b"
     assert c(text.caption_of, '{"dense_caption": "a", "more": 1}') is None
     assert c(text.without_plane_phrases, "on the left, a tree in the background stands") == "A tree stands"
@@ -165,5 +172,52 @@ def test_upsert_and_resume(spark):
 
 
 def test_mutual_matches(spark):
-    df = spark.createDataFrame([(1, 10, 0.1), (1, 11, 0.5), (2, 10, 0.3), (2, 11, 0.31)], "a long, b long, d double")
-    assert [(r.a, r.b) for r in matching.mutual_matches(df, "a", "b", "d", 0.9).collect()] == [(1, 10)]
+    df = spark.createDataFrame([(1, 10, 0.1), (1, 11, 0.5), (2, 10, 0.3), (2, 11, 0.31), (3, 12, 0.1)], "a long, b long, d double")
+    assert [(r.a, r.b) for r in matching.mutual_matches(df, "a", "b", "d", 0.9).collect()] == [(1, 10)]  # 3 and 12 have no second
+
+
+def test_votes_of_moves(spark):
+    rows = [("w", 0.1, 0.0, 5.0), ("w", 0.0, 0.1, 9.0), ("w", -3.0, 0.0, 0.1), ("no", 1.0, 0.0, 0.0), ("no", -1.0, 0.0, 0.0), ("half", 1.0, 0.0, 0.0), ("half", 0.0, 0.0, 0.0), ("a", -2.0, 0.0, -2.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double, z double")
+    got = {r.k: r.pressed for r in sequences.vote_keys(df, ["k"], {"z": ("W", "S"), "x": ("D", "A"), "y": ("Q", "E")}).collect()}
+    assert got == {"w": ["W"], "no": [], "half": [], "a": ["S", "A"]}
+
+
+def test_spaced_walks_down(spark):
+    df = spark.createDataFrame([("k", i) for i in (5, 10, 11, 12, 13, 23, 24, 25)] + [("one", 3)], "k string, i long")
+    got = sorted((r.k, r.place, r.i) for r in pairing.spaced(df, ["k"], "i", 12).collect())
+    assert got == [("k", 1, 25), ("k", 2, 13), ("one", 1, 3)]
+
+
+def test_long_keys_take_linear_time(spark):
+    """A window that looked ahead from each row would take hours."""
+    import time
+
+    start = time.perf_counter()
+    track = spark.range(300_000).select(F.lit("k").alias("k"), (F.col("id") * 1.0).alias("t"), (F.col("id") % 7 * 1.0).alias("x"), "id")
+    queries = track.select("k", (F.col("t") + 0.5).alias("t"))
+    assert matching.asof_interpolate(queries, track, ["k"], "t", ["x"]).where("x IS NULL").count() == 1
+    assert sampling.nearest_after(track, ["k"], "id", 8).count() == 300_000 - 8
+    assert time.perf_counter() - start < 60
+
+
+def test_slerp_takes_the_shorter_arc(spark):
+    track = spark.createDataFrame([("k", t, *q) for t, q in ((0.0, (0.0, 0.0, 0.0, 1.0)), (1.0, (0.0, -1.0, 0.0, 0.0)), (2.0, (0.0, 1.0, 0.0, 1e-9)), (3.0, (0.0, -0.6, 0.0, -0.8)))], "k string, t double, x double, y double, z double, w double")
+    queries = spark.createDataFrame([("k", t) for t in (0.5, 1.0, 1.5, 3.0, 3.5)], "k string, t double")
+    got = {r.t: r for r in matching.asof_interpolate(queries, track, ["k"], "t", [], ["x", "y", "z", "w"]).collect()}
+    assert abs(got[0.5].y) == pytest.approx(math.sqrt(0.5)) and got[0.5].w == pytest.approx(math.sqrt(0.5))
+    assert abs(got[1.5].y) == pytest.approx(1) and (got[1.0].y, got[3.0].w, got[3.5].w) == (-1.0, -0.8, None)
+
+
+def test_nearest_distances_by_force(spark):
+    import random
+
+    from meridia.operators import evaluation
+
+    rng = random.Random(3)
+    side = lambda n, k: [(k, i, rng.uniform(0, 40) ** 1.5, rng.uniform(0, 3)) for i in range(n)]
+    a, b = side(60, "p") + side(5, "alone"), side(40, "p") + [("other", 0, 1.0, 1.0)]
+    frame = lambda rows: spark.createDataFrame(rows, "k string, id long, x double, y double")
+    got = {(r.k, r.id): r.distance for r in evaluation.nearest_distances(frame(a), frame(b), ("k",), ["x", "y"], "id", 0.5).collect()}
+    expected = {(k, i): min(math.dist((x, y), (u, v)) for m, _, u, v in b if m == k) for k, i, x, y in a if k == "p"}
+    assert got == pytest.approx(expected)
