@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,14 @@ def sampled(rows: DataFrame, total: int, most: int) -> DataFrame:
     return rows if total <= most else rows.where(F.shiftrightunsigned("seed", 2) < (most << 62) // total)
 
 
+def give_back() -> None:
+    """Returns a worker's freed memory to the system, so that the next stage's tasks don't start with this one's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meridia.llm._shared import give_back
+
 #: Bytes of a generation of what a task remembers of pieces, and of token pairs; there are two generations of each.
 PIECE_BYTES, PAIR_BYTES = 32 << 20, 12 << 20
 _NONE = -1
@@ -205,6 +207,7 @@ def tokenize(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_i
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, i + 1 - lo), pa.array(ids, pa.binary()), pa.array(back, pa.binary())], ["id", "ids", "decoded"])
                     ids, back, lo, size = [], [], i + 1, 0
         encoder.forget()
+        give_back()
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids binary, decoded binary")
     return out.withColumnRenamed("id", id_col)

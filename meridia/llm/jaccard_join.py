@@ -28,7 +28,7 @@ from meridia.llm.components import connected_components
 
 #: Sets under a leaf, and children of an inner node: few, as the OR of many different sets has every bit.
 LEAF, FAN = 4, 4
-#: Nodes and bytes of a chunk. A bin holds about as much, and a group of up to twice as much whole.
+#: Nodes and bytes of a chunk. A bin holds about as much.
 CHUNK, CHUNK_BYTES = 2048, 2 << 20
 #: Rows that tell the frequent shingles, or so, and log2 of the slots they are kept in.
 SAMPLE, SLOT_BITS = 8_000, 24
@@ -413,8 +413,7 @@ def candidate_groups(index: DataFrame) -> DataFrame:
 def deal(members: DataFrame, num: int, den: int) -> DataFrame:
     """(node, size, bin, tree, group, range, least, chunk, own) of (group, node, size, weight) rows: the trees a node stands in.
 
-    Groups of up to twice a chunk go whole to a bin, where one tree holds all of them.
-    Larger ones are cut into overlapping ranges of size, so wide that two sizes which
+    Groups of up to a chunk go whole to a bin, where one tree holds all of them. Larger ones are cut into overlapping ranges of size, so wide that two sizes which
     allow a link share one, ranges into chunks, and every pair of chunks is a bin. least
     is a node's first range; own tells the tree of one chunk from those between two.
     """
@@ -422,7 +421,7 @@ def deal(members: DataFrame, num: int, den: int) -> DataFrame:
     bins = 1 + max((total[0] or 0) // CHUNK_BYTES, total[1] // CHUNK)
     sums = [F.count("*").alias("members"), F.sum("weight").alias("bytes")]
     counted = members.join(members.groupBy("group").agg(*sums).where("members > 1"), "group")
-    whole = (F.col("members") <= 2 * CHUNK) & (F.col("bytes") <= 2 * CHUNK_BYTES)
+    whole = (F.col("members") <= CHUNK) & (F.col("bytes") <= CHUNK_BYTES)
     bin_ = F.pmod(F.xxhash64("group"), F.lit(bins)).cast("long")
     zero = F.lit(0)
     small = counted.where(whole).select("node", "size", bin_.alias("bin"), F.lit(0).cast("long").alias("tree"), "group", *[zero.alias(c) for c in ("range", "least", "chunk")], F.lit(True).alias("own"))
