@@ -75,8 +75,7 @@ def prefix_keys(tokens: np.ndarray, num: int, den: int, frequent: np.ndarray) ->
     if (den - num) * n < num and (den - num) * n < den:  # no other set of any size reaches it
         return np.empty(0, np.uint64)
     if len(frequent):
-        slot = tokens >> U(64 - SLOT_BITS)
-        tokens = tokens[np.argsort(frequent[slot >> U(3)] >> (slot & U(7)).astype(np.uint8) & 1, kind="stable")]
+        tokens = tokens[np.argsort(in_slots(frequent, tokens >> U(64 - SLOT_BITS)), kind="stable")]
     prefix = mix(tokens[: n - -(-num * n // den) + 1])
     return np.concatenate([mix(prefix + U(c)) for c in range((n.bit_length() + 1) // 2, ((n * den // num).bit_length() + 1) // 2 + 1)])
 
@@ -102,11 +101,32 @@ def frequent_slots(docs: DataFrame, id_col: str, text_col: str, k: int, lower: b
                 yield pa.RecordBatch.from_arrays([pa.array(signed(slot)), pa.array(n.astype(np.int64))], ["slot", "n"])
 
     found = rows.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    blocks = found.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits"))
-    frequent = np.zeros(1 << (SLOT_BITS - 3), np.uint8)
+    return slot_bitmap(found)
+
+
+def slot_bitmap(slots: DataFrame) -> np.ndarray:
+    """A bitmap of the rows' column `slot`, numbers of SLOT_BITS bits; it has one size for every table."""
+    blocks = slots.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits"))
+    bitmap = np.zeros(1 << (SLOT_BITS - 3), np.uint8)
     for r in blocks.collect():
-        frequent[(r.block - 1) * len(r.bits) : r.block * len(r.bits)] = np.frombuffer(r.bits, np.uint8)
-    return frequent
+        bitmap[(r.block - 1) * len(r.bits) : r.block * len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+    return bitmap
+
+
+def in_slots(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """0 or 1 for each slot, an unsigned number."""
+    return bitmap[slot >> U(3)] >> (slot & U(7)).astype(np.uint8) & 1
+
+
+def _in_bitmap(taken):
+    """The (text, slot, ..) rows whose slot the bitmap has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = batch.column(1).to_numpy().view(np.uint64)
+            yield batch.filter(pa.array(in_slots(taken.value, slot).astype(bool)))
+
+    return run
 
 
 def signature(tokens: np.ndarray, num: int, den: int) -> bytes:
@@ -452,7 +472,11 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: tupl
     members = written(clusters.join(sized(8 * F.col("n_shingles") + 100), "node"), "members")
     places = deal(members, num, den).groupBy("node", "size").agg(F.collect_list(F.struct(*_PLACE)).alias("places"))
     placed = written(places.join(nodes.select("node", "check", "copies", F.col("id").alias("first_id")), "node"), "places")
-    texts = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("first_id")).join(placed, "first_id")
+    # Only texts whose id may be placed move: a bitmap of fixed size, which errs to the side of moving too many, tells.
+    slot = F.shiftrightunsigned(F.xxhash64("first_id"), 64 - SLOT_BITS).alias("slot")
+    taken = docs.sparkSession.sparkContext.broadcast(slot_bitmap(placed.select(slot)))
+    texts = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("first_id")).select("text", slot, "first_id")
+    texts = texts.mapInArrow(_in_bitmap(taken), "text string, slot long, first_id long").join(placed, "first_id")
     carried = texts.select("text", "node", "check", "size", "copies", "places")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields[1:])
     sets = carried.mapInArrow(_member_sets(k, lower), f"{schema}, value binary").select("node", "size", "copies", "value", F.inline("places"))
