@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.operators import matching
+from meridia.session import cut_lineage
 
 from meridia.functions.numeric import finite
 
@@ -205,16 +206,16 @@ def nearest_distances(left: DataFrame, right: DataFrame, keys: tuple[str, ...],
     extent = ends(left.select(*coordinates).unionByName(right.select(*coordinates))).first()
     most = sum((extent[f"hi_{c}"] - extent[f"lo_{c}"]) ** 2 for c in coordinates) ** 0.5 if extent[0] is not None else 0.0
     place = F.struct(*coordinates)
-    open_ = left.select(*keys, *coordinates).distinct().withColumn("_at", place)
-    there = right.select(*keys, *coordinates).distinct().withColumn("_at", place)
+    open_ = cut_lineage(left.select(*keys, *coordinates).distinct().withColumn("_at", place))
+    there = cut_lineage(right.select(*keys, *coordinates).distinct().withColumn("_at", place))
     found, width = None, start
     while True:
         near = matching.within_radius(open_, there, coordinates, width, "_at", "_at", keys).groupBy(*keys, "left_id").agg(F.min("distance").alias("distance"))
-        near = near.withColumnRenamed("left_id", "_at")
+        near = cut_lineage(near.withColumnRenamed("left_id", "_at"))
         found = near if found is None else found.unionByName(near)
-        if width >= most:
+        open_ = cut_lineage(open_.join(near, [*keys, "_at"], "left_anti"))
+        if width >= most or open_.isEmpty():
             break
-        open_ = open_.join(near, [*keys, "_at"], "left_anti")
         width = min(2 * width, max(most, start))
     return left.withColumn("_at", place).join(found, [*keys, "_at"]).select(*keys, id_, "distance")
 
