@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,14 +107,21 @@ def smoothstep(t: Column) -> Column:
     return s * s * s * (s * (s * 6 - 15) + 10)
 
 
-def slerp(a: list[Column], b: list[Column], share: Column) -> list[Column]:
-    """The quaternion at a share of the way from a to b along the shorter arc; all four columns of each in one order."""
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once however often then uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def slerp(a: list[Column], b: list[Column], share: Column) -> Column:
+    """The quaternion, an array of four, at a share of the way from a to b along the shorter arc."""
     dot = sum((x * y for x, y in zip(a, b, strict=True)), F.lit(0.0))
-    sign = F.when(dot < 0, -1.0).otherwise(1.0)
-    angle = F.acos(F.least(F.lit(1.0), F.abs(dot)))
-    close = angle < 1e-6  # sines of such angles are no better than the straight line
-    low = F.when(close, 1 - share).otherwise(F.try_divide(F.sin((1 - share) * angle), F.sin(angle)))
-    high = F.when(close, share).otherwise(F.try_divide(F.sin(share * angle), F.sin(angle)))
-    raw = [low * x + high * sign * y for x, y in zip(a, b, strict=True)]
-    norm = F.sqrt(sum((v * v for v in raw), F.lit(0.0)))
-    return [v / norm for v in raw]
+
+    def weights(d: Column, angle: Column) -> Column:
+        close = angle < 1e-6  # sines of such angles are no better than the straight line
+        low = F.when(close, 1 - share).otherwise(F.try_divide(F.sin((1 - share) * angle), F.sin(angle)))
+        high = F.when(close, share).otherwise(F.try_divide(F.sin(share * angle), F.sin(angle)))
+        return F.array(low, F.when(d < 0, -high).otherwise(high))
+
+    scaled = let(dot, lambda d: let(F.acos(F.least(F.lit(1.0), F.abs(d))), lambda angle: weights(d, angle)))
+    raw = let(scaled, lambda w: F.array(*[w[0] * x + w[1] * y for x, y in zip(a, b, strict=True)]))
+    return let(raw, lambda q: let(F.sqrt(F.aggregate(q, F.lit(0.0), lambda total, v: total + v * v)), lambda norm: F.transform(q, lambda v: v / norm)))

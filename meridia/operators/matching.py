@@ -29,8 +29,9 @@ def asof_interpolate(queries: DataFrame, track: DataFrame, keys: list[str], time
     here = F.col(time) == F.col("a.t")
     share = F.try_divide(F.col(time) - F.col("a.t"), F.col("b.t") - F.col("a.t"))
     value = lambda v: F.when(here, F.col(f"a.{v}")).otherwise(F.col(f"a.{v}") + share * (F.col(f"b.{v}") - F.col(f"a.{v}")))
-    turned = slerp([F.col(f"a.{r}") for r in rotation], [F.col(f"b.{r}") for r in rotation], share) if rotation else []
-    turned = [F.when(here, F.col(f"a.{r}")).otherwise(t).alias(r) for r, t in zip(rotation, turned, strict=True)]
+    if rotation:
+        found = found.withColumn("_turned", slerp([F.col(f"a.{r}") for r in rotation], [F.col(f"b.{r}") for r in rotation], share))
+    turned = [F.when(here, F.col(f"a.{r}")).otherwise(F.get("_turned", F.lit(i))).alias(r) for i, r in enumerate(rotation)]
     return found.select(*keys, time, *[value(v).alias(v) for v in values], *turned)
 
 
