@@ -104,11 +104,12 @@ SHORT_BASE = 0xA3B195354A39B70D
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, bytes) of a string column; nulls count as empty."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    """(offsets, bytes) of a string column, without a copy of its bytes where it has no nulls; nulls count as empty."""
+    if column.null_count:
+        column = pc.fill_null(column, "")
     _, offsets, data = column.buffers()
-    off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    return off, np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    off = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    return off.astype(np.int64), np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
 
 
 def slices(off: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

@@ -58,7 +58,7 @@ def read_ranks(rank_file: bytes) -> dict[bytes, int]:
 class BytePairEncoder:
     """Encoder of one vocabulary; every single byte must be a token."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, piece_bytes: int = PIECE_BYTES):
         self.pieces = regex.compile(pattern)
         self.rank = ranks
         self.bytes = {r: t for t, r in ranks.items()}
@@ -71,7 +71,7 @@ class BytePairEncoder:
         self._split: dict[int, tuple[int, int]] = {}
         #: Whether BPE can leave two tokens, (left << 32) + right, as neighbours.
         self.beside = _Remembered(lambda pair: self._fit(pair >> 32, pair & 0xFFFFFFFF), PAIR_BYTES, lambda pair, fits: 140)
-        self._known = _Remembered(self._packed, PIECE_BYTES, lambda piece, ids: 220 + 2 * len(piece) + len(ids))
+        self._known = _Remembered(self._packed, piece_bytes, lambda piece, ids: 220 + 2 * len(piece) + len(ids))
 
     def shorter(self, token: int) -> int:
         """The longest token that is a proper prefix of this one, or -1."""
@@ -170,11 +170,11 @@ class BytePairEncoder:
 _ENCODERS: dict[str, BytePairEncoder] = {}
 
 
-def _encoder(rank_file: bytes, pattern: str) -> BytePairEncoder:
-    key = hashlib.sha256(rank_file + pattern.encode()).hexdigest()
+def _encoder(rank_file: bytes, pattern: str, piece_bytes: int) -> BytePairEncoder:
+    key = hashlib.sha256(rank_file + pattern.encode()).hexdigest() + str(piece_bytes)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = BytePairEncoder(read_ranks(rank_file), pattern)
+        _ENCODERS[key] = BytePairEncoder(read_ranks(rank_file), pattern, piece_bytes)
     return _ENCODERS[key]
 
 
@@ -182,20 +182,21 @@ def _encoder(rank_file: bytes, pattern: str) -> BytePairEncoder:
 BATCH_BYTES = 8 << 20
 
 
-def tokenize(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = True) -> DataFrame:
+def tokenize(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = True, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """(id, ids binary, decoded binary) of each row: token ids as little-endian 32-bit integers, and their bytes.
 
     rank_file is a path on the driver; its bytes, of a fixed size, are broadcast. Special
     tokens in a text are ordinary text. Null and empty texts have no ids and decode to
     no bytes. Only the id and text columns are read, so other columns cannot clash;
-    repeated rows give repeated rows; an empty table gives none. decoded=False leaves that column null.
+    repeated rows give repeated rows; an empty table gives none. decoded=False leaves that column null. piece_bytes bounds what a task
+    remembers of pieces; a smaller bound costs time.
     """
     with open(rank_file, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(ranks.value, pattern)
+        encoder = _encoder(ranks.value, pattern, piece_bytes)
         for batch in batches:
             ids, back, lo, size = [], [], 0, 0
             for i, text in enumerate(batch.column(1)):

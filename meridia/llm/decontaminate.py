@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from meridia.llm._shared import give_back
 from meridia.llm._words import SHINGLE_BASE, U, Words, mix, words_of
 
 #: Characters of item texts that one pass over the documents searches for; more items take more passes.
@@ -168,5 +169,6 @@ def _clean(shared_index, at: int, k: int):
             keep = np.ones(batch.num_rows, bool)
             keep[[h[0] for h in shared_index.value.search(batch.column(at), k)]] = False
             yield batch.filter(pa.array(keep))
+        give_back()
 
     return run

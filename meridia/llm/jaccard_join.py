@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridia.llm._shared import sampled, written
+from meridia.llm._shared import give_back, sampled, written
 from meridia.llm._words import U, mix, signed, words_of
 from meridia.llm.components import connected_components
 
@@ -104,31 +104,32 @@ def frequent_slots(docs: DataFrame, id_col: str, text_col: str, k: int, lower: b
     return slot_bitmap(found)
 
 
+def slot_blocks(slots: DataFrame) -> DataFrame:
+    """(block, bits) of a bitmap of the rows' column `slot`, numbers of SLOT_BITS bits; it has one size at most for every table."""
+    return slots.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits"))
+
+
 def slot_bitmap(slots: DataFrame) -> np.ndarray:
-    """A bitmap of the rows' column `slot`, numbers of SLOT_BITS bits; it has one size for every table."""
-    blocks = slots.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits"))
+    """That bitmap, as bytes."""
     bitmap = np.zeros(1 << (SLOT_BITS - 3), np.uint8)
-    for r in blocks.collect():
+    for r in slot_blocks(slots).collect():
         bitmap[(r.block - 1) * len(r.bits) : r.block * len(r.bits)] = np.frombuffer(r.bits, np.uint8)
     return bitmap
 
 
+def in_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The rows whose column `slot` is in the bitmap; its blocks, 2 MB at most, are broadcast."""
+    at = F.bitmap_bit_position(F.col("slot") + 1)
+    byte = F.conv(F.hex(F.substr("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = rows.join(F.broadcast(blocks), F.bitmap_bucket_number(F.col("slot") + 1) == F.col("block"))
+    return held.where(F.bit_get(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def in_slots(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
     """0 or 1 for each slot, an unsigned number."""
     return bitmap[slot >> U(3)] >> (slot & U(7)).astype(np.uint8) & 1
 
 
-def _in_bitmap(taken):
-    """The (text, slot, ..) rows whose slot the bitmap has."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = batch.column(1).to_numpy().view(np.uint64)
-            yield batch.filter(pa.array(in_slots(taken.value, slot).astype(bool)))
-
-    return run
-
-
 def signature(tokens: np.ndarray, num: int, den: int) -> bytes:
     """A bitmap of 4 to 8 bits a token: bit token mod its size, which is a power of 2.
 
@@ -170,6 +171,7 @@ def shingle_index(docs: DataFrame, id_col: str, text_col: str, k: int, num: int,
                     ],
                     ["id", "n_shingles", "node", "check", "bitmap", "keys"],
                 )
+        give_back()
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, "id long, n_shingles long, node long, check long, bitmap binary, keys array<long>")
@@ -413,6 +415,7 @@ def _member_sets(k: int, lower: bool):
                 mine = np.array([set_hashes(s) == (n, c) for s, n, c in zip(sets, node[w.lo : w.hi].tolist(), check[w.lo : w.hi].tolist(), strict=True)])
                 rest = [batch.column(i).slice(w.lo, w.hi - w.lo) for i in range(1, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array([s.tobytes() for s in sets], pa.binary())], [*batch.schema.names[1:], "value"]).filter(pa.array(mine))
+        give_back()
 
     return run
 
@@ -474,9 +477,8 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: tupl
     placed = written(places.join(nodes.select("node", "check", "copies", F.col("id").alias("first_id")), "node"), "places")
     # Only texts whose id may be placed move: a bitmap of fixed size, which errs to the side of moving too many, tells.
     slot = F.shiftrightunsigned(F.xxhash64("first_id"), 64 - SLOT_BITS).alias("slot")
-    taken = docs.sparkSession.sparkContext.broadcast(slot_bitmap(placed.select(slot)))
     texts = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("first_id")).select("text", slot, "first_id")
-    texts = texts.mapInArrow(_in_bitmap(taken), "text string, slot long, first_id long").join(placed, "first_id")
+    texts = in_blocks(texts, slot_blocks(placed.select(slot))).join(placed, "first_id")
     carried = texts.select("text", "node", "check", "size", "copies", "places")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields[1:])
     sets = carried.mapInArrow(_member_sets(k, lower), f"{schema}, value binary").select("node", "size", "copies", "value", F.inline("places"))

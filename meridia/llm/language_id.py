@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridia.llm._shared import written
+from meridia.llm._shared import give_back, written
 from meridia.llm._words import LOWER, slices, text_buffers
 
 GRAM = 4
@@ -169,5 +169,6 @@ def keep_identified(docs: DataFrame, model: BitmaskFilter, text_col: str = "text
         for batch in batches:
             names, scores = shared.value.predict(batch.column(at))
             yield batch.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

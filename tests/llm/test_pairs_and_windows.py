@@ -138,6 +138,13 @@ def test_frequent_slots_come_last(spark):
     assert held == [[1] * 4, [0] * 2]
 
 
+def test_rows_of_a_bitmap(spark):
+    slots = [0, 1, 7, 8, 32767, 32768, 40000, (1 << jaccard_join.SLOT_BITS) - 1]
+    df = spark.createDataFrame([(s, str(s)) for s in slots] + [(2, "2"), (9, "9"), (39999, "39999")], "slot long, text string")
+    got = jaccard_join.in_blocks(df, jaccard_join.slot_blocks(df.where(F.col("slot").isin(slots)))).collect()
+    assert sorted((r.slot, r.text) for r in got) == sorted((s, str(s)) for s in slots)
+
+
 def test_thresholds_under_a_half_are_refused(empty):
     with pytest.raises(ValueError, match="1/2"):
         jaccard_join.jaccard_join(empty, threshold=(2, 5))
