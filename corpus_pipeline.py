@@ -14,8 +14,17 @@ from meridia.llm import bpe, decontaminate, jaccard_join, language_id, secret_sc
 from meridia.llm._shared import written
 
 
+#: Rows of a batch that goes to Python: texts are long, and Spark's own 10,000 of them take tens of MB in every task.
+BATCH_ROWS = 1_000
+
+
+def _in_small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter or with a score under 0.3 in every language of the corpus."""
+    _in_small_batches(spark)
     return language_id.keep_identified(docs, language_id.fit(docs))
 
 
@@ -25,6 +34,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are told apart by a hash of all their columns, so that rows without an id, or of
     one id, are documents of their own. Repeated rows, equal in every column, become one.
     """
+    _in_small_batches(spark)
     columns = docs.columns
     row = F.xxhash64(*columns, *[F.col(c).isNull() for c in columns]).alias("row")
     groups = written(jaccard_join.jaccard_components(docs.select(row, "text"), id_col="row", k=5, threshold=(4, 5)), "groups")
@@ -41,17 +51,20 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold four fifths of a test item's shingles."""
+    _in_small_batches(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret in the texts; n_chars follows."""
+    _in_small_batches(spark)
     return secret_scan.redact_secrets(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256): token ids as little-endian 32-bit integers, and what they decode to."""
-    ids = bpe.tokenize(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    _in_small_batches(spark)
+    ids = bpe.tokenize(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, piece_bytes=10 << 20)
     return ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
