@@ -319,3 +319,40 @@ def with_parent(cases: DataFrame, id_: str, parent: str, columns: list[str]) ->
 def named_objects(objects: DataFrame, names: DataFrame, key: str, name: str) -> DataFrame:
     """objects with the name of their key, and whether it is known."""
     return objects.join(names.select(key, name), key, "left").withColumn("known", F.col(name).isNotNull())
+
+
+def validity_ratios(cases: DataFrame, outputs: DataFrame, key: str = "case_id") -> DataFrame:
+    """(key, status, expected_geometry, video_decode_ratio, and of pose and depth output_ratio and out_of_range, complete) of each case.
+
+    cases has (key, expected, decoded, decode_ratio, plan): frames wanted, decoded and the
+    container's own ratio, and the sorted frame indices of a sampling plan, null where every
+    frame is wanted. outputs has (key, kind, frame_index), kind `pose` or `depth`; repeated
+    rows count once. A plan that is empty, doesn't start at 0, isn't strictly ascending or
+    leaves the frames is `invalid_plan`, and its ratios are null. A kind without any row was
+    not provided and so is not complete. Plans meet outputs by a join on (key, frame), never
+    as arrays.
+    """
+    plan, expected = F.col("plan"), F.col("expected")
+    good = (F.size(plan) > 0) & (F.try_element_at(plan, F.lit(1)) == 0) & (F.try_element_at(plan, F.lit(-1)) < expected) & (plan == F.array_sort(F.array_distinct(plan)))
+    sized = cases.select(
+        key, "expected", "decoded", "decode_ratio", plan.isNotNull().alias("planned"),
+        F.when(plan.isNull() | good, "ok").otherwise("invalid_plan").alias("status"),
+        F.when(plan.isNull(), expected).otherwise(F.size(plan)).cast("long").alias("expected_geometry"),
+    )
+    wanted = cases.where(plan.isNotNull()).select(key, F.explode(F.array_distinct(plan)).alias("frame_index")).withColumn("in_plan", F.lit(True))
+    seen = outputs.select(key, "kind", "frame_index").distinct().join(wanted, [key, "frame_index"], "left").join(sized.select(key, "planned", "expected"), key)
+    held = F.when(F.col("planned"), F.coalesce("in_plan", F.lit(False))).otherwise((F.col("frame_index") >= 0) & (F.col("frame_index") < expected))
+    kinds = ("pose", "depth")
+    counts = [F.count(F.when((F.col("kind") == k) & (held if inside else ~held), 1)).alias(f"{k}_{'in' if inside else 'out'}") for k in kinds for inside in (True, False)]
+    joined = sized.join(seen.groupBy(key).agg(*counts), key, "left").fillna(0, [f"{k}_{w}" for k in kinds for w in ("in", "out")])
+    ok = F.col("status") == "ok"
+    most = F.greatest("expected_geometry", F.lit(1))
+    full = (F.col("decoded") == expected) & (F.abs(F.col("decode_ratio") - 1) <= 1e-5 + 1e-8)
+    for k in kinds:
+        full = full & (F.col(f"{k}_out") == 0) & (F.col(f"{k}_in") == F.col("expected_geometry")) & (F.col(f"{k}_in") > 0)
+    return joined.select(
+        key, "status", "expected_geometry", F.when(ok, F.least("decoded", expected) / F.greatest(expected, F.lit(1))).alias("video_decode_ratio"),
+        *[F.when(ok, F.col(f"{k}_in") / most).alias(f"{k}_output_ratio") for k in kinds],
+        *[F.when(ok, F.col(f"{k}_out")).alias(f"{k}_out_of_range") for k in kinds],
+        F.when(ok, F.coalesce(full, F.lit(False))).alias("complete"),
+    )

@@ -282,3 +282,26 @@ def parent_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def known_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     objects = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (c("l_partkey") * 2).alias("p_partkey"))
     return diagnostics.named_objects(objects, table(spark, sf_dir, "part"), "p_partkey", "p_name").select("l_orderkey", "l_linenumber", "p_name", "known")
+
+
+@query(
+    "validity_ratios",
+    """WITH c AS (SELECT s_suppkey AS case_id, 200 + s_suppkey % 60 AS e, 200 + s_suppkey % 60 - s_suppkey % 4 AS d FROM supplier),
+    p AS (SELECT *, CASE WHEN case_id % 15 <> 10 THEN 'ok' ELSE 'invalid_plan' END AS status, CASE WHEN case_id % 3 = 0 THEN 2 ELSE 1 END AS step, CASE WHEN case_id % 15 = 10 THEN e - 1 WHEN case_id % 3 = 0 THEN (e + 1) // 2 ELSE e END AS n FROM c),
+    o AS (SELECT l_suppkey AS case_id, 'pose' AS kind, (l_orderkey + l_linenumber) % 260 AS f FROM lineitem WHERE l_returnflag <> 'R' UNION SELECT l_suppkey, 'depth', l_partkey % 300 FROM lineitem WHERE l_returnflag = 'R'),
+    k AS (SELECT p.case_id, count(CASE WHEN kind = 'pose' AND f < e AND f % step = 0 THEN 1 END) AS pi, count(CASE WHEN kind = 'pose' AND NOT (f < e AND f % step = 0) THEN 1 END) AS po,
+        count(CASE WHEN kind = 'depth' AND f < e AND f % step = 0 THEN 1 END) AS di, count(CASE WHEN kind = 'depth' AND NOT (f < e AND f % step = 0) THEN 1 END) AS dout FROM p LEFT JOIN o USING (case_id) GROUP BY p.case_id)
+    SELECT case_id, status, CAST(n AS BIGINT) AS expected_geometry, CASE WHEN status = 'ok' THEN d / e END AS video_decode_ratio, CASE WHEN status = 'ok' THEN pi / n END AS pose_output_ratio, CASE WHEN status = 'ok' THEN di / n END AS depth_output_ratio,
+    CASE WHEN status = 'ok' THEN po END AS pose_out_of_range, CASE WHEN status = 'ok' THEN dout END AS depth_out_of_range, CASE WHEN status = 'ok' THEN d = e AND pi = n AND di = n AND po = 0 AND dout = 0 END AS complete FROM p JOIN k USING (case_id)""",
+)
+def validity_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier a case: its returned lines give depth frames and the others pose frames; a third of the cases want every second frame, some have a plan that starts at 1."""
+    case, expected = c("s_suppkey"), (200 + c("s_suppkey") % 60).cast("long")
+    plan = F.when(case % 15 == 10, F.sequence(F.lit(1).cast("long"), expected - 1)).when(case % 3 == 0, F.sequence(F.lit(0).cast("long"), expected - 1, F.lit(2).cast("long")))
+    decoded = (expected - case % 4).cast("long")
+    cases = table(spark, sf_dir, "supplier").select(case.alias("case_id"), expected.alias("expected"), decoded.alias("decoded"), (decoded / expected).alias("decode_ratio"), plan.alias("plan"))
+    lines = table(spark, sf_dir, "lineitem")
+    frame = lambda rows, kind, f: rows.select(c("l_suppkey").alias("case_id"), F.lit(kind).alias("kind"), f.cast("long").alias("frame_index"))
+    pose = frame(lines.where("l_returnflag <> 'R'"), "pose", (c("l_orderkey") + c("l_linenumber")) % 260)
+    depth = frame(lines.where("l_returnflag = 'R'"), "depth", c("l_partkey") % 300)
+    return diagnostics.validity_ratios(cases, pose.union(depth))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meridia.functions import numeric, text, vectors
-from meridia.operators import curation, ingest, matching, pairing, sampling, scoring, sequences, spatial, timewindows
+from meridia.operators import curation, diagnostics, ingest, matching, pairing, sampling, scoring, sequences, spatial, timewindows
 from meridia.plans import rules
 
 
@@ -221,3 +221,25 @@ def test_nearest_distances_by_force(spark):
     got = {(r.k, r.id): r.distance for r in evaluation.nearest_distances(frame(a), frame(b), ("k",), ["x", "y"], "id", 0.5).collect()}
     expected = {(k, i): min(math.dist((x, y), (u, v)) for m, _, u, v in b if m == k) for k, i, x, y in a if k == "p"}
     assert got == pytest.approx(expected)
+
+
+def test_validity_ratios_by_hand(spark):
+    """Golden cases: all frames, a plan, an invalid plan, frames out of range, nothing provided, no frames at all."""
+    cases = spark.createDataFrame(
+        [(1, 4, 4, 1.0, None), (2, 4, 4, 1.0, [0, 2]), (3, 4, 4, 1.0, [1, 2]), (4, 4, 3, 0.75, None), (5, 4, 9, 1.0, None), (6, 0, 0, 1.0, None), (7, 4, 4, 1.0, [0, 4]), (8, 4, 4, 1.0, []), (9, 4, 4, 1.0, [0, 2, 2])],
+        "case_id long, expected long, decoded long, decode_ratio double, plan array<long>",
+    )
+    frames = [(1, k, f) for k in ("pose", "depth") for f in (0, 1, 2, 3, 3)] + [(2, "pose", 0), (2, "pose", 1), (2, "depth", 0), (2, "depth", 2), (4, "pose", -1), (4, "pose", 7), (4, "depth", 3), (3, "pose", 1)]
+    out = diagnostics.validity_ratios(cases, spark.createDataFrame(frames, "case_id long, kind string, frame_index long"))
+    got = {r[0]: tuple(r[1:]) for r in out.collect()}
+    assert got == {
+        1: ("ok", 4, 1.0, 1.0, 1.0, 0, 0, True),
+        2: ("ok", 2, 1.0, 0.5, 1.0, 1, 0, False),
+        3: ("invalid_plan", 2, None, None, None, None, None, None),
+        4: ("ok", 4, 0.75, 0.0, 0.25, 2, 0, False),
+        5: ("ok", 4, 1.0, 0.0, 0.0, 0, 0, False),
+        6: ("ok", 0, 0.0, 0.0, 0.0, 0, 0, False),
+        7: ("invalid_plan", 2, None, None, None, None, None, None),
+        8: ("invalid_plan", 0, None, None, None, None, None, None),
+        9: ("invalid_plan", 3, None, None, None, None, None, None),
+    }
