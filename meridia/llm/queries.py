@@ -1,4 +1,4 @@
-"""The queries of the ten operators and their DuckDB SQL."""
+"""The queries of the numbered operators and their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm import bpe, chat_format, decontaminate, jaccard_join, language_id, quality_rules, secret_scan, sharding, substring_dedup, warc
+from meridia.llm import bpe, chat_format, decontaminate, importance_sampling, jaccard_join, language_id, periodic_runs, quality_rules, secret_scan, sharding, substring_dedup, url_filter, warc
 from meridia.llm._shared import written
 
 
@@ -90,6 +90,75 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"), window=35)
 
 
+#: The rules of op11, and the words of its labelled URLs: hosts of gambling, advertising, adult and fraud sites, and ordinary ones.
+URL_RULES = [
+    url_filter.Rule("allow", "com"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+]
+BLOCKED_WORDS = "casino poker bets betting slots jackpot roulette lottery ads adserver track tracker clicks popup banner xxx porn adult escort pills viagra loans payday warez crack torrent replica spam".split()
+ALLOWED_WORDS = "news blog docs wiki library school city garden music science weather travel health history museum forum shop mail maps photo recipes sports theatre university council river bridge letters nation station other thing there with another ration tension handle table".split()
+_ENDS = ("com", "net", "org")
+
+
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """(url, block): a small labelled table, three URLs a word, as no given table has labels of URLs."""
+    shapes = ("https://{w}-{n}.site.{end}/{lang}/{n}00", "http://www.{w}.{end}/{lang}/{n}.html", "https://best-{w}.online.{end}/{n}/{lang}/?id={n}")
+    plain = ("https://{w}.site.{end}/{lang}/{n}00", "http://www.{w}{w}.{end}/{lang}/{n}.html", "https://m.my{w}.online.{end}/{n}/{lang}/?id={n}")
+    rows = []
+    for block, words, forms in ((1, BLOCKED_WORDS, shapes), (0, ALLOWED_WORDS, plain)):
+        rows += [(f.format(w=w, n=11 + i, end=_ENDS[(i + j) % 3], lang=("en", "de", "fr", "es")[(i + j) % 4]), block) for i, w in enumerate(words) for j, f in enumerate(forms)]
+    return spark.createDataFrame(rows, "url string, block int")
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = url_filter.fit(labelled_urls(spark))
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES, model, carry={"page_id": F.col("page_id")})
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_sampling.importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), buckets=10_000, most=1, share=(10, 100), least=20, seed=2024)
+
+
+def with_planted_periods(text: Column, id_: Column) -> Column:
+    """The texts of op13: where crc32 of the id is a multiple of 10, the words from some place on repeat with some period."""
+    h = F.crc32(id_.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+        body = F.slice(w, (a + 1).cast("int"), p.cast("int"))
+        times = F.ceil((n - a) / p).cast("int")
+        tail = F.slice(F.flatten(F.array_repeat(body, times)), F.lit(1), (n - a).cast("int"))
+        return F.array_join(F.concat(F.slice(w, F.lit(1), a.cast("int")), tail), " ")
+
+    # transform() over a list of one binds the words, so that they are split once.
+    return F.when((h % 10 == 0) & F.rlike(text, F.lit(r"[^\x20\x09-\x0D]")), F.transform(F.array(words), repeated)[0]).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", with_planted_periods(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic_runs.periodic_runs(docs, carry={"doc_id": F.col("doc_id")}, least=12)
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    shown = found.withColumn("longest", longest)
+    return shown.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("longest.start").alias("start"),
+        (-F.col("longest.l")).alias("length"),
+        F.col("longest.period").alias("period"),
+        F.expr("(-1000 * longest.l) div longest.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_secret_scan": op2_secret_scan,
@@ -101,6 +170,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_url_filter": op11_url_filter,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {}
