@@ -175,4 +175,37 @@ QUERIES = {
     "op13_periodic_runs": op13_periodic_runs,
 }
 
-ORACLE: dict[str, str] = {}
+#: CRC-32 is computed here for each distinct word, a byte a round, from a table that a recursion makes.
+_OP12_SQL = r"""
+WITH RECURSIVE
+bits(i, c, k) AS (
+  SELECT i, i::BIGINT, 0 FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+texts AS (
+  SELECT 0 AS kind, row_number() OVER () AS row, doc_id AS id, text FROM documents
+  UNION ALL SELECT 1, row_number() OVER (), item_id, text FROM benchmark),
+listed AS (
+  SELECT kind, row, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM texts),
+words AS (SELECT kind, row, unnest(ws) AS w FROM listed),
+step(w, h, pos, c) AS (
+  SELECT w, hex(encode(w)), 0, 4294967295::BIGINT FROM (SELECT DISTINCT w FROM words)
+  UNION ALL
+  SELECT w, h, pos + 1, xor((SELECT t FROM crc)[1 + (xor(c, ('0x' || substr(h, 2 * pos + 1, 2))::BIGINT) & 255)], c >> 8)
+  FROM step WHERE 2 * pos < length(h)),
+bucketed AS (SELECT w, xor(c, 4294967295) % 10000 AS bucket FROM step WHERE 2 * pos = length(h)),
+counts AS (SELECT bucket, count(*) FILTER (WHERE kind = 0) AS s, count(*) FILTER (WHERE kind = 1) AS t FROM words JOIN bucketed USING (w) GROUP BY bucket),
+totals AS (SELECT sum(s)::DOUBLE AS all_s, sum(t)::DOUBLE AS all_t FROM counts),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1.0::DOUBLE) * (all_s + 10000) / ((s + 1.0::DOUBLE) * (all_t + 10000))))::BIGINT AS gain FROM counts, totals),
+weights AS (SELECT row, sum(gain)::BIGINT AS weight FROM words JOIN bucketed USING (w) JOIN gains USING (bucket) WHERE kind = 0 GROUP BY row),
+scored AS (
+  SELECT id, row, len(ws) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM listed LEFT JOIN weights USING (row) WHERE kind = 0),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY n_features >= 20 DESC, score DESC, id NULLS LAST, row) AS place, count(*) FILTER (WHERE n_features >= 20) OVER () AS n FROM scored)
+SELECT id AS doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM placed
+"""
+
+ORACLE = {"op12_importance_resampling": _OP12_SQL}
