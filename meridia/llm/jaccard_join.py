@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from meridia.llm._shared import give_back, sampled, written
 from meridia.llm._words import U, mix, signed, words_of
-from meridia.llm.components import connected_components
+from meridia.llm.components import connected_components, joined
 
 #: Sets under a leaf, and children of an inner node: few, as the OR of many different sets has every bit.
 LEAF, FAN = 4, 4
@@ -273,19 +273,6 @@ def _below(i: np.ndarray, j: np.ndarray, fan: int, n: int, apart: bool) -> tuple
     return x[keep], y[keep]
 
 
-def joined(label: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
-    """The labels of rows, each the least row of its component, once the pairs are joined too."""
-    while len(xs):
-        least = np.minimum(label[xs], label[ys])
-        np.minimum.at(label, label[xs], least)
-        np.minimum.at(label, label[ys], least)
-        while (label[label] != label).any():
-            label = label[label]
-        open_ = label[xs] != label[ys]
-        xs, ys = xs[open_], ys[open_]
-    return label
-
-
 def linked_pairs(xs: np.ndarray, ys: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """The pairs whose exact Jaccard is >= num/den. One set is marked at a time, and its partners' tokens are counted."""
     order = np.argsort(xs, kind="stable")
