@@ -119,7 +119,7 @@ def test_model_does_not_see_held_out_rows(spark, sf_dir):
 def test_queries_read_whole_tables(spark, sf_dir, name):
     if name == "op9_decontamination":
         pytest.skip("its rows are leaks")
-    table, extra = {"op6_chat_format": ("conversations", 1), "op8_warc": ("pages", 0)}.get(name, ("documents", 0))
+    table, extra = {"op6_chat_format": ("conversations", 1), "op8_warc": ("pages", 0), "op11_url_filter": ("pages", 0)}.get(name, ("documents", 0))
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     n = rows.select("conv_id").distinct().count() if name == "op6_chat_format" else rows.count()
     assert QUERIES[name](spark, sf_dir).count() == n + extra

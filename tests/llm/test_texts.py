@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -101,6 +102,38 @@ def test_context_crosses_lines_and_covers_pem_blocks():
     assert novel(f"private {'so it goes on ' * 30} {KEY}") == []
 
 
+def test_context_as_far_away_as_asked_for(spark):
+    text = f"private: {' '.join(['some ordinary words'] * 60)}\n{KEY} end"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = lambda around: [tuple(s)[:3] for s in secret_scan.scan_secrets(df, around=around).first().spans]
+    at = text.index(KEY)
+    assert at > 1000 and spans(2000) == [("novel", at, at + len(KEY))] and spans(secret_scan.AROUND) == []
+    assert "[SECRET:novel]" in secret_scan.redact_secrets(df, around=2000).first().text
+
+
+@pytest.mark.parametrize("length", [16, 64, 512, 2048])
+def test_capital_hex_keys_of_any_length(length):
+    """Runs of digits inside long keys are base spans of their own; the key is reported as a whole beside them."""
+    rng, scorer = random.Random(length), secret_scan.NoveltyScorer()
+    found = 0
+    for _ in range(50):
+        key = "".join(rng.choice("0123456789ABCDEF") for _ in range(length))
+        text = f"the value is set here\nmy private thing: {key} and more text\n"
+        at = text.index(key)
+        base = secret_scan.base_spans(text)
+        found += any(a <= at and b >= at + length for a, b, _ in base + secret_scan.novel_spans(text, base, scorer))
+    assert found >= 48
+
+
+def test_names_of_code_are_no_secrets():
+    """Of the standard library's modules at most one in 30 has a report."""
+    scorer, reports, files = secret_scan.NoveltyScorer(), 0, sorted(Path(random.__file__).parent.glob("*.py"))
+    for f in files:
+        text = f.read_text(errors="replace")
+        reports += len(secret_scan.novel_spans(text, secret_scan.base_spans(text), scorer))
+    assert len(files) > 100 and reports <= len(files) / 30
+
+
 def test_identifiers_of_the_corpus(spark):
     rows = [(i, f"def load_ledger_entries(token): return fetchLedger{i}(token) # {KEY}") for i in range(5)]
     df = spark.createDataFrame([*rows, *[(9, "onlyhere onlyhere")] * 4, (None, None), (8, "")], "doc_id long, text string")
