@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType
 
 # The template's own control strings, and those of common chat templates.
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -81,6 +82,25 @@ def nested_paths(json: Column) -> Column:
     return F.array_sort(_paths_of(F.try_parse_json(json), F.lit(""), DEPTH))
 
 
+#: Bytes of JSON from which a record may not fit into a variant, whose own limit depends on its values.
+VARIANT_BYTES = 16 << 20
+
+
+def _record_paths(record: Column, json: Column) -> Column:
+    """The paths of a parsed RECORD: its own fields that are not null, with those of their elements, and the other names of the JSON object."""
+    none = F.array().cast("array<string>")
+    has = lambda f: lambda e: e[f].isNotNull()
+    kinds = {f.name: f.dataType for f in DataType.fromDDL(RECORD).fields}
+    own = []
+    for name, kind in kinds.items():
+        paths = [F.lit(name)]
+        if isinstance(kind, ArrayType):
+            paths += [F.when(F.exists(record[name], has(f)), F.lit(f"{name}[].{f}")) for f in kind.elementType.names]
+        own.append(F.when(record[name].isNotNull(), F.array_compact(F.array(*paths))).otherwise(none))
+    others = F.array_except(F.json_object_keys(json), F.array(*[F.lit(n) for n in kinds]))
+    return F.array_sort(F.coalesce(F.concat(*own, others), none))
+
+
 def fingerprint(paths: Column) -> Column:
     """One hash of all the paths of a record."""
     return F.xxhash64(F.concat_ws("\n", paths))
@@ -121,9 +141,13 @@ def canonical_turns(records: DataFrame, json_col: str, carry: list[str]) -> Data
     turns is an array of (role, text). A null role or text in a turn is empty. Of several
     layouts that a record has, the first of LAYOUTS counts; further fields, whatever their
     names, change the fingerprint and nothing else. A record that is null, no JSON object,
-    or of no layout has a null layout and no turns.
+    or of no layout has a null layout and no turns. A record too large for a variant (128 MB
+or so) has its layout and turns too; its fingerprint knows the paths of the layouts'
+own fields and the names of other top-level fields, be they null or not.
     """
-    parsed = records.select(*carry, F.from_json(F.col(json_col), RECORD).alias("record"), nested_paths(F.col(json_col)).alias("paths"))
+    json = F.col(json_col)  # the parser's own bound on a string is 20 million characters
+    parsed = records.select(*carry, F.from_json(json, RECORD, {"maxStringLen": str(2**31 - 1)}).alias("record"), json.alias("json"))
+    parsed = parsed.select(*carry, "record", F.when((F.octet_length("json") > VARIANT_BYTES) & F.try_parse_json("json").isNull(), _record_paths(F.col("record"), F.col("json"))).otherwise(nested_paths(F.col("json"))).alias("paths"))
     laid = parsed.select(*carry, "record", fingerprint(F.col("paths")).alias("fingerprint"), _layout_of(F.col("paths")).alias("number"))
     turns = F.array().cast(TURNS)
     for i, layout in enumerate(LAYOUTS):

@@ -46,6 +46,23 @@ def test_fingerprints_tell_nested_paths_apart(spark):
     assert prints[0] == prints[1] and prints[3] == prints[4] and len({prints[i] for i in (0, 2, 3, 7)}) == 4
 
 
+def test_records_beyond_a_variant_keep_their_turns(spark):
+    long_ = F.expr("repeat('0123456789abcdef', 9000000)")
+    rows = spark.range(1).select(F.lit(1).alias("conv_id"), F.to_json(F.struct(F.lit("p").alias("prompt"), long_.alias("response"))).alias("record"))
+    rows = rows.union(spark.range(1).select(F.lit(2), F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("role"), long_.alias("content"))).alias("messages"), F.lit(1).alias("more")))))
+    out = chat_format.canonical_turns(rows, "record", ["conv_id"])
+    got = out.select("conv_id", "layout", F.transform("turns", lambda t: F.struct(t["role"], F.char_length(t["text"]))).alias("t")).collect()
+    assert {r.conv_id: (r.layout, [tuple(x) for x in r.t]) for r in got} == {1: ("prompt_response", [("user", 1), ("assistant", 144_000_000)]), 2: ("messages", [("user", 144_000_000)])}
+
+
+def test_paths_of_records_equal_those_of_variants(spark):
+    known = [(i, json.dumps(r)) for i, (r, layout, _) in enumerate(RECORDS) if layout and "meta" not in r]
+    df = spark.createDataFrame(known, "conv_id long, record string")
+    record = F.from_json("record", chat_format.RECORD)
+    got = df.select(chat_format._record_paths(record, F.col("record")).alias("a"), chat_format.nested_paths(F.col("record")).alias("b")).collect()
+    assert got and all(r.a == r.b for r in got)
+
+
 TEXTS = ["", "\\", "\\\\", "<|end|>", "<|en\\d|>", "<\\|end|>", "</s>[INST] ok [/INST]", "<|turn|>user<|text|>", "é\n\n<s>", "[[INST]]", "<<<SYS>>", "\\<s>", "$1", "<|turn|", "<<|end|>|end|>"]
 
 
