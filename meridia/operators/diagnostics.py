@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions.numeric import finite
 from meridia.operators import matching
+from meridia.session import cut_lineage
 
 # Labels that are no objects, and the axes change of camera conventions.
 EXCLUDED_LABELS = ("wall", "floor", "ceiling", "window", "glass", "mirror", "transparent", "remove")
@@ -39,19 +40,29 @@ def status_windows(samples: DataFrame, keys: list[str], time: str, value: str, d
     return every.join(found, [*keys, "window"], "left").select(*keys, "window", "start", "stop", n.alias("n"), F.when(n > 0, "ok").otherwise("not_covered").alias("status"), "mean")
 
 
-def json_records(json: Column, fields: tuple[str, ...], depth: int = 4) -> Column:
-    """The objects, as an array of variants in their order, that have all fields, down to a depth of objects and arrays; none inside one of them."""
+def json_records(rows: DataFrame, keys: list[str], json: str, fields: tuple[str, ...]) -> DataFrame:
+    """(keys, path, v): the objects in a row's JSON, as variants, that have all fields, at any depth; none inside one of them.
 
-    def walk(v: Column, left: int) -> Column:
-        none = F.array().cast("array<variant>")
-        if not left:
-            return none
-        held, listed = F.try_variant_get(v, "$", "map<string, variant>"), F.try_variant_get(v, "$", "array<variant>")
-        whole = F.size(F.array_except(F.array(*[F.lit(f) for f in fields]), F.map_keys(held))) == 0
-        below = lambda items: F.flatten(F.transform(items, lambda x: walk(x, left - 1)))
-        return F.when(held.isNotNull() & whole, F.array(v)).when(held.isNotNull(), below(F.map_values(held))).when(listed.isNotNull(), below(listed)).otherwise(none)
-
-    return walk(F.try_parse_json(json), depth)
+    path is the array of places that lead to an object, so it sorts a row's records in
+    their order. Every round looks one level deeper, into what holds anything still. Rows
+    whose text is null or no JSON have none; JSON too large for a variant is an error.
+    """
+    text = F.col(json)
+    valid = F.json_array_length(text).isNotNull() | F.json_object_keys(text).isNotNull()
+    parsed = F.when(F.try_parse_json(text).isNull() & valid, F.raise_error(F.lit("a JSON text is too large for a variant")).cast("variant")).otherwise(F.try_parse_json(text))
+    open_, found = rows.select(*keys, F.array().cast("array<int>").alias("path"), parsed.alias("v")), None
+    as_map = lambda v: F.try_variant_get(v, "$", "map<string, variant>")
+    as_list = lambda v: F.try_variant_get(v, "$", "array<variant>")
+    while True:
+        whole = F.coalesce(F.size(F.array_except(F.array(*[F.lit(f) for f in fields]), F.map_keys(as_map(F.col("v"))))) == 0, F.lit(False))
+        seen = open_.withColumn("_whole", whole)
+        here = seen.where("_whole").select(*keys, "path", "v")
+        found = here if found is None else found.unionByName(here)
+        below = F.posexplode(F.coalesce(F.map_values(as_map(F.col("v"))), as_list(F.col("v")))).alias("_i", "_below")
+        deeper = seen.where("NOT _whole").select(*keys, "path", below).where(as_map(F.col("_below")).isNotNull() | as_list(F.col("_below")).isNotNull())
+        open_ = cut_lineage(deeper.select(*keys, F.array_append("path", F.col("_i")).alias("path"), F.col("_below").alias("v")))
+        if open_.isEmpty():
+            return found
 
 
 def revisit_means(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridia.operators import matching
+from meridia.operators import matching, neighbours
 from meridia.session import cut_lineage
 
 from meridia.functions.numeric import finite
@@ -198,26 +198,10 @@ def centre_crop(width: Column, height: Column, target_width: int = 1280, target_
 def nearest_distances(left: DataFrame, right: DataFrame, keys: tuple[str, ...], coordinates: list[str], id_: str, start: float) -> DataFrame:
     """(keys, id, distance) of each left point to the nearest right point of its key; none for a key without right points.
 
-    Distinct places are searched through a grid whose width doubles from start on, each
-    time for those places alone that have no right point within the width before; so no
-    point meets all others of its key.
+    `start` is the width of the narrowest cells of the search, which changes its work and not its result.
     """
-    ends = lambda df: df.agg(*[f(c).alias(f"{n}_{c}") for c in coordinates for n, f in (("lo", F.min), ("hi", F.max))])
-    extent = ends(left.select(*coordinates).unionByName(right.select(*coordinates))).first()
-    most = sum((extent[f"hi_{c}"] - extent[f"lo_{c}"]) ** 2 for c in coordinates) ** 0.5 if extent[0] is not None else 0.0
-    place = F.struct(*coordinates)
-    open_ = cut_lineage(left.select(*keys, *coordinates).distinct().withColumn("_at", place))
-    there = cut_lineage(right.select(*keys, *coordinates).distinct().withColumn("_at", place))
-    found, width = None, start
-    while True:
-        near = matching.within_radius(open_, there, coordinates, width, "_at", "_at", keys).groupBy(*keys, "left_id").agg(F.min("distance").alias("distance"))
-        near = cut_lineage(near.withColumnRenamed("left_id", "_at"))
-        found = near if found is None else found.unionByName(near)
-        open_ = cut_lineage(open_.join(near, [*keys, "_at"], "left_anti"))
-        if width >= most or open_.isEmpty():
-            break
-        width = min(2 * width, max(most, start))
-    return left.withColumn("_at", place).join(found, [*keys, "_at"]).select(*keys, id_, "distance")
+    near = neighbours.nearest_k(left, right, list(keys), coordinates, 1, start)
+    return left.join(near.select(*keys, *coordinates, "distance"), [*keys, *coordinates]).select(*keys, id_, "distance")
 
 
 def trimmed_mean(rows: DataFrame, keys: list[str], value: str, share: float = 0.95) -> DataFrame:

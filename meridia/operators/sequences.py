@@ -34,15 +34,15 @@ def runs(series: DataFrame, keys: list[str], order: list[str], label: str) -> Da
     return numbered.groupBy(*keys, "run").agg(F.first(label).alias(label), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count("*").alias("length"))
 
 
-def vote_keys(moves: DataFrame, keys: list[str], axes: dict[str, tuple[str, str]], threshold: float = 0.5) -> DataFrame:
+def vote_keys(moves: DataFrame, keys: list[str], axes: dict[str, tuple[str, str]], coordinates: tuple[str, ...], threshold: float = 0.5) -> DataFrame:
     """(keys, pressed): the keys that a window's moves vote for.
 
     Each move counts by its direction alone: for an axis's first key if the unit vector
     reaches beyond threshold along it, for the second if beyond threshold against it. A
     key is pressed if its votes less the other's are more than half the moves. axes gives
-    the two keys of a coordinate; the other coordinates of a move are those of axes too.
+    the two keys of a coordinate; a move's length is that of all its coordinates, those without keys too.
     """
-    norm = F.greatest(F.sqrt(sum((F.col(c) * F.col(c) for c in axes), F.lit(0.0))), F.lit(1e-12))
+    norm = F.greatest(F.sqrt(sum((F.col(c) * F.col(c) for c in coordinates), F.lit(0.0))), F.lit(1e-12))
     votes = [(F.count_if(F.col(c) / norm > threshold) - F.count_if(F.col(c) / norm < -threshold)).alias(f"_{c}") for c in axes]
     counted = moves.groupBy(*keys).agg(F.count("*").alias("_n"), *votes)
     won = [F.when(2 * F.col(f"_{c}") > F.col("_n"), F.lit(a)).when(2 * F.col(f"_{c}") < -F.col("_n"), F.lit(b)) for c, (a, b) in axes.items()]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,3 +56,35 @@ def retention(means: DataFrame, keys: list[str]) -> DataFrame:
     out = marked.groupBy(*keys).agg(F.count("*").alias("n"), F.max("first_mean").alias("first_mean"), F.avg("mean").alias("level"), F.avg(later).alias("drop"))
     valid = (F.col("n") >= 2) & F.col("first_mean").isNotNull() & F.col("drop").isNotNull()
     return out.select(*keys, F.when(valid, F.col("level")).alias("level"), F.when(valid, 100 - F.col("drop")).alias("retention"))
+
+
+def dimension_retention(retained: DataFrame, keys: list[str], indicator: str, dimensions: Mapping[str, tuple[str, ...]], pairs: Mapping[str, tuple[str, ...]], level: float = 0.3, kept: float = 0.7, only: Column | None = None, without: Mapping[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(keys, dimensions, score) of (keys, indicator, level, retention) rows, one an indicator.
+
+    An indicator of `pairs` is the mean of its own parts, and a dimension the mean of its
+    indicators, of level and of retention apart; missing or null ones are left out, and without
+    any the whole is missing. `dimensions` maps each name to (level, retention) or null. score is the
+    mean over the dimensions of level * their level + kept * their retention, null if
+    one is missing. Where the condition `only` on the keys holds, dimensions take their indicators from `without` if it names them.
+    """
+    part = F.struct(F.col("level").alias("level"), F.col("retention").alias("retention"))
+    known = F.when(F.col("level").isNotNull() & F.col("retention").isNotNull(), F.struct(F.col(indicator).alias("key"), part.alias("value")))
+    by = retained.groupBy(*keys).agg(F.map_from_entries(F.collect_list(known)).alias("_by"))
+
+    def combined(parts: list[Column]) -> Column:
+        held = F.array_compact(F.array(*parts))
+        mean = lambda f: F.aggregate(held, F.lit(0.0), lambda a, x: a + x[f]) / F.size(held)
+        return F.when(F.size(held) > 0, F.struct(mean("level").alias("level"), mean("retention").alias("retention")))
+
+    def of(name: str) -> Column:
+        return combined([of(x) for x in pairs[name]]) if name in pairs else F.element_at("_by", F.lit(name))
+
+    made = {n: combined([of(x) for x in names]) for n, names in dimensions.items()}
+    for n, names in (without or {}).items():
+        made[n] = F.when(only, combined([of(x) for x in names])).otherwise(made[n])
+    out = by.select(*keys, F.struct(*[v.alias(n) for n, v in made.items()]).alias("dimensions"))
+    total, whole = F.lit(0.0), F.lit(True)
+    for n in made:
+        d = F.col(f"dimensions.{n}")
+        total, whole = total + level * d["level"] + kept * d["retention"], whole & d.isNotNull()
+    return out.withColumn("score", F.when(whole, total / len(made)))

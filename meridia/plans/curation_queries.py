@@ -109,10 +109,10 @@ def rank_in_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.rank_existing(rows, ["p_brand"], ["p_partkey"], "existing").select("p_partkey", "rank")
 
 
-@query("slate_changes", "SELECT o_orderkey, o_orderpriority, 'frozen' AS side FROM orders WHERE o_orderkey % 11 = 0 UNION ALL SELECT o_orderkey, o_orderpriority, 'current' FROM orders WHERE o_orderkey % 13 = 0 AND o_orderkey % 11 <> 0 AND false")
+@query("slate_changes", "SELECT o_orderkey, o_orderpriority, 'frozen' AS side FROM orders WHERE o_orderkey % 11 = 0 AND o_orderkey % 13 <> 0 UNION ALL SELECT o_orderkey, o_orderpriority, 'current' FROM orders WHERE o_orderkey % 13 = 0 AND o_orderkey % 11 <> 0")
 def slate_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    return curation.slate_changes(o, o.where("o_orderkey % 11 <> 0"))
+    return curation.slate_changes(o.where("o_orderkey % 13 <> 0"), o.where("o_orderkey % 11 <> 0"))
 
 
 @query(

@@ -41,7 +41,7 @@ def trace_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     traces = table(spark, sf_dir, "lineitem").groupBy(c("l_suppkey").alias("case_id")).agg(F.sort_array(F.collect_list(record)).alias("all"))
     nested = F.to_json(F.struct(F.struct(F.transform("all", lambda x: x["r"]).alias("pairs"), F.lit(1).alias("n")).alias("medium"), F.lit("ok").alias("status")))
     fields = ("source_frame_index", "target_frame_index")
-    found = traces.select("case_id", F.posexplode(diagnostics.json_records(nested, fields)).alias("at", "v"))
+    found = diagnostics.json_records(traces.select("case_id", nested.alias("trace")), ["case_id"], "trace", fields).withColumnRenamed("path", "at")
     get = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind).alias(name)
     pairs = found.select("case_id", "at", *[get(f, "bigint") for f in fields], get("abs_rel", "double"))
     last = ingest.latest(pairs, ["case_id", *fields], ["at"])

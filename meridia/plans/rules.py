@@ -63,6 +63,10 @@ OVERALL = {"T1": 0.25, "T2": 0.25, "T3": 0.1, "T4": 0.1, "T5": 0.1, "T6": 0.2}
 T3 = {"return": 0.3, "query": 0.4, "identity": 0.3}
 T6 = {"short": 0.3, "long": 0.7}
 INDICATOR = {"level": 0.3, "retention": 0.7}
+# The indicators of the temporal dimensions, those that are means of two, and the controls of a run without poses.
+TEMPORAL = {"quality": ("hps", "imaging", "aesthetic"), "control": ("translation", "rotation", "move", "turn"), "geometry": ("depth", "feature", "scale")}
+TEMPORAL_PAIRS = {"depth": ("depth_short", "depth_medium"), "feature": ("reproj_short", "reproj_medium")}
+ACTION_CONTROL = ("move", "turn")
 # Control errors that score 0, bounds of the preference score.
 TRANSLATION_BOUND, ROTATION_BOUND = 0.215320517416, 32.764762231129
 PREFERENCE = (-5.21, 8.61)

@@ -54,18 +54,38 @@ def window_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("model", "metric", "dur", steady("level", 6).alias("level"), steady("retention", 6).alias("retention"))
 
 
+#: The temporal indicators, dealt over the events; every seventh pair of model and indicator has none.
+_INDICATORS = [*rules.TEMPORAL["quality"], *rules.TEMPORAL["control"], *[x for pair in rules.TEMPORAL_PAIRS.values() for x in pair], "scale"]
+
+
+def _mean_sql(value: str, names: tuple[str, ...]) -> str:
+    return f"avg({value}) FILTER (WHERE name IN ({', '.join(repr(n) for n in names)}))"
+
+
 @query(
     "indicator_retention",
-    f"""WITH {_MEANS}, f AS (SELECT *, max(CASE WHEN "window" = 0 THEN mean END) OVER (PARTITION BY model, metric, dur) AS w0 FROM means WHERE dur = 60),
-    g AS (SELECT model, metric, avg(mean) AS level, avg(greatest(0, w0 - mean)) FILTER (WHERE "window" > 0 AND mean IS NOT NULL AND w0 IS NOT NULL) AS fall FROM f GROUP BY ALL)
-    SELECT model, round(CASE WHEN count(fall) = count(*) THEN avg(0.3 * level + 0.7 * (100 - fall)) END + 1e-8, 5) AS score FROM g GROUP BY model""",
+    f"""WITH {MISSING}, {_BOUNDS}, named AS (SELECT *, list_value({", ".join(repr(n) for n in _INDICATORS)})[1 + event_id % {len(_INDICATORS)}] AS indicator FROM measurement_missing WHERE (model + event_id % {len(_INDICATORS)}) % 7 <> 0),
+    keys AS (SELECT DISTINCT model, indicator FROM named),
+    means AS (SELECT k.model, k.indicator, dur, w, avg(value) AS mean FROM keys k CROSS JOIN bounds LEFT JOIN named m ON m.model = k.model AND m.indicator = k.indicator AND m.t >= a AND (CASE WHEN tail THEN m.t <= b + 1e-8 ELSE m.t < b END) GROUP BY ALL),
+    f AS (SELECT *, max(CASE WHEN w = 0 THEN mean END) OVER (PARTITION BY model, indicator, dur) AS w0 FROM means),
+    g AS (SELECT model, indicator AS name, dur, avg(mean) AS level, 100 - avg(greatest(0, w0 - mean)) FILTER (WHERE w > 0 AND mean IS NOT NULL AND w0 IS NOT NULL) AS kept FROM f GROUP BY ALL HAVING kept IS NOT NULL),
+    h AS (SELECT model, dur, CASE WHEN name LIKE 'depth%' THEN 'depth' WHEN name LIKE 'reproj%' THEN 'feature' ELSE name END AS name, avg(level) AS level, avg(kept) AS kept FROM g GROUP BY ALL),
+    d AS (SELECT model, dur, {", ".join(f"{_mean_sql('level', v)} AS level_{n}, {_mean_sql('kept', v)} AS kept_{n}" for n, v in rules.TEMPORAL.items())},
+      {_mean_sql('level', rules.ACTION_CONTROL)} AS level_moves, {_mean_sql('kept', rules.ACTION_CONTROL)} AS kept_moves FROM h GROUP BY ALL),
+    e AS (SELECT * REPLACE (CASE WHEN model % 2 = 0 THEN level_moves ELSE level_control END AS level_control, CASE WHEN model % 2 = 0 THEN kept_moves ELSE kept_control END AS kept_control) FROM d)
+    SELECT model, dur, {", ".join(f"round(level_{n} + 1e-8, 5) AS {n}_level, round(kept_{n} + 1e-8, 5) AS {n}_retention" for n in rules.TEMPORAL)},
+      round((0.3 * level_quality + 0.7 * kept_quality + 0.3 * level_control + 0.7 * kept_control + 0.3 * level_geometry + 0.7 * kept_geometry) / 3 + 1e-8, 5) AS score FROM e""",
 )
 def indicator_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The score of a model's long videos; the short ones count in none."""
-    means = _means(spark, sf_dir).where(F.col("dur") == LONG)
-    by = timewindows.retention(means, ["model", "metric"])
-    score = rules.INDICATOR["level"] * F.col("level") + rules.INDICATOR["retention"] * F.col("retention")
-    return by.groupBy("model").agg(steady(F.when(F.count("retention") == F.count("*"), F.avg(score)), 5).alias("score"))
+    """Dimensions and score of every model at both durations; models of even number are driven by actions alone."""
+    n = len(_INDICATORS)
+    m = measurement_missing(spark, sf_dir).where(F.expr(f"(model + event_id % {n}) % 7 <> 0"))
+    m = m.withColumn("indicator", F.get(F.array(*[F.lit(x) for x in _INDICATORS]), (F.col("event_id") % n).cast("int")))
+    parts = [timewindows.window_means(m, ["model", "indicator"], "t", "value", d).withColumn("dur", F.lit(d)) for d in (LONG, SHORT)]
+    by = timewindows.retention(parts[0].unionByName(parts[1]), ["model", "indicator", "dur"])
+    out = timewindows.dimension_retention(by, ["model", "dur"], "indicator", rules.TEMPORAL, rules.TEMPORAL_PAIRS, rules.INDICATOR["level"], rules.INDICATOR["retention"], F.col("model") % 2 == 0, {"control": rules.ACTION_CONTROL})
+    shown = [steady(F.col(f"dimensions.{d}.{f}"), 5).alias(f"{d}_{f}") for d in rules.TEMPORAL for f in ("level", "retention")]
+    return out.select("model", "dur", *shown, steady("score", 5).alias("score"))
 
 
 @query(

@@ -177,10 +177,10 @@ def test_mutual_matches(spark):
 
 
 def test_votes_of_moves(spark):
-    rows = [("w", 0.1, 0.0, 5.0), ("w", 0.0, 0.1, 9.0), ("w", -3.0, 0.0, 0.1), ("no", 1.0, 0.0, 0.0), ("no", -1.0, 0.0, 0.0), ("half", 1.0, 0.0, 0.0), ("half", 0.0, 0.0, 0.0), ("a", -2.0, 0.0, -2.0)]
+    rows = [("w", 0.1, 0.0, 5.0), ("w", 0.0, 0.1, 9.0), ("w", -3.0, 0.0, 0.1), ("no", 1.0, 0.0, 0.0), ("no", -1.0, 0.0, 0.0), ("half", 1.0, 0.0, 0.0), ("half", 0.0, 0.0, 0.0), ("a", -2.0, 0.0, -2.0), ("up", 0.1, 9.0, 0.2)]
     df = spark.createDataFrame(rows, "k string, x double, y double, z double")
-    got = {r.k: r.pressed for r in sequences.vote_keys(df, ["k"], {"z": ("W", "S"), "x": ("D", "A"), "y": ("Q", "E")}).collect()}
-    assert got == {"w": ["W"], "no": [], "half": [], "a": ["S", "A"]}
+    got = {r.k: r.pressed for r in sequences.vote_keys(df, ["k"], {"z": ("W", "S"), "x": ("D", "A")}, ("x", "y", "z")).collect()}
+    assert got == {"w": ["W"], "no": [], "half": [], "a": ["S", "A"], "up": []}
 
 
 def test_spaced_walks_down(spark):
