@@ -125,3 +125,31 @@ def slerp(a: list[Column], b: list[Column], share: Column) -> Column:
     scaled = let(dot, lambda d: let(F.acos(F.least(F.lit(1.0), F.abs(d))), lambda angle: weights(d, angle)))
     raw = let(scaled, lambda w: F.array(*[w[0] * x + w[1] * y for x, y in zip(a, b, strict=True)]))
     return let(raw, lambda q: let(F.sqrt(F.aggregate(q, F.lit(0.0), lambda total, v: total + v * v)), lambda norm: F.transform(q, lambda v: v / norm)))
+
+
+def distort(x: Column, y: Column, k1: Column, k2: Column, p1: Column, p2: Column) -> Column:
+    """Normalised image point (x, y) under radial and tangential lens distortion."""
+    r2 = x * x + y * y
+    radial = 1 + k1 * r2 + k2 * r2 * r2
+    return F.struct((x * radial + 2 * p1 * x * y + p2 * (r2 + 2 * x * x)).alias("x"), (y * radial + p1 * (r2 + 2 * y * y) + 2 * p2 * x * y).alias("y"))
+
+
+def undistort(x: Column, y: Column, k1: Column, k2: Column, p1: Column, p2: Column, steps: int = 12) -> Column:
+    """The point that distort() takes to (x, y), by so many Newton steps from there; null where a step has no inverse."""
+
+    def step(at: Column, _: Column) -> Column:
+        u, v = at["x"], at["y"]
+        r2 = u * u + v * v
+        radial, slope = 1 + k1 * r2 + k2 * r2 * r2, 2 * (k1 + 2 * k2 * r2)
+        off = distort(u, v, k1, k2, p1, p2)
+        dx, dy = off["x"] - x, off["y"] - y
+        # The Jacobian is symmetric: both mixed terms are the same.
+        uu = radial + slope * u * u + 2 * p1 * v + 6 * p2 * u
+        vv = radial + slope * v * v + 6 * p1 * v + 2 * p2 * u
+        uv = slope * u * v + 2 * p1 * u + 2 * p2 * v
+        det = uu * vv - uv * uv
+        det = F.when(F.abs(det) >= 1e-14, det).otherwise(F.lit(float("nan")))  # a fold over literals has no nulls
+        return F.struct((u - (vv * dx - uv * dy) / det).alias("x"), (v - (uu * dy - uv * dx) / det).alias("y"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")), step)
+    return let(found, lambda p: F.struct(*[F.when(~F.isnan(p[c]), p[c]).alias(c) for c in ("x", "y")]))
