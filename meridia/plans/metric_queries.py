@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meridia.functions import vectors
-from meridia.operators import control, smoothing
+from meridia.operators import control, smoothing, timed
 from meridia.plans import rules
 from meridia.plans.fixtures import FRAMES, MEASUREMENT, frames, measurement, steady, table
 from meridia.plans.registry import query
@@ -130,3 +130,19 @@ def lens_distortion(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = p.select("case_id", "frame_index", vectors.distort(c("x"), c("y"), *k).alias("d"))
     back = seen.select("*", vectors.undistort(c("d.x"), c("d.y"), *k).alias("b"))
     return back.select("case_id", "frame_index", *[steady(v, 6).alias(n) for n, v in (("u", "d.x"), ("v", "d.y"), ("x", "b.x"), ("y", "b.y"))])
+
+
+def timed_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, i, x, y, z, yaw, pitch, seconds): the lines of ten parts in a row as one track of moves."""
+    w = Window.partitionBy("k")
+    rows = table(spark, sf_dir, "lineitem").withColumn("k", F.floor(c("l_partkey") / 10))
+    i = F.row_number().over(w.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")) - 1
+    turn = (c("l_orderkey") % 21 - 10) / 8
+    return rows.select("k", i.alias("i"), (c("l_discount") * 100 - 5).alias("x"), (c("l_tax") * 100 - 4).alias("y"), (c("l_quantity") - 20).alias("z"), turn.alias("yaw"), ((c("l_linenumber") - 3) / 4).alias("pitch"), F.lit(20.0).alias("seconds"))
+
+
+@query("timed_actions")
+def timed_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held keys of every track; the debts carry from window to window and have no short SQL, the tests compare with a loop."""
+    windows = timed.action_windows(timed_moves(spark, sf_dir), ["k"], "i", ("x", "y", "z"), "yaw", "pitch", "seconds", (20.0, 15.0))
+    return timed.timed_actions(windows, ["k"])

@@ -116,3 +116,56 @@ def test_lenses_are_inverted(spark):
     # At this point 1 + 3 k1 r2 is 0, so the first step has no inverse.
     flat = spark.range(1).select(vectors.undistort(F.lit(1.0), F.lit(0.0), F.lit(-1 / 3), *[F.lit(0.0)] * 3).alias("b")).first().b
     assert flat.x is None
+
+
+def held_by_loop(moves, seconds, rates, frames=12, least=0.1, tail=2.0):
+    """[(start, end, keys)] of (x, y, z, yaw, pitch) moves, window by window."""
+    second, debt, last, out = seconds / len(moves), [0.0, 0.0], [0, 0], []
+    for lo in range(0, len(moves), frames):
+        part = moves[lo : lo + frames]
+        t0, span = lo * second, len(part) * second
+        unit = [[v / max(math.sqrt(m[0] ** 2 + m[1] ** 2 + m[2] ** 2), 1e-12) for v in m[:3]] for m in part]
+        keys = []
+        for axis, pos, neg in ((2, "W", "S"), (0, "D", "A")):
+            votes = sum(u[axis] > 0.5 for u in unit) - sum(u[axis] < -0.5 for u in unit)
+            keys += [pos] if votes > len(unit) / 2 else [neg] if votes < -len(unit) / 2 else []
+        looks = []
+        for a, (pos, neg) in enumerate((("L", "J"), ("I", "K"))):
+            turn = sum(m[3 + a] for m in part)
+            sign = (turn > 0.05) - (turn < -0.05)
+            if sign and last[a] and sign != last[a]:
+                debt[a] = 0.0
+            error = debt[a] + turn
+            hold = min(abs(error) / rates[a], span) if sign else 0.0
+            hold = 0.0 if hold < least else hold
+            debt[a] = error - sign * hold * rates[a]
+            last[a] = sign or last[a]
+            looks.append((hold, pos if sign > 0 else neg))
+        cuts = sorted({0.0, span, *[h for h, _ in looks if 0 < h < span]})
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            now = keys + [k for h, k in looks if h > x + 1e-9]
+            if out and out[-1][2] == now:
+                out[-1] = (out[-1][0], t0 + y, now)
+            else:
+                out.append((t0 + x, t0 + y, now))
+    return [*out, (seconds, seconds + tail, [])]
+
+
+def test_timed_actions_equal_a_loop(spark, sf_dir):
+    from meridia.plans import catalogue
+    from meridia.plans.metric_queries import timed_moves
+
+    tracks, got = {}, {}
+    for r in timed_moves(spark, sf_dir).orderBy("k", "i").collect():
+        tracks.setdefault(r.k, []).append((r.x, r.y, r.z, r.yaw, r.pitch))
+    for r in catalogue.QUERIES["timed_actions"](spark, sf_dir).collect():
+        got.setdefault(r.k, []).append((r.start_s, r.end_s, list(r.pressed)))
+    assert got.keys() == tracks.keys() and len(tracks) > 10
+    seen = set()
+    for k, moves in tracks.items():
+        expected = held_by_loop(moves, 20.0, (20.0, 15.0))
+        ours = sorted(got[k], key=lambda x: (x[0], x[1]))
+        assert [x[2] for x in ours] == [x[2] for x in expected]
+        assert all(abs(a - b) < 1e-9 for x, y in zip(ours, expected, strict=True) for a, b in zip(x[:2], y[:2], strict=True))
+        seen |= {key for x in expected for key in x[2]}
+    assert seen >= set("WLJIK")
