@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,14 +67,30 @@ def attempts(rows: DataFrame, keys: list[str], order: str, passed: Column) -> Da
 
 
 def spaced(rows: DataFrame, keys: list[str], index: str, width: int, most: int = 5) -> DataFrame:
-    """(keys, index, place): at most `most` of a key's rows from the last one down, each the largest index at least `width` below the one before."""
-    found = rows.groupBy(*keys).agg(F.max(index).alias(index)).withColumn("place", F.lit(1))
-    out = found
-    for place in range(2, most + 1):
-        last = found.select(*keys, F.col(index).alias("_last"))
-        found = rows.join(last, keys).where(F.col(index) <= F.col("_last") - width).groupBy(*keys).agg(F.max(index).alias(index)).withColumn("place", F.lit(place))
-        out = out.unionByName(found)
-    return out
+    """(keys, index, place): at most `most` of a key's rows from the last one down, each the largest index at least `width` below the one before.
+
+    The indices of a key, the frames of one video, are folded as one sorted array in a single pass.
+    """
+    kind = dict(rows.dtypes)[index]
+    fits = lambda acc, i: (F.size(acc) < most) & ((F.size(acc) == 0) | (i <= F.element_at(F.concat(acc, F.array(i)), F.greatest(F.size(acc), F.lit(1))) - width))
+    step = lambda acc, i: F.when(fits(acc, i), F.array_append(acc, i)).otherwise(acc)
+    listed = rows.groupBy(*keys).agg(F.sort_array(F.collect_set(index), asc=False).alias("_all"))
+    chosen = F.aggregate("_all", F.array().cast(f"array<{kind}>"), step)
+    return listed.select(*keys, F.posexplode(chosen).alias("_at", index)).select(*keys, index, (F.col("_at") + 1).alias("place"))
+
+
+def latest_passing(rows: DataFrame, keys: list[str], index: str, passes: Callable[[DataFrame], DataFrame], stride: int = 4) -> DataFrame:
+    """(keys, index): the largest index of each key whose row passes, found coarsely and then finely.
+
+    Every stride-th row from the last one down is tested; the rows between the latest
+    that passes and the tested one above it are tested next, and the latest of both is taken. passes keeps the
+    rows that pass of those it is given, so a dear test runs on few. A key where no coarse row passes has no row.
+    """
+    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(index))) - 1)
+    coarse = passes(numbered.where(F.col("_n") % stride == 0)).groupBy(*keys).agg(F.min("_n").alias("_best"), F.max(index).alias("_coarse"))
+    between = numbered.where(F.col("_n") % stride != 0).join(coarse, keys).where((F.col("_n") < F.col("_best")) & (F.col("_n") > F.col("_best") - stride))
+    fine = passes(between.drop("_best", "_coarse")).groupBy(*keys).agg(F.max(index).alias("_fine"))
+    return coarse.join(fine, keys, "left").select(*keys, F.coalesce("_fine", "_coarse").alias(index))
 
 
 def slerp_yaw(a: Column, b: Column, share: Column) -> Column:

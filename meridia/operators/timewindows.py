@@ -88,3 +88,13 @@ def dimension_retention(retained: DataFrame, keys: list[str], indicator: str, di
         d = F.col(f"dimensions.{n}")
         total, whole = total + level * d["level"] + kept * d["retention"], whole & d.isNotNull()
     return out.withColumn("score", F.when(whole, total / len(made)))
+
+
+def sessions(samples: DataFrame, keys: list[str], time: str, gap: str, value: str) -> DataFrame:
+    """(keys, start, stop, n, mean) of sessions: samples of a key less than `gap` after the one before are one; stop is the last sample's time and the gap.
+
+    On a stream with a watermark the same expression keeps its sessions as state.
+    """
+    w = F.session_window(time, gap)
+    out = samples.groupBy(*keys, w.alias("w")).agg(F.count("*").alias("n"), F.avg(finite(F.col(value))).alias("mean"))
+    return out.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n", "mean")

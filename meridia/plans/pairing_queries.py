@@ -89,6 +89,16 @@ def spaced_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.spaced(frames(spark, sf_dir), ["case_id"], "frame_index", 12)
 
 
+@query(
+    "latest_passing",
+    f"""WITH {FRAMES}, n AS (SELECT case_id, frame_index, frame_index * 7 % 11 < 5 AS ok, row_number() OVER (PARTITION BY case_id ORDER BY frame_index DESC) - 1 AS n FROM frames),
+    b AS (SELECT case_id, min(n) AS best FROM n WHERE ok AND n % 4 = 0 GROUP BY case_id)
+    SELECT case_id, max(frame_index) AS frame_index FROM n JOIN b USING (case_id) WHERE ok AND (n = best OR (n > best - 4 AND n < best)) GROUP BY case_id""",
+)
+def latest_passing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairing.latest_passing(frames(spark, sf_dir), ["case_id"], "frame_index", lambda df: df.where("frame_index * 7 % 11 < 5"))
+
+
 @query(
     "heading_between",
     f"WITH {FRAMES}, g AS (SELECT case_id, frame_index, yaw, (((y - yaw + 180) % 360) + 360) % 360 - 180 AS gap FROM frames) SELECT case_id, frame_index, round((((yaw + 0.25::DOUBLE * gap + 180) % 360) + 360) % 360 - 180, 5) + 0.0 AS heading FROM g",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meridia.operators import sampling, timewindows
 from meridia.plans import rules
-from meridia.plans.fixtures import FRAMES, MEASUREMENT, MISSING, frames, measurement, measurement_missing, steady
+from meridia.plans.fixtures import FRAMES, MEASUREMENT, MISSING, frames, measurement, measurement_missing, steady, table
 from meridia.plans.registry import query
 
 #: Two durations: one that windows fill exactly, and one whose tail overlaps.
@@ -198,3 +198,16 @@ def topk_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def apportionment(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("w"))
     return sampling.apportion(parts, ["o_custkey"], "o_orderpriority", "w", 100)
+
+
+@query(
+    "session_means",
+    """WITH e AS (SELECT user_id, event_type, value, epoch_us(ts) AS us FROM events), f AS (SELECT *, CASE WHEN us - lag(us) OVER w < 43200000000 THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us)),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us) AS s FROM f)
+    SELECT user_id, min(us) AS start, max(us) + 43200000000 AS stop, count(*) AS n, round(avg(value) + 1e-9, 6) AS mean FROM g GROUP BY user_id, s""",
+)
+def session_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events less than twelve hours apart."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = timewindows.sessions(e, ["user_id"], "ts", "12 hours", "value")
+    return out.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("stop").alias("stop"), "n", steady("mean", 6).alias("mean"))

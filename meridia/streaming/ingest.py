@@ -25,38 +25,63 @@ def first_seen(stream: DataFrame, keys: list[str], time: str, late: str = "1 hou
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def upsert_stream(stream: DataFrame, path: str, keys: list[str], order: list[str], checkpoint: str) -> DataStreamWriter:
-    """Keeps under `path` the last row of each key in order, as a new version a batch.
+def upsert_stream(stream: DataFrame, path: str, keys: list[str], order: list[str], checkpoint: str, buckets: int = 64) -> DataStreamWriter:
+    """Keeps under `path` the last row of each key in order; a batch rewrites only the buckets of keys that it touches.
 
-    A batch is merged with the version before it and written beside it, named by the batch;
-    writing the same batch again after a failure gives the same version, so each row counts
-    once. read_latest() reads the newest finished version.
+    A bucket's rows are merged with its version before and written beside it, named by the
+    batch; writing the same batch again after a failure gives the same version, so each
+    row counts once. read_latest() reads the newest finished version of every bucket. Two
+    versions of a bucket stay, older ones are removed. The number of buckets of a path must not change.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = _versions(spark, path)
-        older = [v for v in before if v < number]
-        rows = batch if not older else spark.read.schema(batch.schema).parquet(f"{path}/version={max(older)}").unionByName(batch)
-        latest(rows, keys, order).write.mode("overwrite").parquet(f"{path}/version={number}")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket")
+        spread = batch.select("*", bucket).persist()
+        touched = {r["_bucket"] for r in spread.select("_bucket").distinct().collect()}
+        older = {b: max(v for v in versions if v < number) for b, versions in _versions(spark, path).items() if b in touched and min(versions) < number}
+        rows = spread
+        if older:
+            before = spark.read.schema(batch.schema).parquet(*[f"{path}/version={v}/bucket={b}" for b, v in sorted(older.items())])
+            rows = spread.unionByName(before.select("*", bucket))
+        kept = latest(rows, keys, order).withColumnRenamed("_bucket", "bucket")
+        kept.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={number}")
+        spread.unpersist()
+        for b, versions in _versions(spark, path).items():
+            for v in sorted(versions)[:-2]:
+                _remove(spark, f"{path}/version={v}/bucket={b}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
-def _versions(spark, path: str) -> list[int]:
-    """The finished versions under path, in any filesystem that Spark reaches."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    names = [s.getPath() for s in fs.listStatus(folder)]
-    return [int(p.getName().partition("=")[2]) for p in names if p.getName().startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+def _files(spark, path: str):
+    """(filesystem, path) of a folder in any store that Spark reaches."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def _remove(spark, path: str) -> None:
+    fs, folder = _files(spark, path)
+    fs.delete(folder, True)
+
+
+def _versions(spark, path: str) -> dict[int, list[int]]:
+    """The finished versions of each bucket under path."""
+    fs, folder = _files(spark, path)
+    found: dict[int, list[int]] = {}
+    for version in fs.listStatus(folder) if fs.exists(folder) else []:
+        name = version.getPath().getName()
+        inside = [x.getPath().getName() for x in fs.listStatus(version.getPath())] if name.startswith("version=") else []
+        if "_SUCCESS" in inside:
+            for b in inside:
+                if b.startswith("bucket="):
+                    found.setdefault(int(b.partition("=")[2]), []).append(int(name.partition("=")[2]))
+    return found
 
 
 def read_latest(spark, path: str) -> DataFrame:
-    """The newest finished version that upsert_stream() wrote."""
-    return spark.read.parquet(f"{path}/version={max(_versions(spark, path))}")
+    """The newest finished rows that upsert_stream() wrote."""
+    return spark.read.parquet(*[f"{path}/version={max(versions)}/bucket={b}" for b, versions in sorted(_versions(spark, path).items())])
 
 
 def follow_steps(stream: DataFrame, key: str, order: str, move: str, step: float) -> DataFrame:

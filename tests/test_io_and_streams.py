@@ -92,6 +92,18 @@ def test_upsert_stream_equals_batch(spark, event_files, tmp_path):
     assert sorted(map(str, ingest.read_latest(spark, f"{tmp_path}/out").collect())) == sorted(map(str, expected.collect()))
 
 
+def test_upserts_rewrite_touched_buckets_only(spark, tmp_path):
+    """Three batches over two keys: what a batch doesn't touch stays in its version, and two versions of a bucket are kept."""
+    schema = "k long, at long, v string"
+    for n, rows in enumerate([[(1, 1, "a"), (2, 1, "b")], [(1, 2, "c"), (1, 0, "late")], [(1, 3, "d")], [(1, 1, "old")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    for n in range(4):
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/[0-{n}]")
+        ingest.upsert_stream(stream, f"{tmp_path}/out", ["k"], ["at"], f"{tmp_path}/checkpoint", buckets=16).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(map(tuple, ingest.read_latest(spark, f"{tmp_path}/out").collect())) == [(1, 3, "d"), (2, 1, "b")]
+    assert sorted(ingest._versions(spark, f"{tmp_path}/out").values()) == [[0], [2, 3]]
+
+
 def test_windowed_means_equal_batch(spark, event_files, tmp_path):
     means = ingest.windowed_means(_stream(spark, event_files), ["event_type"], "ts", "value", late="40 days", size="1 day")
     query = means.writeStream.format("memory").queryName("daily").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
