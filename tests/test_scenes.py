@@ -10,7 +10,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from meridia.operators import diagnostics, evaluation, neighbours, projection, revisits, timewindows
+from meridia.operators import diagnostics, evaluation, neighbours, pairing, projection, revisits, timewindows
 
 
 def clouds(seed):
@@ -183,3 +183,22 @@ def test_nearest_distances_keep_repeated_rows(spark):
     left = spark.createDataFrame([("k", 1, 0.0), ("k", 2, 0.0), ("k", 3, 7.0), ("lone", 4, 1.0)], "k string, id int, x double")
     right = spark.createDataFrame([("k", 9, 2.0), ("k", 9, 2.0)], "k string, id int, x double")
     assert sorted((r.id, r.distance) for r in evaluation.nearest_distances(left, right, ("k",), ["x"], "id", 0.5).collect()) == [(1, 2.0), (2, 2.0), (3, 5.0)]
+
+
+def test_latest_passing_by_hand(spark):
+    """Frames 0 to 12, tested at 12, 8, 4, 0: 4 is the latest of them that passes, 7 the latest between 4 and 8, and 10 isn't looked at."""
+    df = spark.createDataFrame([("a", i, i in (1, 4, 7, 10)) for i in range(13)] + [("b", i, i == 3) for i in range(5)] + [("c", 9, True)], "k string, i long, ok boolean")
+    assert sorted(map(tuple, pairing.latest_passing(df, ["k"], "i", lambda d: d.where("ok")).collect())) == [("a", 7), ("c", 9)]
+
+
+def test_spaced_by_hand(spark):
+    df = spark.createDataFrame([("k", i) for i in (0, 5, 9, 10, 20, 20, 31, 40, 52)] + [("one", 3)], "k string, i long")
+    got = lambda most: sorted((r.k, r.place, r.i) for r in pairing.spaced(df, ["k"], "i", 10, most).collect())
+    assert got(5) == [("k", 1, 52), ("k", 2, 40), ("k", 3, 20), ("k", 4, 10), ("k", 5, 0), ("one", 1, 3)]
+    assert got(2) == [("k", 1, 52), ("k", 2, 40), ("one", 1, 3)]
+
+
+def test_sessions_by_hand(spark):
+    df = spark.sql("SELECT * FROM VALUES ('a', TIMESTAMP'2024-01-01 00:00:00', 1.0D), ('a', TIMESTAMP'2024-01-01 00:09:59', 3.0D), ('a', TIMESTAMP'2024-01-01 00:19:59', 9.0D), ('b', TIMESTAMP'2024-01-01 00:00:00', CAST('NaN' AS DOUBLE)) AS t(k, at, v)")
+    got = sorted((r.k, r.n, r.mean, (r.stop - r.start).total_seconds()) for r in timewindows.sessions(df, ["k"], "at", "10 minutes", "v").collect())
+    assert got == [("a", 1, 9.0, 600.0), ("a", 2, 2.0, 1199.0), ("b", 1, None, 600.0)]
