@@ -91,7 +91,7 @@ def dimension_retention(retained: DataFrame, keys: list[str], indicator: str, di
 
 
 def sessions(samples: DataFrame, keys: list[str], time: str, gap: str, value: str) -> DataFrame:
-    """(keys, start, stop, n, mean) of sessions: samples of a key less than `gap` after the one before are one; stop is the last sample's time and the gap.
+    """(keys, start, stop, n, mean) of sessions: samples of a key at most `gap` after the one before are one; stop is the last sample's time and the gap.
 
     On a stream with a watermark the same expression keeps its sessions as state.
     """

@@ -68,7 +68,8 @@ def _mean_sql(value: str, names: tuple[str, ...]) -> str:
     keys AS (SELECT DISTINCT model, indicator FROM named),
     means AS (SELECT k.model, k.indicator, dur, w, avg(value) AS mean FROM keys k CROSS JOIN bounds LEFT JOIN named m ON m.model = k.model AND m.indicator = k.indicator AND m.t >= a AND (CASE WHEN tail THEN m.t <= b + 1e-8 ELSE m.t < b END) GROUP BY ALL),
     f AS (SELECT *, max(CASE WHEN w = 0 THEN mean END) OVER (PARTITION BY model, indicator, dur) AS w0 FROM means),
-    g AS (SELECT model, indicator AS name, dur, avg(mean) AS level, 100 - avg(greatest(0, w0 - mean)) FILTER (WHERE w > 0 AND mean IS NOT NULL AND w0 IS NOT NULL) AS kept FROM f GROUP BY ALL HAVING kept IS NOT NULL),
+    g0 AS (SELECT model, indicator AS name, dur, avg(mean) AS every, 100 - avg(greatest(0, w0 - mean)) FILTER (WHERE w > 0 AND mean IS NOT NULL AND w0 IS NOT NULL) AS kept FROM f GROUP BY ALL),
+    g AS (SELECT model, name, dur, CASE WHEN kept IS NOT NULL THEN every END AS level, kept FROM g0),
     h AS (SELECT model, dur, CASE WHEN name LIKE 'depth%' THEN 'depth' WHEN name LIKE 'reproj%' THEN 'feature' ELSE name END AS name, avg(level) AS level, avg(kept) AS kept FROM g GROUP BY ALL),
     d AS (SELECT model, dur, {", ".join(f"{_mean_sql('level', v)} AS level_{n}, {_mean_sql('kept', v)} AS kept_{n}" for n, v in rules.TEMPORAL.items())},
       {_mean_sql('level', rules.ACTION_CONTROL)} AS level_moves, {_mean_sql('kept', rules.ACTION_CONTROL)} AS kept_moves FROM h GROUP BY ALL),
@@ -202,12 +203,12 @@ def apportionment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "session_means",
-    """WITH e AS (SELECT user_id, event_type, value, epoch_us(ts) AS us FROM events), f AS (SELECT *, CASE WHEN us - lag(us) OVER w < 43200000000 THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us)),
+    """WITH e AS (SELECT user_id, event_type, value, epoch_us(ts) AS us FROM events), f AS (SELECT *, CASE WHEN us - lag(us) OVER w <= 43200000000 THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us)),
     g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us) AS s FROM f)
     SELECT user_id, min(us) AS start, max(us) + 43200000000 AS stop, count(*) AS n, round(avg(value) + 1e-9, 6) AS mean FROM g GROUP BY user_id, s""",
 )
 def session_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's events less than twelve hours apart."""
+    """A user's events at most twelve hours apart."""
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     out = timewindows.sessions(e, ["user_id"], "ts", "12 hours", "value")
     return out.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("stop").alias("stop"), "n", steady("mean", 6).alias("mean"))

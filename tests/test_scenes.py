@@ -199,6 +199,6 @@ def test_spaced_by_hand(spark):
 
 
 def test_sessions_by_hand(spark):
-    df = spark.sql("SELECT * FROM VALUES ('a', TIMESTAMP'2024-01-01 00:00:00', 1.0D), ('a', TIMESTAMP'2024-01-01 00:09:59', 3.0D), ('a', TIMESTAMP'2024-01-01 00:19:59', 9.0D), ('b', TIMESTAMP'2024-01-01 00:00:00', CAST('NaN' AS DOUBLE)) AS t(k, at, v)")
+    df = spark.sql("SELECT * FROM VALUES ('a', TIMESTAMP'2024-01-01 00:00:00', 1.0D), ('a', TIMESTAMP'2024-01-01 00:09:59', 3.0D), ('a', TIMESTAMP'2024-01-01 00:20:00', 9.0D), ('b', TIMESTAMP'2024-01-01 00:00:00', CAST('NaN' AS DOUBLE)) AS t(k, at, v)")
     got = sorted((r.k, r.n, r.mean, (r.stop - r.start).total_seconds()) for r in timewindows.sessions(df, ["k"], "at", "10 minutes", "v").collect())
     assert got == [("a", 1, 9.0, 600.0), ("a", 2, 2.0, 1199.0), ("b", 1, None, 600.0)]
