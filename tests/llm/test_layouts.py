@@ -254,3 +254,36 @@ def test_warc_query_equals_brute_force(spark, sf_dir):
     expected = sorted((i, len(b), warc.sha1_base32(b), *(("response", "") if last[b] == i else ("revisit", last[b]))) for i, b in rows)
     got = QUERIES["op8_warc"](spark, sf_dir).collect()
     assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, "" if r.refers_to is None else r.refers_to) for r in got) == expected
+
+
+def test_archive_query_with_equal_payloads(spark, tmp_path):
+    """A table of pages with repeated, empty and null payloads: of equal ones the largest id is the response."""
+    html = [None, "", "<p>a</p>", "<p>b</p>", "<p>a</p>", "é" * 2000, "<p>a</p>", "é" * 2000]
+    rows = [(i, f"http://x.com/{i}", h) for i, h in enumerate(html)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    payload = [(h or "").encode() for h in html]
+    expected = {}
+    for i, p in enumerate(payload):
+        latest = max(j for j, q in enumerate(payload) if q == p)
+        digest = base64.b32encode(hashlib.sha1(p).digest()).decode()
+        expected[i] = (len(p), digest, "response" if latest == i else "revisit", None if latest == i else latest)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in QUERIES["op8_warc"](spark, str(tmp_path)).collect()}
+    assert got == expected
+
+
+def test_sharding_equals_brute_force(spark, sf_dir):
+    """Of the fractional ranks, as the operator gives them: shards cut their order into near equal counts, slots are gapless."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = QUERIES["op3_sharding"](spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    slots, mixture = defaultdict(list), defaultdict(Counter)
+    for r in rows:
+        text = (docs[r.doc_id].text or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(text) + 16, zlib.crc32(text), "rows", None)
+        slots[r.shard].append(r.slot)
+        mixture[r.shard][docs[r.doc_id].source] += 1
+    counts = [len(slots[s]) for s in range(40)]
+    assert max(counts) - min(counts) <= 1 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    total = Counter(d.source for d in docs.values())
+    for source, n in total.items():  # interleaved by fractional rank, a source's rows in a shard differ from its share by few
+        assert all(abs(mixture[s][source] - n * counts[s] / len(docs)) <= 1 + len(total) for s in range(40))
