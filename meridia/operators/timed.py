@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meridia.operators.sequences import vote_keys
 
+# The keys of moves along and across the view, and of looks.
 MOVES = {"z": ("W", "S"), "x": ("D", "A")}
 #: Keys of a positive and a negative turn: yaw to the right, pitch up.
 LOOKS = (("L", "J"), ("I", "K"))

@@ -37,6 +37,7 @@ CASES = (
     f"frames map<string, {FRAME}>, anchors array<{ANCHOR}>, observability map<string, long>, region_error string"
 )
 PIXELS = "case_id string, role string, row int, col int, depth double, valid boolean"
+# The depth units and roles of the format; the texts of the checks' errors below are fixed too, as users tell cases apart by them.
 UNITS = ("metre", "source_pose_unit", "DA3_estimated_unit")
 ROLES = ("q0", "qe")
 
