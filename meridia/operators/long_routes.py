@@ -18,6 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridia.functions.tables import settled
+
 # Templates, events after QE, last frame, frames a second, pairs of visits.
 TEMPLATES = ("forward_backward", "lateral_out_and_back", "yaw_return", "arc_return", "orbit_around_anchor", "peek_occlude_retract")
 EVENTS = ("qc_first", "qa_first", "qb_first", "w", "qb_revisit", "qa_revisit", "qc_revisit", "q0_return")
@@ -77,11 +79,6 @@ def _median_above(values: Column, least: float) -> Column:
     return F.when(n > 0, (at((n - 1) / 2) + at(n / 2)) / 2).otherwise(0.0)
 
 
-def _settled(e: DataFrame) -> DataFrame:
-    """The same rows, with columns that later expressions and filters read instead of repeating their definitions."""
-    return e.select(F.inline(F.array(F.struct(*e.columns))))
-
-
 def _measured(short: DataFrame, routes: DataFrame, keys: list[str]) -> DataFrame:
     """One row a route: its settings, its track as an array, speeds of its moving frames and the way to QE."""
     frame = F.struct("frame_index", *[F.col(c).cast("double").alias(c) for c in (*AXES, "yaw")])
@@ -96,7 +93,7 @@ def _measured(short: DataFrame, routes: DataFrame, keys: list[str]) -> DataFrame
     e = e.withColumn("sound", F.coalesce(F.when(F.size("track") > 1, sound), F.lit(False)))
     e = e.withColumn("track", F.when(F.col("sound"), F.col("track")))
     e = e.withColumns({"q0": F.get("track", F.lit(0)), "q": F.get("track", F.col("qe")), "prefix": F.when((F.col("qe") > 0) & (F.col("qe") < F.size("track")), F.slice("track", 1, F.greatest(F.col("qe") + 1, F.lit(1))))})
-    e = _settled(e)
+    e = settled(e)
     wrapped = lambda a, b: F.abs(F.pmod(b["yaw"] - a["yaw"] + 180.0, F.lit(360.0)) - 180.0) * FPS
     return e.withColumns(
         {
@@ -122,12 +119,12 @@ def _with_basis(e: DataFrame) -> DataFrame:
     pack = lambda v: F.struct(*[c.alias(a) for c, a in zip(v, AXES, strict=True)])
     sideways = F.col("template") == "lateral_out_and_back"
     e = e.withColumn("primary", F.when(sideways, pack(_unit(gone, right))).otherwise(pack(_unit(gone, ahead))))
-    e = _settled(e)
+    e = settled(e)
     primary = _vector(F.col("primary"))
     across = lambda v: _plus(v, primary, -_dot(v, primary))
     first, second = across(right), across(ahead)
     rest = tuple(F.when(_norm(first) > 1e-9, a).otherwise(b) for a, b in zip(first, second, strict=True))
-    e = _settled(e.withColumn("lateral", pack(_unit(rest, right))))
+    e = settled(e.withColumn("lateral", pack(_unit(rest, right))))
     bent = F.when(F.col("template").isin("forward_backward", "lateral_out_and_back", "peek_occlude_retract"), F.radians("direction")).otherwise(0.0)
     p, s = _vector(F.col("primary")), _vector(F.col("lateral"))
     ahead_of = tuple(F.cos(bent) * a + F.sin(bent) * b for a, b in zip(p, s, strict=True))
@@ -143,8 +140,8 @@ def _with_peek(e: DataFrame) -> DataFrame:
     off = lambda p: _plus(_vector(p), start, -1.0)
     aside = lambda p: _plus(off(p), primary, -_dot(off(p), primary))
     found = F.transform(span, lambda p, i: F.struct(_norm(aside(p)).alias("n"), (-i).alias("i"), *[v.alias(a) for v, a in zip(aside(p), AXES, strict=True)], _dot(off(p), primary).alias("along")))
-    e = _settled(e.withColumn("_found", F.when(F.col("template") == "peek_occlude_retract", found)))
-    e = _settled(e.withColumns({"_most": F.array_max("_found"), "_along": F.array_max(F.transform("_found", lambda f: f["along"]))}))
+    e = settled(e.withColumn("_found", F.when(F.col("template") == "peek_occlude_retract", found)))
+    e = settled(e.withColumns({"_most": F.array_max("_found"), "_along": F.array_max(F.transform("_found", lambda f: f["along"]))}))
     seen = F.col("_most.n") > 1e-6
     direction = F.struct(*[F.when(seen, F.col(f"_most.{a}") / F.col("_most.n")).otherwise(F.col(f"lateral.{a}")).alias(a) for a in AXES])
     return e.withColumns({"aside": direction, "aside_by": F.greatest("_most.n", 0.15 * F.col("reach"), F.lit(1e-3)), "beyond": F.greatest(F.col("_along") - F.col("reach"), 0.5 * F.col("reach"), F.lit(1e-3))}).drop("_found", "_most", "_along")
@@ -260,7 +257,7 @@ def _with_orbit(e: DataFrame) -> DataFrame:
     q, recent = F.col("q"), F.get("track", F.greatest(F.col("qe") - 4, F.lit(0)))
     dx, dz = q["x"] - F.col("focus_x"), q["z"] - F.col("focus_z")
     e = e.withColumns({"radius": F.hypot(dx, dz), "orbit_start": F.atan2(dz, dx), "_tangential": ((q["z"] - recent["z"]) * dx - (q["x"] - recent["x"]) * dz) / F.hypot(dx, dz)})
-    e = _settled(e.withColumn("orbit_sign", F.signum("_tangential")))
+    e = settled(e.withColumn("orbit_sign", F.signum("_tangential")))
 
     def halve(s: Column, _: Column) -> Column:
         middle = (s["low"] + s["high"]) / 2
@@ -306,9 +303,9 @@ def plans(short: DataFrame, routes: DataFrame, keys: list[str], gap_seconds: flo
     t, qe = F.col("template"), F.col("qe")
     speed = F.when(F.col("linear") > 0, F.col("linear")).when(F.col("reach") > 0, F.col("reach") / F.greatest(qe / FPS, F.lit(1.0))).otherwise(0.25)
     e = e.withColumn("target", F.col("speed_ratio") * F.when(t == "yaw_return", F.col("reach")).otherwise(speed * F.col("seconds")))
-    e = _with_orbit(_settled(_with_peek(_settled(_with_basis(_settled(e))))))
+    e = _with_orbit(settled(_with_peek(settled(_with_basis(settled(e))))))
     e = e.withColumn("rises", F.transform(F.sequence(F.lit(0), F.lit(239)), lambda i: _ramp((i + 1) * 0.00125) - _ramp(i * 0.00125)))
-    e = _settled(e)
+    e = settled(e)
     scaled = ~t.isin("yaw_return", "orbit_around_anchor")
     e = e.withColumn("amplitude", F.when(scaled & (F.col("target") > 0), _bisected(F.col("target"), _length(width), F.col("way"))).otherwise(0.0))
 
@@ -316,7 +313,7 @@ def plans(short: DataFrame, routes: DataFrame, keys: list[str], gap_seconds: flo
     budget = F.round(F.col("angular") * F.col("seconds"), 9)
     sign = F.when(start >= 0, 1.0).otherwise(-1.0)
     e = e.withColumns({"yaw_start": start, "peak": sign * F.least(F.greatest((budget + F.abs(start)) / 2, F.lit(180.0)), F.lit(300.0))})
-    e = _settled(e)
+    e = settled(e)
     spare = budget - F.abs(F.col("peak") - F.col("yaw_start")) - F.abs("peak")
     e = e.withColumn("loops", F.greatest(F.floor(F.round(spare / 120.0 + 0.5, 9)), F.lit(0)).cast("int"))
 
@@ -335,24 +332,24 @@ def plans(short: DataFrame, routes: DataFrame, keys: list[str], gap_seconds: flo
         .when(turn & ((farthest > 300 + 1e-6) | (F.abs(F.col("peak") - F.col("yaw_start")) < 1) | (F.abs("peak") <= F.abs("yaw_start") + 1)), "yaw_room")
         .when(orbit & (arcs + F.col("way") > F.col("target") + 1e-6), "budget")
     )
-    e = _settled(_settled(e).withColumn("reason", reason))
+    e = settled(settled(e).withColumn("reason", reason))
     e = e.withColumn("legs", F.when(F.col("reason").isNull(), _legs(width)))
-    e = _settled(e)
+    e = settled(e)
     e = e.withColumn("weights", F.transform("legs", lambda leg: _sum(_steps(leg, lambda a, b: F.when(t == "yaw_return", _turned(a, b)).otherwise(_moved(a, b))))))
-    e = _settled(_settled(e).withColumn("shares", _shared(F.col("weights"))))
+    e = settled(settled(e).withColumn("shares", _shared(F.col("weights"))))
     left = F.lit(LAST) - qe - F.aggregate("shares", F.lit(0), lambda s, v: s + F.floor(F.round(v, 9)).cast("int"))
     ranked = F.array_sort(F.transform("shares", lambda v, i: F.struct((-F.round(v - F.floor(F.round(v, 9)), 9)).alias("r"), i.alias("i"))))
     e = e.withColumn("_more", F.transform(F.slice(ranked, 1, F.greatest(left, F.lit(0))), lambda o: o["i"]))
-    e = _settled(e).withColumn("counts", F.transform("shares", lambda v, i: F.floor(F.round(v, 9)).cast("int") + F.array_contains("_more", i).cast("int")))
-    e = _settled(e).withColumn("frames", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: qe + F.aggregate(F.slice("counts", 1, k), F.lit(0), lambda s, v: s + v)))
-    e = _settled(e)
+    e = settled(e).withColumn("counts", F.transform("shares", lambda v, i: F.floor(F.round(v, 9)).cast("int") + F.array_contains("_more", i).cast("int")))
+    e = settled(e).withColumn("frames", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: qe + F.aggregate(F.slice("counts", 1, k), F.lit(0), lambda s, v: s + v)))
+    e = settled(e)
     place = {n: F.get("frames", F.lit(k)) for k, n in enumerate(EVENTS)}
     close = [place[b] - place[a] < gap_seconds * FPS for _, a, b in PAIRS]
     late = F.when(F.exists("weights", lambda w: w <= 1e-12), "motion").when(close[0] | close[1] | close[2], "revisit_gap")
     e = e.withColumn("reason", F.coalesce("reason", late))
     fine = F.col("reason").isNull()
     kept = {n: F.when(fine, F.col(n)) for n in ("target", "amplitude", "span", "legs", "counts", "frames", "prefix")}
-    return _settled(_settled(e).withColumns(kept).select(*keys, "template", "qe", "reason", "heading", *kept))
+    return settled(settled(e).withColumns(kept).select(*keys, "template", "qe", "reason", "heading", *kept))
 
 
 def events(planned: DataFrame, keys: list[str]) -> DataFrame:
