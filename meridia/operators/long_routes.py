@@ -82,12 +82,12 @@ def _median_above(values: Column, least: float) -> Column:
 def _measured(short: DataFrame, routes: DataFrame, keys: list[str]) -> DataFrame:
     """One row a route: its settings, its track as an array, speeds of its moving frames and the way to QE."""
     frame = F.struct("frame_index", *[F.col(c).cast("double").alias(c) for c in (*AXES, "yaw")])
-    # Routes are little data and much work, so tasks are kept at the session's number.
-    n = int(short.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tracks = short.repartition(n, *keys).groupBy(*keys).agg(F.array_sort(F.array_distinct(F.collect_list(frame))).alias("track"))
-    given = {"direction": 0.0, "heading": 0.0, "speed_ratio": 1.0, "focus_x": None, "focus_y": None, "focus_z": None}
+    tracks = short.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.collect_list(frame))).alias("track"))
+    given = {"direction": 0.0, "heading": 0.0, "speed_ratio": 1.0, "focus_x": None, "focus_y": None, "focus_z": None, "turn_frame": None}
     extra = [(F.col(c) if c in routes.columns else F.lit(v)).cast("double").alias(c) for c, v in given.items()]
     e = routes.select(*keys, "template", F.col("qe").cast("int").alias("qe"), *extra).join(tracks, keys, "left")
+    # Routes are little data and much work, so they are dealt to as many tasks as the session has.
+    e = e.repartition(int(short.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     number = lambda v: v.isNotNull() & ~F.isnan(v)
     sound = F.forall("track", lambda p: number(p["x"]) & number(p["y"]) & number(p["z"]) & number(p["yaw"])) & (F.transform("track", lambda p: p["frame_index"].cast("int")) == F.sequence(F.lit(0), F.size("track") - 1))
     e = e.withColumn("sound", F.coalesce(F.when(F.size("track") > 1, sound), F.lit(False)))
@@ -135,7 +135,7 @@ def _with_basis(e: DataFrame) -> DataFrame:
 def _with_peek(e: DataFrame) -> DataFrame:
     """Columns of the peek: `aside` (direction), `aside_by` and `beyond` (how far the short route went past QE), as its track shows them up to the turn."""
     start, primary = _vector(F.col("q0")), _vector(F.col("primary"))
-    stop = F.greatest(F.col("qe") + 1, F.coalesce(F.col("turn_frame"), F.floor(F.size("track") / 2).cast("int")))
+    stop = F.greatest(F.col("qe") + 1, F.coalesce(F.col("turn_frame").cast("int"), F.floor(F.size("track") / 2).cast("int")))
     span = F.slice("track", F.col("qe") + 1, F.greatest(stop - F.col("qe"), F.lit(1)))
     off = lambda p: _plus(_vector(p), start, -1.0)
     aside = lambda p: _plus(off(p), primary, -_dot(off(p), primary))
@@ -298,8 +298,7 @@ def plans(short: DataFrame, routes: DataFrame, keys: list[str], gap_seconds: flo
     `focus`, `yaw_room`, `budget` (an orbit of 20 degrees is too long), `motion` (a leg
     without any) or `revisit_gap`.
     """
-    routes = routes if "turn_frame" in routes.columns else routes.withColumn("turn_frame", F.lit(None).cast("int"))
-    e = _measured(short, routes, keys).join(routes.select(*keys, F.col("turn_frame").cast("int")), keys)
+    e = _measured(short, routes, keys)
     t, qe = F.col("template"), F.col("qe")
     speed = F.when(F.col("linear") > 0, F.col("linear")).when(F.col("reach") > 0, F.col("reach") / F.greatest(qe / FPS, F.lit(1.0))).otherwise(0.25)
     e = e.withColumn("target", F.col("speed_ratio") * F.when(t == "yaw_return", F.col("reach")).otherwise(speed * F.col("seconds")))
