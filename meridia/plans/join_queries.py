@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridia.functions.vectors import cosine, pooled
-from meridia.operators import curation, ingest, matching, spatial
+from meridia.operators import curation, ingest, matching, spatial, vectorsearch
 from meridia.operators.sampling import top_k
 from meridia.plans.fixtures import FRAMES, POINTS, descriptors, frames, points, table
 from meridia.plans.registry import query
@@ -211,6 +211,12 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumnRenamed("vec_id", "a").join(other, "label").where("a <> b").select("label", "a", "b", cosine(F.col("embedding"), F.col("other")).alias("c"))
 
 
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Descriptors of even and of odd ids."""
+    d = descriptors(spark, sf_dir)
+    return d.where("vec_id % 2 = 0"), d.where("vec_id % 2 = 1")
+
+
 @query("cosine_topk", f"WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) AS rn FROM pairs) SELECT a, b, round(c, 6) AS c, CAST(rn AS INTEGER) AS \"rank\" FROM r WHERE rn <= 3")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_pairs(spark, sf_dir), ["a"], F.round("c", 9), ["b"], 3).select("a", "b", F.round("c", 6).alias("c"), "rank")
@@ -241,7 +247,7 @@ def pooled_descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("greedy_match")
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-to-one matches of even and odd descriptors within a label; no SQL, the tests compare with a loop."""
-    return matching.greedy_matches(_pairs(spark, sf_dir).where("a % 2 = 0 AND b % 2 = 1"), "label", "a", "b", "c")
+    return vectorsearch.greedy_vectors(*_sides(spark, sf_dir), "label", "vec_id", "embedding")
 
 
 @query(
