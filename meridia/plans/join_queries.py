@@ -230,7 +230,10 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def mutual_ratio_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descriptors of even ids against those of odd ids of their label: two sides that are the whole table together."""
-    d = _pairs(spark, sf_dir).where("a % 2 = 0 AND b % 2 = 1").select("a", "b", F.round(1 - F.col("c"), 9).alias("d"))
+    even, odd = _sides(spark, sf_dir)
+    near = vectorsearch.nearest_vectors(even, odd, "label", "vec_id", "embedding", 2, 9).select("a", "b", "c")
+    back = vectorsearch.nearest_vectors(odd, even, "label", "vec_id", "embedding", 2, 9).select(F.col("b").alias("a"), F.col("a").alias("b"), "c")
+    d = near.unionByName(back).dropDuplicates(["a", "b"]).select("a", "b", F.round(1 - F.col("c"), 9).alias("d"))
     return matching.mutual_matches(d, "a", "b", "d", 0.95).select("a", "b", F.round("d", 6).alias("d"))
 
 
