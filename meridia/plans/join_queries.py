@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from meridia.functions.vectors import cosine, pooled
 from meridia.operators import curation, ingest, matching, spatial, vectorsearch
-from meridia.operators.sampling import top_k
 from meridia.plans.fixtures import FRAMES, POINTS, descriptors, frames, points, table
 from meridia.plans.registry import query
 
@@ -219,7 +218,8 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query("cosine_topk", f"WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) AS rn FROM pairs) SELECT a, b, round(c, 6) AS c, CAST(rn AS INTEGER) AS \"rank\" FROM r WHERE rn <= 3")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(_pairs(spark, sf_dir), ["a"], F.round("c", 9), ["b"], 3).select("a", "b", F.round("c", 6).alias("c"), "rank")
+    d = descriptors(spark, sf_dir)
+    return vectorsearch.nearest_vectors(d, d, "label", "vec_id", "embedding", 3, 9, other=True).select("a", "b", F.round("c", 6).alias("c"), "rank")
 
 
 @query(
