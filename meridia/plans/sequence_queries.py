@@ -54,13 +54,14 @@ def merge_short_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "majority_vote_keys",
     """WITH m AS (SELECT l_orderkey, round(l_discount * 100) - 5 AS x, round(l_tax * 100) - 4 AS y, l_quantity - 25 AS z FROM lineitem), u AS (SELECT *, greatest(sqrt(x * x + y * y + z * z), 1e-12) AS n FROM m),
-    v AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE z / n > 0.5) - count(*) FILTER (WHERE z / n < -0.5) AS wz, count(*) FILTER (WHERE x / n > 0.5) - count(*) FILTER (WHERE x / n < -0.5) AS wx FROM u GROUP BY l_orderkey)
-    SELECT l_orderkey, concat(CASE WHEN wz > n / 2 THEN 'W' WHEN wz < -n / 2 THEN 'S' ELSE '' END, CASE WHEN wx > n / 2 THEN 'D' WHEN wx < -n / 2 THEN 'A' ELSE '' END) AS pressed FROM v""",
+    v AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE z / n > 0.5) - count(*) FILTER (WHERE z / n < -0.5) AS wz, count(*) FILTER (WHERE x / n > 0.5) - count(*) FILTER (WHERE x / n < -0.5) AS wx,
+      count(*) FILTER (WHERE y / n > 0.5) - count(*) FILTER (WHERE y / n < -0.5) AS wy FROM u GROUP BY l_orderkey)
+    SELECT l_orderkey, concat(CASE WHEN wz > n / 2 THEN 'W' WHEN wz < -n / 2 THEN 'S' ELSE '' END, CASE WHEN wx > n / 2 THEN 'D' WHEN wx < -n / 2 THEN 'A' ELSE '' END, CASE WHEN wy > n / 2 THEN 'Q' WHEN wy < -n / 2 THEN 'E' ELSE '' END) AS pressed FROM v""",
 )
 def majority_vote_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     moves = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.round(c("l_discount") * 100) - 5).alias("x"), (F.round(c("l_tax") * 100) - 4).alias("y"), (c("l_quantity") - 25).alias("z"))
-    out = sequences.vote_keys(moves, ["l_orderkey"], {"z": ("W", "S"), "x": ("D", "A")}, ("x", "y", "z"))
+    out = sequences.vote_keys(moves, ["l_orderkey"], {"z": ("W", "S"), "x": ("D", "A"), "y": ("Q", "E")}, ("x", "y", "z"))
     return out.select("l_orderkey", F.array_join("pressed", "").alias("pressed"))
 
 
