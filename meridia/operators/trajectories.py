@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meridia.functions.tables import settled
 from meridia.functions.vectors import smoothstep, yaw_pose
 
 # Event names in order, intervals of a short clip, frames a second.
@@ -55,34 +56,44 @@ def allocate(routes: DataFrame, carry: list[str]) -> DataFrame:
     there are, is not feasible and has no frames.
     """
     e = routes.select(*carry, _events(F.col("template"), F.col("distance"), F.col("far"), F.col("side"), F.col("turn")).alias("events"))
+    e = settled(e)
     legs = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.struct(F.get("events", i).alias("a"), F.get("events", i + 1).alias("b")))
     gap = lambda s, c: s["b"][c] - s["a"][c]
     need = F.transform(legs, lambda s: _least_intervals(F.sqrt(gap(s, "progress") * gap(s, "progress") + gap(s, "lateral") * gap(s, "lateral")), F.abs(gap(s, "yaw"))))
     e = e.select(*carry, "events", F.when(F.col("events").isNotNull(), need).alias("need"))
+    e = settled(e)
     total = F.aggregate("need", F.lit(0), lambda a, x: a + x)
     e = e.select(*carry, "events", "need", total.alias("total"))
+    e = settled(e)
     exact = F.transform("need", lambda n: n / F.col("total").cast("double") * (INTERVALS - F.col("total")))
     e = e.select(*carry, "events", "need", "total", exact.alias("exact"))
+    e = settled(e)
     left = INTERVALS - F.col("total") - F.aggregate(F.transform("exact", lambda x: F.floor(x).cast("int")), F.lit(0), lambda a, x: a + x)
     order = F.sort_array(F.transform("exact", lambda x, i: F.struct((-F.round(x - F.floor(x), 9)).alias("r"), i.alias("i"))))
     more = F.transform(F.slice(order, 1, F.greatest(left, F.lit(0)).cast("int")), lambda o: o["i"])
     e = e.select(*carry, "events", "need", "total", "exact", more.alias("more"))
+    e = settled(e)
     spans = F.transform("need", lambda n, i: n + F.floor(F.get("exact", i)).cast("int") + F.when(F.array_contains("more", i), 1).otherwise(0))
     e = e.select(*carry, "events", (F.col("total") <= INTERVALS).alias("fits"), spans.alias("spans"))
+    e = settled(e)
     frames = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.aggregate(F.slice("spans", 1, k), F.lit(0), lambda a, x: a + x))
     feasible = F.coalesce(F.col("fits"), F.lit(False))
     return e.select(*carry, "events", F.when(feasible, frames).alias("frames"), feasible.alias("feasible"))
 
 
 def poses(routes: DataFrame, carry: list[str]) -> DataFrame:
-    """(carried, frame_index, x, z, yaw, pose) of the 357 frames of every feasible route, from the start's camera."""
-    placed = allocate(routes, carry).where("feasible").withColumn("frame_index", F.explode(F.sequence(F.lit(0), F.lit(INTERVALS))))
-    leg = F.greatest(F.array_size(F.filter("frames", lambda f: f < F.col("frame_index"))) - 1, F.lit(0))
-    rows = placed.withColumn("leg", leg)
-    a, b = F.get("events", F.col("leg")), F.get("events", F.col("leg") + 1)
-    begin, end = F.get("frames", F.col("leg")), F.get("frames", F.col("leg") + 1)
-    s = smoothstep((F.col("frame_index") - begin) / (end - begin))
-    value = lambda c: a[c] + s * (b[c] - a[c])
+    """(carried, frame_index, x, z, yaw, pose) of the 357 frames of every feasible route, from the start's camera.
+
+    Routes are dealt out by the carried columns before their frames are made, so that later
+    steps on a route's frames need no shuffle; each leg makes its own frames.
+    """
+    placed = settled(allocate(routes, carry)).where("feasible")
+    placed = placed.repartition(int(routes.sparkSession.conf.get("spark.sql.shuffle.partitions")), *carry)
+    leg = lambda i: F.struct(F.get("events", i).alias("a"), F.get("events", i + 1).alias("b"), (F.get("frames", i) + F.when(i == 0, 0).otherwise(1)).alias("first"), F.get("frames", i).alias("begin"), F.get("frames", i + 1).alias("end"))
+    legs = placed.select(*carry, F.inline(F.transform(F.sequence(F.lit(0), F.lit(len(EVENTS) - 2)), leg))).where("first <= end")
+    rows = legs.withColumn("frame_index", F.explode(F.sequence("first", "end")))
+    s = smoothstep((F.col("frame_index") - F.col("begin")) / (F.col("end") - F.col("begin")))
+    value = lambda c: F.col(f"a.{c}") + s * (F.col(f"b.{c}") - F.col(f"a.{c}"))
     out = rows.select(*carry, "frame_index", value("lateral").alias("x"), value("progress").alias("z"), value("yaw").alias("yaw"))
     return out.withColumn("pose", yaw_pose(F.col("yaw"), F.col("x"), F.lit(0.0), F.col("z")))
 
@@ -95,9 +106,13 @@ def event_frames(routes: DataFrame, carry: list[str]) -> DataFrame:
 
 def route_checks(track: DataFrame, events: DataFrame, carry: list[str]) -> DataFrame:
     """(carried, returns, revisits, problems): how far the return is from the start and the revisit from the first visit."""
-    at = track.select(*carry, "frame_index", "x", "z", "yaw").join(events, [*carry, "frame_index"])
-    side = lambda c, n: F.max(F.when(F.col("event") == n, F.col(c)))
+    # Events go to their route, not to its frames, so that frames dealt out by route stay where they are.
+    named = events.groupBy(*carry).agg(*[F.max(F.when(F.col("event") == n, F.col("frame_index"))).alias(f"_{n}") for n in EVENTS])
+    at = track.select(*carry, "frame_index", "x", "z", "yaw").join(named.hint("shuffle_hash"), carry)
+    here = lambda n: F.col("frame_index") == F.col(f"_{n}")
+    side = lambda c, n: F.max(F.when(here(n), F.col(c)))
     gap = lambda a, b: F.sqrt(sum(((side(c, a) - side(c, b)) * (side(c, a) - side(c, b)) for c in ("x", "z")), F.lit(0.0))) + F.abs(side("yaw", a) - side("yaw", b))
-    out = at.groupBy(*carry).agg(gap("q0", "q0_return").alias("returns"), gap("qc_first", "qc_revisit").alias("revisits"), F.count("*").alias("n"))
+    found = sum((F.count(F.when(here(n), 1)) for n in EVENTS), F.lit(0))
+    out = at.groupBy(*carry).agg(gap("q0", "q0_return").alias("returns"), gap("qc_first", "qc_revisit").alias("revisits"), found.alias("n"))
     problems = F.array_compact(F.array(F.when(F.col("n") != len(EVENTS), F.lit("events")), F.when(F.col("returns") > 1e-6, F.lit("return")), F.when(F.col("revisits") > 1e-6, F.lit("revisit"))))
     return out.select(*carry, "returns", "revisits", problems.alias("problems"))
