@@ -18,12 +18,21 @@ def path_length(track: DataFrame, keys: list[str], index: str, coordinates: list
     return stepped.withColumn("travelled", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
-def dynamics(track: DataFrame, keys: list[str], index: str, position: str, dt: float) -> DataFrame:
-    """(keys, largest speed, acceleration, jerk) of one coordinate from first, second and third differences."""
+def axes_dynamics(track: DataFrame, keys: list[str], index: str, positions: list[str], dt: float) -> DataFrame:
+    """(keys, of each position its _speed, _acceleration and _jerk at the largest) from first, second and third differences, in one pass over the track."""
     w = Window.partitionBy(*keys).orderBy(index)
-    x = [F.lag(position, i).over(w) if i else F.col(position) for i in range(4)]
-    rows = track.select(*keys, ((x[0] - x[1]) / dt).alias("v"), ((x[0] - 2 * x[1] + x[2]) / dt**2).alias("a"), ((x[0] - 3 * x[1] + 3 * x[2] - x[3]) / dt**3).alias("j"))
-    return rows.groupBy(*keys).agg(F.max(F.abs("v")).alias("speed"), F.max(F.abs("a")).alias("acceleration"), F.max(F.abs("j")).alias("jerk"))
+    steps, largest = [], []
+    for p in positions:
+        x = [F.lag(p, i).over(w) if i else F.col(p) for i in range(4)]
+        differences = {"speed": (x[0] - x[1]) / dt, "acceleration": (x[0] - 2 * x[1] + x[2]) / dt**2, "jerk": (x[0] - 3 * x[1] + 3 * x[2] - x[3]) / dt**3}
+        steps += [d.alias(f"{p}_{n}") for n, d in differences.items()]
+        largest += [F.max(F.abs(f"{p}_{n}")).alias(f"{p}_{n}") for n in differences]
+    return track.select(*keys, *steps).groupBy(*keys).agg(*largest)
+
+
+def dynamics(track: DataFrame, keys: list[str], index: str, position: str, dt: float) -> DataFrame:
+    """(keys, largest speed, acceleration, jerk) of one coordinate."""
+    return axes_dynamics(track, keys, index, [position], dt).toDF(*keys, "speed", "acceleration", "jerk")
 
 
 def runs(series: DataFrame, keys: list[str], order: list[str], label: str) -> DataFrame:

@@ -33,13 +33,13 @@ def route_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("route_dynamics", "SELECT p_partkey, true AS within FROM part WHERE p_partkey % 5 <> 4")
 def route_dynamics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether sampled speed, acceleration and jerk of progress, side move and turn hold the limits, to what sampling adds."""
-    poses, out = trajectories.poses(routes(spark, sf_dir), ["p_partkey"]), None
-    for axis, limits in (("x", trajectories.MOVE_LIMITS), ("z", trajectories.MOVE_LIMITS), ("yaw", trajectories.TURN_LIMITS)):
-        d = sequences.dynamics(poses, ["p_partkey"], "frame_index", axis, 1 / trajectories.FPS)
-        held = [F.col(c) <= limit * 1.1 for c, limit in zip(("speed", "acceleration", "jerk"), limits, strict=True)]
-        one = d.select("p_partkey", (held[0] & held[1] & held[2]).alias("within"))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("p_partkey").agg(F.bool_and("within").alias("within"))
+    axes = {"x": trajectories.MOVE_LIMITS, "z": trajectories.MOVE_LIMITS, "yaw": trajectories.TURN_LIMITS}
+    d = sequences.axes_dynamics(trajectories.poses(routes(spark, sf_dir), ["p_partkey"]), ["p_partkey"], "frame_index", list(axes), 1 / trajectories.FPS)
+    held = F.lit(True)
+    for axis, limits in axes.items():
+        for name, limit in zip(("speed", "acceleration", "jerk"), limits, strict=True):
+            held = held & (F.col(f"{axis}_{name}") <= limit * 1.1)
+    return d.select("p_partkey", held.alias("within"))
 
 
 LONG = (*long_routes.TEMPLATES, "unknown")
