@@ -126,10 +126,13 @@ def greedy_matches(pairs: DataFrame, group: str, a: str, b: str, score: str) ->
 def nearest_pose(left: DataFrame, right: DataFrame, keys: list[str], coordinates: list[str], angle: str, index: str, weight: float) -> DataFrame:
     """(keys, index, nearest, cost): for each left row the right row of its key, other than itself, with the least distance + weight * angle; ties to the smaller index.
 
-    A key is one video, whose frames meet each other; minima are taken before the shuffle.
+    A key is one video. Its right rows travel as one array to its left rows, each of which
+    looks through it, so pairs are never rows and nothing but the two sides is shuffled.
     """
-    r = right.select(*keys, F.col(index).alias("_i"), *[F.col(c).alias(f"_{c}") for c in (*coordinates, angle)])
-    square = sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in coordinates), F.lit(0.0))
-    cost = F.sqrt(square) + weight * F.abs(F.col(angle) - F.col(f"_{angle}"))
-    paired = left.select(*keys, index, *coordinates, angle).join(r, keys).where(F.col("_i") != F.col(index)).withColumn("cost", cost)
-    return paired.groupBy(*keys, index).agg(F.min(F.struct(F.round("cost", 9).alias("cost"), F.col("_i").alias("nearest"))).alias("m")).select(*keys, index, "m.nearest", "m.cost")
+    names = (*coordinates, angle)
+    listed = right.groupBy(*keys).agg(F.collect_list(F.struct(F.col(index).alias("i"), *[F.col(c).cast("double").alias(c) for c in names])).alias("_all"))
+    square = lambda r: sum(((F.col(c) - r[c]) * (F.col(c) - r[c]) for c in coordinates), F.lit(0.0))
+    cost = lambda r: F.round(F.sqrt(square(r)) + weight * F.abs(F.col(angle) - r[angle]), 9)
+    best = F.array_min(F.transform(F.filter("_all", lambda r: r["i"] != F.col(index)), lambda r: F.struct(cost(r).alias("cost"), r["i"].alias("nearest"))))
+    paired = left.select(*keys, index, *names).join(listed, keys).select(*keys, index, best.alias("m"))
+    return paired.where(F.col("m").isNotNull()).select(*keys, index, "m.nearest", "m.cost")
