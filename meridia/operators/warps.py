@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from meridia.functions.vectors import distort, undistort
 
 #: Reach of the Lanczos kernel, parts of a pixel that its positions are rounded to.
 REACH, PARTS = 4, 32
+#: Rows and columns of the source that a task of the smooth warp takes at once.
+BLOCK = 32
 LENS = ("k1", "k2", "p1", "p2")
 
 
@@ -56,15 +60,15 @@ def depth_to_view(depths: DataFrame, cameras: DataFrame, keys: list[str]) -> Dat
 def mask_to_view(mask: DataFrame, cameras: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, row, col): the pixels that a mask covers in another camera at the same place, widened by one each way.
 
-    mask has a row a pixel of it; it is widened along rows first and then along columns,
-    with a distinct between, which makes six copies of a pixel instead of nine.
+    mask has a row a pixel of it; the columns of an image's row are one array, rows are
+    widened by copies of those arrays and columns within them.
     """
     found = _landed(mask.select(*keys, "row", "col"), cameras, keys)
-    wide = found
-    for axis, size in (("row", "_height"), ("col", "_width")):
-        near = F.explode(F.sequence(F.greatest(F.col(axis) - 1, F.lit(0)), F.least(F.col(axis) + 1, F.col(size).cast("int") - 1)))
-        wide = wide.distinct().withColumn(axis, near)
-    return wide.distinct().select(*keys, "row", "col")
+    lines = found.groupBy(*keys, "row").agg(F.collect_set("col").alias("_cols"), F.first("_height").alias("_height"), F.first("_width").alias("_width"))
+    near = F.explode(F.sequence(F.greatest(F.col("row") - 1, F.lit(0)), F.least(F.col("row") + 1, F.col("_height").cast("int") - 1)))
+    lines = lines.withColumn("row", near).groupBy(*keys, "row").agg(F.array_distinct(F.flatten(F.collect_list("_cols"))).alias("_cols"), F.first("_width").cast("int").alias("_width"))
+    wide = F.filter(F.flatten(F.transform("_cols", lambda c: F.array(c - 1, c, c + 1))), lambda c: (c >= 0) & (c < F.col("_width")))
+    return lines.select(*keys, "row", F.explode(F.array_distinct(wide)).alias("col"))
 
 
 def inverse(m: Column) -> Column:
@@ -97,29 +101,42 @@ def warped_nearest(image: DataFrame, frames: DataFrame, keys: list[str], value:
     return e.join(source, [*keys, "_row", "_col"], "left").select(*keys, "row", "col", value)
 
 
-def _weights(share: Column) -> Column:
-    """The eight weights of a Lanczos kernel of reach 4 for a position `share` of a pixel past its fourth tap; they add up to 1."""
-
-    def kernel(t: Column) -> Column:
-        a = t * math.pi
-        return F.when(F.abs(t) < 1e-9, F.lit(1.0)).otherwise(REACH * F.sin(a) * F.sin(a / REACH) / (a * a))
-
-    raw = [kernel(share + (REACH - 1 - i)) for i in range(2 * REACH)]
-    total = sum(raw[1:], raw[0])
-    return F.array(*[r / total for r in raw])
+def _weights(share: np.ndarray) -> np.ndarray:
+    """The eight weights of a Lanczos kernel of reach 4 for positions `share` of a pixel past their fourth tap; they add up to 1."""
+    a = (share[:, None] + (REACH - 1 - np.arange(2 * REACH))) * math.pi
+    near = np.abs(a) < 1e-9 * math.pi
+    a = np.where(near, 1.0, a)
+    raw = np.where(near, 1.0, REACH * np.sin(a) * np.sin(a / REACH) / (a * a))
+    return raw / raw.sum(axis=1, keepdims=True)
 
 
 def warped_smooth(image: DataFrame, frames: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, row, col, value): as warped_nearest, but from 8 x 8 source pixels by Lanczos weights; 0 outside the source.
 
-    Positions are rounded to 1/32 of a pixel. Taps go to their source pixels by an equality join,
-    and tasks add up a target pixel's products before they are shuffled. Sums are not rounded or clipped to colours.
+    Positions are rounded to 1/32 of a pixel. Target pixels meet the source in blocks of
+    BLOCK x BLOCK of its pixels and those that the kernel reaches around them, so a source
+    pixel is copied to four blocks at most and taps are never rows. Sums are not rounded or clipped to colours.
     """
     e = settled(_asked(frames, keys).withColumns({"_gx": F.rint(F.col("_x") * PARTS) / PARTS, "_gy": F.rint(F.col("_y") * PARTS) / PARTS}))
-    at = lambda g: F.floor(g).cast("int")
-    e = e.select(*keys, "row", "col", at(F.col("_gx")).alias("_c"), at(F.col("_gy")).alias("_r"), _weights(F.col("_gx") - F.floor("_gx")).alias("_wx"), _weights(F.col("_gy") - F.floor("_gy")).alias("_wy"))
-    e = settled(e)
-    taps = e.select(*keys, "row", "col", "_c", "_r", "_wx", F.posexplode("_wy").alias("_i", "_y")).select(*keys, "row", "col", "_c", "_r", "_i", "_y", F.posexplode("_wx").alias("_j", "_x"))
-    taps = taps.select(*keys, "row", "col", (F.col("_r") + F.col("_i") - (REACH - 1)).alias("_row"), (F.col("_c") + F.col("_j") - (REACH - 1)).alias("_col"), (F.col("_x") * F.col("_y")).alias("_w"))
-    source = image.select(*keys, F.col("row").alias("_row"), F.col("col").alias("_col"), F.col(value).cast("double").alias("_v"))
-    return taps.join(source, [*keys, "_row", "_col"], "left").groupBy(*keys, "row", "col").agg(F.coalesce(F.sum(F.col("_w") * F.col("_v")), F.lit(0.0)).alias(value))
+    block = lambda at: F.floor(at / BLOCK)
+    asked = e.select(*[F.col(k).alias(k) for k in keys], block(F.col("_gy")).alias("_br"), block(F.col("_gx")).alias("_bc"), "row", "col", "_gy", "_gx")
+    reached = lambda at: F.explode(F.array_distinct(F.array(block(F.col(at) - REACH), block(F.col(at) + REACH - 1))))
+    source = image.where(F.col(value).isNotNull()).select(*[F.col(k).alias(k) for k in keys], F.col("row").alias("_row"), F.col("col").alias("_col"), F.col(value).cast("double").alias("_v"), reached("row").alias("_br"))
+    source = source.select(*keys, "_br", reached("_col").alias("_bc"), "_row", "_col", "_v")
+    kinds = dict(asked.dtypes)
+
+    def gather(x: pa.Table, y: pa.Table) -> pa.Table:
+        gy, gx = (x.column(c).to_numpy() for c in ("_gy", "_gx"))
+        total = np.zeros(x.num_rows)
+        if x.num_rows and y.num_rows:
+            edge = [x.column(c)[0].as_py() * BLOCK - (REACH - 1) for c in ("_br", "_bc")]
+            pixels = np.zeros((BLOCK + 2 * REACH - 1, BLOCK + 2 * REACH - 1))
+            np.add.at(pixels, (y.column("_row").to_numpy() - edge[0], y.column("_col").to_numpy() - edge[1]), y.column("_v").to_numpy())
+            r, c = ((np.floor(g).astype(int) - (REACH - 1) - o)[:, None] + np.arange(2 * REACH) for g, o in ((gy, edge[0]), (gx, edge[1])))
+            taps = pixels[r[:, :, None], c[:, None, :]]
+            total = np.einsum("ni,nj,nij->n", _weights(gy - np.floor(gy)), _weights(gx - np.floor(gx)), taps)
+        return x.select([*keys, "row", "col"]).append_column(value, pa.array(total, pa.float64()))
+
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"`row` {kinds['row']}", f"`col` {kinds['col']}", f"`{value}` double"])
+    at = [*keys, "_br", "_bc"]
+    return asked.groupBy(*at).cogroup(source.groupBy(*at)).applyInArrow(gather, schema)
