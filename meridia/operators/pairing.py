@@ -34,12 +34,25 @@ def overlap_share(left: DataFrame, right: DataFrame, keys: list[str], item: str)
 
 
 def either_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, columns: list[tuple[str, str]]) -> DataFrame:
-    """(left_id, right_id) of rows that agree on any of the column pairs: one equality join each, the union made distinct."""
+    """(left_id, right_id) of rows that agree on any of the column pairs, each pair of ids once.
+
+    A pair is taken from the first column pair it agrees on, by the least of the values
+    that it has in common there, so the results of the equality joins are apart and
+    nothing has to hold them to be made distinct.
+    """
+    places = range(len(columns))
+    sets = lambda side, id_, n: side.groupBy(id_).agg(*[F.collect_set(c[n]).alias(f"_{'lr'[n]}{i}") for i, c in enumerate(columns)])
+    a, b = sets(left, left_id, 0).where(F.col(left_id).isNotNull()), sets(right, right_id, 1).where(F.col(right_id).isNotNull())
     out = None
-    for a, b in columns:
-        one = left.select(left_id, F.col(a).alias("_k")).join(right.select(right_id, F.col(b).alias("_k")), "_k").select(left_id, right_id)
+    for i in places:
+        one = a.withColumn("_k", F.explode(f"_l{i}")).join(b.withColumn("_k", F.explode(f"_r{i}")), "_k")
+        least = ((F.size(f"_l{i}") == 1) | (F.size(f"_r{i}") == 1)) | (F.col("_k") == F.array_min(F.array_intersect(f"_l{i}", f"_r{i}")))
+        earlier = [~F.arrays_overlap(f"_l{n}", f"_r{n}") for n in places[:i]]
+        for keep in (least, *earlier):
+            one = one.where(keep)
+        one = one.select(left_id, right_id)
         out = one if out is None else out.unionByName(one)
-    return out.distinct()
+    return out
 
 
 def set_equality(expected: DataFrame, actual: DataFrame, keys: list[str], index: str) -> DataFrame:
