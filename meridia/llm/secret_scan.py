@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridia.llm._shared import give_back, sampled
+from meridia.llm._shared import give_back
 
 # The base patterns, (kind, pattern, group, least length).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -61,19 +61,20 @@ WORDLIKE = 4.4
 SHARED = 12
 
 
-#: Rows that identifiers are gathered from, at most or so; rows that must have one; bytes of the dictionary.
-SAMPLE, LEAST_ROWS, DICTIONARY_BYTES = 20_000, 3, 32 << 10
+#: Texts that must have an identifier; bytes of the dictionary.
+LEAST_ROWS, DICTIONARY_BYTES = 3, 32 << 10
 
 
-def identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> bytes:
+def identifiers(docs: DataFrame, text_col: str = "text") -> bytes:
     """A dictionary of the identifiers of a corpus, the most frequent last, in front of IDENTIFIERS.
 
     An identifier is a run of 4 to 24 letters and underscores that LEAST_ROWS different
-    texts have, of about `sample` rows chosen by a hash of the id. Sample and dictionary
-    are bounded at every size of the table.
+    texts of all rows have. Texts are told apart by a hash, and of each only its
+    identifiers travel. The dictionary is bounded at every size of the table.
     """
-    rows = sampled(docs.select(F.xxhash64(id_col, F.length(text_col)).alias("seed"), F.col(text_col).alias("text")), docs.count(), sample)
-    words = rows.select("text").distinct().select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9_])[A-Za-z_]{4,24}(?![A-Za-z0-9_])"), 0))).alias("word"))
+    found = F.array_distinct(F.regexp_extract_all(text_col, F.lit(r"(?<![A-Za-z0-9_])[A-Za-z_]{4,24}(?![A-Za-z0-9_])"), 0))
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("hash"), found.alias("words"))
+    words = texts.dropDuplicates(["hash"]).select(F.explode("words").alias("word"))
     counted = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS)
     found, size = [], 0
     for r in counted.orderBy(F.desc("n"), "word").limit(DICTIONARY_BYTES // 5).collect():
@@ -218,7 +219,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     none is given; a context word counts within `around` characters. Repeated rows give repeated rows; only the id and text columns are
     read, so other columns cannot clash; an empty table gives no rows.
     """
-    dictionary = identifiers(docs, id_col, text_col) if dictionary is None else dictionary
+    dictionary = identifiers(docs, text_col) if dictionary is None else dictionary
     kind = docs.schema[id_col].dataType.simpleString()
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("matched", pa.string())])
 
@@ -244,7 +245,7 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     The dictionary and `around` are as for scan_secrets. All other columns stay as they are, whatever
     their names. Null texts stay null.
     """
-    dictionary = identifiers(docs, id_col, text_col) if dictionary is None else dictionary
+    dictionary = identifiers(docs, text_col) if dictionary is None else dictionary
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
