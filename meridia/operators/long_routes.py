@@ -5,9 +5,9 @@ route keeps every frame up to QE, goes on through C, A and B to the far point W,
 back over B, A and C to the start, at the speed that the short one had. How far it goes
 is found by bisection, so that its length is what that speed travels in the time left.
 
-A route is one row with its polylines as arrays, all of a bounded length: bisection and
-the shares of the frames are folds of fixed length. Frames come from the pieces of the
-polylines, each of which emits those that fall into it, so nothing is searched or joined.
+A route is one row, bisection and the shares of the frames are folds of fixed length over
+lengths in closed form. Its polylines are arrays of a bounded length and are made last, so
+that what reads plans without them does not pay for them.
 Tracks turn about the vertical axis and yaw is continuous in degrees; forward is +z.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions.tables import settled
+from meridia.functions.vectors import let
 
 # Templates, events after QE, last frame, frames a second, pairs of visits.
 TEMPLATES = ("forward_backward", "lateral_out_and_back", "yaw_return", "arc_return", "orbit_around_anchor", "peek_occlude_retract")
@@ -73,21 +74,24 @@ def _turned(a: Column, b: Column) -> Column:
 
 def _median_above(values: Column, least: float) -> Column:
     """Median of the values above least, 0 where there is none."""
-    held = F.array_sort(F.filter(values, lambda v: v > least))
-    n = F.size(held)
-    at = lambda k: F.get(held, F.floor(k).cast("int"))
-    return F.when(n > 0, (at((n - 1) / 2) + at(n / 2)) / 2).otherwise(0.0)
+
+    def median(held: Column) -> Column:
+        n = F.size(held)
+        at = lambda k: F.get(held, F.floor(k).cast("int"))
+        return F.when(n > 0, (at((n - 1) / 2) + at(n / 2)) / 2).otherwise(0.0)
+
+    return let(F.sort_array(F.filter(values, lambda v: v > least)), median)
 
 
 def _measured(short: DataFrame, routes: DataFrame, keys: list[str]) -> DataFrame:
     """One row a route: its settings, its track as an array, speeds of its moving frames and the way to QE."""
     frame = F.struct("frame_index", *[F.col(c).cast("double").alias(c) for c in (*AXES, "yaw")])
-    tracks = short.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.collect_list(frame))).alias("track"))
+    tracks = short.groupBy(*keys).agg(F.sort_array(F.array_distinct(F.collect_list(frame))).alias("track"))
     given = {"direction": 0.0, "heading": 0.0, "speed_ratio": 1.0, "focus_x": None, "focus_y": None, "focus_z": None, "turn_frame": None}
     extra = [(F.col(c) if c in routes.columns else F.lit(v)).cast("double").alias(c) for c, v in given.items()]
-    e = routes.select(*keys, "template", F.col("qe").cast("int").alias("qe"), *extra).join(tracks, keys, "left")
-    # Routes are little data and much work, so they are dealt to as many tasks as the session has.
-    e = e.repartition(int(short.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    # Routes are little data and much work, so they are dealt to as many tasks as the session has; the tracks follow them.
+    dealt = routes.select(*keys, "template", F.col("qe").cast("int").alias("qe"), *extra).repartition(int(short.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    e = dealt.join(tracks, keys, "left")
     number = lambda v: v.isNotNull() & ~F.isnan(v)
     sound = F.forall("track", lambda p: number(p["x"]) & number(p["y"]) & number(p["z"]) & number(p["yaw"])) & (F.transform("track", lambda p: p["frame_index"].cast("int")) == F.sequence(F.lit(0), F.size("track") - 1))
     e = e.withColumn("sound", F.coalesce(F.when(F.size("track") > 1, sound), F.lit(False)))
@@ -165,13 +169,27 @@ def _peek_near() -> Vector:
     return _plus(start, _plus(_vector(F.col("q")), start, -1.0), 0.1)
 
 
+def _half(width: float) -> Column:
+    """Length of a half circle of radius 1 in 400 pieces, stretched by width."""
+    return F.lit(sum(math.hypot(math.cos(math.pi * k / 400) - math.cos(math.pi * (k + 1) / 400), width * (math.sin(math.pi * (k + 1) / 400) - math.sin(math.pi * k / 400))) for k in range(400)))
+
+
+def _rises(first: int, stop: int, along: Column, up: Column) -> Column:
+    """Length of the pieces first to stop - 1 of a peek's ramp, each `along` wide, the whole ramp `up` high."""
+    ramp = [min(i * 0.00125 / 0.3, 1.0) ** 2 * (3.0 - 2.0 * min(i * 0.00125 / 0.3, 1.0)) for i in range(first, stop + 1)]
+    return F.aggregate(F.lit([b - a for a, b in zip(ramp[:-1], ramp[1:], strict=True)]), F.lit(0.0), lambda s, r: s + F.hypot(along, r * up))
+
+
 def _length(width: float):
-    """length(scale) of a route of each template that has a scale, QE to the start."""
-    half = F.lit(sum(math.hypot(math.cos(math.pi * k / 400) - math.cos(math.pi * (k + 1) / 400), width * (math.sin(math.pi * (k + 1) / 400) - math.sin(math.pi * k / 400))) for k in range(400)))
+    """length(scale) of a route of each template that has a scale, QE to the start.
+
+    Beyond `beyond` a peek's ramp grows in proportion to the scale, so its length is one product with `slope`.
+    """
+    half = _half(width)
 
     def peek(scale: Column) -> Column:
-        rise = F.transform("rises", lambda r: F.hypot(scale * 0.00125, r * _lift(scale)))
-        return 2 * (_sum(rise) + 0.7 * scale) + 2 * _norm(_plus(_peek_far(scale), _peek_near(), -1.0))
+        rise = F.when(scale >= F.col("beyond"), scale * F.col("slope")).otherwise(_rises(0, 240, scale * 0.00125, F.col("aside_by")))
+        return 2 * (rise + 0.7 * scale) + 2 * _norm(_plus(_peek_far(scale), _peek_near(), -1.0))
 
     def length(scale: Column) -> Column:
         t = F.col("template")
@@ -192,6 +210,22 @@ def _bisected(target: Column, length, reference: Column) -> Column:
     return F.when(target <= length(F.lit(0.0)) + 1e-9, F.greatest(reference * 0.25, F.lit(1e-3))).otherwise(found)
 
 
+def _weights(width: float) -> Column:
+    """Ways of the eight legs that _legs() makes, angles for yaw_return, without making them."""
+    scale, way, half = F.col("amplitude"), F.col("way"), _half(width)
+    back = lambda *out: F.array(*out, *out[:0:-1], out[0] + way)
+    line = back(*[scale * (b - a) for a, b in zip((0.0, *STOPS), STOPS, strict=False)])
+    arc = back(scale * 0.3, *[scale * (r * half) for r in CIRCLES])
+    ramp = lambda first, stop: _rises(first, stop, scale * 0.00125, _lift(scale))
+    peek = back(ramp(0, 200), ramp(200, 240) + 0.2 * scale, 0.5 * scale, _norm(_plus(_peek_far(scale), _peek_near(), -1.0)))
+    orbit = back(*[800.0 * F.col("radius") * F.sin(F.radians("span") * (b - a) / 800.0) for a, b in zip((0.0, *STOPS), STOPS, strict=False)])
+    first, peak = F.col("yaw_start"), F.col("peak")
+    part = F.abs(peak - first) / 4
+    yaws = F.array(part, part, part, part + 2 * F.col("loops") * F.abs(peak - F.signum(peak) * 240.0), part, part, part, F.abs(first + (peak - first) * 0.25))
+    t = F.col("template")
+    return F.when(t == "yaw_return", yaws).when(t == "arc_return", arc).when(t == "peek_occlude_retract", peek).when(t == "orbit_around_anchor", orbit).otherwise(line)
+
+
 def _there_and_back(out: list[Column], home: Column) -> Column:
     """Eight legs: four out, and the same four back, the last of them joined to the way home."""
     back = [F.reverse(leg) for leg in reversed(out)]
@@ -272,15 +306,14 @@ def _shared(weights: Column) -> Column:
     """Intervals of the eight legs after QE: in proportion to weights, at least LEAST, by the largest remainder (to 9 digits), earlier legs first."""
     least = F.array(*[F.lit(float(m)) for m in LEAST])
     total = (F.lit(LAST) - F.col("qe")).cast("double")
-    safe = F.transform(weights, lambda w: F.greatest(w, F.lit(1e-9)))
-    fill = lambda fixed: (total - _sum(F.zip_with(fixed, least, lambda f, m: F.when(f, m).otherwise(0.0)))) / F.greatest(_sum(F.zip_with(fixed, safe, lambda f, w: F.when(f, 0.0).otherwise(w))), F.lit(1e-300))
+    fill = lambda safe, fixed: (total - _sum(F.zip_with(fixed, least, lambda f, m: F.when(f, m).otherwise(0.0)))) / F.greatest(_sum(F.zip_with(fixed, safe, lambda f, w: F.when(f, 0.0).otherwise(w))), F.lit(1e-300))
 
-    def again(fixed: Column, _: Column) -> Column:
-        rate = fill(fixed)
-        return F.transform(fixed, lambda f, i: f | (F.get(safe, i) * rate < F.get(least, i)))
+    def shares(safe: Column) -> Column:
+        again = lambda fixed, _: let(fill(safe, fixed), lambda rate: F.transform(fixed, lambda f, i: f | (F.get(safe, i) * rate < F.get(least, i))))
+        settle = F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.array(*[F.lit(False)] * 8), again)
+        return let(settle, lambda fixed: let(fill(safe, fixed), lambda rate: F.transform(fixed, lambda f, i: F.when(f, F.get(least, i)).otherwise(F.get(safe, i) * rate))))
 
-    fixed = F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.array(*[F.lit(False)] * 8), again)
-    return F.transform(fixed, lambda f, i: F.when(f, F.get(least, i)).otherwise(F.get(safe, i) * fill(fixed)))
+    return F.when(weights.isNotNull(), let(F.transform(weights, lambda w: F.greatest(w, F.lit(1e-9))), shares))
 
 
 def plans(short: DataFrame, routes: DataFrame, keys: list[str], gap_seconds: float = 5.0, width: float = 1.0) -> DataFrame:
@@ -303,7 +336,7 @@ def plans(short: DataFrame, routes: DataFrame, keys: list[str], gap_seconds: flo
     speed = F.when(F.col("linear") > 0, F.col("linear")).when(F.col("reach") > 0, F.col("reach") / F.greatest(qe / FPS, F.lit(1.0))).otherwise(0.25)
     e = e.withColumn("target", F.col("speed_ratio") * F.when(t == "yaw_return", F.col("reach")).otherwise(speed * F.col("seconds")))
     e = _with_orbit(settled(_with_peek(settled(_with_basis(settled(e))))))
-    e = e.withColumn("rises", F.transform(F.sequence(F.lit(0), F.lit(239)), lambda i: _ramp((i + 1) * 0.00125) - _ramp(i * 0.00125)))
+    e = e.withColumn("slope", F.when(t == "peek_occlude_retract", _rises(0, 240, F.lit(0.00125), F.col("aside_by") / F.col("beyond"))))
     e = settled(e)
     scaled = ~t.isin("yaw_return", "orbit_around_anchor")
     e = e.withColumn("amplitude", F.when(scaled & (F.col("target") > 0), _bisected(F.col("target"), _length(width), F.col("way"))).otherwise(0.0))
@@ -332,12 +365,10 @@ def plans(short: DataFrame, routes: DataFrame, keys: list[str], gap_seconds: flo
         .when(orbit & (arcs + F.col("way") > F.col("target") + 1e-6), "budget")
     )
     e = settled(settled(e).withColumn("reason", reason))
-    e = e.withColumn("legs", F.when(F.col("reason").isNull(), _legs(width)))
-    e = settled(e)
-    e = e.withColumn("weights", F.transform("legs", lambda leg: _sum(_steps(leg, lambda a, b: F.when(t == "yaw_return", _turned(a, b)).otherwise(_moved(a, b))))))
+    e = e.withColumn("weights", F.when(F.col("reason").isNull(), _weights(width)))
     e = settled(settled(e).withColumn("shares", _shared(F.col("weights"))))
     left = F.lit(LAST) - qe - F.aggregate("shares", F.lit(0), lambda s, v: s + F.floor(F.round(v, 9)).cast("int"))
-    ranked = F.array_sort(F.transform("shares", lambda v, i: F.struct((-F.round(v - F.floor(F.round(v, 9)), 9)).alias("r"), i.alias("i"))))
+    ranked = F.sort_array(F.transform("shares", lambda v, i: F.struct((-F.round(v - F.floor(F.round(v, 9)), 9)).alias("r"), i.alias("i"))))
     e = e.withColumn("_more", F.transform(F.slice(ranked, 1, F.greatest(left, F.lit(0))), lambda o: o["i"]))
     e = settled(e).withColumn("counts", F.transform("shares", lambda v, i: F.floor(F.round(v, 9)).cast("int") + F.array_contains("_more", i).cast("int")))
     e = settled(e).withColumn("frames", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: qe + F.aggregate(F.slice("counts", 1, k), F.lit(0), lambda s, v: s + v)))
@@ -347,8 +378,10 @@ def plans(short: DataFrame, routes: DataFrame, keys: list[str], gap_seconds: flo
     late = F.when(F.exists("weights", lambda w: w <= 1e-12), "motion").when(close[0] | close[1] | close[2], "revisit_gap")
     e = e.withColumn("reason", F.coalesce("reason", late))
     fine = F.col("reason").isNull()
-    kept = {n: F.when(fine, F.col(n)) for n in ("target", "amplitude", "span", "legs", "counts", "frames", "prefix")}
-    return settled(settled(e).withColumns(kept).select(*keys, "template", "qe", "reason", "heading", *kept))
+    e = settled(e)
+    # Legs are made from columns that are settled, in the last step of all.
+    kept = {n: F.when(fine, _legs(width) if n == "legs" else F.col(n)).alias(n) for n in ("target", "amplitude", "span", "legs", "counts", "frames", "prefix")}
+    return e.select(*keys, "template", "qe", "reason", "heading", *kept.values())
 
 
 def events(planned: DataFrame, keys: list[str]) -> DataFrame:
