@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -390,34 +392,44 @@ def events(planned: DataFrame, keys: list[str]) -> DataFrame:
     return planned.where("reason IS NULL").select(*keys, F.inline(named)).toDF(*keys, "event", "frame_index")
 
 
+def _spread(lines: pa.Array, sizes: pa.Array, turns: pa.Array) -> pa.Array:
+    """size spots along each line, from its start and short of its end, evenly by way (by angle for a turn); the line's own where size is null."""
+    names = (*AXES, "yaw")
+    at, ends = np.vstack([f.to_numpy(zero_copy_only=False) for f in lines.flatten().flatten()]), lines.offsets.to_numpy() - lines.offsets[0].as_py()
+    step = np.diff(at, axis=1)
+    ways, angles = np.sqrt(step[0] * step[0] + step[1] * step[1] + step[2] * step[2]), np.abs(step[3])
+    found = []
+    for a, b, size, turn in zip(ends[:-1], ends[1:], sizes.to_pylist(), turns.to_pylist(), strict=True):
+        if size is None or b - a < 2:
+            found.append(at[:, a : b if size is None else a])
+            continue
+        border = np.cumsum((angles if turn else ways)[a : b - 1])
+        border = border * size / border[-1]
+        border[-1] = size
+        i = np.arange(size)
+        k = np.searchsorted(border, i, side="right")
+        before = np.append(0.0, border)[k]
+        found.append(at[:, a + k] + (i - before) / (border[k] - before) * step[:, a + k])
+    spots = np.concatenate(found, axis=1) if found else at[:, :0]
+    offsets = np.cumsum([0, *[f.shape[1] for f in found]], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(c) for c in spots], names))
+
+
 def frames(planned: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, frame_index, x, y, z, yaw): the 961 frames of every route that has a plan.
 
     Frames up to QE are those of the short route, bit by bit, and the last is its first.
     Within a leg frames lie evenly by way (by angle for yaw_return).
     """
-    piece = lambda a, b, n: F.struct(a.alias("a"), b.alias("b"), n.alias("n"))
     bare = lambda p: _spot(_vector(p), p["yaw"])
-    turn = F.col("template") == "yaw_return"
-    pieces = lambda line, length: F.transform(F.sequence(F.lit(0), F.size(line) - 2), lambda i: piece(F.get(line, i), F.get(line, i + 1), length(F.get(line, i), F.get(line, i + 1))))
-    kept = pieces(F.transform("prefix", bare), lambda a, b: F.lit(1.0))
-    start = bare(F.get("prefix", F.lit(0)))
-    new = F.transform("legs", lambda leg: pieces(leg, lambda a, b: F.when(turn, _turned(a, b)).otherwise(_moved(a, b))))
-    lines = F.concat(F.array(kept), new, F.array(F.array(piece(start, start, F.lit(0.0)))))
-    sizes = F.concat(F.array(F.col("qe")), "counts", F.array(F.lit(1)))
-    begins = F.concat(F.array(F.lit(0), F.col("qe")), "frames")
-    e = planned.where("reason IS NULL").select(*keys, "heading", "qe", F.get("frames", F.lit(0)).alias("c1"), F.get("frames", F.lit(6)).alias("c2"), F.posexplode(F.arrays_zip(lines.alias("line"), sizes.alias("size"), begins.alias("begin")))).withColumnRenamed("pos", "leg")
-    e = e.select(*keys, "heading", "qe", "c1", "c2", "leg", F.col("col.size").alias("size"), F.col("col.begin").alias("begin"), F.size("col.line").alias("many"), F.posexplode("col.line"))
-    w = Window.partitionBy(*keys, "leg").orderBy("pos")
-    e = e.withColumn("upto", F.sum("col.n").over(w))
-    all_ = F.max("upto").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    e = e.withColumn("border", F.when(F.col("pos") == F.col("many") - 1, F.col("size").cast("double")).otherwise(F.col("upto") * F.col("size") / all_))
-    e = e.withColumn("before", F.coalesce(F.lag("border").over(w), F.lit(0.0)))
-    first, last = F.ceil("before").cast("int"), F.ceil("border").cast("int") - 1
-    e = e.where(first <= last).withColumn("i", F.explode(F.sequence(first, last)))
-    s = (F.col("i") - F.col("before")) / (F.col("border") - F.col("before"))
-    value = {c: F.col(f"col.a.{c}") + s * (F.col(f"col.b.{c}") - F.col(f"col.a.{c}")) for c in (*AXES, "yaw")}
-    at = F.col("begin") + F.col("i")
+    kept = F.struct(F.transform(F.slice("prefix", 1, F.col("qe")), bare).alias("line"), F.lit(None).cast("int").alias("size"), F.lit(0).alias("begin"))
+    new = F.transform("legs", lambda leg, i: F.struct(leg.alias("line"), F.get("counts", i).alias("size"), F.when(i == 0, F.col("qe")).otherwise(F.get("frames", i - 1)).alias("begin")))
+    last = F.struct(F.transform(F.slice("prefix", 1, 1), bare).alias("line"), F.lit(None).cast("int").alias("size"), F.lit(LAST).alias("begin"))
+    e = planned.where("reason IS NULL").select(*keys, "heading", "qe", (F.col("template") == "yaw_return").alias("turn"), F.get("frames", F.lit(0)).alias("c1"), F.get("frames", F.lit(6)).alias("c2"), F.inline(F.concat(F.array(kept), new, F.array(last))))
+    spots = F.arrow_udf(_spread, "array<struct<x:double,y:double,z:double,yaw:double>>")("line", "size", "turn")
+    e = e.select(*keys, "heading", "qe", "c1", "c2", "begin", F.posexplode(spots))
+    value = {c: F.col(f"col.{c}") for c in (*AXES, "yaw")}
+    at = F.col("begin") + F.col("pos")
     smooth = lambda u: F.least(F.greatest(u, F.lit(0.0)), F.lit(1.0)) * F.least(F.greatest(u, F.lit(0.0)), F.lit(1.0)) * (3 - 2 * F.least(F.greatest(u, F.lit(0.0)), F.lit(1.0)))
     end = F.greatest(F.col("c2") + 1, LAST - F.col("qe"))
     held = F.when(at <= F.col("c2"), smooth((at - F.col("qe")) / (F.col("c1") - F.col("qe")))).otherwise(1 - smooth((at - F.col("c2")) / (end - F.col("c2"))))
@@ -430,17 +442,24 @@ def excursions(track: DataFrame, named: DataFrame, keys: list[str], pairs: tuple
 
     named has (keys, event, frame_index). Poses meet to 1e-6 in each coordinate and matrix
     entry (bounded here by the angle); an excursion moves or turns by more than 1e-6 from
-    the first visit. Frames meet pairs by the route's keys, and sums are made a route.
+    the first visit. Frames stay with their route: no row is repeated for its pairs.
     """
     at = lambda n: F.max(F.when(F.col("event") == n, F.col("frame_index")))
-    spans = named.groupBy(*keys).agg(F.array(*[F.struct(F.lit(p).alias("pair"), at(a).alias("a"), at(b).alias("b")) for p, a, b in pairs]).alias("pairs"))
-    spans = spans.select(*keys, F.inline("pairs")).where("a < b")
-    values = ("x", "y", "z", "yaw")
-    rows = track.select(*keys, "frame_index", *values).join(spans, keys).where("frame_index BETWEEN a AND b")
-    w = Window.partitionBy(*keys, "pair").orderBy("frame_index")
-    rows = rows.select(*keys, "pair", "a", "b", "frame_index", *values, *[F.first(v).over(w).alias(f"{v}0") for v in values])
-    angle = F.radians(F.abs(F.pmod(F.col("yaw") - F.col("yaw0") + 180.0, F.lit(360.0)) - 180.0))
-    off = F.sqrt(sum(((F.col(v) - F.col(f"{v}0")) * (F.col(v) - F.col(f"{v}0")) for v in AXES), F.lit(0.0)))
-    same = F.greatest(*[F.abs(F.col(v) - F.col(f"{v}0")) for v in AXES], angle) <= 1e-6
-    out = rows.groupBy(*keys, "pair").agg(F.bool_or((F.col("frame_index") == F.col("b")) & same).alias("closed"), F.max(off).alias("moved"), F.max(angle).alias("turned"))
+    spans = named.groupBy(*keys).agg(*[F.struct(at(a).alias("a"), at(b).alias("b")).alias(f"_{p}") for p, a, b in pairs])
+    values = (*AXES, "yaw")
+    rows = track.select(*keys, "frame_index", *values).join(spans, keys)
+    inside = {p: F.coalesce((F.col(f"_{p}.a") < F.col(f"_{p}.b")) & F.col("frame_index").between(F.col(f"_{p}.a"), F.col(f"_{p}.b")), F.lit(False)) for p, _, _ in pairs}
+    # The window has no order: a route's rows are read as they come, and each pair's first visit is put beside them.
+    first = {p: F.min_by(F.struct(*values), F.when(inside[p], F.col("frame_index"))).over(Window.partitionBy(*keys)).alias(f"{p}0") for p in inside}
+    rows = rows.select(*keys, "frame_index", *values, *[F.when(inside[p], F.col("frame_index") == F.col(f"_{p}.b")).alias(f"{p}_end") for p in inside], *first.values())
+    made = {}
+    for p in inside:
+        there, start = F.col(f"{p}_end").isNotNull(), F.col(f"{p}0")
+        angle = F.radians(F.abs(F.pmod(F.col("yaw") - start["yaw"] + 180.0, F.lit(360.0)) - 180.0))
+        off = F.sqrt(sum(((F.col(v) - start[v]) * (F.col(v) - start[v]) for v in AXES), F.lit(0.0)))
+        same = F.greatest(*[F.abs(F.col(v) - start[v]) for v in AXES], angle) <= 1e-6
+        made[p] = [F.bool_or(F.when(there, F.col(f"{p}_end") & same)).alias(f"{p}_closed"), F.max(F.when(there, off)).alias(f"{p}_moved"), F.max(F.when(there, angle)).alias(f"{p}_turned"), F.count(F.when(there, 1)).alias(f"{p}_n")]
+    sums = rows.groupBy(*keys).agg(*[c for columns in made.values() for c in columns])
+    told = [F.struct(F.lit(p).alias("pair"), *[F.col(f"{p}_{c}").alias(c) for c in ("closed", "moved", "turned", "n")]) for p in made]
+    out = sums.select(*keys, F.inline(F.array(*told))).where("n > 0").drop("n")
     return out.withColumn("excursion", (F.col("moved") > 1e-6) | (F.col("turned") > 1e-6))

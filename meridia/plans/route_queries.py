@@ -111,7 +111,8 @@ def long_route_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM weighed w JOIN told t ON t.k = w.k, (VALUES ('C', 0.25), ('A', 0.5), ('B', 0.8)) p(pair, share)""")
 def long_route_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of visits in the 961 frames of every supplier's long route, and how far a straight one goes in between."""
-    plans = long_routes.plans(*long_shorts(spark, sf_dir, "supplier", "s_suppkey"), ["s_suppkey"])
+    tracks, settings = long_shorts(spark, sf_dir, "supplier", "s_suppkey")
+    plans = long_routes.plans(tracks, settings, ["s_suppkey"])
     found = long_routes.excursions(long_routes.frames(plans, ["s_suppkey"]), long_routes.events(plans, ["s_suppkey"]), ["s_suppkey"])
     straight = F.col("template").isin("forward_backward", "lateral_out_and_back")
-    return found.join(plans.select("s_suppkey", "template"), "s_suppkey").select("s_suppkey", "pair", "closed", "excursion", F.when(straight, steady("moved", 6)).alias("reach"))
+    return found.join(settings.select("s_suppkey", "template"), "s_suppkey").select("s_suppkey", "pair", "closed", "excursion", F.when(straight, steady("moved", 6)).alias("reach"))

@@ -5,8 +5,12 @@ from __future__ import annotations
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
-from meridia.operators import long_routes
+from meridia.functions import text, vectors
+from meridia.llm import secret_scan
+from meridia.operators import long_routes, reviews
+from meridia.plans import catalogue
 
 TRACK = "r long, frame_index int, x double, y double, z double, yaw double"
 ROUTE = "r long, template string, qe int, focus_x double, focus_y double, focus_z double"
@@ -38,3 +42,30 @@ def test_intervals_are_dealt_by_the_ways_of_the_legs(stretched):
         free = [k for k in range(8) if p.counts[k] > least[k] + 1]
         rate = sum(p.counts[k] for k in free) / sum(ways[k] for k in free)
         assert sum(p.counts) == 920 and all(abs(p.counts[k] - rate * ways[k]) < 1.5 for k in free), p.template
+
+
+def test_frames_lie_evenly_by_way_and_are_not_sorted_with_their_pieces(stretched):
+    track = long_routes.frames(stretched, ["r"])
+    assert "Window" not in optimized(track)
+    found = {(f.r, f.frame_index): f for f in track.collect()}
+    for p in stretched.collect():
+        for leg, n, begin in zip(p.legs, p.counts, [p.qe, *p.frames], strict=False):
+            of = (lambda a, b: abs(a.yaw - b.yaw)) if p.template == "yaw_return" else (lambda a, b: math.dist(a[:3], b[:3]))
+            upto = [0.0]
+            for a, b in zip(leg[:-1], leg[1:], strict=True):
+                upto.append(upto[-1] + of(a, b))
+            for i in range(n):
+                k = max(j for j in range(len(leg) - 1) if upto[j] <= i * upto[-1] / n + 1e-12)
+                s = (i * upto[-1] / n - upto[k]) / (upto[k + 1] - upto[k])
+                f = found[p.r, begin + i]
+                assert (f.x, f.y, f.z, f.yaw) == pytest.approx(tuple(u + s * (v - u) for u, v in zip(leg[k], leg[k + 1], strict=True)), abs=1e-7)
+    assert len(found) == 6 * 961
+
+
+def test_excursions_repeat_no_frame_for_its_pairs(spark):
+    rows = [(1, i, float(min(i, 10 - i)), 0.0, 0.0, 0.0) for i in range(11)] + [(2, i, 0.0, 0.0, 0.0, 0.0) for i in range(11)]
+    named = spark.createDataFrame([(k, e, i) for k in (1, 2) for e, i in (("a", 1), ("b", 9), ("c", 8), ("d", 3))], "r long, event string, frame_index int")
+    out = long_routes.excursions(spark.createDataFrame(rows, TRACK), named, ["r"], (("P", "a", "b"), ("Q", "c", "d"), ("R", "d", "c")))
+    assert optimized(out).count("Generate") == 1  # of sums, not of frames
+    got = {(e.r, e.pair): (e.closed, e.moved, e.excursion) for e in out.collect()}
+    assert got == {(1, "P"): (True, 4.0, True), (1, "R"): (False, 2.0, True), (2, "P"): (True, 0.0, False), (2, "R"): (True, 0.0, False)}
