@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from meridia.functions.vectors import let
+
 # Patterns of the caption contract.
 WORD = r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*"
 META = r"(?i)^(?:this\s+(?:image|video|frame|scene)|the\s+(?:image|video|frame)|in\s+this\s+(?:image|video|frame))\b"
@@ -72,15 +74,17 @@ def _any_of(words: Column, listed: tuple[str, ...]) -> Column:
 
 def bounded_anchor(text: Column) -> Column:
     """Whether a label names a bounded thing: it has a word, and none of an unbounded surface unless one of a bounded thing is there too."""
-    words = _words(text)
+    return let(_words(text), _bounded)
+
+
+def _bounded(words: Column) -> Column:
     return (F.size(words) > 0) & (~_any_of(words, UNBOUNDED) | _any_of(words, BOUNDED))
 
 
 def prompt(text: Column) -> Column:
     """A prompt in lower case with single spaces, or null if it breaks the contract: 1 to 4 words, no and/or, no place words, a bounded anchor."""
-    p = squeezed(F.lower(text))
-    words = _words(p)
-    return F.when(F.size(words).between(1, 4) & ~_any_of(words, ("and", "or", *POSITION)) & bounded_anchor(p), p)
+    held = lambda words: F.size(words).between(1, 4) & ~_any_of(words, ("and", "or", *POSITION)) & _bounded(words)
+    return let(squeezed(F.lower(text)), lambda p: F.when(let(_words(p), held), p))
 
 
 def prompts(texts: Column) -> Column:

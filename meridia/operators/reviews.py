@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridia.functions import text
+from meridia.functions.tables import settled
+from meridia.functions.vectors import let
 
 # The hazards in order with the reason to reject that each gives, the kinds of an anchor.
 HAZARDS = {
@@ -38,9 +40,13 @@ def _kind(value: Column) -> Column:
 
 def _text(value: Column, missing: str) -> Column:
     """A variant as text with single spaces: null as None, true and false capitalised, lists and objects as JSON."""
-    plain = F.try_variant_get(value, "$", "string")
-    as_text = F.when(value.isNull(), F.lit(missing)).when(_kind(value) == "VOID", F.lit("None")).when(_kind(value) == "BOOLEAN", F.initcap(plain)).otherwise(F.coalesce(plain, F.to_json(value)))
-    return text.squeezed(as_text)
+
+    def as_text(value: Column) -> Column:
+        plain = F.try_variant_get(value, "$", "string")
+        shown = lambda kind: F.when(kind == "VOID", F.lit("None")).when(kind == "BOOLEAN", F.initcap(plain)).otherwise(F.coalesce(plain, F.to_json(value)))
+        return F.when(value.isNull(), F.lit(missing)).otherwise(let(_kind(value), shown))
+
+    return text.squeezed(let(value, as_text))
 
 
 def _at(value: Column, name: str) -> Column:
@@ -62,9 +68,9 @@ def _candidate(raw: Column) -> Column:
     """(label, kind, prompts) of an item; null where it breaks a rule. Broken prompts are left out, 2 to 4 different ones must remain."""
     listed = F.try_variant_get(raw, "$.sam_prompts", "array<variant>")
     kept = F.array_compact(F.array_distinct(F.transform(listed, lambda p: text.prompt(_text(p, "")))))
-    label, kind = _text(_at(raw, "label"), ""), _text(_at(raw, "anchor_kind"), "instance")
-    fine = (label != "") & text.bounded_anchor(label) & kind.isin(*KINDS) & F.size(kept).between(2, 4)
-    return F.when(fine, F.struct(label.alias("label"), kind.alias("kind"), kept.alias("prompts")))
+    read = F.struct(_text(_at(raw, "label"), "").alias("label"), _text(_at(raw, "anchor_kind"), "instance").alias("kind"), kept.alias("prompts"))
+    fine = lambda c: (c["label"] != "") & text.bounded_anchor(c["label"]) & c["kind"].isin(*KINDS) & F.size(c["prompts"]).between(2, 4)
+    return let(read, lambda c: F.when(fine(c), c))
 
 
 def parsed(answers: DataFrame, answer: str, carry: list[str], version: str) -> DataFrame:
@@ -77,8 +83,10 @@ def parsed(answers: DataFrame, answer: str, carry: list[str], version: str) -> D
     under 3 for a usable pair), `prompts` (no list), `few` (under 3 hold the contract).
     A pair that isn't usable has no candidates, whatever its answer lists.
     """
+    # Answers are little data and much work, so they are dealt to as many tasks as the session has; each step is settled, so that the next ones read it.
     body = F.regexp_extract(F.coalesce(F.col(answer), F.lit("")), r"(?s)\{.*\}", 0)
-    e = answers.select(*carry, body.alias("_body"), _whole(F.nullif(body, F.lit(""))).alias("_v"))
+    dealt = answers.repartition(int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    e = settled(settled(dealt.select(*carry, body.alias("_body"))).select(*carry, "_body", _whole(F.nullif(F.col("_body"), F.lit(""))).alias("_v")))
     v = F.col("_v")
     hazards, usable, items = _at(v, "scene_hazards"), _at(v, "pair_usable"), _at(v, "candidates")
     e = e.select(
@@ -90,13 +98,16 @@ def parsed(answers: DataFrame, answer: str, carry: list[str], version: str) -> D
         F.when(_kind(items).startswith("ARRAY"), F.try_variant_get(v, "$.candidates", "array<variant>")).alias("_items"),
         _text(_at(v, "pair_reason"), "").alias("_reason"),
     )
+    e = settled(e)
     known = F.array(*[F.lit(h) for h in HAZARDS])
     exact = (F.size(F.map_keys("_hazards")) == len(HAZARDS)) & (F.size(F.array_except(F.map_keys("_hazards"), known)) == 0) & F.forall(F.map_values("_hazards"), lambda b: _kind(b) == "BOOLEAN")
     flags = F.filter(known, lambda h: F.coalesce(F.try_variant_get(F.try_element_at(F.col("_hazards"), h), "$", "boolean"), F.lit(False)))
     e = e.withColumns({"_exact": F.coalesce(exact, F.lit(False)), "_active": F.when(F.coalesce(exact, F.lit(False)), flags)})
+    e = settled(e)
     objects = F.filter("_items", lambda c: _kind(c).startswith("OBJECT"))
-    e = e.withColumn("_objects", F.when(F.col("_usable"), objects))
+    e = settled(e.withColumn("_objects", F.when(F.col("_usable"), objects)))
     e = e.withColumns({"_unlisted": F.exists("_objects", lambda c: ~_kind(_at(c, "sam_prompts")).startswith("ARRAY")), "_kept": F.array_compact(F.transform("_objects", _candidate))})
+    e = settled(e)
     problem = (
         F.when(F.col("_body") == "", "object")
         .when(v.isNull(), "json")
@@ -109,7 +120,7 @@ def parsed(answers: DataFrame, answer: str, carry: list[str], version: str) -> D
         .when(F.col("_unlisted"), "prompts")
         .when(F.col("_usable") & (F.size("_kept") < LEAST), "few")
     )
-    e = e.withColumn("problem", problem)
+    e = settled(e.withColumn("problem", problem))
     fine = F.col("problem").isNull()
     reasons = F.create_map(*[F.lit(x) for pair in HAZARDS.items() for x in pair])
     return e.select(

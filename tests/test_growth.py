@@ -69,3 +69,14 @@ def test_excursions_repeat_no_frame_for_its_pairs(spark):
     assert optimized(out).count("Generate") == 1  # of sums, not of frames
     got = {(e.r, e.pair): (e.closed, e.moved, e.excursion) for e in out.collect()}
     assert got == {(1, "P"): (True, 4.0, True), (1, "R"): (False, 2.0, True), (2, "P"): (True, 0.0, False), (2, "R"): (True, 0.0, False)}
+
+
+def test_answers_are_dealt_to_all_tasks(spark):
+    one = spark.createDataFrame([(i, "{}") for i in range(64)], "k int, answer string").coalesce(1)
+    out = reviews.parsed(one, "answer", ["k"], "v")
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_prompt_is_squeezed_once(spark):
+    plan = optimized(spark.createDataFrame([(" Red  Door ",)], "s string").select(text.prompt(F.col("s")).alias("p")))
+    assert plan.count("regexp_replace(") == 1 and plan.count("regexp_extract_all(") == 1
