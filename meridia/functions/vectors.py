@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,19 +139,22 @@ def distort(x: Column, y: Column, k1: Column, k2: Column, p1: Column, p2: Column
 def undistort(x: Column, y: Column, k1: Column, k2: Column, p1: Column, p2: Column, steps: int = 12) -> Column:
     """The point that distort() takes to (x, y), by so many Newton steps from there; null where a step has no inverse."""
 
-    def step(at: Column, _: Column) -> Column:
-        u, v = at["x"], at["y"]
-        r2 = u * u + v * v
-        radial, slope = 1 + k1 * r2 + k2 * r2 * r2, 2 * (k1 + 2 * k2 * r2)
-        off = distort(u, v, k1, k2, p1, p2)
-        dx, dy = off["x"] - x, off["y"] - y
-        # The Jacobian is symmetric: both mixed terms are the same.
-        uu = radial + slope * u * u + 2 * p1 * v + 6 * p2 * u
-        vv = radial + slope * v * v + 6 * p1 * v + 2 * p2 * u
-        uv = slope * u * v + 2 * p1 * u + 2 * p2 * v
-        det = uu * vv - uv * uv
-        det = F.when(F.abs(det) >= 1e-14, det).otherwise(F.lit(float("nan")))  # a fold over literals has no nulls
-        return F.struct((u - (vv * dx - uv * dy) / det).alias("x"), (v - (uu * dy - uv * dx) / det).alias("y"))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")), step)
-    return let(found, lambda p: F.struct(*[F.when(~F.isnan(p[c]), p[c]).alias(c) for c in ("x", "y")]))
+    def newton(*columns: pa.Array) -> pa.Array:
+        x, y, k1, k2, p1, p2 = (np.asarray(c.to_numpy(zero_copy_only=False), dtype=float) for c in columns)
+        u, v = x, y
+        with np.errstate(all="ignore"):
+            for _ in range(steps):
+                r2 = u * u + v * v
+                radial, slope = 1 + k1 * r2 + k2 * r2 * r2, 2 * (k1 + 2 * k2 * r2)
+                dx = u * radial + 2 * p1 * u * v + p2 * (r2 + 2 * u * u) - x
+                dy = v * radial + p1 * (r2 + 2 * v * v) + 2 * p2 * u * v - y
+                # The Jacobian is symmetric: both mixed terms are the same.
+                uu = radial + slope * u * u + 2 * p1 * v + 6 * p2 * u
+                vv = radial + slope * v * v + 6 * p1 * v + 2 * p2 * u
+                uv = slope * u * v + 2 * p1 * u + 2 * p2 * v
+                det = uu * vv - uv * uv
+                det = np.where(np.abs(det) >= 1e-14, det, np.nan)
+                u, v = u - (vv * dx - uv * dy) / det, v - (uu * dy - uv * dx) / det
+        return pa.StructArray.from_arrays([pa.array(c, mask=np.isnan(c)) for c in (u, v)], ["x", "y"])
+
+    return F.arrow_udf(newton, "struct<x:double,y:double>")(*[c.cast("double") for c in (x, y, k1, k2, p1, p2)])

@@ -71,6 +71,17 @@ def test_excursions_repeat_no_frame_for_its_pairs(spark):
     assert got == {(1, "P"): (True, 4.0, True), (1, "R"): (False, 2.0, True), (2, "P"): (True, 0.0, False), (2, "R"): (True, 0.0, False)}
 
 
+def test_lenses_are_undone_in_batches_and_not_in_a_fold_a_row(spark):
+    k = (-0.08, 0.012, 0.003, -0.002)
+    rows = spark.range(2000).select(*[((F.col("id") * n % 21 - 10) / 12).alias(c) for n, c in ((1, "x"), (7, "y"))])
+    seen = rows.select("x", "y", vectors.distort(F.col("x"), F.col("y"), *map(F.lit, k)).alias("d"))
+    back = seen.select("x", "y", vectors.undistort(F.col("d.x"), F.col("d.y"), *map(F.lit, k)).alias("b"))
+    assert "ArrowEvalPython" in optimized(back) and "aggregate(" not in optimized(back)
+    assert all(abs(r.x - r.b.x) < 1e-9 and abs(r.y - r.b.y) < 1e-9 for r in back.collect())
+    none = spark.sql("SELECT CAST(NULL AS DOUBLE) AS x, 1.0D AS y").select(vectors.undistort(F.col("x"), F.col("y"), *map(F.lit, k)).alias("b")).first().b
+    assert none.x is None and none.y is None
+
+
 def test_answers_are_dealt_to_all_tasks(spark):
     one = spark.createDataFrame([(i, "{}") for i in range(64)], "k int, answer string").coalesce(1)
     out = reviews.parsed(one, "answer", ["k"], "v")
