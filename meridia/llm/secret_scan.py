@@ -70,11 +70,11 @@ def identifiers(docs: DataFrame, text_col: str = "text") -> bytes:
 
     An identifier is a run of 4 to 24 letters and underscores that LEAST_ROWS different
     texts of all rows have. Texts are told apart by a hash, and of each only its
-    identifiers travel. The dictionary is bounded at every size of the table.
+    identifiers travel, as one text. The dictionary is bounded at every size of the table.
     """
     found = F.array_distinct(F.regexp_extract_all(text_col, F.lit(r"(?<![A-Za-z0-9_])[A-Za-z_]{4,24}(?![A-Za-z0-9_])"), 0))
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("hash"), found.alias("words"))
-    words = texts.dropDuplicates(["hash"]).select(F.explode("words").alias("word"))
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("hash"), F.array_join(found, " ").alias("words"))
+    words = texts.dropDuplicates(["hash"]).where("words <> ''").select(F.explode(F.split("words", " ")).alias("word"))
     counted = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS)
     found, size = [], 0
     for r in counted.orderBy(F.desc("n"), "word").limit(DICTIONARY_BYTES // 5).collect():

@@ -91,3 +91,9 @@ def test_answers_are_dealt_to_all_tasks(spark):
 def test_a_prompt_is_squeezed_once(spark):
     plan = optimized(spark.createDataFrame([(" Red  Door ",)], "s string").select(text.prompt(F.col("s")).alias("p")))
     assert plan.count("regexp_replace(") == 1 and plan.count("regexp_extract_all(") == 1
+
+
+def test_identifiers_travel_as_one_text(spark):
+    rows = [(i, f"alpha_beta gamma {'x' * i} alpha_beta {w}") for i, w in enumerate(("delta", "delta", "delta", "once", ""))]
+    found = secret_scan.identifiers(spark.createDataFrame([*rows, (9, rows[3][1]), (10, None), (11, ""), (12, "1 2")], "doc_id long, text string")).split()
+    assert found[:3] == [b"delta", b"gamma", b"alpha_beta"]
