@@ -45,9 +45,9 @@ def trace_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     get = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind).alias(name)
     pairs = found.select("case_id", "at", *[get(f, "bigint") for f in fields], get("abs_rel", "double"))
     last = ingest.latest(pairs, ["case_id", *fields], ["at"])
-    means = diagnostics.target_means(last, ["case_id"], "target_frame_index", "abs_rel").withColumnRenamed("abs_rel", "value")
-    counts = last.groupBy("case_id", "target_frame_index").agg(F.count("*").alias("pairs"))
-    return means.join(counts, ["case_id", "target_frame_index"]).select("case_id", c("target_frame_index").cast("int").alias("target"), steady("value", 6).alias("value"), "pairs")
+    # Means and counts of a target come out of one aggregate: the pairs are found once.
+    means = last.groupBy("case_id", "target_frame_index").agg(diagnostics.finite_mean("abs_rel").alias("value"), F.count("*").alias("pairs")).where("value IS NOT NULL")
+    return means.select("case_id", c("target_frame_index").cast("int").alias("target"), steady("value", 6).alias("value"), "pairs")
 
 
 @query(

@@ -93,6 +93,11 @@ def test_a_prompt_is_squeezed_once(spark):
     assert plan.count("regexp_replace(") == 1 and plan.count("regexp_extract_all(") == 1
 
 
+def test_traces_are_searched_once(spark, sf_dir):
+    plan = optimized(catalogue.QUERIES["trace_reuse"](spark, sf_dir))
+    assert "Join" not in plan
+
+
 def test_identifiers_travel_as_one_text(spark):
     rows = [(i, f"alpha_beta gamma {'x' * i} alpha_beta {w}") for i, w in enumerate(("delta", "delta", "delta", "once", ""))]
     found = secret_scan.identifiers(spark.createDataFrame([*rows, (9, rows[3][1]), (10, None), (11, ""), (12, "1 2")], "doc_id long, text string")).split()
